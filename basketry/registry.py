@@ -280,3 +280,522 @@ def sales_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
     p, i, _ = tables(spark, sf_dir)
     return rounded(sales_report.dashboard(p, i))
+
+
+# ---------------------------------------------------------------- features
+from basketry.operators import features as feat  # noqa: E402
+from basketry.operators import segments as seg  # noqa: E402
+
+REF = wh.REFERENCE_DATE
+EPOCH = wh.EPOCH
+K_FIXED = 5
+
+_AGG_SQL = f"""
+agg AS (
+  SELECT p.customer_id, max(p.purchase_date) AS _last, min(p.purchase_date) AS _first,
+         count(p.purchase_date) AS _n_dated, count(p.item_id) AS frequency,
+         CAST(coalesce(sum(p.total_price), 0) AS DOUBLE) AS monetary_value,
+         count(CASE WHEN i.item_category = 'Service' THEN 1 END) AS _n_service,
+         count(CASE WHEN i.item_category = 'Product' THEN 1 END) AS _n_product,
+         count(i.item_category) AS _n_cat
+  FROM purchases p LEFT JOIN items i ON p.item_id = i.item_id
+  WHERE p.customer_id IS NOT NULL GROUP BY p.customer_id),
+rfm AS (
+  SELECT customer_id, CAST(date_diff('day', _last, DATE '{REF}') AS BIGINT) AS recency,
+         CAST(frequency AS BIGINT) AS frequency, monetary_value,
+         monetary_value / NULLIF(CAST(frequency AS DOUBLE), 0) AS aov,
+         CASE WHEN _n_dated > 1
+              THEN CAST(date_diff('day', _first, _last) AS DOUBLE) / (_n_dated - 1)
+         END AS avg_time_between_purchases,
+         CAST(_n_service AS DOUBLE) / NULLIF(CAST(_n_cat AS DOUBLE), 0) AS service_ratio,
+         CAST(_n_product AS DOUBLE) / NULLIF(CAST(_n_cat AS DOUBLE), 0) AS product_ratio
+  FROM agg)"""
+
+_STREAK_SQL = f"""
+days AS (
+  SELECT DISTINCT customer_id, date_diff('day', DATE '{EPOCH}', purchase_date) AS day
+  FROM purchases WHERE customer_id IS NOT NULL AND purchase_date IS NOT NULL),
+islands AS (
+  SELECT customer_id, day - row_number() OVER (PARTITION BY customer_id ORDER BY day) AS island
+  FROM days),
+streak AS (
+  SELECT customer_id, CAST(max(run) AS BIGINT) AS longest_purchase_streak
+  FROM (SELECT customer_id, island, count(*) AS run FROM islands GROUP BY customer_id, island)
+  GROUP BY customer_id)"""
+
+_FEAT_SQL = _AGG_SQL + "," + _STREAK_SQL + """,
+feat AS (
+  SELECT r.customer_id, r.recency, r.frequency, r.monetary_value,
+         coalesce(CAST(c.age AS DOUBLE), 0.0) AS age,
+         CAST(coalesce(CAST(c.gender = 'F' AS INTEGER), 0) AS INTEGER) AS gender_f,
+         CAST(coalesce(CAST(c.gender = 'M' AS INTEGER), 0) AS INTEGER) AS gender_m,
+         coalesce(r.aov, 0.0) AS aov,
+         coalesce(r.avg_time_between_purchases,
+                  (SELECT max(avg_time_between_purchases) FROM rfm))
+           AS avg_time_between_purchases,
+         CAST(coalesce(s.longest_purchase_streak, 0) AS BIGINT) AS longest_purchase_streak,
+         coalesce(r.service_ratio, 0.0) AS service_ratio,
+         coalesce(r.product_ratio, 0.0) AS product_ratio
+  FROM rfm r LEFT JOIN customers c ON r.customer_id = c.customer_id
+  LEFT JOIN streak s ON r.customer_id = s.customer_id)"""
+
+_F = feat.FEATURES
+_SCALED_SQL = _FEAT_SQL + ",\nscaled AS (\n  SELECT customer_id, " + ",\n    ".join(
+    f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN (CAST({c} AS DOUBLE) - avg({c}) OVER ()) "
+    f"/ stddev_pop({c}) OVER () ELSE 0.0 END AS {c}" for c in _F) + "\n  FROM feat)"
+
+_DIST_EXPR = " + ".join(f"(s.{c} - c.{c}) * (s.{c} - c.{c})" for c in _F)
+_ASSIGN_SQL = _SCALED_SQL + f""",
+sr AS (SELECT customer_id, {', '.join(f'round({c}, 6) AS {c}' for c in _F)} FROM scaled),
+cen AS (
+  SELECT CAST(row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS cluster,
+         {', '.join(_F)}
+  FROM sr QUALIFY cluster < {K_FIXED}),
+dist AS (SELECT s.customer_id, c.cluster, {_DIST_EXPR} AS distance FROM sr s CROSS JOIN cen c),
+assigned AS (
+  SELECT customer_id, cluster, distance FROM dist
+  QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY distance, cluster) = 1)"""
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, i, c = tables(spark, sf_dir)
+    return feat.customer_features(p, i, c, ref_date=REF, epoch=EPOCH)
+
+
+@register("customer_rfm", with_(_AGG_SQL) + """
+SELECT customer_id, recency, frequency, round(monetary_value, 6) AS monetary_value,
+       round(aov, 6) AS aov FROM rfm""")
+def customer_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A17 + A18."""
+    p, _, _ = tables(spark, sf_dir)
+    return rounded(feat.rfm(p, REF))
+
+
+@register("purchase_day_gaps", with_() + """
+SELECT customer_id, purchase_date, n_rows,
+       CAST(date_diff('day', lag(purchase_date) OVER (PARTITION BY customer_id
+            ORDER BY purchase_date), purchase_date) AS BIGINT) AS gap_days
+FROM (SELECT customer_id, purchase_date, CAST(count(*) AS BIGINT) AS n_rows FROM purchases
+      WHERE customer_id IS NOT NULL AND purchase_date IS NOT NULL
+      GROUP BY customer_id, purchase_date)""")
+def purchase_day_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 + T1."""
+    p, _, _ = tables(spark, sf_dir)
+    return feat.daily_gaps(p)
+
+
+@register("mean_purchase_gap", with_(_AGG_SQL) + """
+SELECT customer_id, round(avg_time_between_purchases, 6) AS avg_time_between_purchases
+FROM rfm""")
+def mean_purchase_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19."""
+    p, i, _ = tables(spark, sf_dir)
+    return rounded(feat.customer_aggregates(p, i, REF).select(
+        "customer_id", "avg_time_between_purchases"))
+
+
+@register("purchase_streaks", with_(_STREAK_SQL) + """
+SELECT customer_id, longest_purchase_streak FROM streak""")
+def purchase_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20 + W2 + X3 over order days."""
+    p, _, _ = tables(spark, sf_dir)
+    return feat.longest_streaks(p, EPOCH)
+
+
+@register("event_streaks", """
+WITH days AS (
+  SELECT DISTINCT user_id AS customer_id,
+         date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day
+  FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL),
+islands AS (
+  SELECT customer_id, day - row_number() OVER (PARTITION BY customer_id ORDER BY day) AS island
+  FROM days)
+SELECT customer_id, CAST(max(run) AS BIGINT) AS longest_purchase_streak
+FROM (SELECT customer_id, island, count(*) AS run FROM islands GROUP BY customer_id, island)
+GROUP BY customer_id""")
+def event_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20 + W2 over purchase events (long streaks)."""
+    return feat.longest_streaks(wh.event_purchases(spark, sf_dir), "2024-01-01")
+
+
+@register("category_mix", with_(_AGG_SQL) + """
+SELECT customer_id, round(service_ratio, 6) AS service_ratio,
+       round(product_ratio, 6) AS product_ratio FROM rfm""")
+def category_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21."""
+    p, i, _ = tables(spark, sf_dir)
+    return rounded(feat.customer_aggregates(p, i, REF).select(
+        "customer_id", "service_ratio", "product_ratio"))
+
+
+@register("customer_demographics", with_() + """
+SELECT customer_id, age,
+       CAST(coalesce(CAST(gender = 'F' AS INTEGER), 0) AS INTEGER) AS gender_f,
+       CAST(coalesce(CAST(gender = 'M' AS INTEGER), 0) AS INTEGER) AS gender_m
+FROM customers WHERE customer_id IN (SELECT customer_id FROM purchases)""")
+def customer_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P16 + P7: demographics of purchasing customers."""
+    p, _, c = tables(spark, sf_dir)
+    buyers = c.join(p.select("customer_id"), "customer_id", "left_semi")
+    return feat.demographics(buyers)
+
+
+@register("customer_features", with_(_FEAT_SQL) + """
+SELECT customer_id, recency, frequency, round(monetary_value, 6) AS monetary_value, age,
+       gender_f, gender_m, round(aov, 6) AS aov,
+       round(avg_time_between_purchases, 6) AS avg_time_between_purchases,
+       longest_purchase_streak, round(service_ratio, 6) AS service_ratio,
+       round(product_ratio, 6) AS product_ratio
+FROM feat""")
+def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + P17."""
+    return rounded(_features(spark, sf_dir))
+
+
+@register("standardized_features", with_(_SCALED_SQL) + "\nSELECT customer_id, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in _F) + " FROM scaled")
+def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2."""
+    return rounded(feat.standardize(_features(spark, sf_dir)))
+
+
+def _fixed(spark: SparkSession, sf_dir: str):
+    f = _features(spark, sf_dir)
+    s = feat.standardize(f)
+    centres = seg.fixed_centres(s, K_FIXED)
+    a = seg.assign(s, centres).select("customer_id", "cluster", "distance")
+    return f, s, centres, a
+
+
+@register("segment_assignment", with_(_ASSIGN_SQL) + """
+SELECT customer_id, cluster, round(distance, 6) AS distance FROM assigned""")
+def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 (+A33 per customer) under fixed centres."""
+    _, _, _, a = _fixed(spark, sf_dir)
+    return rounded(a)
+
+
+_P = feat.PROFILE
+
+
+@register("segment_inertia", with_(_ASSIGN_SQL) + """
+SELECT round(sum(distance), 6) AS inertia FROM assigned""")
+def segment_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A33 under fixed centres."""
+    _, _, _, a = _fixed(spark, sf_dir)
+    return rounded(a.agg(F.sum("distance").alias("inertia")))
+
+
+@register("segment_profile_weighted", with_(_ASSIGN_SQL) + "\nSELECT a.cluster, " + ", ".join(
+    f"round(sum(CAST(f.{c} AS DOUBLE) * f.frequency) / sum(CAST(f.frequency AS DOUBLE)), 2) AS {c}"
+    for c in _P) + " FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster")
+def segment_profile_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22 + J5 under fixed centres."""
+    f, _, _, a = _fixed(spark, sf_dir)
+    return seg.profile_weighted(f, a)
+
+
+_PG = _P + ["gender_f", "gender_m"]
+
+
+@register("segment_profile", with_(_ASSIGN_SQL) + "\nSELECT a.cluster, " + ", ".join(
+    f"round(avg(CAST(f.{c} AS DOUBLE)), 6) AS {c}" for c in _PG)
+    + " FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster")
+def segment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23 under fixed centres."""
+    f, _, _, a = _fixed(spark, sf_dir)
+    return rounded(seg.profile(f, a))
+
+
+@register("segment_sizes", with_(_ASSIGN_SQL) + """
+SELECT a.cluster, CAST(count(*) AS BIGINT) AS n_customers,
+       CAST(sum(f.frequency) AS BIGINT) AS n_rows
+FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster""")
+def segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 under fixed centres."""
+    f, _, _, a = _fixed(spark, sf_dir)
+    return seg.sizes(f, a)
+
+
+@register("segment_centres", with_(_ASSIGN_SQL) + ",\nst AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, avg(CAST({c} AS DOUBLE)) AS mean, "
+    f"stddev_pop(CAST({c} AS DOUBLE)) AS std FROM feat" for c in _F) + "),\ncl AS (" +
+    " UNION ALL ".join(f"SELECT cluster, '{c}' AS feature, {c} AS scaled FROM cen" for c in _F)
+    + ")\nSELECT cl.cluster, cl.feature, round(cl.scaled * st.std + st.mean, 6) AS value "
+    "FROM cl JOIN st ON cl.feature = st.feature")
+def segment_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 under fixed centres."""
+    f, _, centres, _ = _fixed(spark, sf_dir)
+    return rounded(seg.centres_original(centres, feat.standardization_stats(f)))
+
+
+def _projection_sql() -> str:
+    views = [(f"{x}|{y}", x, y, None) for x, y in seg.PAIRS] + [("|".join(seg.TRIPLE),)
+                                                               + seg.TRIPLE]
+    sel = []
+    for name, x, y, z in views:
+        zz = f"round(CAST(f.{z} AS DOUBLE), 6)" if z else "CAST(NULL AS DOUBLE)"
+        sel.append(f"SELECT f.customer_id, a.cluster, '{name}' AS view, "
+                   f"round(CAST(f.{x} AS DOUBLE), 6) AS x, round(CAST(f.{y} AS DOUBLE), 6) AS y, "
+                   f"{zz} AS z FROM feat f JOIN assigned a ON f.customer_id = a.customer_id")
+    return with_(_ASSIGN_SQL) + "\n" + "\nUNION ALL ".join(sel)
+
+
+@register("segment_projections", _projection_sql())
+def segment_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 under fixed centres."""
+    f, _, _, a = _fixed(spark, sf_dir)
+    return rounded(seg.projections(f, a))
+
+
+@register("segment_labels_on_purchases", with_(_ASSIGN_SQL) + """
+SELECT p.customer_id, p.item_id, p.purchase_date, CAST(p.total_price AS DOUBLE) AS total_price,
+       a.cluster, 'Cluster ' || CAST(a.cluster AS VARCHAR) AS cluster_label
+FROM purchases p LEFT JOIN assigned a ON p.customer_id = a.customer_id""")
+def segment_labels_on_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P22 + J4 under fixed centres."""
+    p, _, _ = tables(spark, sf_dir)
+    _, _, _, a = _fixed(spark, sf_dir)
+    out = seg.attach(p, seg.label_clusters(a))
+    return out.select("customer_id", "item_id", "purchase_date",
+                      F.col("total_price").cast("double").alias("total_price"),
+                      "cluster", "cluster_label")
+
+
+# ---------------------------------------------------------------- interactions
+from basketry.operators import interactions as inter  # noqa: E402
+from basketry.operators import recommend as rec  # noqa: E402
+from basketry.settings import DEFAULTS  # noqa: E402
+
+K = DEFAULTS.top_k
+MIN_ITEMS = DEFAULTS.min_interactions
+MONTHS = DEFAULTS.test_period_months
+
+_MATRIX_SQL = f"""
+matrix AS (
+  SELECT customer_id, item_id, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS quantity
+  FROM purchases WHERE customer_id IS NOT NULL AND item_id IS NOT NULL
+  GROUP BY customer_id, item_id),
+active AS (
+  SELECT customer_id FROM matrix GROUP BY customer_id
+  HAVING count(CASE WHEN quantity > 0 THEN 1 END) >= {MIN_ITEMS}),
+amatrix AS (SELECT * FROM matrix WHERE customer_id IN (SELECT customer_id FROM active)),
+pop AS (
+  SELECT c.item_id, CAST(coalesce(p.popularity, 0) AS BIGINT) AS popularity
+  FROM (SELECT DISTINCT item_id FROM matrix) c
+  LEFT JOIN (SELECT item_id, sum(quantity) AS popularity FROM amatrix GROUP BY item_id) p
+    ON c.item_id = p.item_id),
+ranked AS (
+  SELECT item_id, popularity,
+         CAST(row_number() OVER (ORDER BY popularity DESC, item_id) AS BIGINT) AS rank
+  FROM pop),
+cut AS (SELECT CAST(max(purchase_date) - INTERVAL {MONTHS} MONTH AS DATE) AS cut FROM purchases),
+ranges AS (
+  SELECT i.item_id,
+         CAST(CASE WHEN coalesce(s._n, 0) >= (SELECT count(*) FROM active) THEN s._min
+                   ELSE least(coalesce(s._min, 0), 0) END AS DOUBLE) AS data_min,
+         CAST(CASE WHEN coalesce(s._n, 0) >= (SELECT count(*) FROM active) THEN s._max
+                   ELSE greatest(coalesce(s._max, 0), 0) END AS DOUBLE) AS data_max
+  FROM items i LEFT JOIN (SELECT item_id, count(*) AS _n, min(quantity) AS _min,
+                                 max(quantity) AS _max FROM amatrix GROUP BY item_id) s
+    ON i.item_id = s.item_id)"""
+
+
+def _matrix(spark: SparkSession, sf_dir: str):
+    p, i, c = tables(spark, sf_dir)
+    m = inter.user_item_matrix(p)
+    am = m.join(inter.active_users(m, MIN_ITEMS), "customer_id", "left_semi")
+    return p, i, c, m, am
+
+
+@register("user_item_matrix", with_(_MATRIX_SQL) + "\nSELECT * FROM matrix")
+def user_item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.user_item_matrix(p)
+
+
+@register("items_per_user", with_(_MATRIX_SQL) + """
+SELECT customer_id, CAST(count(CASE WHEN quantity > 0 THEN 1 END) AS BIGINT) AS n_items
+FROM matrix GROUP BY customer_id""")
+def items_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A26."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.items_per_user(inter.user_item_matrix(p))
+
+
+@register("active_users", with_(_MATRIX_SQL) + "\nSELECT customer_id FROM active")
+def active_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P19."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.active_users(inter.user_item_matrix(p), MIN_ITEMS)
+
+
+@register("interactions", with_(_MATRIX_SQL) + "\nSELECT * FROM amatrix")
+def interactions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.interactions(p, MIN_ITEMS)
+
+
+@register("item_popularity", with_(_MATRIX_SQL) + f"""
+SELECT item_id, popularity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {K}""")
+def item_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27 (top-k)."""
+    _, _, _, m, am = _matrix(spark, sf_dir)
+    return rec.top_popular(am, m, K).withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("item_popularity_ranked", with_(_MATRIX_SQL) + "\nSELECT item_id, popularity, rank "
+          "FROM ranked")
+def item_popularity_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27 (full ranking, distributed global row number)."""
+    _, _, _, m, am = _matrix(spark, sf_dir)
+    return rec.ranked_popularity(am, m)
+
+
+@register("item_ranges", with_(_MATRIX_SQL) + """
+SELECT item_id, data_min, data_max,
+       CASE WHEN data_max - data_min = 0 THEN 1.0 ELSE data_max - data_min END AS scale
+FROM ranges""")
+def item_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A28 + V11."""
+    _, i, _, _, am = _matrix(spark, sf_dir)
+    return inter.item_ranges(am, i)
+
+
+@register("scaled_interactions", with_(_MATRIX_SQL) + """
+SELECT m.customer_id, m.item_id,
+       round((m.quantity - r.data_min) / CASE WHEN r.data_max - r.data_min = 0 THEN 1.0
+             ELSE r.data_max - r.data_min END, 6) AS value
+FROM amatrix m JOIN ranges r ON m.item_id = r.item_id""")
+def scaled_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4."""
+    _, i, _, _, am = _matrix(spark, sf_dir)
+    return rounded(inter.minmax_scale(am, inter.item_ranges(am, i)))
+
+
+@register("user_index", with_() + """
+SELECT customer_id, CAST(dense_rank() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS user_idx
+FROM (SELECT DISTINCT customer_id FROM customers WHERE customer_id IS NOT NULL)""")
+def user_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 over customers."""
+    return inter.dense_index(wh.customers(spark, sf_dir), "customer_id", "user_idx")
+
+
+@register("item_index", with_() + """
+SELECT item_id, CAST(dense_rank() OVER (ORDER BY item_id) - 1 AS BIGINT) AS item_idx
+FROM (SELECT DISTINCT item_id FROM items WHERE item_id IS NOT NULL)""")
+def item_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 over the catalogue."""
+    return inter.dense_index(wh.items(spark, sf_dir), "item_id", "item_idx")
+
+
+@register("test_cutoff", with_(_MATRIX_SQL) + """
+SELECT max(purchase_date) AS latest_date, (SELECT cut FROM cut) AS cutoff_date FROM purchases""")
+def test_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A29."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.test_cutoff(p, MONTHS)
+
+
+@register("temporal_split", with_(_MATRIX_SQL) + """
+SELECT customer_id, bool_or(purchase_date < (SELECT cut FROM cut)) AS in_train,
+       bool_or(purchase_date >= (SELECT cut FROM cut)) AS in_test
+FROM purchases WHERE customer_id IS NOT NULL GROUP BY customer_id""")
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8 + A30 + V18."""
+    p, _, _ = tables(spark, sf_dir)
+    return inter.temporal_split(p, MONTHS)
+
+
+_HIST_SQL = """
+hist AS (
+  SELECT m.customer_id, string_agg(i.item_name, '|' ORDER BY i.item_name) AS purchase_history
+  FROM amatrix m JOIN items i ON m.item_id = i.item_id
+  WHERE m.quantity > 0 GROUP BY m.customer_id)"""
+
+
+@register("purchase_history", with_(_MATRIX_SQL, _HIST_SQL) + """
+SELECT c.customer_id, coalesce(h.purchase_history, '') AS purchase_history
+FROM customers c LEFT JOIN hist h ON c.customer_id = h.customer_id""")
+def purchase_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A31 (names joined by '|', sorted; empty under the activity threshold)."""
+    from basketry.plans import serving
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    return serving.history_strings(c.select("customer_id"), am, i)
+
+
+_RECS_SQL = f"""
+recs AS (
+  SELECT customer_id, item_id, rn AS rank FROM (
+    SELECT c.customer_id, r.item_id,
+           CAST(row_number() OVER (PARTITION BY c.customer_id ORDER BY r.rank) AS INTEGER) AS rn
+    FROM customers c CROSS JOIN ranked r
+    WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.customer_id = c.customer_id
+                      AND m.item_id = r.item_id AND m.quantity > 0)
+    QUALIFY rn <= {K}))"""
+
+
+@register("recommend_popular", with_(_MATRIX_SQL, _RECS_SQL) + """
+SELECT r.customer_id, r.rank, r.item_id, i.item_name
+FROM recs r LEFT JOIN items i ON r.item_id = i.item_id""")
+def recommend_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R13/R14 with the popularity score + W3 + W5 + J6 + J7 + J8."""
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    recs = rec.recommend_unseen_by_rank(c.select("customer_id"), m,
+                                        rec.ranked_popularity(am, m), K)
+    return rec.with_names(recs, i).select("customer_id", "rank", "item_id", "item_name")
+
+
+@register("recommend_batch", with_(_MATRIX_SQL, _RECS_SQL, _HIST_SQL) + """
+SELECT c.customer_id, coalesce(h.purchase_history, '') AS purchase_history,
+       coalesce(x.recommendations, '') AS recommendations
+FROM customers c LEFT JOIN hist h ON c.customer_id = h.customer_id
+LEFT JOIN (SELECT r.customer_id, string_agg(i.item_name, '|' ORDER BY r.rank) AS recommendations
+           FROM recs r LEFT JOIN items i ON r.item_id = i.item_id GROUP BY r.customer_id) x
+  ON c.customer_id = x.customer_id""")
+def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History and recommendations for every requested customer."""
+    from basketry.plans import serving
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    recs = rec.recommend_unseen_by_rank(c.select("customer_id"), m,
+                                        rec.ranked_popularity(am, m), K)
+    return serving.batch_strings(c.select("customer_id"), am, rec.with_names(recs, i), i)
+
+
+_EVAL_SQL = f"""
+actual AS (
+  SELECT DISTINCT customer_id, item_id FROM purchases
+  WHERE purchase_date >= (SELECT cut FROM cut) AND customer_id IS NOT NULL
+    AND item_id IS NOT NULL),
+per AS (
+  SELECT a.customer_id, count(t.item_id) AS hits, count(*) AS n
+  FROM actual a LEFT JOIN (SELECT item_id FROM ranked WHERE rank <= {K}) t
+    ON a.item_id = t.item_id
+  GROUP BY a.customer_id),
+pr AS (
+  SELECT customer_id, CAST(hits AS DOUBLE) / {float(K)} AS precision,
+         CAST(hits AS DOUBLE) / n AS recall FROM per)"""
+
+
+@register("evaluation_per_customer", with_(_MATRIX_SQL, _EVAL_SQL) + """
+SELECT customer_id, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr""")
+def evaluation_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R16 + X1 with the popularity list (W4: no exclusion)."""
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    cut = p.select(F.add_months(F.max("purchase_date"), -MONTHS)).scalar()
+    per = rec.precision_recall_shared(rec.top_popular(am, m, K), rec.actual_after(p, cut), K)
+    return rounded(per)
+
+
+@register("evaluation_summary", with_(_MATRIX_SQL, _EVAL_SQL) + """
+SELECT CAST(count(*) AS BIGINT) AS n_customers,
+       round(coalesce(avg(precision), 0.0), 6) AS mean_precision,
+       round(coalesce(avg(recall), 0.0), 6) AS mean_recall FROM pr""")
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R17 + A32 with the popularity list."""
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    cut = p.select(F.add_months(F.max("purchase_date"), -MONTHS)).scalar()
+    per = rec.precision_recall_shared(rec.top_popular(am, m, K), rec.actual_after(p, cut), K)
+    return rounded(rec.summarize(per))
