@@ -1,0 +1,164 @@
+"""Many K-means fits at once (M3, M4): one distributed pass per Lloyd
+iteration serves every (k, seed) model of a restart set or an elbow grid.
+
+Each iteration ships the current centres of the still-running models
+(sum of k times d numbers) to the tasks; every task assigns its rows to the
+nearest centre of each model in numpy and emits partial sums, counts and
+costs in long form; ``groupBy(model, cluster, dim).sum`` reduces them; the
+driver only receives those sums (models x k x (d + 2) numbers) and moves the
+centres. The data pass never leaves the executors and the number of jobs is
+the number of iterations, not models x iterations.
+
+Seeding is greedy k-means++ (2 + log k trials per centre) on the points when
+there are at most ``seed_points`` of them, otherwise on a seeded random
+subset of that size; all iterations run on every row.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SEED_POINTS = 20_000
+ROWS_PER_PARTITION = 200_000
+
+
+def _kmeanspp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    n = x.shape[0]
+    trials = 2 + int(math.log(k))
+    centres = np.empty((k, x.shape[1]))
+    centres[0] = x[rng.integers(n)]
+    d2 = ((x - centres[0]) ** 2).sum(1)
+    for j in range(1, k):
+        total = d2.sum()
+        if total <= 0:
+            centres[j] = x[rng.integers(n)]
+            continue
+        cand = np.searchsorted(np.cumsum(d2), rng.random(trials) * total)
+        cand = np.minimum(cand, n - 1)
+        dc = ((x[cand][:, None, :] - x[None, :, :]) ** 2).sum(2)
+        new = np.minimum(d2[None, :], dc)
+        best = int(np.argmin(new.sum(1)))
+        centres[j] = x[cand[best]]
+        d2 = new[best]
+    return centres
+
+
+def _partials(models: list[tuple[int, np.ndarray]], d: int, cost_only: bool):
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf.to_numpy(dtype=np.float64)
+            xx = (x * x).sum(1)
+            out_m, out_c, out_d, out_v = [], [], [], []
+            for mid, c in models:
+                dist = xx[:, None] - 2.0 * x @ c.T + (c * c).sum(1)[None, :]
+                lab = np.argmin(dist, axis=1)
+                best = np.maximum(dist[np.arange(len(x)), lab], 0.0)
+                k = c.shape[0]
+                cnt = np.bincount(lab, minlength=k).astype(np.float64)
+                cost = np.bincount(lab, weights=best, minlength=k)
+                if cost_only:
+                    rows = [(d + 1, cost)]
+                else:
+                    sums = np.zeros((k, d))
+                    np.add.at(sums, lab, x)
+                    rows = [(j, sums[:, j]) for j in range(d)] + [(d, cnt), (d + 1, cost)]
+                for dim, vals in rows:
+                    out_m.append(np.full(k, mid))
+                    out_c.append(np.arange(k))
+                    out_d.append(np.full(k, dim))
+                    out_v.append(vals)
+            yield pd.DataFrame({"model": np.concatenate(out_m).astype(np.int32),
+                                "cluster": np.concatenate(out_c).astype(np.int32),
+                                "dim": np.concatenate(out_d).astype(np.int32),
+                                "value": np.concatenate(out_v)})
+    return fn
+
+
+DRIVER_SUM_ROWS = 250_000
+
+
+def _reduce(data: DataFrame, models, d: int, cost_only: bool = False, n_parts: int = 1):
+    """Partial sums of all models. When partitions x payload is small the
+    partial rows are summed on the driver (one stage); otherwise Spark
+    reduces them with a ``groupBy`` first."""
+    parts = data.mapInPandas(_partials(models, d, cost_only),
+                             "model int, cluster int, dim int, value double")
+    payload = sum(c.shape[0] for _, c in models) * (1 if cost_only else d + 2)
+    if payload * n_parts > DRIVER_SUM_ROWS:
+        parts = parts.groupBy("model", "cluster", "dim").agg(F.sum("value").alias("value"))
+    rows = parts.collect()
+    acc: dict[int, dict] = {}
+    for r in rows:
+        cell = acc.setdefault(r["model"], {})
+        key = (r["cluster"], r["dim"])
+        cell[key] = cell.get(key, 0.0) + r["value"]
+    return acc
+
+
+def fit_many(df: DataFrame, cols: Sequence[str], configs: Sequence[tuple[int, int]],
+             max_iter: int = 300, tol: float = 1e-4,
+             seed_points: int = SEED_POINTS) -> list[tuple[float, list[list[float]]]]:
+    """Fit one model per (k, seed) in ``configs``; returns (inertia, centres)
+    per config, in order."""
+    cols = list(cols)
+    d = len(cols)
+    from basketry.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # Cut the lineage once: every iteration then plans a plain scan of the
+    # checkpointed rows instead of re-analysing the feature pipeline.
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    n = data.count()
+    n_parts = data.rdd.getNumPartitions()
+    want = max(1, math.ceil(n / ROWS_PER_PARTITION))
+    if want < n_parts:
+        data, n_parts = data.coalesce(want), want
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if n == 0:
+            raise ValueError("no rows to cluster")
+        frac = min(1.0, seed_points / n)
+        pool = (data if frac >= 1.0 else data.sample(fraction=frac, seed=17)).toPandas()
+        x0 = pool.to_numpy(dtype=np.float64)
+        var = x0.var(axis=0).mean() if len(x0) else 0.0
+        thr = tol * var
+        centres: dict[int, np.ndarray] = {}
+        for mid, (k, seed) in enumerate(configs):
+            if k > n:
+                raise ValueError(f"k={k} is larger than the number of points ({n})")
+            centres[mid] = _kmeanspp(x0, k, np.random.default_rng(seed))
+        active = set(centres)
+        for _ in range(max_iter):
+            if not active:
+                break
+            acc = _reduce(data, [(m, centres[m]) for m in sorted(active)], d, n_parts=n_parts)
+            for m in list(active):
+                c = centres[m]
+                new = c.copy()
+                part = acc.get(m, {})
+                for j in range(c.shape[0]):
+                    cnt = part.get((j, d), 0.0)
+                    if cnt > 0:
+                        new[j] = [part.get((j, t), 0.0) / cnt for t in range(d)]
+                shift = float(((new - c) ** 2).sum())
+                centres[m] = new
+                if shift <= thr:
+                    active.discard(m)
+        acc = _reduce(data, [(m, centres[m]) for m in centres], d, cost_only=True,
+                      n_parts=n_parts)
+        out = []
+        for m in range(len(configs)):
+            part = acc.get(m, {})
+            cost = sum(v for (j, dim), v in part.items() if dim == d + 1)
+            out.append((cost, [list(map(float, row)) for row in centres[m]]))
+        return out
+    finally:
+        data.unpersist()

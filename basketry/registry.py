@@ -799,3 +799,39 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = p.select(F.add_months(F.max("purchase_date"), -MONTHS)).scalar()
     per = rec.precision_recall_shared(rec.top_popular(am, m, K), rec.actual_after(p, cut), K)
     return rounded(rec.summarize(per))
+
+
+# ---------------------------------------------------------------- model-based (rows checks)
+@register("kmeans_segments")
+def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 + M5 + M6 + M7 + P22: best of 10 seeded MLlib fits, k = 5."""
+    from basketry.plans import segmentation
+    p, i, c = tables(spark, sf_dir)
+    res = segmentation.segment_customers(p, i, c, DEFAULTS.n_clusters, ref_date=REF, epoch=EPOCH)
+    return rounded(res.assigned)
+
+
+@register("elbow_series")
+def elbow_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + A33: inertia for k = 1..20, 10 restarts each, 500 iterations."""
+    s = feat.standardize(_features(spark, sf_dir))
+    return seg.elbow(s, DEFAULTS.max_clusters, DEFAULTS.seed, DEFAULTS.n_init,
+                     DEFAULTS.elbow_max_iter)
+
+
+@register("recommend_latent")
+def recommend_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latent model scores with history masked; popularity fallback."""
+    from basketry.plans import training
+    p, i, c = tables(spark, sf_dir)
+    t = training.train(p, i, c)
+    return rounded(training.recommend(t, c.select("customer_id"), i, K))
+
+
+@register("evaluation_latent")
+def evaluation_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R17 with the latent model: mean precision@5 and recall@5 over test customers."""
+    from basketry.plans import training
+    p, i, c = tables(spark, sf_dir)
+    t = training.train(p, i, c)
+    return rounded(rec.summarize(training.evaluate(t, p, K)))
