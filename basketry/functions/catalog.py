@@ -54,6 +54,15 @@ SUBCATEGORY_RULES = [
 ]
 DEFAULT_SUBCATEGORY = "Other"
 
+# Rule list for the star-schema part names ("<adjective> <noun>"), checked in
+# order like SUBCATEGORY_RULES; the first rule overlaps the later ones on purpose.
+PART_RULES = [
+    ("Thermal", ["hot", "cold"]),
+    ("Hardware", ["bolt", "ring", "gear"]),
+    ("Stock", ["rod", "plate"]),
+    ("Gadgets", ["widget", "gizmo"]),
+]
+
 # Unit price ranges (low, high) by (category, subcategory);
 # anything else draws from the default range.
 PRICE_RANGES = [

@@ -835,3 +835,63 @@ def evaluation_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, i, c = tables(spark, sf_dir)
     t = training.train(p, i, c)
     return rounded(rec.summarize(training.evaluate(t, p, K)))
+
+
+# ---------------------------------------------------------------- cleaning / enrichment
+from basketry.functions import catalog  # noqa: E402
+
+
+@register("merged_purchases", with_() + """
+SELECT p.customer_id, p.item_id, p.quantity, p.purchase_date,
+       CAST(p.total_price AS DOUBLE) AS total_price,
+       coalesce(p.employee_id, 'Unknown') AS employee_id,
+       i.item_name, i.item_category, i.item_subcategory, CAST(i.unit_price AS DOUBLE) AS unit_price,
+       c.age, c.gender, c.segment
+FROM purchases p LEFT JOIN items i ON p.item_id = i.item_id
+LEFT JOIN customers c ON p.customer_id = c.customer_id""")
+def merged_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + J1 + J2 + P1 + P2: the enriched fact table."""
+    p, i, c = tables(spark, sf_dir)
+    m = sales.merged(sales.fill_employee(p), i, c.select("customer_id", "age", "gender", "segment"))
+    return m.select("customer_id", "item_id", "quantity", "purchase_date",
+                    F.col("total_price").cast("double").alias("total_price"), "employee_id",
+                    "item_name", "item_category", "item_subcategory",
+                    F.col("unit_price").cast("double").alias("unit_price"),
+                    "age", "gender", "segment")
+
+
+@register("preprocessed_customers", with_() + """
+SELECT customer_id, zip_code, segment,
+       round(coalesce(CAST(age AS DOUBLE), (SELECT avg(age) FROM customers)), 6) AS age,
+       registration_date,
+       CAST(email_subscription AS INTEGER) AS email_subscription,
+       CAST(sms_subscription AS INTEGER) AS sms_subscription,
+       CAST(coalesce(gender, 'Unknown') = 'F' AS INTEGER) AS gender_f,
+       CAST(coalesce(gender, 'Unknown') = 'M' AS INTEGER) AS gender_m,
+       CAST(coalesce(gender, 'Unknown') = 'Unknown' AS INTEGER) AS gender_unknown
+FROM customers""")
+def preprocessed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 = P3 + P4 + P5 + P6 + P7."""
+    return rounded(inter.preprocess_customers(wh.customers(spark, sf_dir)))
+
+
+@register("item_rule_subcategories", "SELECT p_partkey AS item_id, p_name AS item_name, CASE " +
+          " ".join(f"WHEN {' OR '.join(f'contains(p_name, {chr(39)}{n}{chr(39)})' for n in needles)} "
+                   f"THEN '{label}'" for label, needles in catalog.PART_RULES) +
+          " ELSE 'Other' END AS item_subcategory FROM part")
+def item_rule_subcategories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 (+F1): ordered substring rules, first match wins, over part names."""
+    i = wh.items(spark, sf_dir)
+    return i.select("item_id", "item_name",
+                    catalog.classify("item_name", catalog.PART_RULES).alias("item_subcategory"))
+
+
+@register("known_users", with_(_MATRIX_SQL) + """
+SELECT customer_id FROM active
+UNION ALL
+SELECT DISTINCT customer_id FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM active)""")
+def known_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active users plus every other catalogue customer with zero interactions."""
+    p, _, c = tables(spark, sf_dir)
+    m = inter.user_item_matrix(p)
+    return inter.register_customers(inter.active_users(m, MIN_ITEMS), c)
