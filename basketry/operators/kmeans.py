@@ -111,11 +111,10 @@ def fit_many(df: DataFrame, cols: Sequence[str], configs: Sequence[tuple[int, in
     per config, in order."""
     cols = list(cols)
     d = len(cols)
-    from basketry.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
+    from basketry.session import materialize
     # Cut the lineage once: every iteration then plans a plain scan of the
     # checkpointed rows instead of re-analysing the feature pipeline.
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).checkpoint()
+    data = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     n = data.count()
     n_parts = data.rdd.getNumPartitions()
     want = max(1, math.ceil(n / ROWS_PER_PARTITION))

@@ -157,38 +157,43 @@ def fit_latent(scaled: DataFrame, rank: int = 32, seed: int = 42, max_iter: int
                                  F.col("value").cast("float")))
 
 
+CHUNK_BYTES = 64 * 1024 * 1024
+
+
 def _block_topk(block, offset: int, k: int, exclude: bool):
+    """mapInPandas body: score users against one item block, mask their
+    history, keep the k best per user. Users are processed in chunks so a
+    score matrix never exceeds ``CHUNK_BYTES``."""
     def fn(batches):
         factors, scale, dmin = block.value
+        width = factors.shape[0]
+        chunk = max(1, CHUNK_BYTES // (8 * max(1, width)))
+        kk = min(k, width)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            u = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            s = u @ factors.T
-            s = s * scale + dmin                     # R6: back to quantity units
-            if exclude:
-                for row, hist in enumerate(pdf["hist"]):
-                    if hist is not None and len(hist):
-                        idx = np.asarray(hist, dtype=np.int64) - offset
-                        idx = idx[(idx >= 0) & (idx < s.shape[1])]
-                        s[row, idx] = -np.inf
-            kk = min(k, s.shape[1])
-            part = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            rows_u, rows_i, rows_s = [], [], []
-            for row in range(s.shape[0]):
-                cand = part[row]
-                sc = s[row, cand]
+            for lo in range(0, len(pdf), chunk):
+                part = pdf.iloc[lo:lo + chunk]
+                u = np.stack(part["features"].to_numpy()).astype(np.float64)
+                s = u @ factors.T
+                s = s * scale + dmin                     # R6: back to quantity units
+                if exclude:
+                    hists = [np.asarray(h, dtype=np.int64) if h is not None else
+                             np.empty(0, np.int64) for h in part["hist"]]
+                    lens = np.fromiter((len(h) for h in hists), np.int64, len(hists))
+                    if lens.sum():
+                        rows = np.repeat(np.arange(len(hists)), lens)
+                        cols = np.concatenate(hists) - offset
+                        ok = (cols >= 0) & (cols < width)
+                        s[rows[ok], cols[ok]] = -np.inf
+                top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+                sc = np.take_along_axis(s, top, 1)
+                order = np.lexsort((top, -sc), axis=1)
+                top = np.take_along_axis(top, order, 1)
+                sc = np.take_along_axis(sc, order, 1)
                 keep = np.isfinite(sc)
-                cand, sc = cand[keep], sc[keep]
-                order = np.lexsort((cand, -sc))
-                cand, sc = cand[order], sc[order]
-                rows_u.append(np.full(len(cand), pdf["user_idx"].iat[row], dtype=np.int64))
-                rows_i.append(cand.astype(np.int64) + offset)
-                rows_s.append(sc)
-            if rows_u:
-                yield pd.DataFrame({"user_idx": np.concatenate(rows_u),
-                                    "item_idx": np.concatenate(rows_i),
-                                    "score": np.concatenate(rows_s)})
+                users = np.repeat(part["user_idx"].to_numpy(dtype=np.int64)[:, None], kk, 1)
+                yield pd.DataFrame({"user_idx": users[keep],
+                                    "item_idx": top[keep].astype(np.int64) + offset,
+                                    "score": sc[keep]})
     return fn
 
 

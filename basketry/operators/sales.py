@@ -41,20 +41,58 @@ def item_totals(purchases: DataFrame) -> DataFrame:
     )
 
 
-def by_attribute(purchases: DataFrame, items: DataFrame, attr: str) -> DataFrame:
+def item_facts(purchases: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per purchased item id: totals plus the item attributes (NULL
+    for ids missing from the catalogue)."""
+    attrs = [c for c in ("item_name", "item_category", "item_subcategory") if c in items.columns]
+    return item_totals(purchases).join(items.select("item_id", *attrs), "item_id", "left")
+
+
+def by_attribute(purchases: DataFrame, items: DataFrame | None, attr: str) -> DataFrame:
     """Purchase rows and revenue per item attribute (name, category, subcategory).
 
     Rows whose attribute is NULL (unknown item, missing value) are dropped, as
     a group-by over a pandas column drops them. Revenue of a group whose prices
-    are all NULL is 0.
+    are all NULL is 0. With ``items=None`` the first argument is an
+    ``item_facts`` frame (already reduced to one row per item).
     """
-    t = item_totals(purchases).join(items.select("item_id", attr), "item_id", "left")
+    if items is None:
+        t = purchases
+    else:
+        t = item_totals(purchases).join(items.select("item_id", attr), "item_id", "left")
     return (t.where(F.col(attr).isNotNull())
             .groupBy(attr)
             .agg(F.sum("n_rows").cast("bigint").alias("n_purchases"),
                  F.coalesce(F.sum("revenue_dec"), F.lit(0)).cast("double").alias("revenue")))
 
 
+ATTRIBUTES = ("item_name", "item_category", "item_subcategory")
+
+
+def attribute_totals(facts: DataFrame, attrs=ATTRIBUTES) -> DataFrame:
+    """Rows and revenue per value of each item attribute in ONE aggregation
+    (grouping sets over the per-item facts): level, key, n_purchases, revenue.
+    NULL attribute values are dropped."""
+    g = facts.groupingSets([[a] for a in attrs], *attrs).agg(
+        F.sum("n_rows").cast("bigint").alias("n_purchases"),
+        F.coalesce(F.sum("revenue_dec"), F.lit(0)).cast("double").alias("revenue"),
+        *[F.grouping(a).alias(f"_g_{a}") for a in attrs])
+    level = None
+    key = None
+    for a in attrs:
+        here = F.col(f"_g_{a}") == 0
+        level = F.when(here, F.lit(a)) if level is None else level.when(here, F.lit(a))
+        key = F.when(here, F.col(a)) if key is None else key.when(here, F.col(a))
+    return (g.select(level.alias("level"), key.alias("key"), "n_purchases", "revenue")
+            .where(F.col("key").isNotNull()))
+
+
+def level(totals: DataFrame, attr: str) -> DataFrame:
+    """One attribute's rows of ``attribute_totals`` (same shape as ``by_attribute``)."""
+    return totals.where(F.col("level") == attr).select(
+        F.col("key").alias(attr), "n_purchases", "revenue")
+
+
 def top_by_count(purchases: DataFrame, items: DataFrame, attr: str, n: int = 10) -> DataFrame:
     """A1/A3/A4: the n attribute values with the most purchase rows."""
     return ranking.head(by_attribute(purchases, items, attr), attr, "n_purchases", n)
@@ -93,19 +131,25 @@ def share(purchases: DataFrame, items: DataFrame, attr: str = "item_category",
     return g.select(attr, metric, (F.col(metric) * 100.0 / total).alias("share_pct"))
 
 
-def customer_mean_spend(purchases: DataFrame) -> DataFrame:
-    """A10: mean line value per customer (NULL customers dropped)."""
+def customer_totals(purchases: DataFrame) -> DataFrame:
+    """Exact spend sum and priced-row count per customer (map-side combined)."""
     return (purchases.where(F.col("customer_id").isNotNull())
             .groupBy("customer_id")
-            .agg(F.sum("total_price").alias("s"), F.count("total_price").alias("c"))
-            .where(F.col("c") > 0)
+            .agg(F.sum("total_price").alias("s"), F.count("total_price").alias("c")))
+
+
+def customer_mean_spend(purchases: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """A10: mean line value per customer (NULL customers dropped)."""
+    t = totals if totals is not None else customer_totals(purchases)
+    return (t.where(F.col("c") > 0)
             .select("customer_id", (F.col("s").cast("double") / F.col("c")).alias("mean_spend")))
 
 
-def spend_distribution(purchases: DataFrame, exact_limit: int = stats.EXACT_LIMIT) -> DataFrame:
+def spend_distribution(purchases: DataFrame, exact_limit: int = stats.EXACT_LIMIT,
+                       totals: DataFrame | None = None) -> DataFrame:
     """A11 + A12: count, mean, sample std, min, quartiles and max of the
     per-customer means (the overall average is the unweighted mean of means)."""
-    per = customer_mean_spend(purchases)
+    per = customer_mean_spend(purchases, totals)
     probs = [0.25, 0.5, 0.75]
     n = per.count()
     if n <= exact_limit:
@@ -123,14 +167,13 @@ def spend_distribution(purchases: DataFrame, exact_limit: int = stats.EXACT_LIMI
 
 
 def spend_by_segment(purchases: DataFrame, customers: DataFrame,
-                     segment_col: str = "segment") -> DataFrame:
+                     segment_col: str = "segment", totals: DataFrame | None = None) -> DataFrame:
     """Mean line value per customer segment (purchase-weighted).
 
     Purchases are first reduced to (sum, count) per customer, so the join to
     the customer dimension carries one row per customer.
     """
-    per = (purchases.groupBy("customer_id")
-           .agg(F.sum("total_price").alias("s"), F.count("total_price").alias("c")))
+    per = totals if totals is not None else customer_totals(purchases)
     j = per.join(customers.select("customer_id", segment_col), "customer_id", "left")
     return (j.where(F.col(segment_col).isNotNull())
             .groupBy(segment_col)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators import sales
+from basketry.operators import ranking, sales
+from basketry.session import materialize
 
 REPORT_SCHEMA = "section string, key string, value double, rank int, message string"
 
@@ -37,36 +38,48 @@ def _when_empty(df: DataFrame, section: str, what: str) -> DataFrame:
                     F.lit(None).cast("int").alias("rank"), F.lit(msg).alias("message")))
 
 
-def sales_report(purchases: DataFrame, items: DataFrame, customers: DataFrame,
-                 n: int = 10, segment_col: str = "segment") -> DataFrame:
-    parts: list[DataFrame] = []
-    lists = [
-        ("top_selling_items", "item_name", sales.top_by_count, "n_purchases", "ItemName"),
-        ("bottom_selling_items", "item_name", sales.bottom_by_count, "n_purchases", "ItemName"),
-        ("top_selling_categories", "item_category", sales.top_by_count, "n_purchases",
-         "ItemCategory"),
-        ("top_selling_subcategories", "item_subcategory", sales.top_by_count, "n_purchases",
+def _ranked(totals: DataFrame, attr: str, metric: str, n: int, descending: bool,
+            key_descending: bool) -> DataFrame:
+    return ranking.head(sales.level(totals, attr), attr, metric, n,
+                        descending=descending, key_descending=key_descending)
+
+
+def _lists():
+    # section, attribute, metric, metric descending, key descending, guard text
+    return [
+        ("top_selling_items", "item_name", "n_purchases", True, False, "ItemName"),
+        ("bottom_selling_items", "item_name", "n_purchases", False, True, "ItemName"),
+        ("top_selling_categories", "item_category", "n_purchases", True, False, "ItemCategory"),
+        ("top_selling_subcategories", "item_subcategory", "n_purchases", True, False,
          "ItemSubcategory"),
-        ("bottom_selling_subcategories", "item_subcategory", sales.bottom_by_count,
-         "n_purchases", "ItemSubcategory"),
-        ("revenue_top_items", "item_name", sales.top_by_revenue, "revenue",
-         "ItemName or TotalPrice"),
-        ("revenue_bottom_items", "item_name", sales.bottom_by_revenue, "revenue",
-         "ItemName or TotalPrice"),
-        ("revenue_top_categories", "item_category", sales.top_by_revenue, "revenue",
+        ("bottom_selling_subcategories", "item_subcategory", "n_purchases", False, True,
+         "ItemSubcategory"),
+        ("revenue_top_items", "item_name", "revenue", True, False, "ItemName or TotalPrice"),
+        ("revenue_bottom_items", "item_name", "revenue", False, False, "ItemName or TotalPrice"),
+        ("revenue_top_categories", "item_category", "revenue", True, False,
          "ItemCategory or TotalPrice"),
-        ("revenue_top_subcategories", "item_subcategory", sales.top_by_revenue, "revenue",
+        ("revenue_top_subcategories", "item_subcategory", "revenue", True, False,
          "ItemSubcategory or TotalPrice"),
     ]
-    for section, attr, fn, metric, what in lists:
-        parts.append(_rows(fn(purchases, items, attr, n), section, attr, metric))
-        parts.append(_when_empty(sales.by_attribute(purchases, items, attr), section, what))
 
-    per = sales.customer_mean_spend(purchases)
+
+def sales_report(purchases: DataFrame, items: DataFrame, customers: DataFrame,
+                 n: int = 10, segment_col: str = "segment") -> DataFrame:
+    """The fact table is read twice in all: once reduced to one row per item
+    (then to one row per attribute value with grouping sets), once to one row
+    per customer. Both reductions are materialised in the checkpoint folder
+    and every section is computed from them."""
+    facts = materialize(sales.attribute_totals(sales.item_facts(purchases, items)))
+    totals = materialize(sales.customer_totals(purchases))
+    parts: list[DataFrame] = []
+    for section, attr, metric, md, kd, what in _lists():
+        parts.append(_rows(_ranked(facts, attr, metric, n, md, kd), section, attr, metric))
+        parts.append(_when_empty(sales.level(facts, attr), section, what))
+    per = sales.customer_mean_spend(purchases, totals)
     parts.append(_rows(per, "customer_spending_per_customer", "customer_id", "mean_spend",
                        with_rank=False))
     parts.append(_when_empty(per, "customer_spending", "CustomerID or TotalPrice"))
-    dist = sales.spend_distribution(purchases)
+    dist = sales.spend_distribution(purchases, totals=totals)
     parts.append(_rows(dist.where(F.col("count") > 0), "customer_spending_overall_average",
                        None, "mean", with_rank=False))
     stack = dist.where(F.col("count") > 0).select(F.expr(
@@ -75,7 +88,7 @@ def sales_report(purchases: DataFrame, items: DataFrame, customers: DataFrame,
     parts.append(_rows(stack, "customer_spending_distribution", "key", "value",
                        with_rank=False))
     if segment_col in customers.columns:
-        seg = sales.spend_by_segment(purchases, customers, segment_col)
+        seg = sales.spend_by_segment(purchases, customers, segment_col, totals=totals)
         parts.append(_rows(seg, "customer_spending_by_segment", segment_col, "mean_spend",
                            with_rank=False))
         parts.append(_when_empty(seg, "customer_spending_by_segment",
@@ -93,18 +106,21 @@ def sales_report(purchases: DataFrame, items: DataFrame, customers: DataFrame,
 
 def dashboard(purchases: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     """The dashboard's first-n cuts plus the leading subcategory by revenue."""
+    facts = materialize(sales.attribute_totals(sales.item_facts(purchases, items),
+                                               ("item_name", "item_subcategory")))
     cuts = [
-        ("top_items", "item_name", sales.top_by_count, "n_purchases"),
-        ("bottom_items", "item_name", sales.bottom_by_count, "n_purchases"),
-        ("top_subcategories", "item_subcategory", sales.top_by_count, "n_purchases"),
-        ("top_items_revenue", "item_name", sales.top_by_revenue, "revenue"),
-        ("bottom_items_revenue", "item_name", sales.bottom_by_revenue, "revenue"),
-        ("top_subcategories_revenue", "item_subcategory", sales.top_by_revenue, "revenue"),
-        ("leading_subcategory_revenue", "item_subcategory", sales.top_by_revenue, "revenue"),
+        ("top_items", "item_name", "n_purchases", True, False),
+        ("bottom_items", "item_name", "n_purchases", False, True),
+        ("top_subcategories", "item_subcategory", "n_purchases", True, False),
+        ("top_items_revenue", "item_name", "revenue", True, False),
+        ("bottom_items_revenue", "item_name", "revenue", False, False),
+        ("top_subcategories_revenue", "item_subcategory", "revenue", True, False),
+        ("leading_subcategory_revenue", "item_subcategory", "revenue", True, False),
     ]
     out = None
-    for section, attr, fn, metric in cuts:
+    for section, attr, metric, md, kd in cuts:
         k = 1 if section.startswith("leading") else n
-        part = _rows(fn(purchases, items, attr, k), section, attr, metric).drop("message")
+        part = _rows(_ranked(facts, attr, metric, k, md, kd), section, attr,
+                     metric).drop("message")
         out = part if out is None else out.unionByName(part)
     return out

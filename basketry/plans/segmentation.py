@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketry.operators import features as feat
 from basketry.operators import segments as seg
 from basketry.settings import DEFAULTS, Settings
+from basketry.session import materialize
 from basketry.sources import files
 
 
@@ -31,12 +32,12 @@ def segment_customers(purchases: DataFrame, items: DataFrame, customers: DataFra
                       ref_date: str | None = None, epoch: str | None = None,
                       labels: dict[int, str] | None = None) -> Segmentation:
     """Features (M1) -> standardise (M2) -> best of n_init K-means fits (M4)
-    -> nearest centre (M5) -> labels (P22). The feature table is persisted
-    because the statistics, the fits and the assignment all read it."""
+    -> nearest centre (M5) -> labels (P22). The feature table (one row per customer) is materialised
+    once because the statistics, the fits and the assignment all read it."""
     f = feat.customer_features(purchases, items, customers,
                                ref_date=ref_date or settings.reference_date,
                                epoch=epoch or settings.streak_epoch)
-    f = f.persist(StorageLevel.MEMORY_AND_DISK)
+    f = materialize(f).persist(StorageLevel.MEMORY_AND_DISK)
     s = feat.standardize(f)
     cost, centres = seg.fit(s, k, seed=settings.seed, n_init=settings.n_init,
                             max_iter=settings.fit_max_iter)

@@ -456,11 +456,13 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"round({c}, 6) AS {c}" for c in _F) + " FROM scaled")
 def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2."""
-    return rounded(feat.standardize(_features(spark, sf_dir)))
+    from basketry.session import materialize
+    return rounded(feat.standardize(materialize(_features(spark, sf_dir))))
 
 
 def _fixed(spark: SparkSession, sf_dir: str):
-    f = _features(spark, sf_dir)
+    from basketry.session import materialize
+    f = materialize(_features(spark, sf_dir))
     s = feat.standardize(f)
     centres = seg.fixed_centres(s, K_FIXED)
     a = seg.assign(s, centres).select("customer_id", "cluster", "distance")
@@ -814,7 +816,8 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("elbow_series")
 def elbow_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 + A33: inertia for k = 1..20, 10 restarts each, 500 iterations."""
-    s = feat.standardize(_features(spark, sf_dir))
+    from basketry.session import materialize
+    s = feat.standardize(materialize(_features(spark, sf_dir)))
     return seg.elbow(s, DEFAULTS.max_clusters, DEFAULTS.seed, DEFAULTS.n_init,
                      DEFAULTS.elbow_max_iter)
 

@@ -54,3 +54,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df):
+    """Write ``df`` to the checkpoint folder and return a frame reading it.
+
+    Used where one aggregate feeds many downstream queries (report sections,
+    fit/assign/profile passes): the aggregate is computed once, survives
+    executor loss (it is a file in the shared folder, unlike a local
+    checkpoint) and later plans start from a plain scan.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    # Persist first: an RDD checkpoint otherwise recomputes its input.
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
