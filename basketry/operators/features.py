@@ -2,9 +2,12 @@
 
 Scale notes
 -----------
-* Recency, frequency, monetary value, the purchase gap and the category mix
-  come out of ONE ``groupBy(customer_id)`` with partial aggregation, so a
-  customer holding a third of all rows costs one partial row per task.
+* The fact table is read ONCE: it is reduced (map-side combined) to one row
+  per (customer, day) with row counts, exact revenue and category counts;
+  that small table is materialised and recency, frequency, monetary value,
+  the purchase gap, the category mix and the streaks all derive from it. A
+  customer holding a third of all rows costs one partial row per task and
+  day.
 * The mean gap between successive purchase rows telescopes: over rows sorted
   by date the gaps sum to (last - first), so the mean is
   ``datediff(max, min) / (n - 1)``. No per-customer sort is needed; the
@@ -33,22 +36,39 @@ PROFILE = ["recency", "frequency", "monetary_value", "aov", "avg_time_between_pu
            "longest_purchase_streak", "service_ratio", "product_ratio", "age"]
 
 
-def customer_aggregates(purchases: DataFrame, items: DataFrame | None,
-                        ref_date: str) -> DataFrame:
-    """A17 + A18 + A19 (closed form) + A21 in a single aggregation."""
+def customer_days(purchases: DataFrame, items: DataFrame | None) -> DataFrame:
+    """The fact table reduced to one row per (customer, purchase day): every
+    customer feature is a function of these rows, so the purchases are read
+    once. Rows without a date form the (customer, NULL) group."""
     src = purchases
     if items is not None:
         src = purchases.join(items.select("item_id", "item_category"), "item_id", "left")
     cat = F.col("item_category") if items is not None else F.lit(None).cast("string")
-    g = src.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+    return src.where(F.col("customer_id").isNotNull()).groupBy("customer_id", "purchase_date").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("item_id").alias("n_items"),
+        F.sum("total_price").alias("revenue_dec"),
+        F.count(F.when(cat == "Service", 1)).alias("n_service"),
+        F.count(F.when(cat == "Product", 1)).alias("n_product"),
+        F.count(cat).alias("n_cat"),
+    )
+
+
+def customer_aggregates(purchases: DataFrame, items: DataFrame | None,
+                        ref_date: str, days: DataFrame | None = None) -> DataFrame:
+    """A17 + A18 + A19 (closed form) + A21 in a single aggregation (over the
+    (customer, day) table when given)."""
+    d = days if days is not None else customer_days(purchases, items)
+    dated = F.col("purchase_date").isNotNull()
+    g = d.groupBy("customer_id").agg(
         F.max("purchase_date").alias("_last"),
         F.min("purchase_date").alias("_first"),
-        F.count("purchase_date").alias("_n_dated"),
-        F.count("item_id").alias("frequency"),
-        F.coalesce(F.sum("total_price"), F.lit(0)).cast("double").alias("monetary_value"),
-        F.count(F.when(cat == "Service", 1)).alias("_n_service"),
-        F.count(F.when(cat == "Product", 1)).alias("_n_product"),
-        F.count(cat).alias("_n_cat"),
+        F.sum(F.when(dated, F.col("n_rows")).otherwise(F.lit(0))).alias("_n_dated"),
+        F.sum("n_items").alias("frequency"),
+        F.coalesce(F.sum("revenue_dec"), F.lit(0)).cast("double").alias("monetary_value"),
+        F.sum("n_service").alias("_n_service"),
+        F.sum("n_product").alias("_n_product"),
+        F.sum("n_cat").alias("_n_cat"),
     )
     return g.select(
         "customer_id",
@@ -92,7 +112,8 @@ def longest_streaks(purchases: DataFrame, epoch: str = "2023-01-01",
     """A20 + W2 + X3: longest run of consecutive purchase days per customer.
 
     Gaps and islands: over the distinct days of a customer, ``day - row_number``
-    is constant within a run of consecutive days.
+    is constant within a run of consecutive days. ``purchases`` may also be
+    the (customer, day) table.
     """
     days = (purchases.where(F.col("customer_id").isNotNull() & F.col(date_col).isNotNull())
             .select("customer_id", D.day_index(date_col, epoch).alias("day")).distinct())
@@ -126,9 +147,13 @@ def customer_features(purchases: DataFrame, items: DataFrame, customers: DataFra
     Null rules: ratios 0, mean gap the largest mean gap of all customers,
     every other numeric value 0.
     """
+    from basketry.session import materialize
     gs = list(genders) if genders is not None else gender_values(customers)
-    agg = customer_aggregates(purchases, items, ref_date)
-    streak = longest_streaks(purchases, epoch)
+    # one pass over the fact table; the (customer, day) rows are read three
+    # times below (aggregates, streaks, the max-gap fill)
+    days = materialize(customer_days(purchases, items))
+    agg = customer_aggregates(purchases, items, ref_date, days)
+    streak = longest_streaks(days, epoch)
     demo = demographics(customers, gs)
     j = agg.join(demo, "customer_id", "left").join(streak, "customer_id", "left")
     max_gap = agg.select(F.max("avg_time_between_purchases")).scalar()

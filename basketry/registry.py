@@ -604,8 +604,12 @@ ranges AS (
 
 
 def _matrix(spark: SparkSession, sf_dir: str):
+    """Purchases, items, customers, the full matrix and the active-user matrix.
+    The matrix is read several times downstream (activity, popularity,
+    history masks), so it is reduced from the fact table once."""
+    from basketry.session import materialize
     p, i, c = tables(spark, sf_dir)
-    m = inter.user_item_matrix(p)
+    m = materialize(inter.user_item_matrix(p))
     am = m.join(inter.active_users(m, MIN_ITEMS), "customer_id", "left_semi")
     return p, i, c, m, am
 
