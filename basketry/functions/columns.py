@@ -30,14 +30,26 @@ def r6(col: Column) -> Column:
     return F.round(col, 6)
 
 
-def column_stats(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Scalar subquery with (mean, population std) of each column as a struct.
+def scalar(agg: DataFrame) -> Column:
+    """The single value of a one-row, one-column aggregate as a literal.
 
-    Evaluated once per query by Catalyst (subquery reuse), never shipped
-    through a window over a single partition.
+    One small job computes it; only that value reaches the driver. Used for
+    global fills and statistics instead of a window over one partition, a
+    cross join with a one-row frame, or a scalar subquery (which Spark
+    re-executes for every reference).
     """
+    row = agg.first()
+    v = row[0] if row is not None else None
+    return F.lit(v) if v is not None else F.lit(None).cast(agg.schema[0].dataType)
+
+
+def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """Mean and population std of each column (one aggregate job) as literals
+    keyed ``<col>__mean`` / ``<col>__std``."""
     aggs = []
     for c in cols:
         aggs.append(F.avg(F.col(c).cast("double")).alias(f"{c}__mean"))
         aggs.append(F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std"))
-    return df.select(F.struct(*aggs)).scalar()
+    row = df.agg(*aggs).first()
+    return {k: (F.lit(float(v)) if v is not None else F.lit(None).cast("double"))
+            for k, v in row.asDict().items()}

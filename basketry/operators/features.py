@@ -14,9 +14,9 @@ Scale notes
   windowed form (``daily_gaps``) is kept for per-day output.
 * Streaks run a window over DISTINCT (customer, day) pairs, whose number per
   customer is bounded by the calendar, not by the number of purchases.
-* Global fills (max gap) and standardisation statistics are scalar
-  subqueries: one small aggregate, evaluated once, no single-partition window
-  and no cross join.
+* Global fills (max gap) and standardisation statistics are one small
+  aggregate job each whose few numbers enter the plan as literals: no
+  single-partition window and no cross join.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def customer_features(purchases: DataFrame, items: DataFrame, customers: DataFra
     streak = longest_streaks(days, epoch)
     demo = demographics(customers, gs)
     j = agg.join(demo, "customer_id", "left").join(streak, "customer_id", "left")
-    max_gap = agg.select(F.max("avg_time_between_purchases")).scalar()
+    max_gap = C.scalar(agg.select(F.max("avg_time_between_purchases")))
     gcols = [f"gender_{g.lower()}" for g in gs]
     return j.select(
         "customer_id", "recency", "frequency", "monetary_value",
@@ -175,8 +175,7 @@ def standardize(features: DataFrame, cols: Sequence[str] | None = None,
                 keep: Sequence[str] = ("customer_id",)) -> DataFrame:
     """M2: (x - mean) / population std; a zero-variance column becomes 0.
 
-    The statistics come from one scalar subquery (a struct of 2 x len(cols)
-    aggregates).
+    The statistics come from one aggregate job (2 x len(cols) numbers).
     """
     cols = [c for c in (cols or FEATURES) if c in features.columns]
     st = C.column_stats(features, cols)

@@ -27,7 +27,8 @@ def preprocess_customers(customers: DataFrame, unknown: str = "Unknown",
                          genders=("F", "M", "Unknown")) -> DataFrame:
     """R1 = P3 + P4 + P5 + P6 + P7: mean age for missing ages, unknown gender,
     subscriptions as 0/1 and one-hot gender."""
-    mean_age = customers.select(F.avg("age")).scalar()
+    from basketry.functions.columns import scalar
+    mean_age = scalar(customers.select(F.avg("age").cast("double")))
     g = F.coalesce(F.col("gender"), F.lit(unknown))
     others = [c for c in customers.columns
               if c not in ("age", "gender", "email_subscription", "sms_subscription",
@@ -93,7 +94,8 @@ def popularity(active_matrix: DataFrame, all_matrix: DataFrame | None = None) ->
 def item_ranges(active_matrix: DataFrame, items: DataFrame) -> DataFrame:
     """A28 + V11: per catalogue item, min and max quantity over active users
     counting their implicit zeros; ``scale`` is max - min with 0 replaced by 1."""
-    n_users = active_matrix.select(F.countDistinct("customer_id")).scalar()
+    from basketry.functions.columns import scalar
+    n_users = scalar(active_matrix.select(F.countDistinct("customer_id")))
     per = active_matrix.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("quantity").alias("_min"),
         F.max("quantity").alias("_max"))
@@ -159,7 +161,8 @@ def test_cutoff(purchases: DataFrame, months: int = 3) -> DataFrame:
 def temporal_split(purchases: DataFrame, months: int = 3) -> DataFrame:
     """R8 + A30 + P21 + V18: per customer whether it has purchases before the
     cut (train) and on/after it (test); the two sets may overlap."""
-    cut = purchases.select(D.minus_months(F.max("purchase_date"), months)).scalar()
+    from basketry.functions.columns import scalar
+    cut = scalar(purchases.select(D.minus_months(F.max("purchase_date"), months)))
     return (purchases.where(F.col("customer_id").isNotNull())
             .groupBy("customer_id").agg(
                 F.max((F.col("purchase_date") < cut).cast("int")).cast("boolean").alias("in_train"),

@@ -770,6 +770,11 @@ def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.batch_strings(c.select("customer_id"), am, rec.with_names(recs, i), i)
 
 
+def _cut(p: DataFrame):
+    from basketry.functions.columns import scalar
+    return scalar(p.select(F.add_months(F.max("purchase_date"), -MONTHS)))
+
+
 _EVAL_SQL = f"""
 actual AS (
   SELECT DISTINCT customer_id, item_id FROM purchases
@@ -790,7 +795,7 @@ SELECT customer_id, round(precision, 6) AS precision, round(recall, 6) AS recall
 def evaluation_per_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R16 + X1 with the popularity list (W4: no exclusion)."""
     p, i, c, m, am = _matrix(spark, sf_dir)
-    cut = p.select(F.add_months(F.max("purchase_date"), -MONTHS)).scalar()
+    cut = _cut(p)
     per = rec.precision_recall_shared(rec.top_popular(am, m, K), rec.actual_after(p, cut), K)
     return rounded(per)
 
@@ -802,7 +807,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_customers,
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R17 + A32 with the popularity list."""
     p, i, c, m, am = _matrix(spark, sf_dir)
-    cut = p.select(F.add_months(F.max("purchase_date"), -MONTHS)).scalar()
+    cut = _cut(p)
     per = rec.precision_recall_shared(rec.top_popular(am, m, K), rec.actual_after(p, cut), K)
     return rounded(rec.summarize(per))
 
