@@ -171,20 +171,26 @@ def customer_features(purchases: DataFrame, items: DataFrame, customers: DataFra
     )
 
 
-def standardize(features: DataFrame, cols: Sequence[str] | None = None,
-                keep: Sequence[str] = ("customer_id",)) -> DataFrame:
-    """M2: (x - mean) / population std; a zero-variance column becomes 0.
-
-    The statistics come from one aggregate job (2 x len(cols) numbers).
-    """
+def standardized_exprs(features: DataFrame, cols: Sequence[str] | None = None) -> dict:
+    """M2 as column expressions: (x - mean) / population std, 0 for a
+    zero-variance column. The statistics come from one aggregate job
+    (2 x len(cols) numbers) and enter the expressions as literals, so the
+    scaled values can be computed inside any later projection of the same
+    rows (no join back to a scaled copy)."""
     cols = [c for c in (cols or FEATURES) if c in features.columns]
     st = C.column_stats(features, cols)
-    out = []
+    out = {}
     for c in cols:
         mean, std = st[f"{c}__mean"], st[f"{c}__std"]
-        out.append(F.when(std > 0, (F.col(c).cast("double") - mean) / std)
-                   .otherwise(F.lit(0.0)).alias(c))
-    return features.select(*keep, *out)
+        out[c] = F.when(std > 0, (F.col(c).cast("double") - mean) / std).otherwise(F.lit(0.0))
+    return out
+
+
+def standardize(features: DataFrame, cols: Sequence[str] | None = None,
+                keep: Sequence[str] = ("customer_id",), exprs: dict | None = None) -> DataFrame:
+    """M2: the scaled feature table (see ``standardized_exprs``)."""
+    ex = exprs if exprs is not None else standardized_exprs(features, cols)
+    return features.select(*keep, *[e.alias(c) for c, e in ex.items()])
 
 
 def standardization_stats(features: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from basketry.sources import files
 class Segmentation:
     features: DataFrame          # one row per customer (persisted)
     scaled: DataFrame
-    assigned: DataFrame          # customer_id, cluster, cluster_label, distance
+    assigned: DataFrame          # feature columns + cluster, distance, cluster_label
     centres: list[list[float]]
     inertia: float
 
@@ -38,11 +38,11 @@ def segment_customers(purchases: DataFrame, items: DataFrame, customers: DataFra
                                ref_date=ref_date or settings.reference_date,
                                epoch=epoch or settings.streak_epoch)
     f = materialize(f).persist(StorageLevel.MEMORY_AND_DISK)
-    s = feat.standardize(f)
+    ex = feat.standardized_exprs(f)
+    s = feat.standardize(f, exprs=ex)
     cost, centres = seg.fit(s, k, seed=settings.seed, n_init=settings.n_init,
                             max_iter=settings.fit_max_iter)
-    a = seg.label_clusters(seg.assign(s, centres).select("customer_id", "cluster", "distance"),
-                           labels)
+    a = seg.label_clusters(seg.assign(f, centres, keep=f.columns, exprs=ex), labels)
     return Segmentation(f, s, a, centres, cost)
 
 
@@ -51,16 +51,15 @@ def export_segments(purchases: DataFrame, result: Segmentation, rows_path: str,
     """M10 + S7 + S8: features and cluster per purchase row (the J5 fan-out the
     reference exports), purchase-weighted cluster means (A22) and counts (A24).
     Returns the means frame."""
-    clustered = (result.features.join(result.assigned.select("customer_id", "cluster",
-                                                             "cluster_label"), "customer_id")
-                 .join(purchases.select("customer_id"), "customer_id"))
+    clustered = result.assigned.drop("distance").join(purchases.select("customer_id"),
+                                                      "customer_id")
     files.write_table(clustered, rows_path, "parquet")
-    means = seg.profile_weighted(result.features, result.assigned).orderBy("cluster")
+    means = seg.profile_weighted(result.assigned).orderBy("cluster")
     files.write_table(means.coalesce(1), means_path, "csv")
     if counts_path:
-        files.write_table(seg.sizes(result.features, result.assigned), counts_path, "csv")
+        files.write_table(seg.sizes(result.assigned), counts_path, "csv")
     return means
 
 
 def cluster_means_for(result: Segmentation) -> DataFrame:
-    return seg.profile_weighted(result.features, result.assigned).orderBy(F.col("cluster"))
+    return seg.profile_weighted(result.assigned).orderBy(F.col("cluster"))

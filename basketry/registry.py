@@ -461,11 +461,14 @@ def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, sf_dir: str):
+    """Features (materialised), their scaled form, the fixed centres and the
+    feature rows with cluster and distance (a projection of the features)."""
     from basketry.session import materialize
     f = materialize(_features(spark, sf_dir))
-    s = feat.standardize(f)
+    ex = feat.standardized_exprs(f)
+    s = feat.standardize(f, exprs=ex)
     centres = seg.fixed_centres(s, K_FIXED)
-    a = seg.assign(s, centres).select("customer_id", "cluster", "distance")
+    a = seg.assign(f, centres, keep=f.columns, exprs=ex)
     return f, s, centres, a
 
 
@@ -474,7 +477,7 @@ SELECT customer_id, cluster, round(distance, 6) AS distance FROM assigned""")
 def segment_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5 (+A33 per customer) under fixed centres."""
     _, _, _, a = _fixed(spark, sf_dir)
-    return rounded(a)
+    return rounded(a.select("customer_id", "cluster", "distance"))
 
 
 _P = feat.PROFILE
@@ -493,8 +496,8 @@ def segment_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in _P) + " FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster")
 def segment_profile_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A22 + J5 under fixed centres."""
-    f, _, _, a = _fixed(spark, sf_dir)
-    return seg.profile_weighted(f, a)
+    _, _, _, a = _fixed(spark, sf_dir)
+    return seg.profile_weighted(a)
 
 
 _PG = _P + ["gender_f", "gender_m"]
@@ -505,8 +508,8 @@ _PG = _P + ["gender_f", "gender_m"]
     + " FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster")
 def segment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23 under fixed centres."""
-    f, _, _, a = _fixed(spark, sf_dir)
-    return rounded(seg.profile(f, a))
+    _, _, _, a = _fixed(spark, sf_dir)
+    return rounded(seg.profile(a))
 
 
 @register("segment_sizes", with_(_ASSIGN_SQL) + """
@@ -515,8 +518,8 @@ SELECT a.cluster, CAST(count(*) AS BIGINT) AS n_customers,
 FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster""")
 def segment_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24 under fixed centres."""
-    f, _, _, a = _fixed(spark, sf_dir)
-    return seg.sizes(f, a)
+    _, _, _, a = _fixed(spark, sf_dir)
+    return seg.sizes(a)
 
 
 @register("segment_centres", with_(_ASSIGN_SQL) + ",\nst AS (" + " UNION ALL ".join(
@@ -546,8 +549,8 @@ def _projection_sql() -> str:
 @register("segment_projections", _projection_sql())
 def segment_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9 under fixed centres."""
-    f, _, _, a = _fixed(spark, sf_dir)
-    return rounded(seg.projections(f, a))
+    _, _, _, a = _fixed(spark, sf_dir)
+    return rounded(seg.projections(a))
 
 
 @register("segment_labels_on_purchases", with_(_ASSIGN_SQL) + """
@@ -558,7 +561,7 @@ def segment_labels_on_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P22 + J4 under fixed centres."""
     p, _, _ = tables(spark, sf_dir)
     _, _, _, a = _fixed(spark, sf_dir)
-    out = seg.attach(p, seg.label_clusters(a))
+    out = seg.attach(p, seg.label_clusters(a.select("customer_id", "cluster")))
     return out.select("customer_id", "item_id", "purchase_date",
                       F.col("total_price").cast("double").alias("total_price"),
                       "cluster", "cluster_label")
@@ -819,7 +822,7 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.plans import segmentation
     p, i, c = tables(spark, sf_dir)
     res = segmentation.segment_customers(p, i, c, DEFAULTS.n_clusters, ref_date=REF, epoch=EPOCH)
-    return rounded(res.assigned)
+    return rounded(res.assigned.select("customer_id", "cluster", "cluster_label", "distance"))
 
 
 @register("elbow_series")
