@@ -77,7 +77,8 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("purchase_date"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("total_price"),
         F.when(F.col("l_linenumber") % 2 == 1,
-               F.format_string("Emp%02d", (F.col("l_suppkey") % 10 + 1).cast("int")))
+               F.concat(F.lit("Emp"),
+                        F.lpad((F.col("l_suppkey") % 10 + 1).cast("string"), 2, "0")))
         .alias("employee_id"),
     )
 
