@@ -17,10 +17,12 @@ inserts a partial ``WindowGroupLimit`` before the shuffle). Work is linear in
 users x k + history size; no candidate cap, no pairs.
 
 For the latent scorer each Arrow batch of users is multiplied with the item
-factor matrix, history cells are set to -inf and ``argpartition`` takes the k
-best; only k rows per user leave the task. The item factors are broadcast
-only under ``max_broadcast_bytes``; beyond it they are processed in bounded
-item blocks, one job each, and the per-block top-k lists are merged.
+factor matrix and ``argpartition`` keeps each user's best k + h_u items; the
+history is then removed by an anti-join on (user, item) and ``row_number <=
+k`` keeps the answer, so no user's history is ever gathered into one row.
+The item factors are broadcast only under ``max_broadcast_bytes``; beyond it
+they are processed in bounded item blocks, one job each, and the per-block
+candidate lists are merged the same way.
 """
 
 from __future__ import annotations
@@ -160,37 +162,30 @@ def fit_latent(scaled: DataFrame, rank: int = 32, seed: int = 42, max_iter: int
 CHUNK_BYTES = 64 * 1024 * 1024
 
 
-def _block_topk(block, offset: int, k: int, exclude: bool):
-    """mapInPandas body: score users against one item block, mask their
-    history, keep the k best per user. Users are processed in chunks so a
+def _block_topk(block, offset: int, k: int):
+    """mapInPandas body: score users against one item block and keep, per
+    user, the best ``k + h`` items of the block (``h`` = size of the user's
+    history, 0 when nothing is masked). Users are processed in chunks so a
     score matrix never exceeds ``CHUNK_BYTES``."""
     def fn(batches):
         factors, scale, dmin = block.value
         width = factors.shape[0]
         chunk = max(1, CHUNK_BYTES // (8 * max(1, width)))
-        kk = min(k, width)
         for pdf in batches:
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
                 u = np.stack(part["features"].to_numpy()).astype(np.float64)
                 s = u @ factors.T
                 s = s * scale + dmin                     # R6: back to quantity units
-                if exclude:
-                    hists = [np.asarray(h, dtype=np.int64) if h is not None else
-                             np.empty(0, np.int64) for h in part["hist"]]
-                    lens = np.fromiter((len(h) for h in hists), np.int64, len(hists))
-                    if lens.sum():
-                        rows = np.repeat(np.arange(len(hists)), lens)
-                        cols = np.concatenate(hists) - offset
-                        ok = (cols >= 0) & (cols < width)
-                        s[rows[ok], cols[ok]] = -np.inf
-                top = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
+                want = np.minimum(k + part["h"].to_numpy(dtype=np.int64), width)
+                kmax = int(want.max())
+                top = np.argpartition(-s, kmax - 1, axis=1)[:, :kmax]
                 sc = np.take_along_axis(s, top, 1)
                 order = np.lexsort((top, -sc), axis=1)
                 top = np.take_along_axis(top, order, 1)
                 sc = np.take_along_axis(sc, order, 1)
-                keep = np.isfinite(sc)
-                users = np.repeat(part["user_idx"].to_numpy(dtype=np.int64)[:, None], kk, 1)
+                keep = np.isfinite(sc) & (np.arange(kmax)[None, :] < want[:, None])
+                users = np.repeat(part["user_idx"].to_numpy(dtype=np.int64)[:, None], kmax, 1)
                 yield pd.DataFrame({"user_idx": users[keep],
                                     "item_idx": top[keep].astype(np.int64) + offset,
                                     "score": sc[keep]})
@@ -202,19 +197,26 @@ def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: i
     """R11 + R12 + W3/W4: top-k items per user by reconstructed score.
 
     ``ranges_idx`` = (item_idx, data_min, scale); ``history_idx`` =
-    (user_idx, item_idx) cells to mask when ``exclude``.
+    (user_idx, item_idx) cells to exclude when ``exclude``.
+
+    Exact masking without gathering a user's history: each user emits its
+    best ``k + h`` items (``h`` = history size, a count), the history is
+    removed with an anti-join on (user, item), and ``row_number <= k`` keeps
+    the answer. At most ``h`` of the ``k + h`` candidates can be removed.
     """
     spark = ranges_idx.sparkSession
     rank = model.rank
     item_f = model.itemFactors.withColumnRenamed("id", "item_idx").join(ranges_idx, "item_idx")
     block_rows = max(1, int(max_broadcast_bytes // (8 * (rank + 2))))
     users = model.userFactors.select(F.col("id").cast("bigint").alias("user_idx"), "features")
+    hist = None
     if exclude and history_idx is not None:
-        h = history_idx.groupBy("user_idx").agg(F.collect_list(
-            F.col("item_idx").cast("bigint")).alias("hist"))
-        users = users.join(h, "user_idx", "left")
+        hist = history_idx.select(F.col("user_idx").cast("bigint"),
+                                  F.col("item_idx").cast("bigint")).distinct()
+        h = hist.groupBy("user_idx").agg(F.count(F.lit(1)).alias("h"))
+        users = users.join(h, "user_idx", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     else:
-        users = users.withColumn("hist", F.lit(None).cast("array<bigint>"))
+        users = users.withColumn("h", F.lit(0).cast("bigint"))
     bounds = item_f.agg(F.min("item_idx"), F.max("item_idx")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     parts = []
@@ -233,12 +235,14 @@ def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: i
             sc[pos] = blk["scale"].to_numpy()
             dm[pos] = blk["data_min"].to_numpy()
         block = spark.sparkContext.broadcast((fac, sc, dm))
-        parts.append(users.mapInPandas(_block_topk(block, start, k, exclude),
+        parts.append(users.mapInPandas(_block_topk(block, start, k),
                                        "user_idx bigint, item_idx bigint, score double"))
         start = stop + 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if hist is not None:
+        out = out.join(hist, ["user_idx", "item_idx"], "left_anti")
     w = Window.partitionBy("user_idx").orderBy(F.col("score").desc(), F.col("item_idx"))
     return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("int")))
