@@ -910,3 +910,15 @@ def known_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _, c = tables(spark, sf_dir)
     m = inter.user_item_matrix(p)
     return inter.register_customers(inter.active_users(m, MIN_ITEMS), c)
+
+
+@register("preprocessed_items", with_() + """
+SELECT item_id, coalesce(item_name, 'Unknown') AS item_name,
+       coalesce(item_category, 'Unknown') AS item_category,
+       coalesce(item_subcategory, 'Unknown') AS item_subcategory,
+       CAST(unit_price AS DOUBLE) AS unit_price
+FROM items""")
+def preprocessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + P8: NULL strings become 'Unknown' (prices stay numeric, V10)."""
+    i = inter.preprocess_items(wh.items(spark, sf_dir))
+    return i.withColumn("unit_price", F.col("unit_price").cast("double"))

@@ -60,3 +60,12 @@ def test_register_customers(spark):
     known = spark.createDataFrame([("C1",), ("C2",)], "customer_id string")
     new = spark.createDataFrame([("C2",), ("C9",)], "customer_id string")
     assert sorted(r.customer_id for r in I.register_customers(known, new).collect()) == ["C1", "C2", "C9"]
+
+
+def test_inverse_scale(spark):
+    ranges = spark.createDataFrame([("a", 2.0, 4.0, 2.0), ("c", 0.0, 0.0, 1.0)],
+                                   "item_id string, data_min double, data_max double, scale double")
+    scores = spark.createDataFrame([("u", "a", 0.5), ("u", "c", 0.25)],
+                                   "customer_id string, item_id string, score double")
+    got = {r.item_id: r.score for r in I.inverse_scale(scores, ranges).collect()}
+    assert got == {"a": 3.0, "c": 0.25}
