@@ -132,14 +132,12 @@ def dense_index(df: DataFrame, col: str, out: str, descending_by: list[Column] |
     partition + position inside it. The ordered frame is checkpointed to the
     cluster's checkpoint folder so both passes see the same partitioning.
     """
-    from basketry.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
+    from basketry.session import materialize
     ids = df.select(col).where(F.col(col).isNotNull()).distinct()
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (ids.repartitionByRange(n, col).sortWithinPartitions(col)
+    ordered = materialize(ids.repartitionByRange(n, col).sortWithinPartitions(col)
                .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .checkpoint())
+               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = sorted((r["_pid"], r["count"], r["m"]) for r in ordered.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("count"), F.min("_mid").alias("m")).collect())
     base, offsets = 0, []

@@ -43,14 +43,12 @@ def global_rank(df: DataFrame, order: list, out: str = "rank",
     """1-based position of every row in a global order, computed with a range
     partitioning (no single-partition window). Ties must be broken by the
     order itself for the result to be deterministic."""
-    from basketry.session import checkpoint_dir
+    from basketry.session import materialize
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .checkpoint())
+               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = sorted((r["_pid"], r["c"], r["m"]) for r in ordered.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("c"), F.min("_mid").alias("m")).collect())
     base, pairs = 1, []
