@@ -3,7 +3,9 @@
 ``quantiles`` returns the linear-interpolation quantiles (numpy/pandas
 ``linear`` rule, Spark ``percentile``, DuckDB ``quantile_cont``).
 
-Small inputs (up to ``exact_limit`` values) use Spark's exact ``percentile``.
+Small inputs (up to ``exact_limit`` values, 1 M by default, so the one
+aggregation buffer holding the distinct values stays small) use Spark's exact
+``percentile``.
 Larger inputs use two bounded passes: ``percentile_approx`` brackets each
 wanted rank, then one pass counts the values below each bracket and collects
 only the values inside it (about 4 n / accuracy of them), from which the exact
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 5_000_000
+EXACT_LIMIT = 1_000_000
 ACCURACY = 1_000_000
 
 
