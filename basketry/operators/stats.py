@@ -6,10 +6,11 @@
 Small inputs (up to ``exact_limit`` values, 1 M by default, so the one
 aggregation buffer holding the distinct values stays small) use Spark's exact
 ``percentile``.
-Larger inputs use two bounded passes: ``percentile_approx`` brackets each
-wanted rank, then one pass counts the values below each bracket and collects
-only the values inside it (about 4 n / accuracy of them), from which the exact
-order statistics are read. The result is exact in both modes.
+Larger inputs use bounded passes: ``percentile_approx`` brackets each wanted
+rank, then the values below each bracket are counted and the values inside it
+are gathered as (value, count) pairs (at most about 4 n / accuracy distinct
+values, however often each repeats), from which the exact order statistics
+are read. The result is exact in both modes.
 """
 
 from __future__ import annotations
@@ -45,26 +46,38 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float],
     for p in probs:
         edges += [max(0.0, p - margin), min(1.0, p + margin)]
     approx = vals.agg(F.percentile_approx("x", edges, accuracy).alias("e")).first()["e"]
-    # Pass 2: count below each bracket, collect inside it (bounded).
-    aggs = []
-    for i in range(len(probs)):
-        lo, hi = approx[2 * i], approx[2 * i + 1]
-        aggs.append(F.count(F.when(F.col("x") < F.lit(lo), 1)).alias(f"b{i}"))
-        aggs.append(F.sort_array(F.collect_list(
-            F.when((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)), F.col("x"))
-        )).alias(f"c{i}"))
-    row = vals.agg(*aggs).first()
+    # Pass 2: per quantile, the count below the bracket and the (value, count)
+    # pairs inside it. Duplicates collapse into one pair, so a value shared by
+    # a third of all rows is still one row; the pairs are bounded by the
+    # distinct values within the sketch's rank error.
     out = []
     for i, p in enumerate(probs):
+        lo, hi = approx[2 * i], approx[2 * i + 1]
+        below = vals.where(F.col("x") < F.lit(lo)).count()
+        pairs = sorted((r["x"], r["n"]) for r in (
+            vals.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
+            .groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()))
         pos = p * (n - 1)
         j = int(math.floor(pos))
         frac = pos - j
-        below, cand = row[f"b{i}"], row[f"c{i}"]
-        a, b = j - below, min(j + 1, n - 1) - below
-        if a < 0 or b >= len(cand):
+        a = _at_rank(pairs, j - below)
+        b = _at_rank(pairs, min(j + 1, n - 1) - below)
+        if a is None or b is None:
             # Bracket missed (cannot happen within the sketch's error bound);
             # fall back to the exact aggregate rather than return a wrong value.
             out.append(vals.agg(F.percentile("x", float(p))).first()[0])
         else:
-            out.append(_interp(cand[a], cand[b], frac))
+            out.append(_interp(a, b, frac))
     return out
+
+
+def _at_rank(pairs: list[tuple[float, int]], r: int) -> float | None:
+    """Value at 0-based rank ``r`` of the multiset given as sorted (value, count)."""
+    if r < 0:
+        return None
+    seen = 0
+    for v, c in pairs:
+        seen += c
+        if r < seen:
+            return v
+    return None

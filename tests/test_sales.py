@@ -88,3 +88,15 @@ def test_report_without_segment_column(spark):
                                     fx.customers(spark).drop("segment"))
     row = rep.where(F.col("section") == "customer_spending_by_segment").first()
     assert row.message.startswith("Cannot be determined")
+
+
+def test_exact_quantiles_with_a_hot_value(spark):
+    from basketry.operators import stats
+    # a third of all values identical: the bracket holds one (value, count) pair
+    df = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(50.0)).otherwise((F.col("id") * 13 % 997).cast("double"))
+        .alias("x"))
+    s = pd.Series([r.x for r in df.collect()])
+    qs = [0.05, 0.25, 0.5, 0.75, 0.99]
+    got = stats.quantiles(df, "x", qs, exact_limit=10, accuracy=1000)
+    assert got == pytest.approx([s.quantile(q) for q in qs])
