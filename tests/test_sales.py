@@ -100,3 +100,12 @@ def test_exact_quantiles_with_a_hot_value(spark):
     qs = [0.05, 0.25, 0.5, 0.75, 0.99]
     got = stats.quantiles(df, "x", qs, exact_limit=10, accuracy=1000)
     assert got == pytest.approx([s.quantile(q) for q in qs])
+
+
+def test_guard_rows(spark):
+    p = fx.purchases(spark)
+    assert sales.guard(p, ["customer_id", "total_price"], "customer_spending").count() == 0
+    nulls = p.withColumn("total_price", F.lit(None).cast("decimal(18,2)"))
+    msg = sales.guard(nulls, ["customer_id", "total_price"], "customer_spending").first()
+    assert msg.message == "Cannot be determined (missing customer_id or total_price data)"
+    assert sales.guard(p.drop("total_price"), ["total_price"], "x").count() == 1
