@@ -100,3 +100,16 @@ def test_price_bounds(spark):
     lo, hi = catalog.price_bounds("c", "s")
     got = [(r.lo, r.hi) for r in df.select(lo.alias("lo"), hi.alias("hi")).collect()]
     assert got == [(60, 200), (10, 50)]
+
+
+def test_load_merged(spark, tmp_dir):
+    from basketry.plans.loading import load_merged
+    c = _write(tmp_dir, "c2.csv", CUSTOMERS_CSV)
+    i = _write(tmp_dir, "i2.csv", ITEMS_CSV)
+    p = _write(tmp_dir, "p2.csv", PURCHASES_CSV)
+    m = load_merged(spark, c, i, p)
+    rows = m.collect()
+    assert len(rows) == 3 and {r.employee_id for r in rows} == {"Emp03", "Unknown"}
+    assert {r.item_name for r in rows} == {"Haircut (Women's)", "Styling Gel"}
+    with pytest.raises(FileNotFoundError):
+        load_merged(spark, c, i, os.path.join(tmp_dir, "missing.csv"))
