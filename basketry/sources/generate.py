@@ -64,11 +64,14 @@ def gen_items(spark: SparkSession, seed: int = 42) -> DataFrame:
 
 
 def gen_purchases(spark: SparkSession, customers: DataFrame, n: int = 5000,
-                  seed: int = 42, n_customers: int | None = None) -> DataFrame:
+                  seed: int = 42, n_customers: int | None = None,
+                  with_preference: bool = False) -> DataFrame:
     """S12 + P12 + P15: a random customer per row, a day between registration
     and 2023-12-31 (rows of customers registered later are skipped), 70 %
     services (quantity 1, an employee) and 30 % products (quantity 1..3), and a
-    price drawn per row from the item's range."""
+    price drawn per row from the item's range. ``with_preference`` adds P13:
+    the customer's preferred service on service rows, preferred product
+    otherwise (one hashed pick of each per customer)."""
     nc = n_customers if n_customers is not None else customers.count()
     r = spark.range(n)
     u = lambda salt: uniform(seed, salt, "id")
@@ -94,13 +97,19 @@ def gen_purchases(spark: SparkSession, customers: DataFrame, n: int = 5000,
     cat = catalog.category("item_name")
     sub = catalog.classify("item_name")
     unit = catalog.draw_price(cat, sub, F.col("_u_price"))
-    return j.select(
+    cols = [
         "customer_id", "item_id", F.col("quantity").cast("int").alias("quantity"),
         F.date_add("registration_date", F.floor(F.col("_u_day") * (span + 1)).cast("int"))
         .alias("purchase_date"),
         (unit * F.col("quantity")).cast("decimal(18,2)").alias("total_price"),
         "employee_id",
-    )
+    ]
+    if with_preference:
+        pref_s = pick(catalog.SERVICES, uniform(seed, "pref_service", "customer_id"))
+        pref_p = pick(catalog.PRODUCTS, uniform(seed, "pref_product", "customer_id"))
+        cols.append(F.when(cat == "Service", pref_s).otherwise(pref_p)
+                    .alias("preferred_category"))
+    return j.select(*cols)
 
 
 def write_generated(customers: DataFrame, items: DataFrame, purchases: DataFrame,

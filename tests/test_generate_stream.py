@@ -26,6 +26,10 @@ def test_generators(spark):
     assert prod.where((F.col("quantity") > 3) | F.col("employee_id").isNotNull()).count() == 0
     # deterministic in the seed
     assert G.gen_purchases(spark, c, 2000, seed=7).exceptAll(p).count() == 0
+    pref = G.gen_purchases(spark, c, 500, seed=7, with_preference=True)
+    per = pref.join(i.select("item_id", "item_category"), "item_id").groupBy(
+        "customer_id", "item_category").agg(F.countDistinct("preferred_category").alias("n"))
+    assert per.agg(F.max("n")).first()[0] == 1     # one preference per customer and kind
 
 
 def test_request_stream(spark, tmp_dir):
