@@ -818,7 +818,7 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- model-based (rows checks)
 @register("kmeans_segments")
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4 + M5 + M6 + M7 + P22: best of 10 seeded MLlib fits, k = 5."""
+    """M4 + M5 + M6 + M7 + P22: best of 10 seeded K-means fits (fitted together), k = 5."""
     from basketry.plans import segmentation
     p, i, c = tables(spark, sf_dir)
     res = segmentation.segment_customers(p, i, c, DEFAULTS.n_clusters, ref_date=REF, epoch=EPOCH)
