@@ -922,3 +922,15 @@ def preprocessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 + P8: NULL strings become 'Unknown' (prices stay numeric, V10)."""
     i = inter.preprocess_items(wh.items(spark, sf_dir))
     return i.withColumn("unit_price", F.col("unit_price").cast("double"))
+
+
+@register("event_item_matrix", """
+SELECT user_id AS customer_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+       CAST(count(*) AS BIGINT) AS quantity
+FROM events
+WHERE event_type = 'purchase' AND user_id IS NOT NULL
+  AND json_extract_string(props, '$.k') IS NOT NULL
+GROUP BY 1, 2""")
+def event_item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25 over the second purchase source (purchase events, item key from props)."""
+    return inter.user_item_matrix(wh.event_purchases(spark, sf_dir))
