@@ -216,6 +216,8 @@ def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: i
     else:
         users = users.withColumn("h", F.lit(0).cast("bigint"))
     bounds = item_f.agg(F.min("item_idx"), F.max("item_idx")).first()
+    if bounds is None or bounds[0] is None:
+        return spark.createDataFrame([], "user_idx bigint, item_idx bigint, score double, rank int")
     lo, hi = int(bounds[0]), int(bounds[1])
     parts = []
     start = lo
