@@ -37,8 +37,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    When the setting is absent (local mode, tests) a private folder is created
-    and registered; on a cluster the configured shared folder is always used.
+    When the setting is absent in local mode (tests, the benchmark) a private
+    folder is created and registered; on a cluster the configured shared folder
+    is required and always used.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -50,6 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster, checkpoints must go to the "
+            "shared folder the cluster names there (a machine-local folder would not "
+            "survive the loss of an executor).")
     path = tempfile.mkdtemp(prefix="basketry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
