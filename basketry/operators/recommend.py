@@ -17,9 +17,11 @@ inserts a partial ``WindowGroupLimit`` before the shuffle). Work is linear in
 users x k + history size; no candidate cap, no pairs.
 
 For the latent scorer each Arrow batch of users is multiplied with the item
-factor matrix and ``argpartition`` keeps each user's best k + h_u items; the
-history is then removed by an anti-join on (user, item) and ``row_number <=
-k`` keeps the answer, so no user's history is ever gathered into one row.
+factor matrix. Users with a short history (at most ``HISTORY_IN_TASK`` items)
+carry it as a bounded array and are masked in the task; every other user
+keeps its best k + h_u items, the history is removed by an anti-join on
+(user, item) and ``row_number <= k`` keeps the answer, so a long history is
+never gathered into one row.
 The item factors are broadcast only under ``max_broadcast_bytes``; beyond it
 they are processed in bounded item blocks, one job each, and the per-block
 candidate lists are merged the same way.
@@ -158,13 +160,16 @@ def fit_latent(scaled: DataFrame, rank: int = 32, seed: int = 42, max_iter: int
 
 
 CHUNK_BYTES = 64 * 1024 * 1024
+HISTORY_IN_TASK = 256
 
 
 def _block_topk(block, offset: int, k: int):
-    """mapInPandas body: score users against one item block and keep, per
-    user, the best ``k + h`` items of the block (``h`` = size of the user's
-    history, 0 when nothing is masked). Users are processed in chunks so a
-    score matrix never exceeds ``CHUNK_BYTES``."""
+    """mapInPandas body: score users against one item block. A user whose
+    history arrived as an array (at most ``HISTORY_IN_TASK`` items) is masked
+    here and keeps its best k items; any other user keeps its best ``k + h``
+    items of the block (``h`` = history size, 0 when nothing is masked) for the
+    anti-join downstream. Users are processed in chunks so a score matrix never
+    exceeds ``CHUNK_BYTES``."""
     def fn(batches):
         factors, scale, dmin = block.value
         width = factors.shape[0]
@@ -175,7 +180,19 @@ def _block_topk(block, offset: int, k: int):
                 u = np.stack(part["features"].to_numpy()).astype(np.float64)
                 s = u @ factors.T
                 s = s * scale + dmin                     # R6: back to quantity units
-                want = np.minimum(k + part["h"].to_numpy(dtype=np.int64), width)
+                h = part["h"].to_numpy(dtype=np.int64)
+                hists = part["hist"].to_numpy()
+                local = np.array([x is not None for x in hists], dtype=bool)
+                if local.any():
+                    rows = np.flatnonzero(local)
+                    arrs = [np.asarray(hists[r], dtype=np.int64) - offset for r in rows]
+                    lens = np.fromiter((len(a) for a in arrs), np.int64, len(arrs))
+                    if lens.sum():
+                        rr = np.repeat(rows, lens)
+                        cc = np.concatenate(arrs)
+                        ok = (cc >= 0) & (cc < width)
+                        s[rr[ok], cc[ok]] = -np.inf
+                want = np.minimum(np.where(local, k, k + h), width)
                 kmax = int(want.max())
                 top = np.argpartition(-s, kmax - 1, axis=1)[:, :kmax]
                 sc = np.take_along_axis(s, top, 1)
@@ -191,16 +208,19 @@ def _block_topk(block, offset: int, k: int):
 
 
 def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: int = 5,
-               exclude: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+               exclude: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+               history_in_task: int = HISTORY_IN_TASK) -> DataFrame:
     """R11 + R12 + W3/W4: top-k items per user by reconstructed score.
 
     ``ranges_idx`` = (item_idx, data_min, scale); ``history_idx`` =
     (user_idx, item_idx) cells to exclude when ``exclude``.
 
-    Exact masking without gathering a user's history: each user emits its
-    best ``k + h`` items (``h`` = history size, a count), the history is
-    removed with an anti-join on (user, item), and ``row_number <= k`` keeps
-    the answer. At most ``h`` of the ``k + h`` candidates can be removed.
+    Exact masking without gathering a long history: a user with at most
+    ``history_in_task`` history items gets them as a bounded array and is
+    masked inside the task; any other user emits its best ``k + h`` items
+    (``h`` = history size, a count), the history is removed with an anti-join
+    on (user, item), and ``row_number <= k`` keeps the answer. At most ``h``
+    of the ``k + h`` candidates can be removed.
     """
     spark = ranges_idx.sparkSession
     rank = model.rank
@@ -212,9 +232,14 @@ def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: i
         hist = history_idx.select(F.col("user_idx").cast("bigint"),
                                   F.col("item_idx").cast("bigint")).distinct()
         h = hist.groupBy("user_idx").agg(F.count(F.lit(1)).alias("h"))
-        users = users.join(h, "user_idx", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+        # short histories travel with the user (bounded array), long ones stay rows
+        short = (hist.join(h.where(F.col("h") <= history_in_task), "user_idx", "left_semi")
+                 .groupBy("user_idx").agg(F.collect_list("item_idx").alias("hist")))
+        users = (users.join(h, "user_idx", "left").join(short, "user_idx", "left")
+                 .withColumn("h", F.coalesce("h", F.lit(0)).cast("bigint")))
     else:
-        users = users.withColumn("h", F.lit(0).cast("bigint"))
+        users = (users.withColumn("h", F.lit(0).cast("bigint"))
+                 .withColumn("hist", F.lit(None).cast("array<bigint>")))
     bounds = item_f.agg(F.min("item_idx"), F.max("item_idx")).first()
     if bounds is None or bounds[0] is None:
         return spark.createDataFrame([], "user_idx bigint, item_idx bigint, score double, rank int")

@@ -70,9 +70,11 @@ def test_block_scorer_matches_numpy(spark):
     ranges = spark.createDataFrame([(i, float(dmin[i]), float(scale[i])) for i in range(9)], "item_idx int, data_min double, scale double")
     hist = [(0, 1), (0, 2), (3, 8)]
     h = spark.createDataFrame(hist, "user_idx bigint, item_idx bigint")
-    for block_bytes in (1 << 30, 8 * 5 * 3):          # one block / several blocks
+    for block_bytes, in_task in ((1 << 30, 256), (8 * 5 * 3, 256), (1 << 30, 1),
+                                 (8 * 5 * 3, 0)):
+        # one block / several blocks; histories masked in the task / by anti-join
         out = R.score_topk(_FakeModel(spark, U, V), ranges, h, k=4, exclude=True,
-                           max_broadcast_bytes=block_bytes)
+                           max_broadcast_bytes=block_bytes, history_in_task=in_task)
         got = {}
         for r in out.orderBy("user_idx", "rank").collect():
             got.setdefault(r.user_idx, []).append(r.item_idx)
