@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basketry.llm import bpe, exact_dedup, mixing, quality, simhash, token_counts
-from basketry.llm.common import documents, table
+from basketry.llm import (bpe, exact_dedup, langid, licenses, mixing, quality, simhash,
+                          token_counts)
+from basketry.llm.common import crc_mod, documents, table
 
 QUERIES = {}
 ORACLE = {}
@@ -76,3 +77,16 @@ def op10(spark, sf_dir):
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op6_language_id")
+def op6(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = langid.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@register("op7_license_scan", sql=licenses.sql(LOWERED))
+def op7(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
