@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basketry.llm import (bpe, exact_dedup, langid, licenses, mixing, quality, simhash,
-                          token_counts)
+from basketry.llm import (bpe, exact_dedup, langid, licenses, lm, mixing, quality,
+                          simhash, token_counts)
 from basketry.llm.common import crc_mod, documents, table
 
 QUERIES = {}
@@ -90,3 +90,12 @@ def op6(spark, sf_dir):
 @register("op7_license_scan", sql=licenses.sql(LOWERED))
 def op7(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
+
+
+@register("op2_lm_scoring")
+def op2(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(True))
+    found = lm.learn_and_score(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
