@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basketry.llm import (bpe, exact_dedup, langid, licenses, lm, mixing, quality,
+from basketry.llm import (bpe, cotrain, exact_dedup, langid, licenses, lm, mixing, quality,
                           simhash, token_counts)
 from basketry.llm.common import crc_mod, documents, table
 
@@ -99,3 +99,9 @@ def op2(spark, sf_dir):
     found = lm.learn_and_score(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score")
+
+
+@register("op3_quality_classifier")
+def op3(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return cotrain.classify(documents(spark, sf_dir), labels)
