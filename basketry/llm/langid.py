@@ -49,14 +49,13 @@ def buckets(text: str | None, bits: int = BITS) -> np.ndarray:
     text has no letter."""
     if not text:
         return np.zeros(0, np.int64)
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = _letters()[c]
     if not is_letter.any():
         return np.zeros(0, np.int64)
-    c = np.where(is_letter, c, np.uint32(32))
     keep = np.ones(len(c), bool)
     keep[1:] = is_letter[1:] | is_letter[:-1]
-    c = np.concatenate(([32], c[keep], [32])).astype(np.uint64)
+    c = np.where(is_letter, c, np.uint32(32))[keep].astype(np.uint64)
     out, h = [], np.zeros(len(c), np.uint64)
     with np.errstate(over="ignore"):
         for n in ORDERS:
