@@ -44,12 +44,13 @@ class Lengths(dict):
         return 1                                 # a special token, the only int keys
 
     def learn(self, pieces: list) -> None:
-        new = [p for p in set(pieces).difference(self) if isinstance(p, str)]
+        distinct = set(pieces)
+        new = [p for p in distinct if p not in self and isinstance(p, str)]
         if new:
             if len(self) + len(new) > CACHE + len(self.known):
                 self.clear()
                 self.update(self.known)
-                new = [p for p in set(pieces).difference(self) if isinstance(p, str)]
+                new = [p for p in distinct if p not in self and isinstance(p, str)]
             self.update(zip(new, map(len, self.encode(new, add_special_tokens=False))))
 
     def total(self, pieces: list) -> int:
