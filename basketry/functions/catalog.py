@@ -90,7 +90,6 @@ ZIP_CODES = [
     "90046", "90048", "90049", "90064", "90066",
     "90210", "90211", "90212",
 ]
-SEGMENTS = [("Regular", 0.4), ("Occasional", 0.4), ("New", 0.2)]
 
 
 def classify(name: Column | str, rules: Sequence[tuple[str, Sequence[str]]] = SUBCATEGORY_RULES,

@@ -20,14 +20,9 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def money(col: Column | str) -> Column:
-    """Exact decimal money sum cast to double (bit-stable across engines)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast("double")
-
-
-def r6(col: Column) -> Column:
-    return F.round(col, 6)
+def round_half_even(col: Column | str, places: int = 2) -> Column:
+    """banker's rounding, as numpy and pandas round."""
+    return F.bround(F.col(col) if isinstance(col, str) else col, places)
 
 
 def scalar(agg: DataFrame) -> Column:

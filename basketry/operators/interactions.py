@@ -11,16 +11,17 @@ Scale notes
 * Per-item min/max "including the implicit zeros" needs no grid: the minimum
   is 0 unless the item has an entry for every active user.
 * Dense id encoding (``dense_index``) sorts ids with a range partitioning and
-  numbers rows per partition plus a per-partition offset: no single-partition
-  window, no id list on the driver (only one count per partition).
+  joins one offset per range: no single-partition window over ids, no id list
+  on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import dates as D
+from basketry.operators import ranking
 
 
 def preprocess_customers(customers: DataFrame, unknown: str = "Unknown",
@@ -96,11 +97,12 @@ def item_ranges(active_matrix: DataFrame, items: DataFrame) -> DataFrame:
     counting their implicit zeros; ``scale`` is max - min with 0 replaced by 1."""
     from basketry.functions.columns import scalar
     n_users = scalar(active_matrix.select(F.countDistinct("customer_id")))
+    # without an active user no item has an entry and every range is 0 to 0
     per = active_matrix.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("quantity").alias("_min"),
         F.max("quantity").alias("_max"))
     j = items.select("item_id").join(per, "item_id", "left")
-    full = F.coalesce(F.col("_n"), F.lit(0)) >= n_users
+    full = F.coalesce(F.col("_n") >= n_users, F.lit(False))
     lo = F.when(full, F.col("_min")).otherwise(F.least(F.coalesce("_min", F.lit(0)), F.lit(0)))
     hi = F.when(full, F.col("_max")).otherwise(F.greatest(F.coalesce("_max", F.lit(0)), F.lit(0)))
     return j.select("item_id", lo.cast("double").alias("data_min"),
@@ -111,7 +113,12 @@ def item_ranges(active_matrix: DataFrame, items: DataFrame) -> DataFrame:
 
 def minmax_scale(active_matrix: DataFrame, ranges: DataFrame) -> DataFrame:
     """(q - min) / scale on the stored entries. Implicit zeros stay 0:
-    an item with min > 0 has an entry for every active user."""
+    an item with min > 0 has an entry for every active user. The entries may
+    also be new vectors (any customer, long form): they are scaled with the
+    fitted ranges, and items without a range are left out. ``ranges=None``
+    (nothing fitted yet) raises."""
+    if ranges is None:
+        raise ValueError("Fit the item ranges before scaling new interactions.")
     return active_matrix.join(ranges, "item_id").select(
         "customer_id", "item_id",
         ((F.col("quantity") - F.col("data_min")) / F.col("scale")).alias("value"))
@@ -124,30 +131,14 @@ def inverse_scale(scores: DataFrame, ranges: DataFrame, col: str = "score") -> D
         "data_min", "data_max", "scale")
 
 
-def dense_index(df: DataFrame, col: str, out: str, descending_by: list[Column] | None = None,
-                partitions: int | None = None) -> DataFrame:
+def dense_index(df: DataFrame, col: str, out: str, partitions: int | None = None) -> DataFrame:
     """0-based dense position of each distinct ``col`` in sorted order.
 
-    Range-partition + sort within partitions, then position = offset of the
-    partition + position inside it. The ordered frame is checkpointed to the
-    cluster's checkpoint folder so both passes see the same partitioning.
+    Positions come from ``ranking.positions``: range partitions and a join
+    with their offsets.
     """
-    from basketry.session import materialize
     ids = df.select(col).where(F.col(col).isNotNull()).distinct()
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = materialize(ids.repartitionByRange(n, col).sortWithinPartitions(col)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = sorted((r["_pid"], r["count"], r["m"]) for r in ordered.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("count"), F.min("_mid").alias("m")).collect())
-    base, offsets = 0, []
-    for pid, cnt, first in counts:
-        offsets += [F.lit(pid), F.lit(base - first)]
-        base += cnt
-    if not offsets:
-        return ordered.select(col, F.lit(0).cast("bigint").alias(out)).limit(0)
-    shift = F.create_map(*offsets)[F.col("_pid")]
-    return ordered.select(col, (F.col("_mid") + shift).cast("bigint").alias(out))
+    return ranking.positions(ids, [F.col(col)], out, partitions)
 
 
 def test_cutoff(purchases: DataFrame, months: int = 3) -> DataFrame:

@@ -5,26 +5,19 @@ Two scorers share the masking, ranking and evaluation logic:
 * popularity (deterministic, the cold-start fallback): score = total quantity
   of the item over active users;
 * latent: a rank-r factorisation of the scaled user-item matrix (MLlib ALS
-  with implicit preferences, width = embedding_dim), scored in Arrow batches.
-
-Exact top-k of unseen items without a users x items grid
---------------------------------------------------------
-For a score shared by all users (popularity) the first k unseen items of
-user u are among the first k + h_u items of the global ranking (h_u = size of
-u's history). Each user expands to k + h_u candidate ranks, the history is
-removed with an anti-join, and ``row_number <= k`` keeps the answer (Spark
-inserts a partial ``WindowGroupLimit`` before the shuffle). Work is linear in
-users x k + history size; no candidate cap, no pairs.
-
-For the latent scorer each Arrow batch of users is multiplied with the item
-factor matrix. Users with a short history (at most ``HISTORY_IN_TASK`` items)
-carry it as a bounded array and are masked in the task; every other user
-keeps its best k + h_u items, the history is removed by an anti-join on
-(user, item) and ``row_number <= k`` keeps the answer, so a long history is
-never gathered into one row.
-The item factors are broadcast only under ``max_broadcast_bytes``; beyond it
-they are processed in bounded item blocks, one job each, and the per-block
-candidate lists are merged the same way.
+  with implicit preferences, width = embedding_dim); a requested user's vector
+  is multiplied with the item factors, one block of items at a time.
+
+Top-k of unseen items by rank gaps
+----------------------------------
+For a score shared by all users the items have one global ranking. If a user
+has bought the items at ranks r_1 < r_2 < ..., then r_i - i unseen items stand
+before the i-th of them, so the t-th unseen item has rank
+``t + count(i : r_i - i < t)``. Only those counts are needed, one aggregate
+over the history; nothing is expanded, and no history is removed row by row.
+Histories are numbered within ranges of ``SPAN`` ranks, with the counts of
+the ranges before, so a customer with a large part of all rows is many small
+groups.
 """
 
 from __future__ import annotations
@@ -35,39 +28,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import interactions as I
+from basketry.operators import ranking
+from basketry.session import materialize
 
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+#: Ranks that one group of a user's history covers, at most.
+SPAN = 4096
 
 
 # ---------------------------------------------------------------- ranking
 def global_rank(df: DataFrame, order: list, out: str = "rank",
                 partitions: int | None = None) -> DataFrame:
-    """1-based position of every row in a global order, computed with a range
-    partitioning (no single-partition window). Ties must be broken by the
-    order itself for the result to be deterministic."""
-    from basketry.session import materialize
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = sorted((r["_pid"], r["c"], r["m"]) for r in ordered.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("c"), F.min("_mid").alias("m")).collect())
-    base, pairs = 1, []
-    for pid, cnt, first in counts:
-        pairs += [F.lit(pid), F.lit(base - first)]
-        base += cnt
-    cols = [c for c in df.columns]
-    if not pairs:
-        return ordered.select(*cols, F.lit(0).cast("bigint").alias(out)).limit(0)
-    shift = F.create_map(*pairs)[F.col("_pid")]
-    return ordered.select(*cols, (F.col("_mid") + shift).cast("bigint").alias(out))
+    """1-based position of every row in a global order (``ranking.positions``)."""
+    return ranking.positions(df, order, out, partitions).withColumn(
+        out, (F.col(out) + 1).cast("bigint"))
 
 
 def ranked_popularity(active_matrix: DataFrame, all_matrix: DataFrame) -> DataFrame:
-    """(rank, item_id, popularity), ties by item id."""
+    """(rank, item_id, popularity), ties by item id; a written table, as
+    the joins on it choose their kind by its real size."""
     pop = I.popularity(active_matrix, all_matrix)
-    return global_rank(pop, [F.col("popularity").desc(), F.col("item_id").asc()], "rank")
+    return materialize(global_rank(pop, [F.col("popularity").desc(), F.col("item_id").asc()],
+                                   "rank"))
 
 
 def top_popular(active_matrix: DataFrame, all_matrix: DataFrame, k: int = 5) -> DataFrame:
@@ -79,20 +60,33 @@ def top_popular(active_matrix: DataFrame, all_matrix: DataFrame, k: int = 5) ->
 
 
 def recommend_unseen_by_rank(requests: DataFrame, history: DataFrame, ranked: DataFrame,
-                             k: int = 5) -> DataFrame:
+                             k: int = 5, span: int = SPAN) -> DataFrame:
     """W3 + J7 + W5 for a score shared by all users: the first k items of
-    ``ranked`` (rank, item_id) that are not in each requester's history."""
-    hist = I.positive(history).select("customer_id", "item_id")
-    h = hist.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_h"))
-    req = requests.select("customer_id").distinct().join(h, "customer_id", "left")
-    cand = req.select("customer_id", F.explode(F.sequence(
-        F.lit(1).cast("bigint"), (F.lit(k) + F.coalesce("_h", F.lit(0))).cast("bigint")))
-        .alias("rank"))
-    cand = cand.join(ranked.select("rank", "item_id"), "rank")
-    cand = cand.join(hist, ["customer_id", "item_id"], "left_anti")
-    w = Window.partitionBy("customer_id").orderBy("rank")
-    return (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-            .select("customer_id", F.col("r").cast("int").alias("rank"), "item_id"))
+    ``ranked`` (rank, item_id) that are not in each requester's history.
+    Output: customer_id, rank (1..k), item_id."""
+    req = requests.select("customer_id").distinct()
+    bought = (I.positive(history).select("customer_id", "item_id").distinct()
+              .join(req, "customer_id", "left_semi")
+              .join(ranked.select("item_id", F.col("rank").alias("_r")), "item_id"))
+    placed = bought.withColumn("_range", F.floor((F.col("_r") - 1) / F.lit(span)))
+    # per range of ranks: how many were bought before it, so how many unseen stand before it
+    earlier = Window.partitionBy("customer_id").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    ranges = (placed.groupBy("customer_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+              .where(F.col("_range") * span - F.col("_before") < k)
+              .select("customer_id", "_range", "_before"))
+    place = Window.partitionBy("customer_id", "_range").orderBy("_r")
+    gaps = placed.join(ranges, ["customer_id", "_range"]).withColumn(
+        "_gap", F.col("_r") - F.col("_before") - F.row_number().over(place))
+    counts = gaps.groupBy("customer_id").agg(*[
+        F.count(F.when(F.col("_gap") < t, 1)).alias(f"_c{t}") for t in range(1, k + 1)])
+    wanted = req.join(counts, "customer_id", "left").select(
+        "customer_id", *[(F.lit(t) + F.coalesce(f"_c{t}", F.lit(0))).cast("bigint").alias(str(t))
+                         for t in range(1, k + 1)])
+    rows = wanted.unpivot(["customer_id"], [str(t) for t in range(1, k + 1)], "_t", "_rank")
+    return rows.join(ranked.select(F.col("rank").alias("_rank"), "item_id"), "_rank").select(
+        "customer_id", F.col("_t").cast("int").alias("rank"), "item_id")
 
 
 def with_names(recs: DataFrame, items: DataFrame) -> DataFrame:
@@ -142,132 +136,169 @@ def summarize(per_customer: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- latent model
+#: Ratings that one block of the fit holds, about.
+BLOCK_RATINGS = 2_000_000
+#: Items that are scored together: one block is broadcast at a time.
+BLOCK_ITEMS = 65_536
+#: Rows of a user's history that are folded in together, about.
+FOLD_ROWS = 4096
+CHUNK_BYTES = 64 * 1024 * 1024
+
+
 def fit_latent(scaled: DataFrame, rank: int = 32, seed: int = 42, max_iter: int = 10,
                reg: float = 0.01, alpha: float = 1.0):
     """Rank-r factorisation of the scaled matrix (``user_idx``, ``item_idx``,
-    ``value``). Implicit preferences fit every cell, zeros included, as the
-    reference's reconstruction objective does; ALS checkpoints its lineage
-    into the cluster's checkpoint folder."""
+    ``value``) with implicit preferences: every cell is fitted, a stored one as
+    preference 1 with confidence 1 + alpha * value, any other as preference 0.
+    This replaces the reference's reconstruction of scaled quantities, so its
+    scores are preferences, not quantities. The number of blocks follows the
+    number of ratings."""
     from pyspark.ml.recommendation import ALS
 
     from basketry.session import checkpoint_dir
     checkpoint_dir(scaled.sparkSession)
+    blocks = max(1, -(-scaled.count() // BLOCK_RATINGS))
+    blocks = max(blocks, int(scaled.sparkSession.sparkContext.defaultParallelism))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
               userCol="user_idx", itemCol="item_idx", ratingCol="value", seed=seed,
+              numUserBlocks=blocks, numItemBlocks=blocks,
               nonnegative=False, checkpointInterval=5, coldStartStrategy="drop")
     return als.fit(scaled.select(F.col("user_idx").cast("int"), F.col("item_idx").cast("int"),
                                  F.col("value").cast("float")))
 
 
-CHUNK_BYTES = 64 * 1024 * 1024
-HISTORY_IN_TASK = 256
+def fold_in(cells: DataFrame, item_factors: DataFrame, rank: int, reg: float = 0.01,
+            alpha: float = 1.0) -> DataFrame:
+    """R11 for users that were not fitted: (user_idx, features) from their
+    cells (user_idx, item_idx, value) and the fitted ``item_factors`` (id,
+    features): the same least squares that the fit solves for a user.
 
+    The sums over a user's items are made in groups of about ``FOLD_ROWS``
+    rows and added up, so a long history is never one group.
+    """
+    spark = cells.sparkSession
+    width = rank * rank
 
-def _block_topk(block, offset: int, k: int):
-    """mapInPandas body: score users against one item block. A user whose
-    history arrived as an array (at most ``HISTORY_IN_TASK`` items) is masked
-    here and keeps its best k items; any other user keeps its best ``k + h``
-    items of the block (``h`` = history size, 0 when nothing is masked) for the
-    anti-join downstream. Users are processed in chunks so a score matrix never
+    def gram(batches):
+        total = np.zeros(width)
+        for pdf in batches:
+            if len(pdf):
+                y = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+                total += (y.T @ y).ravel()
+        yield pd.DataFrame({"at": np.arange(width), "v": total})
+
+    sums = (item_factors.select("features").mapInPandas(gram, "at int, v double")
+            .groupBy("at").agg(F.sum("v").alias("v")).toPandas())      # rank * rank numbers
+    every = np.zeros(width)
+    every[sums["at"].to_numpy()] = sums["v"].to_numpy()
+    every = every.reshape(rank, rank)
+    sized = cells.groupBy("user_idx").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(FOLD_ROWS)).cast("bigint").alias("_parts"))
+    met = (cells.join(sized, "user_idx")
+           .join(item_factors.withColumnRenamed("id", "item_idx"), "item_idx")
+           .withColumn("_part", F.pmod(F.xxhash64("item_idx"), F.col("_parts"))))
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+        c = alpha * np.abs(pdf["value"].to_numpy(np.float64))
+        liked = (pdf["value"].to_numpy() > 0).astype(np.float64)
+        a = (y * c[:, None]).T @ y
+        b = ((1 + c) * liked) @ y
+        return pd.DataFrame({"user_idx": [pdf["user_idx"].iloc[0]], "n": [int(liked.sum())],
+                             "a": [a.ravel()], "b": [b]})
+
+    parts = met.groupBy("user_idx", "_part").applyInPandas(
+        partial, "user_idx bigint, n bigint, a array<double>, b array<double>")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = every + np.sum(np.stack(pdf["a"].to_numpy()), axis=0).reshape(rank, rank)
+        a += reg * max(1, int(pdf["n"].sum())) * np.eye(rank)
+        x = np.linalg.solve(a, np.sum(np.stack(pdf["b"].to_numpy()), axis=0))
+        return pd.DataFrame({"user_idx": [pdf["user_idx"].iloc[0]],
+                             "features": [x.astype(np.float32)]})
+
+    return parts.groupBy("user_idx").applyInPandas(
+        solve, "user_idx bigint, features array<float>")
+
+
+def _score_block(block, offset: int, k: int):
+    """mapInPandas body: score users against the items of one block, leave out
+    the block's items they bought (``seen``, at most the block), keep the best
+    k by score, ties by item. Users go in chunks, so that a score matrix never
     exceeds ``CHUNK_BYTES``."""
     def fn(batches):
-        factors, scale, dmin = block.value
-        width = factors.shape[0]
+        factors, present = block.value
+        width = len(factors)
         chunk = max(1, CHUNK_BYTES // (8 * max(1, width)))
         for pdf in batches:
             for lo in range(0, len(pdf), chunk):
                 part = pdf.iloc[lo:lo + chunk]
-                u = np.stack(part["features"].to_numpy()).astype(np.float64)
-                s = u @ factors.T
-                s = s * scale + dmin                     # R6: back to quantity units
-                h = part["h"].to_numpy(dtype=np.int64)
-                hists = part["hist"].to_numpy()
-                local = np.array([x is not None for x in hists], dtype=bool)
-                if local.any():
-                    rows = np.flatnonzero(local)
-                    arrs = [np.asarray(hists[r], dtype=np.int64) - offset for r in rows]
-                    lens = np.fromiter((len(a) for a in arrs), np.int64, len(arrs))
-                    if lens.sum():
-                        rr = np.repeat(rows, lens)
-                        cc = np.concatenate(arrs)
-                        ok = (cc >= 0) & (cc < width)
-                        s[rr[ok], cc[ok]] = -np.inf
-                want = np.minimum(np.where(local, k, k + h), width)
-                kmax = int(want.max())
-                top = np.argpartition(-s, kmax - 1, axis=1)[:, :kmax]
-                sc = np.take_along_axis(s, top, 1)
-                order = np.lexsort((top, -sc), axis=1)
-                top = np.take_along_axis(top, order, 1)
-                sc = np.take_along_axis(sc, order, 1)
-                keep = np.isfinite(sc) & (np.arange(kmax)[None, :] < want[:, None])
-                users = np.repeat(part["user_idx"].to_numpy(dtype=np.int64)[:, None], kmax, 1)
-                yield pd.DataFrame({"user_idx": users[keep],
-                                    "item_idx": top[keep].astype(np.int64) + offset,
-                                    "score": sc[keep]})
+                s = np.stack(part["features"].to_numpy()).astype(np.float64) @ factors.T
+                s[:, ~present] = -np.inf
+                for row, seen in enumerate(part["seen"]):
+                    if seen is not None and len(seen):
+                        s[row, np.asarray(seen, np.int64) - offset] = -np.inf
+                n = min(k, width)
+                # every item that ties with the k-th best stays in the choice
+                floor = np.partition(s, width - n, axis=1)[:, width - n]
+                out_u, out_i, out_s = [], [], []
+                for row, user in enumerate(part["user_idx"].to_numpy()):
+                    at = np.flatnonzero((s[row] >= floor[row]) & np.isfinite(s[row]))
+                    at = at[np.lexsort((at, -s[row, at]))][:n]
+                    out_u.append(np.full(len(at), user))
+                    out_i.append(at + offset)
+                    out_s.append(s[row, at])
+                yield pd.DataFrame({"user_idx": np.concatenate(out_u).astype(np.int64),
+                                    "item_idx": np.concatenate(out_i).astype(np.int64),
+                                    "score": np.concatenate(out_s)})
     return fn
 
 
-def score_topk(model, ranges_idx: DataFrame, history_idx: DataFrame | None, k: int = 5,
-               exclude: bool = True, max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-               history_in_task: int = HISTORY_IN_TASK) -> DataFrame:
-    """R11 + R12 + W3/W4: top-k items per user by reconstructed score.
-
-    ``ranges_idx`` = (item_idx, data_min, scale); ``history_idx`` =
-    (user_idx, item_idx) cells to exclude when ``exclude``.
+def score_topk(users: DataFrame, item_factors: DataFrame, history: DataFrame | None,
+               k: int = 5, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """R12 + W3/W4: the top-k items of every row of ``users`` (user_idx,
+    features) by the product with ``item_factors`` (id, features), without the
+    cells of ``history`` (user_idx, item_idx). Output: user_idx, item_idx,
+    score, rank.
 
-    Exact masking without gathering a long history: a user with at most
-    ``history_in_task`` history items gets them as a bounded array and is
-    masked inside the task; any other user emits its best ``k + h`` items
-    (``h`` = history size, a count), the history is removed with an anti-join
-    on (user, item), and ``row_number <= k`` keeps the answer. At most ``h``
-    of the ``k + h`` candidates can be removed.
+    Only the given users are scored. The items are taken in blocks of
+    ``block_items`` ids, one job each: the block is broadcast (at most
+    ``block_items`` vectors), its best k are merged with the best k so far,
+    written, and the block is released. A user's history travels as the part
+    that lies in the block, so it is never longer than the block.
     """
-    spark = ranges_idx.sparkSession
-    rank = model.rank
-    item_f = model.itemFactors.withColumnRenamed("id", "item_idx").join(ranges_idx, "item_idx")
-    block_rows = max(1, int(max_broadcast_bytes // (8 * (rank + 2))))
-    users = model.userFactors.select(F.col("id").cast("bigint").alias("user_idx"), "features")
-    hist = None
-    if exclude and history_idx is not None:
-        hist = history_idx.select(F.col("user_idx").cast("bigint"),
-                                  F.col("item_idx").cast("bigint")).distinct()
-        h = hist.groupBy("user_idx").agg(F.count(F.lit(1)).alias("h"))
-        # short histories travel with the user (bounded array), long ones stay rows
-        short = (hist.join(h.where(F.col("h") <= history_in_task), "user_idx", "left_semi")
-                 .groupBy("user_idx").agg(F.collect_list("item_idx").alias("hist")))
-        users = (users.join(h, "user_idx", "left").join(short, "user_idx", "left")
-                 .withColumn("h", F.coalesce("h", F.lit(0)).cast("bigint")))
-    else:
-        users = (users.withColumn("h", F.lit(0).cast("bigint"))
-                 .withColumn("hist", F.lit(None).cast("array<bigint>")))
-    bounds = item_f.agg(F.min("item_idx"), F.max("item_idx")).first()
-    if bounds is None or bounds[0] is None:
-        return spark.createDataFrame([], "user_idx bigint, item_idx bigint, score double, rank int")
-    lo, hi = int(bounds[0]), int(bounds[1])
-    parts = []
-    start = lo
-    while start <= hi:
-        stop = min(hi, start + block_rows - 1)
-        blk = (item_f.where((F.col("item_idx") >= start) & (F.col("item_idx") <= stop))
-               .select("item_idx", "features", "data_min", "scale").toPandas())
-        width = stop - start + 1
-        fac = np.zeros((width, rank))
-        sc = np.ones(width)
-        dm = np.full(width, -np.inf)          # ids without factors are never picked
-        pos = blk["item_idx"].to_numpy() - start
-        if len(blk):
-            fac[pos] = np.stack(blk["features"].to_numpy())
-            sc[pos] = blk["scale"].to_numpy()
-            dm[pos] = blk["data_min"].to_numpy()
-        block = spark.sparkContext.broadcast((fac, sc, dm))
-        parts.append(users.mapInPandas(_block_topk(block, start, k),
-                                       "user_idx bigint, item_idx bigint, score double"))
-        start = stop + 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if hist is not None:
-        out = out.join(hist, ["user_idx", "item_idx"], "left_anti")
-    w = Window.partitionBy("user_idx").orderBy(F.col("score").desc(), F.col("item_idx"))
-    return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("int")))
+    spark = users.sparkSession
+    users = materialize(users.select(F.col("user_idx").cast("bigint"), "features"))
+    seen = None
+    if history is not None:
+        seen = materialize(history.select(F.col("user_idx").cast("bigint"),
+                                          F.col("item_idx").cast("bigint")).distinct()
+                           .join(users.select("user_idx"), "user_idx", "left_semi"))
+    best = spark.createDataFrame([], "user_idx bigint, item_idx bigint, score double")
+    items = item_factors.select(F.col("id").cast("bigint").alias("item_idx"), "features")
+    lo, hi = items.agg(F.min("item_idx"), F.max("item_idx")).first()
+    order = Window.partitionBy("user_idx").orderBy(F.col("score").desc(), F.col("item_idx"))
+    for start in range(lo or 0, (hi if hi is not None else -1) + 1, block_items):
+        here = F.col("item_idx").between(start, start + block_items - 1)
+        own = items.where(here).toPandas()                  # at most block_items rows
+        width = min(block_items, hi - start + 1)
+        rank = len(own["features"].iloc[0]) if len(own) else 1
+        factors, present = np.zeros((width, rank)), np.zeros(width, bool)
+        if not len(own):
+            continue
+        at = own["item_idx"].to_numpy() - start
+        factors[at] = np.stack(own["features"].to_numpy())
+        present[at] = True
+        block = spark.sparkContext.broadcast((factors, present))
+        if seen is not None:
+            mine = (seen.where(here).groupBy("user_idx")
+                    .agg(F.collect_list("item_idx").alias("seen")))
+            rows = users.join(mine, "user_idx", "left")
+        else:
+            rows = users.withColumn("seen", F.lit(None).cast("array<bigint>"))
+        scored = rows.mapInPandas(_score_block(block, start, k),
+                                  "user_idx bigint, item_idx bigint, score double")
+        best = materialize(best.unionByName(scored).withColumn("rank", F.row_number().over(order))
+                           .where(F.col("rank") <= k).drop("rank"))
+        block.destroy()
+    return best.withColumn("rank", F.row_number().over(order).cast("int"))

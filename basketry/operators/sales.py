@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import ranking, stats
+from basketry.session import materialize
 
 
 def merged(purchases: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
@@ -34,13 +35,21 @@ def fill_employee(purchases: DataFrame, value: str = "Unknown") -> DataFrame:
 
 def item_totals(purchases: DataFrame) -> DataFrame:
     """Rows and exact revenue per item id (map-side combined)."""
+    price = _price(purchases)
     return purchases.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.sum("total_price").alias("revenue_dec"),
-        F.count("total_price").alias("n_priced"),
+        F.sum(price).alias("revenue_dec"),
+        F.count(price).alias("n_priced"),
     )
 
 
+def _price(purchases: DataFrame):
+    """The price column; where it is absent, NULL for every row."""
+    if "total_price" in purchases.columns:
+        return F.col("total_price")
+    return F.lit(None).cast("decimal(18,2)")
+
+
 def item_facts(purchases: DataFrame, items: DataFrame) -> DataFrame:
     """One row per purchased item id: totals plus the item attributes (NULL
     for ids missing from the catalogue)."""
@@ -71,10 +80,12 @@ ATTRIBUTES = ("item_name", "item_category", "item_subcategory")
 
 def attribute_totals(facts: DataFrame, attrs=ATTRIBUTES) -> DataFrame:
     """Rows and revenue per value of each item attribute in ONE aggregation
-    (grouping sets over the per-item facts): level, key, n_purchases, revenue.
+    (grouping sets over the per-item facts): level, key, n_purchases, n_priced
+    (rows with a price), revenue.
     NULL attribute values are dropped."""
     g = facts.groupingSets([[a] for a in attrs], *attrs).agg(
         F.sum("n_rows").cast("bigint").alias("n_purchases"),
+        F.sum("n_priced").cast("bigint").alias("n_priced"),
         F.coalesce(F.sum("revenue_dec"), F.lit(0)).cast("double").alias("revenue"),
         *[F.grouping(a).alias(f"_g_{a}") for a in attrs])
     level = None
@@ -83,7 +94,7 @@ def attribute_totals(facts: DataFrame, attrs=ATTRIBUTES) -> DataFrame:
         here = F.col(f"_g_{a}") == 0
         level = F.when(here, F.lit(a)) if level is None else level.when(here, F.lit(a))
         key = F.when(here, F.col(a)) if key is None else key.when(here, F.col(a))
-    return (g.select(level.alias("level"), key.alias("key"), "n_purchases", "revenue")
+    return (g.select(level.alias("level"), key.alias("key"), "n_purchases", "n_priced", "revenue")
             .where(F.col("key").isNotNull()))
 
 
@@ -135,7 +146,7 @@ def customer_totals(purchases: DataFrame) -> DataFrame:
     """Exact spend sum and priced-row count per customer (map-side combined)."""
     return (purchases.where(F.col("customer_id").isNotNull())
             .groupBy("customer_id")
-            .agg(F.sum("total_price").alias("s"), F.count("total_price").alias("c")))
+            .agg(F.sum(_price(purchases)).alias("s"), F.count(_price(purchases)).alias("c")))
 
 
 def customer_mean_spend(purchases: DataFrame, totals: DataFrame | None = None) -> DataFrame:
@@ -145,17 +156,13 @@ def customer_mean_spend(purchases: DataFrame, totals: DataFrame | None = None) -
             .select("customer_id", (F.col("s").cast("double") / F.col("c")).alias("mean_spend")))
 
 
-def spend_distribution(purchases: DataFrame, exact_limit: int = stats.EXACT_LIMIT,
-                       totals: DataFrame | None = None) -> DataFrame:
+def spend_distribution(purchases: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """A11 + A12: count, mean, sample std, min, quartiles and max of the
-    per-customer means (the overall average is the unweighted mean of means)."""
-    per = customer_mean_spend(purchases, totals)
-    probs = [0.25, 0.5, 0.75]
-    n = per.count()
-    if n <= exact_limit:
-        qs = [F.percentile("mean_spend", p) for p in probs]
-    else:
-        qs = [F.lit(v) for v in stats.quantiles(per, "mean_spend", probs, exact_limit)]
+    per-customer means (the overall average is the unweighted mean of means).
+    One row. The means are reduced from the purchases once."""
+    per = customer_mean_spend(purchases, totals if totals is not None
+                              else materialize(customer_totals(purchases)))
+    qs = [F.lit(v).cast("double") for v in stats.quantiles(per, "mean_spend", [0.25, 0.5, 0.75])]
     return per.agg(
         F.count("mean_spend").cast("bigint").alias("count"),
         F.avg("mean_spend").alias("mean"),
@@ -181,16 +188,3 @@ def spend_by_segment(purchases: DataFrame, customers: DataFrame,
             .where(F.col("c") > 0)
             .select(segment_col, (F.col("s").cast("double") / F.col("c")).alias("mean_spend")))
 
-
-def guard(df: DataFrame, cols: list[str], section: str) -> DataFrame:
-    """One message row when a needed column is absent or entirely NULL."""
-    missing = [c for c in cols if c not in df.columns]
-    msg = f"Cannot be determined (missing {' or '.join(cols)} data)"
-    if missing:
-        return df.sparkSession.createDataFrame([(section, msg)], "section string, message string")
-    cond = None
-    for c in cols:
-        e = F.col(f"n_{c}") == 0
-        cond = e if cond is None else (cond | e)
-    status = df.agg(*[F.count(c).alias(f"n_{c}") for c in cols])
-    return status.where(cond).select(F.lit(section).alias("section"), F.lit(msg).alias("message"))

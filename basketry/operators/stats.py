@@ -1,16 +1,11 @@
 """Exact order statistics without gathering a column into one task.
 
 ``quantiles`` returns the linear-interpolation quantiles (numpy/pandas
-``linear`` rule, Spark ``percentile``, DuckDB ``quantile_cont``).
-
-Small inputs (up to ``exact_limit`` values, 1 M by default, so the one
-aggregation buffer holding the distinct values stays small) use Spark's exact
-``percentile``.
-Larger inputs use bounded passes: ``percentile_approx`` brackets each wanted
-rank, then the values below each bracket are counted and the values inside it
-are gathered as (value, count) pairs (at most about 4 n / accuracy distinct
-values, however often each repeats), from which the exact order statistics
-are read. The result is exact in both modes.
+``linear`` rule, Spark ``percentile``, DuckDB ``quantile_cont``). The values
+are reduced to (value, count) pairs, combined map-side, so a value shared by a
+third of all rows is one row; the pairs are dealt into ranges of the value,
+the ranges' counts tell which of them hold the wanted ranks, and only there a
+running count finds the values. Exact, one path for every size.
 """
 
 from __future__ import annotations
@@ -18,66 +13,43 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 1_000_000
-ACCURACY = 1_000_000
-
-
-def _interp(lo: float, hi: float, frac: float) -> float:
-    return lo + (hi - lo) * frac
+from basketry.session import materialize
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float],
-              exact_limit: int = EXACT_LIMIT, accuracy: int = ACCURACY) -> list[float | None]:
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
-    n = vals.count()
-    if n == 0:
+              partitions: int | None = None) -> list[float | None]:
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+             .groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    pairs = materialize(pairs.repartitionByRange(n_parts, "x")
+                        .withColumn("part", F.spark_partition_id()))
+    # one row per range
+    counts = sorted(tuple(r) for r in pairs.groupBy("part").agg(F.sum("n")).collect())
+    total = sum(c for _, c in counts)
+    if not total:
         return [None for _ in probs]
-    if n <= exact_limit:
-        row = vals.agg(*[F.percentile("x", float(p)).alias(f"q{i}")
-                         for i, p in enumerate(probs)]).first()
-        return [row[f"q{i}"] for i in range(len(probs))]
-    # Pass 1: approximate brackets around each wanted rank.
-    margin = 4.0 / accuracy + 2.0 / n
-    edges = []
+    wanted = {}
     for p in probs:
-        edges += [max(0.0, p - margin), min(1.0, p + margin)]
-    approx = vals.agg(F.percentile_approx("x", edges, accuracy).alias("e")).first()["e"]
-    # Pass 2: per quantile, the count below the bracket and the (value, count)
-    # pairs inside it. Duplicates collapse into one pair, so a value shared by
-    # a third of all rows is still one row; the pairs are bounded by the
-    # distinct values within the sketch's rank error.
-    out = []
-    for i, p in enumerate(probs):
-        lo, hi = approx[2 * i], approx[2 * i + 1]
-        below = vals.where(F.col("x") < F.lit(lo)).count()
-        pairs = sorted((r["x"], r["n"]) for r in (
-            vals.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-            .groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()))
-        pos = p * (n - 1)
-        j = int(math.floor(pos))
-        frac = pos - j
-        a = _at_rank(pairs, j - below)
-        b = _at_rank(pairs, min(j + 1, n - 1) - below)
-        if a is None or b is None:
-            # Bracket missed (cannot happen within the sketch's error bound);
-            # fall back to the exact aggregate rather than return a wrong value.
-            out.append(vals.agg(F.percentile("x", float(p))).first()[0])
-        else:
-            out.append(_interp(a, b, frac))
-    return out
-
-
-def _at_rank(pairs: list[tuple[float, int]], r: int) -> float | None:
-    """Value at 0-based rank ``r`` of the multiset given as sorted (value, count)."""
-    if r < 0:
-        return None
-    seen = 0
-    for v, c in pairs:
-        seen += c
-        if r < seen:
-            return v
-    return None
+        pos = p * (total - 1)
+        lo = math.floor(pos)
+        wanted[p] = (lo, min(lo + 1, total - 1), pos - lo)
+    ranks = sorted({r for lo, hi, _ in wanted.values() for r in (lo, hi)})
+    value, before = {}, 0
+    for part, c in counts:
+        own = [r for r in ranks if before <= r < before + c]
+        if own:
+            upto = F.sum("n").over(Window.partitionBy("part").orderBy("x")) + F.lit(before)
+            run = pairs.where(F.col("part") == part).select(
+                "x", upto.alias("upto"), (upto - F.col("n")).alias("from"))
+            hit = None
+            for r in own:
+                here = (F.col("from") <= r) & (F.col("upto") > r)
+                hit = here if hit is None else hit | here
+            for row in run.where(hit).collect():           # at most one per wanted rank
+                value |= {r: row["x"] for r in own if row["from"] <= r < row["upto"]}
+        before += c
+    return [value[lo] + (value[hi] - value[lo]) * f for lo, hi, f in
+            (wanted[p] for p in probs)]

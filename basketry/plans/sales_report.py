@@ -1,10 +1,10 @@
 """A16 + A34: the sales report as one long-form frame.
 
-Schema: section, key, value, rank, message. Every ranked list, the per-customer
-means, the distribution and the segment means are ``unionByName``-ed, so the
-whole report is one Spark job graph over the same scans (identical
-sub-plans share their exchanges). A section whose input column is missing or
-entirely NULL yields one row with the "Cannot be determined" message instead.
+Schema: section, key, value, rank, message. The fact table is reduced twice,
+to one row per item and one per customer; every section is computed from
+those written tables. A section whose column is absent or entirely NULL
+yields one row with the "Cannot be determined" message instead; one small
+aggregate over the reductions decides that.
 """
 
 from __future__ import annotations
@@ -29,13 +29,8 @@ def _rows(df: DataFrame, section: str, key: str | None, value: str,
     )
 
 
-def _when_empty(df: DataFrame, section: str, what: str) -> DataFrame:
-    """Message row when the aggregated input has no group at all."""
-    msg = f"Cannot be determined (missing {what} data)"
-    return (df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)
-            .select(F.lit(section).alias("section"), F.lit(None).cast("string").alias("key"),
-                    F.lit(None).cast("double").alias("value"),
-                    F.lit(None).cast("int").alias("rank"), F.lit(msg).alias("message")))
+def _message(section: str, what: str) -> tuple:
+    return (section, None, None, None, f"Cannot be determined (missing {what} data)")
 
 
 def _ranked(totals: DataFrame, attr: str, metric: str, n: int, descending: bool,
@@ -44,60 +39,77 @@ def _ranked(totals: DataFrame, attr: str, metric: str, n: int, descending: bool,
                         descending=descending, key_descending=key_descending)
 
 
-def _lists():
-    # section, attribute, metric, metric descending, key descending, guard text
-    return [
-        ("top_selling_items", "item_name", "n_purchases", True, False, "ItemName"),
-        ("bottom_selling_items", "item_name", "n_purchases", False, True, "ItemName"),
-        ("top_selling_categories", "item_category", "n_purchases", True, False, "ItemCategory"),
-        ("top_selling_subcategories", "item_subcategory", "n_purchases", True, False,
-         "ItemSubcategory"),
-        ("bottom_selling_subcategories", "item_subcategory", "n_purchases", False, True,
-         "ItemSubcategory"),
-        ("revenue_top_items", "item_name", "revenue", True, False, "ItemName or TotalPrice"),
-        ("revenue_bottom_items", "item_name", "revenue", False, False, "ItemName or TotalPrice"),
-        ("revenue_top_categories", "item_category", "revenue", True, False,
-         "ItemCategory or TotalPrice"),
-        ("revenue_top_subcategories", "item_subcategory", "revenue", True, False,
-         "ItemSubcategory or TotalPrice"),
-    ]
+# Sections, and the column names that their messages give.
+#   section, attribute, metric, metric descending, key descending, guard text
+LISTS = [
+    ("top_selling_items", "item_name", "n_purchases", True, False, "ItemName"),
+    ("bottom_selling_items", "item_name", "n_purchases", False, True, "ItemName"),
+    ("top_selling_categories", "item_category", "n_purchases", True, False, "ItemCategory"),
+    ("top_selling_subcategories", "item_subcategory", "n_purchases", True, False,
+     "ItemSubcategory"),
+    ("bottom_selling_subcategories", "item_subcategory", "n_purchases", False, True,
+     "ItemSubcategory"),
+    ("revenue_top_items", "item_name", "revenue", True, False, "ItemName or TotalPrice"),
+    ("revenue_bottom_items", "item_name", "revenue", False, False, "ItemName or TotalPrice"),
+    ("revenue_top_categories", "item_category", "revenue", True, False,
+     "ItemCategory or TotalPrice"),
+    ("revenue_top_subcategories", "item_subcategory", "revenue", True, False,
+     "ItemSubcategory or TotalPrice"),
+]
+SPENDING, SEGMENT = "CustomerID or TotalPrice", "CustomerSegment or TotalPrice"
+QUARTILES = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+             ("25%", "p25"), ("50%", "p50"), ("75%", "p75"), ("max", "max")]
 
 
 def sales_report(purchases: DataFrame, items: DataFrame, customers: DataFrame,
                  n: int = 10, segment_col: str = "segment") -> DataFrame:
-    """The fact table is read twice in all: once reduced to one row per item
-    (then to one row per attribute value with grouping sets), once to one row
-    per customer. Both reductions are materialised in the checkpoint folder
-    and every section is computed from them."""
-    facts = materialize(sales.attribute_totals(sales.item_facts(purchases, items)))
-    totals = materialize(sales.customer_totals(purchases))
+    """A list needs its attribute, a revenue list also a price in any
+    purchase; spending needs customer ids and prices; the segment means need
+    segments and prices."""
+    spark = purchases.sparkSession
+    per_item = materialize(sales.item_facts(purchases, items))
+    attrs = [a for a in sales.ATTRIBUTES if a in per_item.columns]
+    guard = per_item.agg(F.sum("n_priced").alias("priced"),
+                         *[F.count(a).alias(a) for a in attrs]).first().asDict()
+    priced = bool(guard.pop("priced"))
+    present = {a for a in attrs if guard[a]}
     parts: list[DataFrame] = []
-    for section, attr, metric, md, kd, what in _lists():
-        parts.append(_rows(_ranked(facts, attr, metric, n, md, kd), section, attr, metric))
-        parts.append(_when_empty(sales.level(facts, attr), section, what))
-    per = sales.customer_mean_spend(purchases, totals)
-    parts.append(_rows(per, "customer_spending_per_customer", "customer_id", "mean_spend",
-                       with_rank=False))
-    parts.append(_when_empty(per, "customer_spending", "CustomerID or TotalPrice"))
-    dist = sales.spend_distribution(purchases, totals=totals)
-    parts.append(_rows(dist.where(F.col("count") > 0), "customer_spending_overall_average",
-                       None, "mean", with_rank=False))
-    stack = dist.where(F.col("count") > 0).select(F.expr(
-        "stack(8, 'count', cast(count as double), 'mean', mean, 'std', std, 'min', min, "
-        "'25%', p25, '50%', p50, '75%', p75, 'max', max) as (key, value)"))
-    parts.append(_rows(stack, "customer_spending_distribution", "key", "value",
-                       with_rank=False))
-    if segment_col in customers.columns:
-        seg = sales.spend_by_segment(purchases, customers, segment_col, totals=totals)
-        parts.append(_rows(seg, "customer_spending_by_segment", segment_col, "mean_spend",
+    messages: list[tuple] = []
+    if present:
+        facts = materialize(sales.attribute_totals(per_item, [a for a in attrs if a in present]))
+    for section, attr, metric, md, kd, what in LISTS:
+        if attr in present and (priced or metric != "revenue"):
+            parts.append(_rows(_ranked(facts, attr, metric, n, md, kd), section, attr, metric))
+        else:
+            messages.append(_message(section, what))
+    if priced and "customer_id" in purchases.columns:
+        totals = materialize(sales.customer_totals(purchases))
+        spending = bool(totals.where(F.col("c") > 0).take(1))
+    else:
+        totals, spending = None, False
+    if spending:
+        per = sales.customer_mean_spend(purchases, totals)
+        parts.append(_rows(per, "customer_spending_per_customer", "customer_id", "mean_spend",
+                           with_rank=False))
+        row = sales.spend_distribution(purchases, totals=totals).first()
+        parts.append(spark.createDataFrame(
+            [("customer_spending_overall_average", None, row["mean"], None, None)]
+            + [("customer_spending_distribution", key,
+                None if row[name] is None else float(row[name]), None, None)
+               for key, name in QUARTILES], REPORT_SCHEMA))
+    else:
+        messages.append(_message("customer_spending", SPENDING))
+    segments = None
+    if spending and segment_col in customers.columns:
+        segments = materialize(sales.spend_by_segment(purchases, customers, segment_col,
+                                                      totals=totals))
+    if segments is not None and segments.take(1):
+        parts.append(_rows(segments, "customer_spending_by_segment", segment_col, "mean_spend",
                            with_rank=False))
-        parts.append(_when_empty(seg, "customer_spending_by_segment",
-                                 "CustomerSegment or TotalPrice"))
     else:
-        parts.append(purchases.sparkSession.createDataFrame(
-            [("customer_spending_by_segment", None, None, None,
-              "Cannot be determined (missing CustomerSegment or TotalPrice data)")],
-            REPORT_SCHEMA))
+        messages.append(_message("customer_spending_by_segment", SEGMENT))
+    if messages:
+        parts.append(spark.createDataFrame(messages, REPORT_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basketry.operators import features as feat
 from basketry.operators import segments as seg
@@ -60,6 +59,3 @@ def export_segments(purchases: DataFrame, result: Segmentation, rows_path: str,
         files.write_table(seg.sizes(result.assigned), counts_path, "csv")
     return means
 
-
-def cluster_means_for(result: Segmentation) -> DataFrame:
-    return seg.profile_weighted(result.assigned).orderBy(F.col("cluster"))

@@ -41,6 +41,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     ])
 
 
+def item_tables(spark: SparkSession, sf_dir: str):
+    """What item-only lists need: purchase lines without their orders, items."""
+    return wh.purchase_lines(spark, sf_dir), wh.items(spark, sf_dir)
+
+
 def tables(spark: SparkSession, sf_dir: str):
     return wh.purchases(spark, sf_dir), wh.items(spark, sf_dir), wh.customers(spark, sf_dir)
 
@@ -102,7 +107,7 @@ FROM by_{attr} QUALIFY rank <= {n}""")
 # ---------------------------------------------------------------- sales
 def _ranked_query(attr: str, metric: str, fn, n: int = 10):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p, i, _ = tables(spark, sf_dir)
+        p, i = item_tables(spark, sf_dir)
         return rounded(fn(p, i, attr, n))
     return q
 
@@ -133,7 +138,7 @@ SELECT item_category, round(revenue, 6) AS revenue,
 FROM by_item_category""")
 def revenue_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: A8 + A15, revenue per category with its share and rank."""
-    p, i, _ = tables(spark, sf_dir)
+    p, i = item_tables(spark, sf_dir)
     top = sales.top_by_revenue(p, i, "item_category", 10)
     sh = sales.share(p, i, "item_category", "revenue").select("item_category", "share_pct")
     return rounded(top.join(sh, "item_category").select(
@@ -145,7 +150,7 @@ SELECT item_category, n_purchases,
        round(n_purchases * 100.0 / sum(n_purchases) OVER (), 6) AS share_pct
 FROM by_item_category""")
 def category_volume_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i, _ = tables(spark, sf_dir)
+    p, i = item_tables(spark, sf_dir)
     return rounded(sales.share(p, i, "item_category", "n_purchases"))
 
 
@@ -154,7 +159,7 @@ SELECT item_category, round(revenue, 6) AS revenue,
        round(revenue * 100.0 / sum(revenue) OVER (), 6) AS share_pct
 FROM by_item_category""")
 def category_revenue_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, i, _ = tables(spark, sf_dir)
+    p, i = item_tables(spark, sf_dir)
     return rounded(sales.share(p, i, "item_category", "revenue"))
 
 
@@ -198,7 +203,7 @@ def spend_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sales.spend_by_segment(p, c))
 
 
-def _report_sql() -> str:
+def _report_sql(priced: bool = True) -> str:
     attrs = ["item_name", "item_category", "item_subcategory"]
     sections = [
         ("top_selling_items", "item_name", "n_purchases", True, False),
@@ -213,6 +218,10 @@ def _report_sql() -> str:
     ]
     sel = []
     for section, attr, metric, md, kd in sections:
+        if metric == "revenue" and not priced:
+            name = "Item" + attr.removeprefix("item_").capitalize()
+            sel.append(_message_sql(section, f"{name} or TotalPrice"))
+            continue
         order = f"{metric} {'DESC' if md else 'ASC'}, {attr} {'DESC' if kd else 'ASC'}"
         sel.append(f"""
 SELECT '{section}' AS section, CAST({attr} AS VARCHAR) AS key,
@@ -220,6 +229,11 @@ SELECT '{section}' AS section, CAST({attr} AS VARCHAR) AS key,
        CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank,
        CAST(NULL AS VARCHAR) AS message
 FROM by_{attr} QUALIFY rank <= 10""")
+    if not priced:
+        sel.append(_message_sql("customer_spending", "CustomerID or TotalPrice"))
+        sel.append(_message_sql("customer_spending_by_segment", "CustomerSegment or TotalPrice"))
+        return (with_(*[by_attr_sql(a) for a in attrs])
+                + "\nUNION ALL".join(f"({s})" for s in sel))
     sel.append("""
 SELECT 'customer_spending_per_customer', CAST(customer_id AS VARCHAR), round(mean_spend, 6),
        CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR) FROM per_customer""")
@@ -246,6 +260,20 @@ WHERE c.segment IS NOT NULL GROUP BY c.segment HAVING count(p.total_price) > 0""
         "\nUNION ALL".join(f"({s})" for s in sel)
 
 
+def _message_sql(section: str, what: str) -> str:
+    return f"""
+SELECT '{section}' AS section, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS DOUBLE) AS value,
+       CAST(NULL AS INTEGER) AS rank, 'Cannot be determined (missing {what} data)' AS message"""
+
+
+@register("sales_report_unpriced", _report_sql(priced=False))
+def sales_report_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P18 + A34: the same purchases without any price."""
+    p, i, c = tables(spark, sf_dir)
+    return sales_report.sales_report(
+        p.withColumn("total_price", F.lit(None).cast("decimal(18,2)")), i, c)
+
+
 @register("sales_report", _report_sql())
 def sales_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every section of the report in long form."""
@@ -278,7 +306,7 @@ FROM by_{attr} QUALIFY rank <= {n}""")
 @register("sales_dashboard", _dashboard_sql())
 def sales_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
-    p, i, _ = tables(spark, sf_dir)
+    p, i = item_tables(spark, sf_dir)
     return rounded(sales_report.dashboard(p, i))
 
 
@@ -288,7 +316,14 @@ from basketry.operators import segments as seg  # noqa: E402
 
 REF = wh.REFERENCE_DATE
 EPOCH = wh.EPOCH
-K_FIXED = 5
+#: Five centres of the scaled features, in the order of FEATURES.
+CENTRES = (
+    (-0.5, 1.0, 1.5, 0.0, 0.5, -0.5, 0.5, -0.5, 0.5, 0.0, 0.0),
+    (0.0, 0.0, 0.0, -1.0, 1.0, -1.0, 0.0, 0.0, 0.0, 0.5, -0.5),
+    (0.0, 0.0, 0.0, 1.0, -1.0, 1.0, 0.0, 0.0, 0.0, -0.5, 0.5),
+    (1.5, -1.0, -1.0, 0.0, 0.0, 0.0, -0.5, 1.0, -0.5, 0.0, 0.0),
+    (0.5, -0.5, -0.5, 0.5, 0.5, -0.5, 1.0, 0.5, 0.0, -1.0, 1.0),
+)
 
 _AGG_SQL = f"""
 agg AS (
@@ -344,13 +379,13 @@ _SCALED_SQL = _FEAT_SQL + ",\nscaled AS (\n  SELECT customer_id, " + ",\n    ".j
     f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN (CAST({c} AS DOUBLE) - avg({c}) OVER ()) "
     f"/ stddev_pop({c}) OVER () ELSE 0.0 END AS {c}" for c in _F) + "\n  FROM feat)"
 
+_CENTRES_SQL = ", ".join(
+    "(" + ", ".join([f"CAST({j} AS INTEGER)", *[f"CAST({v} AS DOUBLE)" for v in c]]) + ")"
+    for j, c in enumerate(CENTRES))
 _DIST_EXPR = " + ".join(f"(s.{c} - c.{c}) * (s.{c} - c.{c})" for c in _F)
 _ASSIGN_SQL = _SCALED_SQL + f""",
 sr AS (SELECT customer_id, {', '.join(f'round({c}, 6) AS {c}' for c in _F)} FROM scaled),
-cen AS (
-  SELECT CAST(row_number() OVER (ORDER BY customer_id) - 1 AS INTEGER) AS cluster,
-         {', '.join(_F)}
-  FROM sr QUALIFY cluster < {K_FIXED}),
+cen AS (SELECT * FROM (VALUES {_CENTRES_SQL}) AS t(cluster, {', '.join(_F)})),
 dist AS (SELECT s.customer_id, c.cluster, {_DIST_EXPR} AS distance FROM sr s CROSS JOIN cen c),
 assigned AS (
   SELECT customer_id, cluster, distance FROM dist
@@ -461,14 +496,15 @@ def standardized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixed(spark: SparkSession, sf_dir: str):
-    """Features (materialised), their scaled form, the fixed centres and the
-    feature rows with cluster and distance (a projection of the features)."""
+    """Features (materialised), their scaled form, the literal centres and the
+    feature rows with cluster and distance (a projection of the features). The
+    coordinates are rounded to 6 places, as in the SQL."""
     from basketry.session import materialize
     f = materialize(_features(spark, sf_dir))
     ex = feat.standardized_exprs(f)
     s = feat.standardize(f, exprs=ex)
-    centres = seg.fixed_centres(s, K_FIXED)
-    a = seg.assign(f, centres, keep=f.columns, exprs=ex)
+    centres = [list(c) for c in CENTRES]
+    a = seg.assign(f, centres, places=6, keep=f.columns, exprs=ex)
     return f, s, centres, a
 
 
@@ -492,7 +528,8 @@ def segment_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("segment_profile_weighted", with_(_ASSIGN_SQL) + "\nSELECT a.cluster, " + ", ".join(
-    f"round(sum(CAST(f.{c} AS DOUBLE) * f.frequency) / sum(CAST(f.frequency AS DOUBLE)), 2) AS {c}"
+    f"round_even(sum(CAST(f.{c} AS DOUBLE) * f.frequency) / sum(CAST(f.frequency AS DOUBLE)), 2) "
+    f"AS {c}"
     for c in _P) + " FROM feat f JOIN assigned a ON f.customer_id = a.customer_id GROUP BY a.cluster")
 def segment_profile_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A22 + J5 under fixed centres."""
@@ -735,6 +772,15 @@ def purchase_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.history_strings(c.select("customer_id"), am, i)
 
 
+@register("purchase_history_rows", with_(_MATRIX_SQL) + """
+SELECT m.customer_id, m.item_id, i.item_name
+FROM amatrix m LEFT JOIN items i ON m.item_id = i.item_id WHERE m.quantity > 0""")
+def purchase_history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A31 in long form: one row per customer and item bought."""
+    _, i, _, _, am = _matrix(spark, sf_dir)
+    return inter.history(am, i)
+
+
 _RECS_SQL = f"""
 recs AS (
   SELECT customer_id, item_id, rn AS rank FROM (
@@ -773,6 +819,123 @@ def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.batch_strings(c.select("customer_id"), am, rec.with_names(recs, i), i)
 
 
+# Returned line items as the purchases: many customers then have few or no
+# items, and suppliers' keys make up requests of unknown customers.
+_RETURNED = BASE.replace("ON l.l_orderkey = o.o_orderkey)",
+                         "ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R')")
+_REQUESTS_SQL = """
+requests AS (SELECT customer_id FROM customers
+             UNION SELECT s_suppkey + 100000000 FROM supplier)"""
+
+
+def _returned(spark: SparkSession, sf_dir: str):
+    """Matrix and active matrix of returned items, and the requests."""
+    from basketry.session import materialize
+    m = materialize(inter.user_item_matrix(wh.purchases(spark, sf_dir, "R")))
+    am = materialize(m.join(inter.active_users(m, MIN_ITEMS), "customer_id", "left_semi"))
+    unknown = wh.table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 100000000).alias("customer_id"))
+    requests = wh.customers(spark, sf_dir).select("customer_id").union(unknown).distinct()
+    return m, am, requests
+
+
+@register("recommend_requests", "WITH " + ",".join((
+    _RETURNED, _MATRIX_SQL, _REQUESTS_SQL, _RECS_SQL.replace("FROM customers c", "FROM requests c"))) + """
+SELECT customer_id, rank, item_id FROM recs""")
+def recommend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R13/R14 + J8: popularity for active, inactive and unknown customers."""
+    m, am, requests = _returned(spark, sf_dir)
+    return rec.recommend_unseen_by_rank(requests, m, rec.ranked_popularity(am, m), K)
+
+
+# Vectors given by the keys, so that scores are whole numbers on both sides.
+_USER_VECTOR = ("{0} % 7", "{0} % 11", "{0} % 3 - 1")
+_ITEM_VECTOR = ("{0} % 5 - 2", "{0} % 13", "{0} % 17")
+_DOT = " + ".join(f"({u.format('a.customer_id')}) * ({v.format('b.item_id')})"
+                  for u, v in zip(_USER_VECTOR, _ITEM_VECTOR))
+
+
+def _given_sql(requests: str, mask: bool) -> str:
+    """Lists of K items: the products for active requesters, then popularity."""
+    unseen = """
+    WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.customer_id = a.customer_id
+                      AND m.item_id = b.item_id AND m.quantity > 0)""" if mask else ""
+    also = "" if not mask else """
+                      OR EXISTS (SELECT 1 FROM matrix m WHERE m.customer_id = a.customer_id
+                                 AND m.item_id = b.item_id AND m.quantity > 0)"""
+    return f"""
+asked AS (SELECT DISTINCT customer_id FROM {requests}),
+scored AS (
+  SELECT a.customer_id, b.item_id, CAST({_DOT} AS DOUBLE) AS score,
+         CAST(row_number() OVER (PARTITION BY a.customer_id
+              ORDER BY {_DOT} DESC, b.item_id) AS INTEGER) AS rank
+  FROM (SELECT customer_id FROM asked WHERE customer_id IN (SELECT customer_id FROM active)) a
+  CROSS JOIN (SELECT DISTINCT item_id FROM amatrix) b{unseen}
+  QUALIFY rank <= {K}),
+have AS (SELECT a.customer_id, CAST(count(s.item_id) AS INTEGER) AS n FROM asked a
+         LEFT JOIN scored s ON a.customer_id = s.customer_id GROUP BY a.customer_id),
+filled AS (
+  SELECT a.customer_id, b.item_id, CAST(NULL AS DOUBLE) AS score, a.n
+         + CAST(row_number() OVER (PARTITION BY a.customer_id ORDER BY b.rank) AS INTEGER) AS rank
+  FROM have a CROSS JOIN ranked b
+  WHERE a.n < {K} AND NOT (EXISTS (SELECT 1 FROM scored s WHERE s.customer_id = a.customer_id
+                                   AND s.item_id = b.item_id){also})
+  QUALIFY rank <= {K}),
+given AS (SELECT customer_id, rank, item_id, score FROM scored
+          UNION ALL SELECT customer_id, rank, item_id, score FROM filled)"""
+
+
+def _given_lists(spark: SparkSession, m: DataFrame, am: DataFrame, requests: DataFrame,
+                 exclude: bool) -> DataFrame:
+    from basketry.plans import training
+
+    def vector(key: str, parts) -> DataFrame:
+        return F.array(*[F.expr(p.format(key)).cast("float") for p in parts]).alias("features")
+
+    users = am.select("customer_id").distinct()
+    user_index = users.select("customer_id", F.col("customer_id").alias("user_idx"))
+    wanted = user_index.join(requests.select("customer_id").distinct(), "customer_id",
+                             "left_semi")
+    items = am.select("item_id").distinct()
+    return training.recommend_by_factors(
+        requests, wanted.select("user_idx", vector("user_idx", _USER_VECTOR)),
+        items.select(F.col("item_id").alias("id"), vector("item_id", _ITEM_VECTOR)),
+        user_index, items.select("item_id", F.col("item_id").alias("item_idx")), am, m, None, K,
+        exclude)
+
+
+@register("recommend_given_factors", "WITH " + ",".join((
+    _RETURNED, _MATRIX_SQL, _REQUESTS_SQL, _given_sql("requests", True))) + """
+SELECT customer_id, rank, item_id, score FROM given""")
+def recommend_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12-R14 + W3: lists by given vectors, history masked, popularity for
+    requesters without a vector and for short lists."""
+    m, am, requests = _returned(spark, sf_dir)
+    return _given_lists(spark, m, am, requests, True)
+
+
+_GIVEN_EVAL = """
+actual AS (
+  SELECT DISTINCT customer_id, item_id FROM purchases
+  WHERE purchase_date >= (SELECT cut FROM cut) AND customer_id IS NOT NULL
+    AND item_id IS NOT NULL)"""
+
+
+@register("evaluation_given_factors", "WITH " + ",".join((
+    _RETURNED, _MATRIX_SQL, _GIVEN_EVAL, _given_sql("actual", False))) + f"""
+SELECT a.customer_id, round(CAST(count(g.item_id) AS DOUBLE) / {float(K)}, 6) AS precision,
+       round(CAST(count(g.item_id) AS DOUBLE) / count(*), 6) AS recall
+FROM actual a LEFT JOIN given g ON a.customer_id = g.customer_id AND a.item_id = g.item_id
+GROUP BY a.customer_id""")
+def evaluation_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R16 + X1 + W4: precision and recall of every test customer's own list."""
+    m, am, _ = _returned(spark, sf_dir)
+    p = wh.purchases(spark, sf_dir, "R")
+    actual = rec.actual_after(p, _cut(p))
+    lists = _given_lists(spark, m, am, actual.select("customer_id"), False)
+    return rounded(rec.precision_recall(lists, actual, K))
+
+
 def _cut(p: DataFrame):
     from basketry.functions.columns import scalar
     return scalar(p.select(F.add_months(F.max("purchase_date"), -MONTHS)))
@@ -816,9 +979,19 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- model-based (rows checks)
+@register("single_cluster_inertia", with_(_SCALED_SQL) + "\nSELECT round(" + " + ".join(
+    f"sum({c} * {c})" for c in _F) + ", 3) AS inertia FROM scaled")
+def single_cluster_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + A33 for k = 1, where the centre is the mean."""
+    from basketry.session import materialize
+    s = feat.standardize(materialize(_features(spark, sf_dir)))
+    cost, _ = seg.fit_many(s, feat.FEATURES, [(1, DEFAULTS.seed)], DEFAULTS.fit_max_iter)[0]
+    return spark.createDataFrame([(round(cost, 3),)], "inertia double")
+
+
 @register("kmeans_segments")
 def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4 + M5 + M6 + M7 + P22: best of 10 seeded K-means fits (fitted together), k = 5."""
+    """M4 + M5 + M6 + M7 + P22: best of 10 seeded K-means fits, k = 5."""
     from basketry.plans import segmentation
     p, i, c = tables(spark, sf_dir)
     res = segmentation.segment_customers(p, i, c, DEFAULTS.n_clusters, ref_date=REF, epoch=EPOCH)
@@ -924,6 +1097,33 @@ def preprocessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("unit_price", F.col("unit_price").cast("double"))
 
 
+@register("preprocessed_items_gaps", with_() + """
+SELECT item_id, coalesce(CASE WHEN item_category = 'Service' THEN item_name END, 'Unknown')
+         AS item_name, item_category, coalesce(nullif(item_subcategory, (SELECT min(item_subcategory)
+         FROM items)), 'Unknown') AS item_subcategory, CAST(unit_price AS DOUBLE) AS unit_price
+FROM items""")
+def preprocessed_items_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + P8 where text is missing: products without a name, one subcategory blank."""
+    from basketry.functions.columns import scalar
+    i = wh.items(spark, sf_dir)
+    blank = scalar(i.agg(F.min("item_subcategory")))
+    i = i.withColumn("item_name", F.when(F.col("item_category") == "Service", F.col("item_name")))
+    i = inter.preprocess_items(i.withColumn("item_subcategory",
+                                            F.nullif(F.col("item_subcategory"), blank)))
+    return i.withColumn("unit_price", F.col("unit_price").cast("double"))
+
+
+@register("rescaled_interactions", with_(_MATRIX_SQL) + """
+SELECT customer_id, item_id, CAST(quantity AS DOUBLE) AS quantity FROM amatrix
+WHERE item_id IN (SELECT item_id FROM items)""")
+def rescaled_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 + R6: scaled with the fitted ranges and back."""
+    _, i, _, _, am = _matrix(spark, sf_dir)
+    ranges = inter.item_ranges(am, i)
+    back = inter.inverse_scale(inter.minmax_scale(am, ranges), ranges, "value")
+    return rounded(back.select("customer_id", "item_id", F.col("value").alias("quantity")))
+
+
 @register("event_item_matrix", """
 SELECT user_id AS customer_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
        CAST(count(*) AS BIGINT) AS quantity

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,7 +47,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if configured:
-        if not current:
+        if not current or not current.startswith(configured.rstrip("/")):
             sc.setCheckpointDir(configured)
         return configured
     if current:
@@ -61,19 +62,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+#: Folders that ``materialize`` wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
 def materialize(df):
-    """Write ``df`` to the checkpoint folder and return a frame reading it.
+    """Write ``df`` once as Parquet in the checkpoint folder and return a frame
+    reading it.
 
-    Used where one aggregate feeds many downstream queries (report sections,
+    Used where one aggregate feeds many downstream steps (report sections,
     fit/assign/profile passes): the aggregate is computed once, survives
     executor loss (it is a file in the shared folder, unlike a local
-    checkpoint) and later plans start from a plain scan.
+    checkpoint), later plans start from a plain scan, and Spark knows its real
+    size when it chooses a join.
     """
-    from pyspark import StorageLevel
-    checkpoint_dir(df.sparkSession)
-    # Persist first: an RDD checkpoint otherwise recomputes its input.
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/basketry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_materialized(spark: SparkSession) -> int:
+    """Remove what ``materialize`` wrote in this application; frames that read
+    those tables must not be used afterwards. Returns the number of folders."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)

@@ -1,38 +1,57 @@
 """CSV/Parquet/JSON readers and writers of the canonical tables.
 
-CSV files carry the generator's CamelCase headers; the frames use snake_case
-names from ``schemas``. Columns are matched by position against an explicit
-schema, so nothing is inferred and a missing file raises ``AnalysisException``
-when the read is planned.
+CSV files carry the generator's CamelCase headers (``schemas.CSV_HEADERS``);
+the frames use the snake_case names of ``schemas``. Columns are bound by
+header name, in any order; a header without one of them raises
+``ValueError``, columns that are not known are left out. Cells that cannot be
+read as their type fail the job (``mode="FAILFAST"``, the default); with
+``mode="PERMISSIVE"`` they become NULL. Nothing is inferred, and a missing
+file raises ``AnalysisException`` when the read is planned.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.sources import schemas
 
+FAIL = "FAILFAST"
 
-def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True)
-            .option("mode", "PERMISSIVE").csv(path))
 
+def _read_csv(spark: SparkSession, path: str, name: str, schema: T.StructType,
+              mode: str) -> DataFrame:
+    # the header alone, as the reader names the columns
+    found = spark.read.option("header", True).csv(path).columns
+    known = dict(zip(schemas.CSV_HEADERS[name], schema.fields))
+    missing = [h for h in known if h not in found]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
+    as_read = T.StructType([
+        T.StructField(h, known[h].dataType if h in known else T.StringType(), True)
+        for h in found])
+    raw = (spark.read.schema(as_read).option("header", True).option("enforceSchema", False)
+           .option("mode", mode).csv(path))
+    return raw.select(*[F.col(f"`{h}`").alias(f.name) for h, f in known.items()])
 
-def read_customers(spark: SparkSession, path: str) -> DataFrame:
+
+def read_customers(spark: SparkSession, path: str, mode: str = FAIL) -> DataFrame:
     """S1."""
-    return _read_csv(spark, path, schemas.CUSTOMERS)
+    return _read_csv(spark, path, "customers", schemas.CUSTOMERS, mode)
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
+def read_items(spark: SparkSession, path: str, mode: str = FAIL) -> DataFrame:
     """S2."""
-    return _read_csv(spark, path, schemas.ITEMS)
+    return _read_csv(spark, path, "items", schemas.ITEMS, mode)
 
 
-def read_purchases(spark: SparkSession, path: str) -> DataFrame:
-    """S3. Dates may carry a time part in the file; they are cut to the day."""
-    raw = _read_csv(spark, path, schemas.PURCHASES_RAW)
-    return raw.withColumn("purchase_date", F.to_date(F.substring("purchase_date", 1, 10)))
+def read_purchases(spark: SparkSession, path: str, mode: str = FAIL) -> DataFrame:
+    """S3. Dates may carry a time part in the file; it is parsed and dropped."""
+    raw = _read_csv(spark, path, "purchases", schemas.PURCHASES_RAW, mode)
+    day = F.col("purchase_date").cast("timestamp") if mode == FAIL else F.expr(
+        "try_cast(purchase_date as timestamp)")
+    return raw.withColumn("purchase_date", day.cast("date"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
@@ -54,10 +73,13 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read back a written table."""
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """Read back a written table. CSV needs ``schema`` (a DDL string or
+    struct); without one its columns are strings, as no pass over the file is
+    spent on guessing types."""
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        reader = spark.read.option("header", True)
+        return (reader.schema(schema) if schema is not None else reader).csv(path)
     if fmt == "json":
         return spark.read.json(path)
     return spark.read.parquet(path)

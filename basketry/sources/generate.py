@@ -114,8 +114,11 @@ def gen_purchases(spark: SparkSession, customers: DataFrame, n: int = 5000,
 
 def write_generated(customers: DataFrame, items: DataFrame, purchases: DataFrame,
                     out_dir: str) -> None:
-    """The three tables as CSV with headers."""
+    """The three tables as CSV with the documented headers."""
+    from basketry.sources import schemas
     from basketry.sources.files import write_table
-    write_table(customers, f"{out_dir}/customers", "csv")
-    write_table(items, f"{out_dir}/items", "csv")
-    write_table(purchases, f"{out_dir}/purchases", "csv")
+    for name, df in (("customers", customers), ("items", items), ("purchases", purchases)):
+        fields = getattr(schemas, name.upper()).names
+        named = df.select(*[F.col(f).alias(h) for f, h in zip(fields, schemas.CSV_HEADERS[name])],
+                          *[c for c in df.columns if c not in fields])
+        write_table(named, f"{out_dir}/{name}", "csv")

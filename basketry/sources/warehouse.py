@@ -67,8 +67,20 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchase columns that need no order (customer and date left out):
+    item-only lists read the line items alone."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("item_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("total_price"))
+
+
+def purchases(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+    """All line items as purchases, or those with one return flag."""
     li = table(spark, sf_dir, "lineitem")
+    if flag is not None:
+        li = li.where(F.col("l_returnflag") == flag)
     o = table(spark, sf_dir, "orders")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").alias("customer_id"),

@@ -42,9 +42,11 @@ def popularity_answer(purchases: DataFrame, items: DataFrame, k: int = 5,
     from basketry.operators import interactions as I
     from basketry.operators import recommend as R
     from basketry.plans import serving
+    from basketry.session import materialize
 
-    m = I.user_item_matrix(purchases)
-    am = m.join(I.active_users(m, min_items), "customer_id", "left_semi")
+    # reduced once, when the stream starts; micro-batches read the written tables
+    m = materialize(I.user_item_matrix(purchases))
+    am = materialize(m.join(I.active_users(m, min_items), "customer_id", "left_semi"))
     ranked = R.ranked_popularity(am, m)
 
     def answer(requests: DataFrame) -> DataFrame:

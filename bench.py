@@ -24,7 +24,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from basketry import registry  # noqa: E402
-from basketry.session import local_session  # noqa: E402
+from basketry.session import clear_materialized, local_session  # noqa: E402
 
 HEADLINE = [
     "revenue_by_category",
@@ -39,7 +39,9 @@ HEADLINE = [
     "recommend_batch",
     "evaluation_summary",
     "kmeans_segments",
+    "elbow_series",
     "recommend_latent",
+    "evaluation_latent",
 ]
 
 
@@ -58,6 +60,7 @@ def main() -> None:
         df = registry.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        clear_materialized(spark)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({

@@ -69,3 +69,27 @@ def test_inverse_scale(spark):
                                    "customer_id string, item_id string, score double")
     got = {r.item_id: r.score for r in I.inverse_scale(scores, ranges).collect()}
     assert got == {"a": 3.0, "c": 0.25}
+
+
+def test_scaling_needs_fitted_ranges(spark):
+    import pytest
+    cells = spark.createDataFrame([("u", "a", 3), ("u", "z", 1)],
+                                  "customer_id string, item_id string, quantity bigint")
+    with pytest.raises(ValueError):
+        I.minmax_scale(cells, None)
+    ranges = spark.createDataFrame([("a", 1.0, 5.0, 4.0)],
+                                   "item_id string, data_min double, data_max double, scale double")
+    assert [tuple(r) for r in I.minmax_scale(cells, ranges).collect()] == [("u", "a", 0.5)]
+
+
+def test_ranges_without_active_users(spark):
+    none = spark.createDataFrame([], "customer_id string, item_id string, quantity bigint")
+    items = spark.createDataFrame([("a",)], "item_id string")
+    assert tuple(I.item_ranges(none, items).first()) == ("a", 0.0, 0.0, 1.0)
+
+
+def test_positions_join_their_offsets(spark):
+    ids = spark.range(0, 500).select((F.col("id") * 37 % 500).alias("k"))
+    out = I.dense_index(ids, "k", "at", partitions=6)
+    assert all(r.k == r.at for r in out.collect())
+    assert "map(" not in out._jdf.queryExecution().analyzed().toString()

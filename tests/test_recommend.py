@@ -54,32 +54,70 @@ def test_global_rank(spark):
     assert got == [(1, 1), (2, 4), (3, 0), (4, 2), (5, 3), (6, 5)]
 
 
-class _FakeModel:
-    def __init__(self, spark, U, V):
-        self.rank = U.shape[1]
-        self.userFactors = spark.createDataFrame([(i, [float(x) for x in U[i]]) for i in range(len(U))], "id int, features array<float>")
-        self.itemFactors = spark.createDataFrame([(i, [float(x) for x in V[i]]) for i in range(len(V))], "id int, features array<float>")
+def test_unseen_by_rank_in_small_ranges(spark):
+    """Ranges of two ranks give what one range does, for a user who bought nearly all."""
+    users, items = [1, 2, 3], 40
+    hist = [(1, i) for i in range(items) if i not in (7, 30, 39)] + [(2, 0), (2, 5)]
+    h = spark.createDataFrame([(u, i, 1) for u, i in hist], "customer_id int, item_id int, quantity int")
+    ranked = [(i + 1, i) for i in range(items)]
+    rk = spark.createDataFrame(ranked, "rank bigint, item_id int")
+    req = spark.createDataFrame([(u,) for u in users], "customer_id int")
+    want = _brute(users, hist, ranked, 5)
+    for span in (2, 7, 4096):
+        got = {u: [] for u in users}
+        out = R.recommend_unseen_by_rank(req, h, rk, 5, span)
+        for r in out.orderBy("customer_id", "rank").collect():
+            got[r.customer_id].append(r.item_id)
+        assert got == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "LeftAnti" not in plan
+
+
+def _factors(spark, m, name="id"):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)],
+                                 f"{name} bigint, features array<float>")
 
 
 def test_block_scorer_matches_numpy(spark):
     rng = np.random.default_rng(0)
     U = rng.normal(size=(6, 3)).astype(np.float32)
     V = rng.normal(size=(9, 3)).astype(np.float32)
-    scale = rng.uniform(1, 3, 9)
-    dmin = rng.uniform(0, 1, 9)
-    ranges = spark.createDataFrame([(i, float(dmin[i]), float(scale[i])) for i in range(9)], "item_idx int, data_min double, scale double")
-    hist = [(0, 1), (0, 2), (3, 8)]
+    V[4] = V[2]                                        # a tie goes to the lower item
+    hist = [(0, 1), (0, 2), (3, 8)] + [(5, i) for i in range(7)]
     h = spark.createDataFrame(hist, "user_idx bigint, item_idx bigint")
-    for block_bytes, in_task in ((1 << 30, 256), (8 * 5 * 3, 256), (1 << 30, 1),
-                                 (8 * 5 * 3, 0)):
-        # one block / several blocks; histories masked in the task / by anti-join
-        out = R.score_topk(_FakeModel(spark, U, V), ranges, h, k=4, exclude=True,
-                           max_broadcast_bytes=block_bytes, history_in_task=in_task)
-        got = {}
-        for r in out.orderBy("user_idx", "rank").collect():
-            got.setdefault(r.user_idx, []).append(r.item_idx)
-        S = (U.astype(np.float64) @ V.astype(np.float64).T) * scale + dmin
-        for u, i in hist:
-            S[u, i] = -np.inf
-        want = {u: list(np.argsort(-S[u], kind="stable")[:4]) for u in range(6)}
-        assert got == want
+    S = U.astype(np.float64) @ V.astype(np.float64).T
+    M = S.copy()
+    for u, i in hist:
+        M[u, i] = -np.inf
+    for block in (100, 4, 1):
+        for past, want in ((h, M), (None, S)):
+            out = R.score_topk(_factors(spark, U, "user_idx"), _factors(spark, V), past, 4, block)
+            got = {}
+            for r in out.orderBy("user_idx", "rank").collect():
+                got.setdefault(r.user_idx, []).append(r.item_idx)
+            assert got == {u: [i for i in np.argsort(-want[u], kind="stable")[:4]
+                               if np.isfinite(want[u, i])] for u in range(6)}
+
+
+def test_scorer_without_items(spark):
+    users = _factors(spark, [[1.0]], "user_idx")
+    assert R.score_topk(users, _factors(spark, [[1.0]]).limit(0), None, 3).count() == 0
+
+
+def test_fold_in_solves_the_least_squares_of_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    V = rng.normal(size=(30, 4)).astype(np.float32)
+    cells = [(u, i, float(rng.uniform(0, 1))) for u in (3, 8) for i in range(u, 25)]
+    frame = spark.createDataFrame(cells, "user_idx bigint, item_idx bigint, value double")
+    for rows in (4096, 3):
+        monkeypatch.setattr(R, "FOLD_ROWS", rows)
+        got = {r.user_idx: np.array(r.features)
+               for r in R.fold_in(frame, _factors(spark, V), 4, 0.1, 2.0).collect()}
+        for u in (3, 8):
+            a, b, n = V.T.astype(float) @ V, np.zeros(4), 0
+            for v, i, x in cells:
+                if v == u:
+                    a += 2.0 * x * np.outer(V[i], V[i])
+                    b += (1 + 2.0 * x) * V[i]
+                    n += 1
+            assert np.allclose(got[u], np.linalg.solve(a + 0.1 * n * np.eye(4), b), atol=1e-4)

@@ -60,11 +60,14 @@ def test_distribution_matches_pandas(spark):
         assert row[name] == pytest.approx(per.quantile(q))
 
 
-def test_exact_quantiles_bracketed_mode(spark):
+def test_exact_quantiles(spark):
     from basketry.operators import stats
+    assert stats.quantiles(spark.range(0).select(F.col("id").alias("x")), "x", [0.5]) == [None]
+    one = spark.createDataFrame([(2.0,), (None,)], "x double")
+    assert stats.quantiles(one, "x", [0.0, 0.5, 1.0]) == [2.0, 2.0, 2.0]
     df = spark.range(0, 5000).select((F.col("id") * 7 % 1013).cast("double").alias("x"))
     s = pd.Series([r.x for r in df.collect()])
-    got = stats.quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], exact_limit=10, accuracy=1000)
+    got = stats.quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], partitions=5)
     assert got == pytest.approx([s.quantile(q) for q in (0.1, 0.25, 0.5, 0.9)])
 
 
@@ -92,20 +95,46 @@ def test_report_without_segment_column(spark):
 
 def test_exact_quantiles_with_a_hot_value(spark):
     from basketry.operators import stats
-    # a third of all values identical: the bracket holds one (value, count) pair
+    # a third of all values identical: one (value, count) pair
     df = spark.range(0, 6000).select(
         F.when(F.col("id") % 3 == 0, F.lit(50.0)).otherwise((F.col("id") * 13 % 997).cast("double"))
         .alias("x"))
     s = pd.Series([r.x for r in df.collect()])
     qs = [0.05, 0.25, 0.5, 0.75, 0.99]
-    got = stats.quantiles(df, "x", qs, exact_limit=10, accuracy=1000)
+    got = stats.quantiles(df, "x", qs, partitions=5)
     assert got == pytest.approx([s.quantile(q) for q in qs])
 
 
-def test_guard_rows(spark):
+PRICED = ["revenue_top_items", "revenue_bottom_items", "revenue_top_categories",
+          "revenue_top_subcategories", "customer_spending", "customer_spending_by_segment"]
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_report_without_prices(spark, drop):
     p = fx.purchases(spark)
-    assert sales.guard(p, ["customer_id", "total_price"], "customer_spending").count() == 0
-    nulls = p.withColumn("total_price", F.lit(None).cast("decimal(18,2)"))
-    msg = sales.guard(nulls, ["customer_id", "total_price"], "customer_spending").first()
-    assert msg.message == "Cannot be determined (missing customer_id or total_price data)"
-    assert sales.guard(p.drop("total_price"), ["total_price"], "x").count() == 1
+    p = p.drop("total_price") if drop else p.withColumn(
+        "total_price", F.lit(None).cast("decimal(18,2)"))
+    rep = sales_report.sales_report(p, fx.items(spark), fx.customers(spark)).collect()
+    assert sorted(r.section for r in rep if r.message) == sorted(PRICED)
+    assert not any(r.section in PRICED and r.message is None for r in rep)
+    assert any(r.section == "top_selling_items" and r.value for r in rep)
+
+
+@pytest.mark.parametrize("column,sections", [
+    ("item_name", ["top_selling_items", "bottom_selling_items", "revenue_top_items",
+                   "revenue_bottom_items"]),
+    ("item_category", ["top_selling_categories", "revenue_top_categories"]),
+    ("item_subcategory", ["top_selling_subcategories", "bottom_selling_subcategories",
+                          "revenue_top_subcategories"])])
+def test_report_without_an_item_column(spark, column, sections):
+    rep = sales_report.sales_report(fx.purchases(spark), fx.items(spark).drop(column),
+                                    fx.customers(spark)).collect()
+    assert sorted(r.section for r in rep if r.message) == sorted(sections)
+
+
+def test_report_without_customer_ids(spark):
+    for p in (fx.purchases(spark).drop("customer_id"),
+              fx.purchases(spark).withColumn("customer_id", F.lit(None).cast("string"))):
+        rep = sales_report.sales_report(p, fx.items(spark), fx.customers(spark)).collect()
+        assert sorted(r.section for r in rep if r.message) == [
+            "customer_spending", "customer_spending_by_segment"]

@@ -48,3 +48,17 @@ def test_local_mode_gets_a_private_folder():
     s = _Session("local[2]")
     path = session.checkpoint_dir(s)
     assert path and s.sparkContext.getCheckpointDir() == path
+
+
+def test_configured_folder_wins_over_an_active_one():
+    s = _Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    s.sparkContext.setCheckpointDir("hdfs:///elsewhere")
+    assert session.checkpoint_dir(s) == "hdfs:///shared/ckpt"
+    assert s.sparkContext.getCheckpointDir() == "hdfs:///shared/ckpt"
+
+
+def test_materialized_tables_can_be_removed(spark):
+    before = session._written.pop(spark.sparkContext.applicationId, [])
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and session.clear_materialized(spark) == 1
+    session._written[spark.sparkContext.applicationId] = before

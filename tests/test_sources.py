@@ -43,6 +43,42 @@ def test_csv_readers(spark, tmp_dir):
     assert p.first().purchase_date == dt.date(2023, 3, 4)
 
 
+def test_columns_are_bound_by_header(spark, tmp_dir):
+    """Another order and an extra column read the same; a missing column fails."""
+    lines = [r.split(",") for r in ITEMS_CSV.strip().split("\n")]
+    order = [4, 0, 3, 1, 2]
+    turned = "\n".join(",".join([r[i] for i in order] + ["x"]) for r in lines)
+    turned = turned.replace("ItemCategory,x", "ItemCategory,Extra", 1)
+    a = files.read_items(spark, _write(tmp_dir, "i.csv", ITEMS_CSV))
+    b = files.read_items(spark, _write(tmp_dir, "t.csv", turned + "\n"))
+    assert a.columns == b.columns and a.collect() == b.collect()
+    short = "\n".join(",".join(r[:4]) for r in lines)
+    with pytest.raises(ValueError, match="UnitPrice"):
+        files.read_items(spark, _write(tmp_dir, "s.csv", short + "\n"))
+
+
+def test_unreadable_cells_are_reported(spark, tmp_dir):
+    bad = _write(tmp_dir, "b.csv", PURCHASES_CSV.replace(",1,2023-03-04 00:00:00", ",one,2023-03-04"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        files.read_purchases(spark, bad).collect()
+    rows = files.read_purchases(spark, bad, mode="PERMISSIVE").collect()
+    assert rows[0].quantity is None and rows[0].purchase_date == dt.date(2023, 3, 4)
+    odd = _write(tmp_dir, "d.csv", PURCHASES_CSV.replace("2023-03-04 00:00:00", "soon"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_purchases(spark, odd).collect()
+    assert files.read_purchases(spark, odd, mode="PERMISSIVE").first().purchase_date is None
+
+
+def test_generated_tables_read_back(spark, tmp_dir):
+    from basketry.sources import generate as G
+    c, i = G.gen_customers(spark, 50, seed=3), G.gen_items(spark, seed=3)
+    p = G.gen_purchases(spark, c, 200, seed=3)
+    G.write_generated(c, i, p, tmp_dir)
+    assert files.read_customers(spark, f"{tmp_dir}/customers").count() == 50
+    assert files.read_items(spark, f"{tmp_dir}/items").count() == i.count()
+    assert files.read_purchases(spark, f"{tmp_dir}/purchases").count() == p.count()
+
+
 def test_missing_file_raises(spark, tmp_dir):
     with pytest.raises(AnalysisException):
         files.read_customers(spark, os.path.join(tmp_dir, "absent.csv")).collect()
