@@ -46,8 +46,8 @@ SPACES = " \t\n\v\f\r"
 #: the logarithm of the number), None where the script is not bounded.
 BANDS = {
     "latin": {"per_token": (1.3, 8.0), "fallback": 0.35,
-              "entropy": ((8, 2.0), (32, 4.0), (96, 4.95), (192, 5.4), (384, 5.78),
-                          (768, 6.05), (1536, 6.22), (3072, 6.3), (12288, 6.35))},
+              "entropy": ((8, 2.0), (32, 4.0), (96, 4.95), (192, 5.42), (384, 5.82),
+                          (768, 6.1), (1536, 6.28), (3072, 6.36), (12288, 6.45))},
     "cyrillic": {"per_token": (0.4, 8.0), "fallback": 0.98,
                  "entropy": ((8, 1.5), (64, 3.0), (512, 4.0))},
     "cjk": {"per_token": (0.2, 4.0), "fallback": 1.0, "entropy": ((8, 1.5), (64, 3.0), (512, 4.0))},
