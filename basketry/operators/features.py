@@ -133,10 +133,17 @@ def demographics(customers: DataFrame, genders: Sequence[str] = ("F", "M")) -> D
              *[F.col(f"gender_{g}").alias(f"gender_{g.lower()}") for g in genders])
 
 
+MAX_GENDERS = 100
+
+
 def gender_values(customers: DataFrame) -> list[str]:
-    """Distinct non-null genders (a bounded list: the one-hot columns)."""
-    return sorted(r[0] for r in customers.select("gender").where(F.col("gender").isNotNull())
-                  .distinct().collect())
+    """Distinct non-null genders: each becomes a column, so more than
+    ``MAX_GENDERS`` (dirty data) is an error rather than a wide table."""
+    found = [r[0] for r in customers.select("gender").where(F.col("gender").isNotNull())
+             .distinct().limit(MAX_GENDERS + 1).collect()]
+    if len(found) > MAX_GENDERS:
+        raise ValueError(f"more than {MAX_GENDERS} distinct genders: clean the column first")
+    return sorted(found)
 
 
 def customer_features(purchases: DataFrame, items: DataFrame, customers: DataFrame,

@@ -13,7 +13,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # A representative subset by default; BASKETRY_ALL_ORACLES=1 runs every entry.
 SUBSET = ["revenue_by_category", "sales_report", "customer_features", "segment_assignment",
           "segment_profile_weighted", "item_ranges", "recommend_popular", "evaluation_summary",
-          "purchase_day_gaps", "user_index"]
+          "purchase_day_gaps", "user_index", "recommend_requests", "recommend_given_factors",
+          "evaluation_given_factors", "sales_report_unpriced", "item_popularity_ranked"]
 
 
 def _norm(v):

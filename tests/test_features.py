@@ -53,3 +53,13 @@ def test_demographics_one_hot(spark):
     d = _by_id(feat.demographics(fx.customers(spark)))
     assert (d["C1"].gender_f, d["C1"].gender_m) == (1, 0)
     assert (d["C3"].gender_f, d["C3"].gender_m) == (0, 0)
+
+
+def test_gender_values_are_bounded(spark):
+    import pytest
+    from basketry.operators import features as feat
+    few = spark.createDataFrame([("F",), ("M",), (None,), ("F",)], "gender string")
+    assert feat.gender_values(few) == ["F", "M"]
+    many = spark.range(200).selectExpr("concat('g', id) as gender")
+    with pytest.raises(ValueError):
+        feat.gender_values(many)

@@ -6,6 +6,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import features as feat
 from basketry.operators import interactions as I
@@ -74,3 +75,45 @@ def test_popularity_recommendations_under_skew(spark):
     for cid in c.toPandas().customer_id:
         seen = set(mp[(mp.customer_id == cid) & (mp.quantity > 0)].item_id)
         assert got.get(cid, []) == [x for x in order if x not in seen][:5]
+
+
+def test_fact_row_joins_under_skew(spark):
+    """Joins that keep every purchase row: enrichment and cluster labels."""
+    from basketry.operators import sales, segments as seg
+    p, i, c = _data(spark)
+    keys = ["spark.sql.autoBroadcastJoinThreshold",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "-1")               # shuffle joins, split by AQE
+        spark.conf.set(keys[1], "1k")
+        spark.conf.set(keys[2], "1k")
+        clusters = c.select("customer_id", (F.crc32(F.col("customer_id").cast("binary")) % 3)
+                            .cast("int").alias("cluster"))
+        got = seg.attach(sales.merged(p, i, c), seg.label_clusters(clusters)).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    pdf = p.toPandas()
+    want = pdf.merge(i.toPandas(), on="item_id", how="left").merge(
+        clusters.toPandas(), on="customer_id", how="left")
+    cols = ["customer_id", "item_id", "purchase_date", "quantity", "item_name", "cluster"]
+    assert len(got) == len(pdf)
+    assert sorted(map(tuple, got[cols].astype(str).values)) == sorted(
+        map(tuple, want[cols].astype(str).values))
+
+
+def test_training_under_skew(spark):
+    """The matrix of the fit holds every (customer, item) of the training customers."""
+    from basketry.plans import training
+    from basketry.settings import Settings
+    p, i, c = _data(spark)
+    t = training.train(p, i, c, Settings(embedding_dim=4), max_iter=1)
+    pdf = p.toPandas()
+    want = pdf.groupby(["customer_id", "item_id"]).quantity.sum()
+    got = t.all_matrix.toPandas().set_index(["customer_id", "item_id"]).quantity
+    assert got.to_dict() == want.to_dict()
+    hot = training.recommend(t, c.where("customer_id = 'HOT'").select("customer_id"), i, 5)
+    seen = set(pdf[pdf.customer_id == "HOT"].item_id)
+    assert not seen & {r.item_id for r in hot.collect()}
