@@ -66,7 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df):
+def materialize(df, name: str = "table"):
     """Write ``df`` once as Parquet in the checkpoint folder and return a frame
     reading it.
 
@@ -77,7 +77,7 @@ def materialize(df):
     size when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/basketry-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/basketry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
