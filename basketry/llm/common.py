@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import basketry
-from basketry.session import checkpoint_dir
+from basketry.session import checkpoint_dir, materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -21,18 +21,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once for each Spark context,
-    so that functions of its modules can run there."""
+    so that functions of its modules can run there. It goes through the shared
+    checkpoint folder, where an executor that starts later finds it too."""
     sc = spark.sparkContext
     if getattr(sc, "_basketry_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(basketry.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="basketry-"), "basketry.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/basketry-{uuid.uuid4().hex}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
     sc.addPyFile(path)
     sc._basketry_shipped = True
 
@@ -47,17 +53,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
-
-    Cuts the lineage at a written table: a lost executor costs the tasks it
-    ran, not the steps before, and the file statistics let Spark choose
-    broadcast or sort-merge joins by real sizes.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Written tables cut lineage: ``table(df, name)``.
+table = materialize
 
 
 def ascii_lower(col: Column) -> Column:

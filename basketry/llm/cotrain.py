@@ -187,7 +187,8 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, labelled: int = LABE
     rest = few(docs.select("doc_id").where("doc_id is not null").distinct()
                .join(label, "doc_id", "left_anti"), pool, 5).withColumn("y", F.lit(-1))
     picked = F.broadcast(own.unionByName(rest))      # at most labelled + pool rows
-    rows = _views(docs.join(picked, "doc_id"), ["doc_id", "y"]).dropDuplicates(["doc_id"])
+    rows = (_views(docs, ["doc_id"]).join(picked, "doc_id")
+            .select("doc_id", "y", "text", "source", "lang", "n_chars").dropDuplicates(["doc_id"]))
 
     def run(batches):
         for b in batches:

@@ -19,7 +19,7 @@ from basketry.llm.common import ascii_lower, table
 from basketry.llm.queries import BYTE_BPE, RANKS
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, "
-          "h string, row string, copies string, fp string, words string, n bigint")
+          "h string, row string, copies string, fp string, words string, n bigint, y string")
 
 
 def _words(t):
@@ -61,7 +61,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return table(spark.createDataFrame([(*r, "x", "x", "x", "x", "x", "x", 1) for r in rows],
+    return table(spark.createDataFrame([(*r, "x", "x", "x", "x", "x", "x", 1, "x") for r in rows],
                                        SCHEMA).repartition(3), "test-docs")
 
 
@@ -558,6 +558,8 @@ def test_co_training(spark, docs, rows):
     got = cotrain.classify(frame, marks).collect()
     assert len(got) == 600 and all(0 <= r["score"] <= 1 for r in got)
     assert sum(r["kept"] == (r["doc_id"] % 3 != 0) for r in got if r["doc_id"] % 2 == 0) > 290
+    both = cotrain.classify(docs, marks.where("doc_id < 60"))
+    assert both.count() == len(rows)                 # a column y of the documents is not read
     none = cotrain.classify(docs, marks.where("quality = 1")).collect()
     assert len(none) == len(rows) and all(r["score"] == 0.5 and r["kept"] for r in none)
 
