@@ -23,11 +23,9 @@ WINDOW = 32
 LANES = 512
 
 
-def _bounded(logit: np.ndarray) -> np.ndarray:
-    """The logits, shifted by row only where exp could overflow."""
-    if len(logit) and logit.max() > 60:
-        logit -= logit.max(1, keepdims=True)
-    return logit
+def _steep(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether a logit could reach where exp overflows; states lie in [-1, 1]."""
+    return bool((np.abs(w).sum(-2) + np.abs(b)).max() > 60)
 
 
 class Model:
@@ -65,70 +63,83 @@ class Model:
         return Model(out)
 
     # ------------------------------------------------------------ recurrence
-    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each input (steps x lanes) and, if ``keep``, what the
-        backward pass needs. ``fresh`` marks inputs that begin a document."""
+    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+        """(states after each input, last state, what the backward pass needs
+        if ``keep``), steps x lanes. ``fresh`` marks inputs that begin a document."""
         p, size = self.p, self.p["rec"].shape[0]
         table = p["embed"] @ p["inp"] + p["bias"]
         rec = p["rec"]
-        out = np.empty((*ids.shape, size), np.float32)
-        held = []
+        out = np.empty((*ids.shape, size), rec.dtype)
+        held = [np.empty((*ids.shape, n * size), rec.dtype) for n in (1, 2, 1, 1)] if keep else None
         any_fresh = fresh.any(axis=1)
         for t in range(len(ids)):
             if any_fresh[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
+                h = np.where(fresh[t][:, None], rec.dtype.type(0), h)
             x, u = table[ids[t]], h @ rec
             g = x[:, :2 * size] + u[:, :2 * size]
             g *= 0.5
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            r, z, un = g[:, :size], g[:, size:], u[:, 2 * size:]
-            n = np.tanh(x[:, 2 * size:] + r * un)
-            new = n + z * (h - n)
+            un = u[:, 2 * size:]
+            n = g[:, :size] * un
+            n += x[:, 2 * size:]
+            np.tanh(n, out=n)
             if keep:
-                held.append((h, r, z, un, n))
+                for into, value in zip(held, (h, g, un, n)):
+                    into[t] = value
+            new = h - n
+            new *= g[:, size:]
+            new += n
             h = out[t] = new
         return out, h, held
 
     # ------------------------------------------------------------ output
     def token_logs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target given its state; with
-        ``grads``, also d(-sum of logs)/dh, and adds to the gradients."""
+        ``grads``, also d(-sum of logs)/dh, and adds to the gradients. Rows
+        are put in the order of their class, so that a class is one slice."""
         p = self.p
+        order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+        h, target = h[order], target[order]
         c, w = np.divmod(target, MEMBERS)
         rows = np.arange(len(target))
-        logit = _bounded(h @ p["cls"] + p["cls_b"])
-        e = np.exp(logit)
-        total = e.sum(1)
-        logs = logit[rows, c] - np.log(total)
+
+        def part(hs, at, weight, bias, steep):
+            """Log softmax at ``at`` and, for the gradient, its error."""
+            logit = hs @ weight
+            logit += bias
+            if steep:
+                logit -= logit.max(1, keepdims=True)
+            own = rows[:len(hs)]
+            picked = logit[own, at]
+            e = np.exp(logit, out=logit)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            if grads is not None:
+                e *= (1 / total)[:, None]
+                e[own, at] -= 1
+            return picked - np.log(total), e
+
+        logs, e = part(h, c, p["cls"], p["cls_b"], _steep(p["cls"], p["cls_b"]))
         dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, c] -= 1
             grads["cls"] += h.T @ e
             grads["cls_b"] += e.sum(0)
             dh = e @ p["cls"].T
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(c, minlength=CLASSES))
+        steep = _steep(p["mem"], p["mem_b"])
         lo = 0
-        for k, hi in enumerate(ends.tolist()):
+        for k, hi in enumerate(np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()):
             if hi > lo:
-                at = order[lo:hi]
-                hk, wk = h[at], w[at]
-                own = rows[:hi - lo]
-                logit = _bounded(hk @ p["mem"][k] + p["mem_b"][k])
-                e = np.exp(logit)
-                total = e.sum(1)
-                logs[at] += logit[own, wk] - np.log(total)
+                more, e = part(h[lo:hi], w[lo:hi], p["mem"][k], p["mem_b"][k], steep)
+                logs[lo:hi] += more
                 if grads is not None:
-                    e /= total[:, None]
-                    e[own, wk] -= 1
-                    grads["mem"][k] += hk.T @ e
+                    grads["mem"][k] += h[lo:hi].T @ e
                     grads["mem_b"][k] += e.sum(0)
-                    dh[at] += e @ p["mem"][k].T
+                    dh[lo:hi] += e @ p["mem"][k].T
             lo = hi
-        return logs, dh
+        back = np.empty_like(order)
+        back[order] = rows
+        return logs[back], None if dh is None else dh[back]
 
     # ------------------------------------------------------------ training
     def gradient(self, ids, fresh, target, live, h):
@@ -136,39 +147,50 @@ class Model:
         sum of logs, and the states that the next window starts from."""
         p, size = self.p, self.p["rec"].shape[0]
         grads = {n: np.zeros_like(v) for n, v in p.items()}
-        out, last, held = self.states(ids, fresh, h, True)
+        out, last, (prev, gates, un, n) = self.states(ids, fresh, h, True)
         where = np.flatnonzero(live.ravel())
         logs, dflat = self.token_logs(out.reshape(-1, size)[where], target.ravel()[where], grads)
-        dout = np.zeros((ids.size, size), np.float32)
-        dout[where] = dflat
-        dout = dout.reshape(out.shape)
+        if len(where) == ids.size:
+            dout = dflat.reshape(out.shape)
+        else:
+            dout = np.zeros((ids.size, size), out.dtype)
+            dout[where] = dflat
+            dout = dout.reshape(out.shape)
+        r, z = gates[..., :size], gates[..., size:]
+        # slopes of the whole window; the steps backward only multiply
+        slope_n = (1 - z) * (1 - n * n)
+        slope_z = (prev - n) * z * (1 - z)
+        slope_r = un * r * (1 - r)
+        du = np.empty((*ids.shape, 3 * size), out.dtype)
+        dn = np.empty_like(out)
         carry = np.zeros_like(h)
-        dx_all = np.empty((*ids.shape, 3 * size), np.float32)
+        any_fresh = fresh.any(axis=1)
+        rec_t = np.ascontiguousarray(p["rec"].T)
         for t in range(len(ids) - 1, -1, -1):
-            prev, r, z, un, n = held[t]
-            d = dout[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            du = np.empty((len(d), 3 * size), np.float32)
-            du[:, :size] = dn * un * r * (1 - r)
-            du[:, size:2 * size] = d * (prev - n) * z * (1 - z)
-            du[:, 2 * size:] = dn * r
-            dx = dx_all[t]
-            dx[:, :2 * size] = du[:, :2 * size]
-            dx[:, 2 * size:] = dn
-            grads["rec"] += prev.T @ du
-            carry = d * z + du @ p["rec"].T
-            if fresh[t].any():
+            d = dout[t]
+            d += carry
+            dt, ut = dn[t], du[t]
+            np.multiply(d, slope_n[t], out=dt)
+            np.multiply(dt, slope_r[t], out=ut[:, :size])
+            np.multiply(d, slope_z[t], out=ut[:, size:2 * size])
+            np.multiply(dt, r[t], out=ut[:, 2 * size:])
+            carry = ut @ rec_t
+            carry += d * z[t]
+            if any_fresh[t]:
                 carry[fresh[t]] = 0
-        dx = dx_all.reshape(-1, 3 * size)
-        by_id = np.zeros((len(p["embed"]), 3 * size), np.float32)
+        flat_u = du.reshape(-1, 3 * size)
+        grads["rec"] = prev.reshape(-1, size).T @ flat_u
+        # the input enters the gates as the state does, and n without the gate r
+        flat_u[:, 2 * size:] = dn.reshape(-1, size)
+        by_id = np.zeros((len(p["embed"]), 3 * size), out.dtype)
         flat = ids.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        by_id[flat[order[first]]] = np.add.reduceat(dx[order], first, axis=0)
+        by_id[flat[order[first]]] = np.add.reduceat(flat_u[order], first, axis=0)
         grads["inp"] = p["embed"].T @ by_id
         grads["bias"] = by_id.sum(0)
         grads["embed"] = by_id @ p["inp"].T
-        scale = np.float32(1 / max(1, len(where)))
+        scale = out.dtype.type(1 / max(1, len(where)))
         for g in grads.values():
             g *= scale
         return grads, float(logs.sum()), last
@@ -197,11 +219,11 @@ def fit(model: Model, optimiser: Adam, docs: list[np.ndarray], lanes: int = LANE
     """Train on every token of ``docs`` (ids, each ending with END); returns
     how many. The documents follow each other in equal lanes; a document that
     a lane's end cuts goes on in the next lane with a state of zero."""
-    line = np.concatenate(docs).astype(np.int64)
+    line = np.concatenate(docs)
     n = len(line)
     lanes = max(1, min(lanes, n // window))
     steps = -(-n // lanes)
-    target = np.zeros(lanes * steps, np.int64)
+    target = np.zeros(lanes * steps, np.int16)
     target[:n] = line
     live = (np.arange(lanes * steps) < n).reshape(lanes, steps).T
     before = np.concatenate(([END], target[:-1])).reshape(lanes, steps).T
@@ -243,10 +265,10 @@ def score(model: Model, docs: list[np.ndarray], lanes: int = LANES,
     h = np.zeros((lanes, size), np.float32)
     for lo in range(0, steps, window):
         s = slice(lo, lo + window)
-        out, h, _ = model.states(before[s], before[s] == END, h, False)
+        out, h, _ = model.states(before[s], before[s] == END, h)
         of = owner[s].ravel()
         where = np.flatnonzero(of >= 0)
         logs, _ = model.token_logs(out.reshape(-1, size)[where],
-                                   target[s].ravel()[where].astype(np.int64))
+                                   target[s].ravel()[where])
         total += np.bincount(of[where], weights=logs, minlength=len(docs))
     return total / np.log(10)

@@ -39,8 +39,9 @@ from basketry.llm import gru
 from basketry.llm.common import map_arrow, table
 
 #: Most frequent words that are broadcast with their counts, at most.
-HEAD = 1 << 16
-#: Distinct words that a counting task holds before it emits them.
+HEAD = 1 << 17
+#: Distinct words that a counting task holds before it emits them, and other
+#: words whose bucket a worker remembers.
 HELD = 1 << 18
 #: Tokens that a task trains or scores together, unless one text has more.
 CHUNK = 2_000_000
@@ -68,6 +69,23 @@ def bucket(word: bytes) -> int:
     return 1 + (ending * 2 + (not word.isascii())) * 4 + length
 
 
+class Memo(dict):
+    """Head word -> number; of any other word minus its bucket, remembered."""
+
+    def __init__(self, head):
+        super().__init__(head)
+        self.head, self.room = head, HELD
+
+    def __missing__(self, word: bytes) -> int:
+        if not self.room:
+            self.clear()
+            self.update(self.head)
+            self.room = HELD
+        self.room -= 1
+        found = self[word] = -bucket(word)
+        return found
+
+
 # ---------------------------------------------------------------- counts
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of ``docs``."""
@@ -123,9 +141,19 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, ends: int) -> Lexicon:
-    """From the written table (word, c); ``ends``: training texts."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()
-    head = [(bytes(r["word"]), r["c"]) for r in top]
+    """From the written table (word, c); ``ends``: training texts. The head is
+    every word from some count on, at most ``HEAD``."""
+    # a histogram of the counts, some hundred rows, tells from which count on words fit
+    step = F.floor(F.log2("c") * 32)
+    least, room = None, HEAD
+    for r in sorted(counts.groupBy(step.alias("s")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["c"]
+    top = [] if least is None else counts.where(F.col("c") >= least).collect()
+    head = sorted(((bytes(r["word"]), r["c"]) for r in top), key=lambda x: (-x[1], x[0]))
     known = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     tail_c, tail_v = np.zeros(TAIL + 1), np.zeros(TAIL + 1)
     for r in counts.groupBy(_bucket(F.col("word")).alias("b")).agg(
@@ -158,9 +186,12 @@ def _train_round(docs: DataFrame, model: gru.Model, ids, rate: float) -> gru.Mod
         flat, known = held.value
         own = model.like(flat)
         optimiser, seen, docs_, size = gru.Adam(own, rate), 0, [], 0
+        number = Memo(known).__getitem__
         for b in batches:
             for t in b.column(0):
-                line = _line(words_of(t), known)
+                words = words_of(t)
+                line = np.abs(np.fromiter(map(number, words), np.int16, len(words)))
+                line = np.append(line, np.int16(gru.END))
                 docs_.append(line)
                 size += len(line)
                 if size >= CHUNK:
@@ -188,13 +219,6 @@ def _train_round(docs: DataFrame, model: gru.Model, ids, rate: float) -> gru.Mod
     return model.like(v[:-1] / v[-1] / (1 << FIXED))
 
 
-def _line(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    get = known.get
-    line = [get(w) or bucket(w) for w in words]
-    line.append(gru.END)
-    return np.array(line, np.int16)
-
-
 def train(docs: DataFrame, lex: Lexicon, rate: float = 0.01) -> gru.Model:
     """The network after one pass over all texts of ``docs``."""
     ids = docs.sparkSession.sparkContext.broadcast(lex.ids())
@@ -210,7 +234,7 @@ def train(docs: DataFrame, lex: Lexicon, rate: float = 0.01) -> gru.Model:
 # ---------------------------------------------------------------- scoring
 def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
     """doc_id, row, n_tokens, n_known, base_score, score from the network and
-    the head words, and ``rare``: the other words, with how often and bucket."""
+    the head words, and ``rare``: the other words and their buckets."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(
         (lex.ids(), dict(lex.head), lex.tail_log, lex.base_log, lex.ends, model.flat()))
@@ -218,7 +242,7 @@ def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
     def run(batches):
         ids, head, tail_log, base_log, ends, flat = held.value
         net = model.like(flat)
-        rank = {w: i for i, w in enumerate(head)}
+        number = Memo({w: i for i, w in enumerate(head)}).__getitem__
         counts = np.array(list(head.values()), np.float64)
         net_id = np.array(list(ids.values()), np.int16)
         # by head word: base term, and the word's share of its tail bucket
@@ -226,42 +250,34 @@ def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
         share_of = np.zeros(len(counts))
         share_of[WORDS:] = np.log10(counts[WORDS:] + SMOOTH) - tail_log[net_id[WORDS:]]
         end_term = log10(ends + SMOOTH) - base_log
-        lookup = rank.get
 
         def emit(rows):
-            scores = gru.score(net, [r[-1] for r in rows])
-            for r, s in zip(rows, scores.tolist()):
-                r[5] += s
-            columns = list(zip(*[r[:-1] for r in rows]))
-            rare = pa.array(columns[6], pa.list_(pa.struct(
-                [("word", pa.binary()), ("n", pa.int32()), ("bucket", pa.int32())])))
+            ids_, numbers, lines, known, base, share, rare, buckets = zip(*rows)
+            ends_ = np.cumsum([0] + [len(r) for r in rare]).astype(np.int32)
+            other = pa.StructArray.from_arrays(
+                [pa.array([w for r in rare for w in r], pa.binary()),
+                 pa.array(np.concatenate(buckets).astype(np.int32))], ["word", "bucket"])
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([x for x in columns[0]]),
-                 *[pa.array(c, k) for c, k in zip(columns[1:6], (
-                     pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], rare],
+                [pa.concat_arrays(ids_), pa.array(numbers, pa.int64()),
+                 pa.array([len(x) for x in lines], pa.int64()), pa.array(known, pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(gru.score(net, lines) + np.array(share)),
+                 pa.ListArray.from_arrays(pa.array(ends_), other)],
                 ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"])
 
         rows, size = [], 0
         for b in batches:
-            number = b.column(1).to_pylist()
+            numbers = b.column(1).to_pylist()
             for i, t in enumerate(b.column(2)):
                 words = words_of(t)
-                at = np.array([lookup(w, -1) for w in words], np.int64)
+                at = np.fromiter(map(number, words), np.int32, len(words))
                 known = at >= 0
-                own = at[known]
-                line = np.empty(len(words) + 1, np.int16)
-                line[-1] = gru.END
+                own, other = at[known], -at[~known]
+                line = np.full(len(words) + 1, gru.END, np.int16)
                 line[:-1][known] = net_id[own]
-                odd = np.flatnonzero(~known).tolist()
-                rare: Counter = Counter()
-                for j in odd:
-                    w = words[j]
-                    line[j] = bucket(w)
-                    rare[w] += 1
-                rows.append([b.column(0).slice(i, 1), number[i], len(line),
-                             len(own) + (ends > 0), float(base_of[own].sum()) + end_term,
-                             float(share_of[own].sum()),
-                             [(w, n, bucket(w)) for w, n in rare.items()], line])
+                line[:-1][~known] = other
+                rows.append((b.column(0).slice(i, 1), numbers[i], line, len(own) + (ends > 0),
+                             float(base_of[own].sum()) + end_term, float(share_of[own].sum()),
+                             [words[j] for j in np.flatnonzero(~known).tolist()], other))
                 size += len(line)
                 if size >= CHUNK:
                     yield emit(rows)
@@ -273,7 +289,7 @@ def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
                            F.col("text").cast("string").alias("text"))
     return map_arrow(numbered, run, f"doc_id {kind}, row bigint, n_tokens bigint, "
                      "n_known bigint, base_score double, score double, "
-                     "rare array<struct<word:binary,n:int,bucket:int>>")
+                     "rare array<struct<word:binary,bucket:int>>")
 
 
 def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
@@ -284,10 +300,9 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: gru.Model) ->
     met = rare.join(counts, "word", "left")
     own = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
     tail = F.element_at(F.array(*[F.lit(float(x)) for x in lex.tail_log]), F.col("bucket") + 1)
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.col("n") * (own - F.lit(lex.base_log))).alias("b"),
-        F.sum(F.col("n") * (own - tail)).alias("s"))
+    sums = met.groupBy("row").agg(F.count("c").alias("k"),
+                                  F.sum(own - F.lit(lex.base_log)).alias("b"),
+                                  F.sum(own - tail).alias("s"))
     out = rows.drop("rare").join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "n_tokens", add("n_known", "k").alias("n_known"),
