@@ -43,6 +43,8 @@ HEAD = 1 << 17
 #: Distinct words that a counting task holds before it emits them, and other
 #: words whose bucket a worker remembers.
 HELD = 1 << 18
+#: Bytes of a word that is broadcast or remembered, at most.
+LONGEST = 256
 #: Tokens that a task trains or scores together, unless one text has more.
 CHUNK = 2_000_000
 #: One slice in so many is the first round of training.
@@ -77,6 +79,8 @@ class Memo(dict):
         self.head, self.room = head, HELD
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONGEST:
+            return -bucket(word)
         if not self.room:
             self.clear()
             self.update(self.head)
@@ -142,17 +146,18 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     """From the written table (word, c); ``ends``: training texts. The head is
-    every word from some count on, at most ``HEAD``."""
+    every word of at most ``LONGEST`` bytes from some count on, at most ``HEAD``."""
     # a histogram of the counts, some hundred rows, tells from which count on words fit
     step = F.floor(F.log2("c") * 32)
     least, room = None, HEAD
-    for r in sorted(counts.groupBy(step.alias("s")).agg(
+    short = counts.where(F.octet_length("word") <= LONGEST)
+    for r in sorted(short.groupBy(step.alias("s")).agg(
             F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), reverse=True):
         room -= r["n"]
         if room < 0:
             break
         least = r["c"]
-    top = [] if least is None else counts.where(F.col("c") >= least).collect()
+    top = [] if least is None else short.where(F.col("c") >= least).collect()
     head = sorted(((bytes(r["word"]), r["c"]) for r in top), key=lambda x: (-x[1], x[0]))
     known = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     tail_c, tail_v = np.zeros(TAIL + 1), np.zeros(TAIL + 1)

@@ -31,6 +31,8 @@ SAMPLE = 512
 PER_DOCUMENT = 2048
 TABLE = 1 << 16
 CACHE = 1 << 19
+#: Characters of a pre-token that the table or a cache keeps, at most.
+LONGEST = 256
 
 
 class Lengths(dict):
@@ -43,7 +45,8 @@ class Lengths(dict):
     def __missing__(self, key):
         return 1                                 # a special token, the only int keys
 
-    def learn(self, pieces: list) -> None:
+    def learn(self, pieces: list) -> list[str]:
+        """Encode the new ones; returns those that are too long to be kept."""
         distinct = set(pieces)
         new = [p for p in distinct if p not in self and isinstance(p, str)]
         if new:
@@ -52,10 +55,14 @@ class Lengths(dict):
                 self.update(self.known)
                 new = [p for p in distinct if p not in self and isinstance(p, str)]
             self.update(zip(new, map(len, self.encode(new, add_special_tokens=False))))
+        return [p for p in new if len(p) > LONGEST]
 
     def total(self, pieces: list) -> int:
-        self.learn(pieces)
-        return sum(map(self.__getitem__, pieces))
+        long = self.learn(pieces)
+        n = sum(map(self.__getitem__, pieces))
+        for p in long:
+            del self[p]
+        return n
 
 
 def frequent(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict[str, int]:
@@ -75,7 +82,8 @@ def frequent(docs: DataFrame, path: str, sample: int = SAMPLE) -> dict[str, int]
             for t in b.column(0):
                 # a hash cannot tell copies apart; a copied text counts again, harmlessly
                 top = Counter(p for p in cut.pieces(t.as_py())
-                              if isinstance(p, str)).most_common(PER_DOCUMENT)
+                              if isinstance(p, str) and len(p) <= LONGEST
+                              ).most_common(PER_DOCUMENT)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([[w for w, _ in top]], pa.list_(pa.string())),
                      pa.array([[c for _, c in top]], pa.list_(pa.int32()))], ["w", "c"])

@@ -344,6 +344,8 @@ def test_token_cache_is_bounded(monkeypatch):
         pieces = pretokens.cutter(BYTE_BPE).pieces(text)
         assert own.total(pieces) == len(t.encode(text, add_special_tokens=False).ids)
         assert len(own) <= 1 + max(3, len(pieces))
+    assert own.total(["a" * 300, "b"]) == len(t.encode("a" * 300).ids) + 1
+    assert "a" * 300 not in own
 
 
 def test_frequent_table_round_trip():
