@@ -204,7 +204,9 @@ def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     row = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"),
                       F.col("doc_id").alias("d"), F.col("source").alias("s"),
                       _size().alias("n"))
-    copies = mixed.where("copies > 0").select("doc_id", "source", "size", "copies")
+    # as many rows as documents: hashed by partition at every size, never broadcast
+    copies = mixed.where("copies > 0").select("doc_id", "source", "size", "copies").hint(
+        "shuffle_hash")
     met = row.join(copies, row["d"].eqNullSafe(copies["doc_id"])
                    & row["s"].eqNullSafe(copies["source"]) & (row["n"] == copies["size"]))
     # copies is at most MAX_COPIES

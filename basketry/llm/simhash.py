@@ -317,9 +317,13 @@ def hex_digits(fp) -> object:
 
 
 def survivors(docs: DataFrame, shingle: int = 4, k: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the component_id of their
-    component: one document of each group."""
+    """The rows of ``docs`` whose doc_id is the component_id of a component:
+    one document of each group. The others' ids, commonly few, are taken out
+    by an anti-join, so that Spark can spare the texts a shuffle where their
+    table is small. An id that repeats stays if any of its rows does."""
     found = near_duplicates(docs, shingle, k)
-    stay = table(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("doc_id").alias("stay")).distinct(), "simhash-stay")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi")
+    gone = (found.groupBy("doc_id").agg(
+        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+        .where(~F.col("stays")).select(F.col("doc_id").alias("gone")))
+    gone = table(gone, "simhash-gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
