@@ -31,7 +31,9 @@ from basketry.llm.common import map_arrow
 from basketry.llm.pretokens import cutter, exact, library
 
 #: Characters of text that are indexed together, unless one text is longer.
-STRETCH = 16_000_000
+STRETCH = 8_000_000
+#: Positions that are entered into the index together at first.
+ENTER = 1 << 19
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -51,10 +53,10 @@ class Merger:
         cut = cutter(path)
         letters = byte_letters()
         vocab = cut.vocab
-        self.first = np.array([vocab[c] for c in letters], np.int64)
+        self.first = np.array([vocab[c] for c in letters], np.int32)
         left = np.array([vocab[a] for a, _ in cut.merges], np.int64)
         right = np.array([vocab[b] for _, b in cut.merges], np.int64)
-        self.into = np.array([vocab[a + b] for a, b in cut.merges], np.int64)
+        self.into = np.array([vocab[a + b] for a, b in cut.merges], np.int32)
         self.left, self.right = left, right
         pair = (left << 32) | right
         self.order = np.argsort(pair, kind="stable")
@@ -72,7 +74,7 @@ class Merger:
         self.bytes = np.frombuffer(b"".join(words), np.uint8)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 32) | b
+        key = (a.astype(np.int64) << 32) | b
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.pair[at] == key), self.order[at], NO_RANK)
 
@@ -82,10 +84,11 @@ class Merger:
         raw = np.frombuffer(b"".join(words), np.uint8)
         # the words in one line, a gap (-1) before each and one at the end
         n = len(raw) + len(words) + 1
-        sym = np.full(n, -1, np.int64)
-        body = np.arange(len(raw)) + np.repeat(np.arange(len(words)), lengths) + 1
+        sym = np.full(n, -1, np.int32)
+        body = np.arange(1, len(raw) + 1, dtype=np.int32)
+        body += np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         sym[body] = self.first[raw]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[-1] = n - 1
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -107,7 +110,8 @@ class Merger:
                     index[r] = [places]
                     heapq.heappush(active, r)
 
-        add(body)
+        for lo in range(0, len(body), ENTER):
+            add(body[lo:lo + ENTER])
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -162,28 +166,23 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     slots = _Slots()
     runs: list[np.ndarray] = []
     for t in texts:
-        if exact(t):
-            pieces = cut.pieces(t)
-            runs.append(np.fromiter(map(slots.__getitem__, pieces), np.int64, len(pieces)))
-        else:                                   # a slot with the library's own ids
-            ids = library(path).encode(t, add_special_tokens=False).ids
-            runs.append(np.fromiter(map(slots.__getitem__, ids), np.int64, len(ids)))
+        # a text that is not cut exactly is a run of slots with the library's own ids
+        pieces = cut.pieces(t) if exact(t) else library(path).encode(
+            t, add_special_tokens=False).ids
+        runs.append(np.fromiter(map(slots.__getitem__, pieces), np.int32, len(pieces)))
     words = list(slots)
     fixed = np.array([isinstance(w, int) for w in words], bool)
     ids, ends = merge.merge([b"" if isinstance(w, int) else w.encode() for w in words])
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
     lengths = ends - starts
     if fixed.any():                             # special ids after the merged ones
-        extra = np.array([w for w in words if isinstance(w, int)], np.int64)
+        extra = np.array([w for w in words if isinstance(w, int)], np.int32)
         starts[fixed] = len(ids) + np.arange(len(extra))
         lengths[fixed] = 1
         ids = np.concatenate((ids, extra))
-    slot = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-    counts = lengths[slot]
-    out = ids[_gather(starts[slot], counts)] if len(slot) else np.zeros(0, np.int64)
-    done = np.concatenate(([0], np.cumsum(counts)))
-    offsets = done[np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int64)]
-    return out, offsets
+    parts = [ids[_gather(starts[r], lengths[r])] for r in runs]
+    offsets = np.cumsum([0] + [len(x) for x in parts])
+    return (np.concatenate(parts) if parts else ids[:0]), offsets
 
 
 def _stretches(batch: pa.RecordBatch, column: int):

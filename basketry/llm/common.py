@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import uuid
@@ -19,10 +20,19 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's default bytes in a batch of rows for Python, and this package's: its
+#: rows are whole texts, and a batch is held a few times over by each task.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once for each Spark context,
     so that functions of its modules can run there. It goes through the shared
-    checkpoint folder, where an executor that starts later finds it too."""
+    checkpoint folder, where an executor that starts later finds it too. A
+    session that leaves the bytes of a batch at the default gets smaller ones."""
+    key, default, own = BATCH
+    if spark.conf.get(key, None) == default:
+        spark.conf.set(key, own)
     sc = spark.sparkContext
     if getattr(sc, "_basketry_shipped", False):
         return
@@ -43,10 +53,22 @@ def ship(spark: SparkSession) -> None:
     sc._basketry_shipped = True
 
 
+def _then_trim(run):
+    """``run``, and after its last batch the task's freed memory goes back to
+    the system: Python workers are used again and would keep it."""
+    def task(batches):
+        yield from run(batches)
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):       # another C library
+            pass
+    return task
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_then_trim(run), schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
