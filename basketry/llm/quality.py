@@ -5,15 +5,21 @@ each, the share of byte-fallback tokens (tokens that hold only a part of a
 character) and the entropy of the token distribution. A document is rejected
 when a measure leaves the band of its script. Text that a vocabulary cannot
 compress, or that says the same few tokens over and over (symbol noise,
-shouting, tables of separators), leaves them; prose in any language of the
-script, or a mixture of languages, does not.
+shouting, tables of separators), leaves them.
+
+The bands of characters per token and of byte fallback follow the documents
+themselves: quantiles over all documents of the script, with a margin, inside
+fixed limits that some text of the script can pass (``LIMITS``). A script with
+fewer than ``ENOUGH`` documents gets the wide end of the limits. A language of
+under ``LOW`` of a script's documents that both vocabularies know much worse
+than the rest of the script can leave the bands.
 
 The entropy of a short text is bounded by its length, so its lower bound is a
 curve over the number of tokens. The base rules (too few words, too many
 repeated 8-word windows) are measured in the same pass.
 
-Rows are independent: nothing is shuffled or gathered. Defined results: a
-null text counts as empty; a text with fewer than ``min_words`` words fails
+Texts are measured once, and nothing but the histogram of the measures is
+shuffled. Defined results: a null text counts as empty; a text with fewer than ``min_words`` words fails
 the base rule; null or repeated ids are kept as they are; an empty table
 gives an empty result. Texts of any length are measured whole, in pieces of
 ``PIECE`` characters so that the tokenisers' memory stays bounded.
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import ship
+from basketry.llm.common import ship, table
 from basketry.llm.pretokens import PATTERN
 
 PIECE = 50_000
@@ -40,20 +46,33 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
-#: Rejection bands by script. ``per_token``: characters per token
-#: under each vocabulary; ``fallback``: largest share of partial characters;
-#: ``entropy``: least bits at a number of tokens (straight lines between, in
-#: the logarithm of the number), None where the script is not bounded.
-BANDS = {
-    "latin": {"per_token": (1.3, 8.0), "fallback": 0.35,
+#: Fixed values by script. ``per_token``: characters per token under each
+#: vocabulary; ``fallback``: largest share of partial characters; each as
+#: (where the bound stays without enough documents, as far as the documents may
+#: tighten it). Both ends lie where some text can be: a character is at most 4
+#: byte tokens. ``entropy``: least bits at a number of tokens (straight lines
+#: between, in the logarithm of the number).
+LIMITS = {
+    "latin": {"least": (1.3, 2.0), "most": (8.0, 6.0), "fallback": (0.35, 0.2),
               "entropy": ((8, 2.0), (32, 4.0), (96, 4.95), (192, 5.42), (384, 5.82),
                           (768, 6.1), (1536, 6.28), (3072, 6.36), (12288, 6.45))},
-    "cyrillic": {"per_token": (0.4, 8.0), "fallback": 0.98,
+    "cyrillic": {"least": (0.6, 1.3), "most": (8.0, 4.0), "fallback": (0.9, 0.6),
                  "entropy": ((8, 1.5), (64, 3.0), (512, 4.0))},
-    "cjk": {"per_token": (0.2, 4.0), "fallback": 1.0, "entropy": ((8, 1.5), (64, 3.0), (512, 4.0))},
-    "other": {"per_token": (0.2, 8.0), "fallback": 1.0, "entropy": ((8, 1.0), (64, 2.0),
-                                                                  (512, 3.0))},
+    "cjk": {"least": (0.4, 0.7), "most": (4.0, 2.5), "fallback": (0.99, 0.97),
+            "entropy": ((8, 1.5), (64, 3.0), (512, 4.0))},
+    "other": {"least": (0.35, 0.6), "most": (8.0, 5.0), "fallback": (0.999, 0.995),
+              "entropy": ((8, 1.0), (64, 2.0), (512, 3.0))},
 }
+#: Bands of a script with fewer than ``ENOUGH`` documents.
+BANDS = {name: {"per_token": (x["least"][0], x["most"][0]), "fallback": x["fallback"][0],
+                "entropy": x["entropy"]} for name, x in LIMITS.items()}
+ENOUGH = 100
+#: Quantiles that the bands start from, and the margins: a factor on the least
+#: and on the largest characters per token, a part of the share that is left.
+LOW, HIGH = 0.05, 0.99
+LEAST_MARGIN, MOST_MARGIN, SHARE_MARGIN = 0.9, 2.0, 0.1
+#: Histogram steps in one unit of a measure, and its largest value there.
+STEPS, TOP = 500, 16.0
 #: The letters of each script.
 SCRIPTS = (("latin", r"\p{Latin}"), ("cyrillic", r"[\p{Cyrillic}\p{Greek}]"),
            ("cjk", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"))
@@ -210,17 +229,62 @@ def in_bands(m: Column, bands: dict = BANDS) -> Column:
     return ok
 
 
-def judge(docs: DataFrame, paths: tuple[str, str], bands: dict = BANDS) -> DataFrame:
+def histogram(measured: DataFrame) -> DataFrame:
+    """(script, kind, step, n) of a frame with the measures ``m``: documents by
+    the better (kind "least") and the worse ("most") of the two characters per
+    token and by the share of partial characters ("fallback"), in steps of
+    1 / ``STEPS``; empty texts are left out. Its size is bounded."""
+    one, two = F.col("m")["chars_per_token"], F.col("m")["chars_per_token_2"]
+    kinds = {"least": F.greatest(one, two), "most": F.least(one, two),
+             "fallback": F.col("m")["fallback_share"]}
+    steps = F.explode(F.array(*[F.struct(
+        F.lit(k).alias("kind"),
+        F.floor(F.least(v, F.lit(TOP)) * STEPS).cast("int").alias("step"))
+        for k, v in kinds.items()])).alias("x")
+    return measured.where(F.col("m")["n_tokens"] > 0).select(
+        F.col("m")["script"].alias("script"), steps).groupBy(
+        "script", "x.kind", "x.step").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bands_of(measured: DataFrame, limits: dict = LIMITS) -> dict:
+    """The bands by script, from all documents of ``measured``."""
+    seen: dict = {}
+    for r in histogram(measured).collect():
+        seen.setdefault((r["script"], r["kind"]), []).append((r["step"], r["n"]))
+
+    def quantile(script, kind, q):
+        steps, n = map(np.array, zip(*sorted(seen[script, kind])))
+        return float(steps[np.searchsorted(np.cumsum(n), q * n.sum())]) / STEPS
+
+    out = {}
+    for name, x in limits.items():
+        least, most, share = (x[k][0] for k in ("least", "most", "fallback"))
+        if sum(n for _, n in seen.get((name, "least"), [])) >= ENOUGH:
+            least = np.clip(LEAST_MARGIN * quantile(name, "least", LOW), *x["least"])
+            most = np.clip(MOST_MARGIN * quantile(name, "most", HIGH), *x["most"][::-1])
+            share = quantile(name, "fallback", HIGH)
+            share = np.clip(share + SHARE_MARGIN * (1 - share), *x["fallback"][::-1])
+        out[name] = {"per_token": (float(least), float(most)), "fallback": float(share),
+                     "entropy": x["entropy"]}
+    return out
+
+
+def judge(docs: DataFrame, paths: tuple[str, str], bands: dict | None = None,
+          carry: list[str] | None = None) -> DataFrame:
     """(doc, m, base_failed, kept): ``doc`` holds the row of ``docs`` as a
-    struct, ``m`` its measures."""
+    struct, or its columns ``carry`` alone, ``m`` its measures. Without
+    ``bands``, they come from the measures of all rows, which are written once."""
     ship(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc")
     out = docs.select(row, measure(F.col("text").cast("string"), paths).alias("m"))
+    if bands is None:
+        out = table(out, "quality-measures")
+        bands = bands_of(out)
     failed = base_failed(F.col("m"))
     return out.select("doc", "m", failed.alias("base_failed"),
                       (~failed & in_bands(F.col("m"), bands)).alias("kept"))
 
 
-def survivors(docs: DataFrame, paths: tuple[str, str], bands: dict = BANDS) -> DataFrame:
+def survivors(docs: DataFrame, paths: tuple[str, str], bands: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects."""
     return judge(docs, paths, bands).where("kept").select("doc.*")

@@ -55,7 +55,7 @@ def op5(spark, sf_dir):
 
 @register("op8_quality_rules")
 def op8(spark, sf_dir):
-    judged = quality.judge(documents(spark, sf_dir), RANKS)
+    judged = quality.judge(documents(spark, sf_dir), RANKS, carry=["doc_id"])
     return judged.select("doc.doc_id", "m.*", "base_failed", "kept")
 
 

@@ -537,6 +537,79 @@ def test_fertility_bands(spark):
     assert quality.script_of("Вечером abc") == "cyrillic" and quality.script_of("12 !") == "other"
 
 
+def _letters(first, last):
+    return [chr(c) for c in range(first, last) if chr(c).isalpha()]
+
+
+def _noise(rng, letters, n=300):
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n))
+
+
+#: By script: prose, letters for noise of least characters per token and of most fallback.
+SCRIPT_TEXTS = {
+    "latin": ("It was a long evening by the river, and nobody could say when the lights went out",
+              _letters(97, 123), _letters(0xC0, 0x250)),
+    "cyrillic": ("Вечером у реки никто не мог сказать когда погасли огни на дальнем берегу",
+                 _letters(0x460, 0x530), _letters(0x460, 0x530)),
+    "cjk": ("傍晚的河边 村里没有人 说得清 对岸的灯 是什么时候 熄灭的 也不知道 是谁走过去 看了 老人坐在 窗前",
+            _letters(0x20000, 0x2A6D0), _letters(0x4E00, 0x9FA6)),
+    "other": ("शाम को नदी के किनारे कोई नहीं बता सका कि दूर के किनारे की रोशनी कब बुझ गई",
+              _letters(0x13000, 0x13400), _letters(0x904, 0x93A)),
+}
+
+
+@pytest.mark.parametrize("enough", [100, 10 ** 9])
+def test_each_band_of_each_script_fires(spark, monkeypatch, enough):
+    monkeypatch.setattr(quality, "ENOUGH", enough)
+    rng = random.Random(5)
+    texts, names = [], []
+    for script, (prose, low, part) in SCRIPT_TEXTS.items():
+        words = prose.split()
+        for _ in range(150):
+            texts.append(" ".join(rng.choices(words, k=40)))
+            names.append((script, "prose"))
+        # with the wide limits only letters that no vocabulary knows are too short for Latin
+        low = low if enough == 100 else part if script == "latin" else low
+        for kind, t in (("least", _noise(rng, low)), ("fallback", _noise(rng, part)),
+                        ("most", " ".join(w + " " + "-" * 200 for w in words * 3))):
+            assert quality.script_of(t) == script
+            texts.append(t)
+            names.append((script, kind))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    judged = table(quality.judge(frame, RANKS), "judged")
+    bands = quality.bands_of(judged)
+    got = {r["id"]: r for r in judged.select(
+        F.col("doc.doc_id").alias("id"), "m.*", "base_failed", "kept").collect()}
+    for i, (script, kind) in enumerate(names):
+        g, (lo, hi) = got[i], bands[script]["per_token"]
+        one, two = g["chars_per_token"], g["chars_per_token_2"]
+        assert g["script"] == script
+        if kind == "prose":
+            assert lo <= max(one, two) and min(one, two) <= hi
+            assert g["fallback_share"] <= bands[script]["fallback"]
+        else:
+            assert not g["kept"]
+            assert {"least": max(one, two) < lo, "most": min(one, two) > hi,
+                    "fallback": g["fallback_share"] > bands[script]["fallback"]}[kind]
+
+
+def test_bands_follow_the_documents(spark):
+    """Quantiles are those of a plain sort, to a step of the histogram."""
+    rng = random.Random(2)
+    rows = [(("latin", 9, 2 + rng.random(), 2 + rng.random(), rng.random() / 5),) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "m struct<script:string,n_tokens:bigint,"
+                                  "chars_per_token:double,chars_per_token_2:double,"
+                                  "fallback_share:double>")
+    limits = {"latin": dict(quality.LIMITS["latin"], least=(0.0, 9.0), most=(9.0, 0.0),
+                            fallback=(1.0, 0.0))}
+    got = quality.bands_of(frame, limits)["latin"]
+    best = sorted(max(m[2:4]) for m, in rows)
+    worst = sorted(min(m[2:4]) for m, in rows)
+    share = sorted(m[4] for m, in rows)[395]
+    assert got["per_token"] == pytest.approx((0.9 * best[19], 2 * worst[395]), abs=0.01)
+    assert got["fallback"] == pytest.approx(share + 0.1 * (1 - share), abs=0.01)
+
+
 def test_fertility_of_very_long_runs():
     n, per, per2, fallback, entropy = quality.fertility(" " * 300_000, RANKS)
     assert n > 0 and per >= 1 and fallback == 0 and entropy < 2
