@@ -3,11 +3,14 @@
 Every rolling ``K``-word gram of every text is hashed and joined with the
 grams of the license templates (a fixed, small table, so it is broadcast); an
 exact comparison of the gram follows the hash join. A hit at word d of the
-text and word t of the template lies on the diagonal d - t. Hits are counted
-by text, template and diagonal; neighbouring diagonals (words inserted or
-left out) of one template are merged into a span, and a span is accepted when
-its hits cover enough of the template's grams. Phrases are templates that
-must stand whole on one diagonal, so each of their places is one diagonal.
+text and word t of the template lies on the diagonal d - t. Hits are kept as
+one bitmap of t by text, template and diagonal, which loses none of them;
+neighbouring diagonals (words inserted or left out) of one template are merged
+into a span, over no more diagonals than the template has words. A span is
+accepted when enough different grams of the template stand in it in the
+template's order: its words are compared with the template's along the longest
+run of hits in which d and t both grow. Phrases are templates that must stand
+whole on one diagonal, so each of their places is one diagonal.
 
 Only DataFrame functions are used. The counting is combined map-side, where
 all grams of a text are, so the shuffle gets a row per text plus its few
@@ -21,7 +24,7 @@ and text are read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import ascii_lower
@@ -31,6 +34,8 @@ K = 3
 GAP = 6
 #: Share of a template's grams that a span must cover.
 COVER = 0.7
+#: Grams of a template, at most: one bit each.
+MOST_GRAMS = 63
 #: Letters, digits and everything beyond ASCII make up words.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -77,9 +82,10 @@ def template_rows(phrases=PHRASES, notices=NOTICES, k: int = K) -> list[tuple]:
 
 
 def diagonals(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K) -> DataFrame:
-    """doc_id, row, n_words, template, label, base, grams, diagonal, hits: one
-    row per text, template and diagonal that has hits, and one with null
-    template for the rest of a text."""
+    """doc_id, row, n_words, template, label, base, grams, diagonal, mask (bit t
+    for every hit): one row per text, template and diagonal that has hits, and
+    one with null template for the rest of a text. Templates have at most 63
+    grams."""
     spark = docs.sparkSession
     grams = spark.createDataFrame(
         template_rows(phrases, notices, k),
@@ -99,22 +105,50 @@ def diagonals(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K) ->
                        & (hashed["gram"] == grams["t_gram"]), "left")
     return hits.groupBy(
         "doc_id", "row", "n_words", "template", "label", "base", "grams",
-        (F.col("d") - F.col("t")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
+        (F.col("d") - F.col("t")).alias("diagonal")).agg(
+        F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
 
 
-def spans(votes: DataFrame, gap: int = GAP, cover: float = COVER) -> DataFrame:
+def in_order(parts: Column, grams: Column) -> Column:
+    """Most hits of ``parts`` (diagonal, mask) that follow each other in the text
+    as in the template: the longest run with growing d and growing t."""
+    places = F.sequence(F.lit(0), grams - 1)
+    # t counts down among hits on one word, so that a run takes one of them
+    hits = F.array_sort(F.flatten(F.transform(parts, lambda p: F.transform(
+        F.filter(places, lambda t: F.getbit(p["mask"], t) == 1),
+        lambda t: F.struct((p["diagonal"] + t).alias("d"), (-t).alias("back"))))))
+
+    def longer(best, hit):
+        t = -hit["back"]
+        run = F.coalesce(F.array_max(F.slice(best, F.lit(1), t)), F.lit(0)) + 1
+        return F.transform(best, lambda v, i: F.when((i == t) & (run > v), run).otherwise(v))
+
+    return F.array_max(F.aggregate(hits, F.transform(places, lambda t: t * 0), longer))
+
+
+def spans(votes: DataFrame, gap: int = GAP, cover: float = COVER, k: int = K) -> DataFrame:
     """doc_id, row, n_words, label, base, first (word the span starts at),
     covered (share of the template's grams): accepted spans, and one row with
     null label for every text."""
-    by = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
+    text = ["doc_id", "row", "template"]
+    by = Window.partitionBy(*text).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > gap, F.lit(True))
     merged = votes.withColumn("span", F.sum(
         F.when(F.col("base") | apart, 1).otherwise(0)).over(by))
-    share = F.sum("hits") / F.max("grams")
-    share = F.when(share > 1, 1.0).otherwise(share)
-    found = merged.groupBy("doc_id", "row", "n_words", "template", "label", "base", "span").agg(
-        F.min("diagonal").alias("first"), share.alias("covered"))
+    # a span may start at each diagonal and reaches over the template's words at most
+    ahead = Window.partitionBy(*text, "span").orderBy("diagonal").rangeBetween(0, MOST_GRAMS + k - 2)
+    reach = F.filter(F.collect_list(F.struct("diagonal", "mask")).over(ahead),
+                     lambda p: p["diagonal"] - F.col("diagonal") < F.col("grams") + k - 1)
     need = F.when(F.col("base"), 1.0).otherwise(cover)
+    seen = F.bit_count(F.aggregate("parts", F.lit(0).cast("bigint"),
+                                   lambda m, p: m.bitwiseOR(p["mask"])))
+    # few spans have enough different grams, and only their order is looked at
+    share = F.when(seen >= need * F.col("grams"), in_order(F.col("parts"), F.col("grams"))
+                   / F.col("grams"))
+    tried = merged.withColumn("parts", reach).withColumn("covered", share).withColumn(
+        "start", F.when(F.col("covered") >= need, F.col("diagonal")))
+    found = tried.groupBy("doc_id", "row", "n_words", "template", "label", "base", "span").agg(
+        F.min("start").alias("first"), F.max("covered").alias("covered"))
     ok = F.coalesce(F.col("covered") >= need, F.lit(False))
     return found.select(
         "doc_id", "row", "n_words", F.when(ok, F.col("label")).alias("label"),

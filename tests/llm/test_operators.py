@@ -493,6 +493,33 @@ def test_license_notice_with_inserted_words(spark):
     assert sorted(r["first"] for r in spans) == [0, len(notice) + 41]
 
 
+def test_license_spans_need_different_grams_in_order(spark):
+    isc = licenses.NOTICES[8][1].split()
+    mpl = "mozilla public license version 2 0"
+    texts = ["licensed creative commons attribution sharealike or creative commons attribution "
+             "noderivs",                                     # one gram of cc-by-nc, twice
+             "a general public license and the general public license",
+             " ".join(isc[12:] + isc[:12]),                  # both halves, the wrong way round
+             " ".join(f"creative commons attribution w{i}" for i in range(40))
+             + " commons attribution noncommercial",
+             " ".join(isc[i // 2] if i % 2 else "x" for i in range(2 * len(isc))),
+             f"creative commons attribution noncommercial, {mpl} {mpl}",
+             " ".join(isc[:9] + ["dearly"] + isc[9:]), " ".join(isc[:9] + isc[11:])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [
+        "cc-by-sa", "", "", "cc-by-nc", "", "cc-by-nc,mpl-2", "isc", "isc"]
+    assert got[0][1] == got[5][1] == 1
+    n = len(isc) - 2
+    assert got[6][1] == pytest.approx((n - 2) / n) and got[7][1] == pytest.approx((n - 4) / n)
+    # every gram once, but on diagonals further apart than the template is long
+    far = spark.createDataFrame(
+        [(1, 0, 99, 7, "x", False, 8, 5 * i, 1 << i) for i in range(8)],
+        "doc_id int, row int, n_words int, template int, label string, base boolean, grams int, "
+        "diagonal int, mask bigint")
+    assert [r["label"] for r in licenses.spans(far).collect()] == [None]
+
+
 # ---------------------------------------------------------------- quality rules
 def test_quality_base(spark, rows):
     shout = " ".join(["LOOK!! HERE!! NOW!!"] * 30)
