@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from basketry.llm import (bpe, cotrain, exact_dedup, langid, licenses, lm, mixing, quality,
-                          simhash, token_counts)
+from basketry.llm import (bpe, collocations, cotrain, decontaminate, exact_dedup, fim, langid,
+                          licenses, lm, mixing, quality, simhash, token_counts)
 from basketry.llm.common import crc_mod, documents, table
 
 QUERIES = {}
@@ -105,3 +105,23 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return cotrain.classify(documents(spark, sf_dir), labels)
+
+
+@register("op11_fill_in_middle", sql=fim.sql())
+def op11(spark, sf_dir):
+    return fim.transform(documents(spark, sf_dir), seed=7, rate=100, spm=50, texts=False)
+
+
+@register("op12_phrase_collocations", sql=collocations.sql(LOWERED))
+def op12(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir), least=30, limit=2000)
+
+
+@register("op13_decontamination", sql=decontaminate.sql(LOWERED))
+def op13(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.scan(documents(spark, sf_dir), items, n=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated")
