@@ -17,9 +17,10 @@ that shard's share of the language's words. So:
    ``least`` go. Every count that a score needs is among them, since a part of
    a phrase is at least as frequent as the phrase.
 
-Counting is combined in each task (``CHUNK`` words at a time, by exact word
-numbers) and again before the shuffle, so a word or phrase that holds a third
-of all places is one row per chunk. A piece is held whole, a text is not.
+Counting is combined in each task (about ``SLICE`` bytes of text of a language
+and shard at a time) and again before the shuffle, so a word or phrase that
+holds a third of all places is one row per slice. A piece is held whole, a text
+is not.
 
 Scores use integers only (decimals where a product may pass 64 bits).
 
@@ -31,6 +32,9 @@ are read.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -50,16 +54,18 @@ SHARDS = 4
 BITS = 1 << 27
 #: Slots of the bit set that one group packs.
 BLOCK = 1 << 19
-#: Words that a task counts together, about, and bytes of text that it splits.
-CHUNK, SLICE = 1_000_000, 4 << 20
+#: Bytes of text that a task counts together, and that it holds, about.
+SLICE, HELD = 4 << 20, 32 << 20
 #: Groups into which a language's phrases are dealt before the last ranking.
 SALTS = 256
 
+_END = re.compile(b"[" + re.escape(ENDS) + b"]")
 _GAP = b"\xff"                      # no byte of UTF-8 text
 #: One pass over the bytes: lower case, ends of pieces to gaps, a tab to a space.
 _MARKED = bytes(0xFF if i in ENDS else 32 if i in SPACES else i + 32 if 65 <= i <= 90 else i
                 for i in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95                  # odd, so it has an inverse modulo 2 ** 64
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -69,62 +75,90 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def split(text: bytes):
-    """Lists of words of a text, with ``_GAP`` between pieces; cut after a
-    piece every ``SLICE`` bytes or more."""
-    marked = text.translate(_MARKED)
-    lo, n = 0, len(marked)
-    while lo < n:
-        hi = n if n - lo <= SLICE else marked.find(_GAP, lo + SLICE) + 1 or n
-        words = marked[lo:hi].replace(_GAP, b" \xff ").split(b" ")
-        yield [w for w in words if w]
-        lo = hi
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``_BASE`` and of its inverse, modulo 2 ** 64."""
+    out = []
+    with np.errstate(over="ignore"):
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            row = np.full(n, base, np.uint64)
+            row[0] = 1
+            out.append(np.cumprod(row))
+    return out[0], out[1]
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self)
-        return found
+def slices(text: bytes):
+    """A text in parts of ``SLICE`` bytes or more, cut after a piece."""
+    lo, n = 0, len(text)
+    while n - lo > SLICE:
+        at = _END.search(text, lo + SLICE)
+        if at is None:
+            break
+        yield text[lo:at.end()]
+        lo = at.end()
+    yield text[lo:] if lo else text
 
 
 class Chunk:
-    """Words of texts of one language, numbered; gaps between pieces are 0."""
-
-    def __init__(self, words: list[bytes], seed: int):
-        known = _Numbers({_GAP: 0})
-        self.ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.words = list(known)
-        self.codes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(known))
-        self.seed = np.uint64(seed)
+    """The words of texts of one language: where they start and end, the number
+    of their piece and a 64-bit hash of each."""
+
+    def __init__(self, texts: list[bytes], seed: int):
+        self.marked = _GAP.join(texts).translate(_MARKED)
+        buf = np.frombuffer(self.marked, np.uint8)
+        gap = buf == 255
+        self.starts, self.ends = np.flatnonzero(np.diff(
+            gap | (buf == 32), prepend=True, append=True)).reshape(-1, 2).T
+        self.piece = np.cumsum(gap, dtype=np.int32)[self.starts]
+        # a word's hash is a difference of prefix sums of bytes times powers, moved to power 0
+        up, down = _powers(1 << max(SLICE.bit_length(), len(buf).bit_length()))
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((buf + np.uint64(1)) * up[:len(buf)], out=sums[1:])
+            own = (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        self.codes, self.seed = _mixed(own), np.uint64(seed)
 
     def hashes(self, k: int, at: np.ndarray) -> np.ndarray:
         """Hash of the ``k``-word phrases that start at ``at``."""
         h = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for j in range(k):
-                h = (h + self.codes[self.ids[at + j]]) * _ODD
+                h = (h + self.codes[at + j]) * _ODD
             return _mixed(h ^ self.seed)
 
     def levels(self, sets: list[np.ndarray]):
         """(k, places) of the phrases whose parts of ``k`` - 1 words are in
         ``sets[k - 2]``, for k = 1 (all words) to one more than there are sets."""
-        at = np.flatnonzero(self.ids)
+        at = np.arange(len(self.codes))
         for k in range(1, len(sets) + 2):
             yield k, at
             if k <= len(sets):
                 at = at[has(sets[k - 1], self.hashes(k, at))]
-                # both parts are there when the next place is there too
-                at = at[:-1][np.diff(at) == 1]
+                # both parts are there when the next place is there too, in the same piece
+                near, after = at[:-1], at[1:]
+                at = near[(after - near == 1) & (self.piece[near] == self.piece[after])]
+
+    def word(self, i: int) -> bytes:
+        return self.marked[self.starts[i]:self.ends[i]]
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        return found
+
 
-    def counted(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a place, count) of each different ``k``-word phrase among ``at``,
-        told apart by the words' numbers."""
-        key = self.ids[at]
-        for j in range(1, k):
-            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            key = (key << 32) | self.ids[at + j]
-        _, first, c = np.unique(key, return_index=True, return_counts=True)
-        return at[first], c
+def counted(ids: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place, count) of each different ``k``-word phrase among ``at``, told
+    apart by the words' numbers ``ids``."""
+    key = ids[at]
+    for j in range(1, k):
+        key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = (key << 32) | ids[at + j]
+    _, first, c = np.unique(key, return_index=True, return_counts=True)
+    return at[first], c
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -138,29 +172,31 @@ def _seed(lang: str) -> int:
 
 
 def _chunks(batches, sharded: bool):
-    """(lang, shard, Chunk) of about ``CHUNK`` words in all, over Arrow batches
-    of (text, lang, shard)."""
+    """(lang, shard, Chunk) over Arrow batches of (text, lang, shard)."""
     held: dict[tuple, list[bytes]] = {}
-    size = 0
+    sizes: dict[tuple, int] = {}
+    total = 0
 
-    def emit():
-        while held:
-            (lang, shard), words = held.popitem()
-            yield lang, shard, Chunk(words, _seed(lang))
+    def emit(keys):
+        for own in keys:
+            yield own[0], own[1], Chunk(held.pop(own), _seed(own[0]))
+            sizes.pop(own)
 
     for b in batches:
         langs, shards = b.column(1).to_pylist(), b.column(2).to_pylist()
         for i, t in enumerate(b.column(0)):
             own = (langs[i], shards[i] if sharded else 0)
-            for words in split(t.as_buffer().to_pybytes() if t.is_valid else b""):
-                into = held.setdefault(own, [])
-                into += words
-                into.append(_GAP)
-                size += len(words) + 1
-                if size >= CHUNK:
-                    yield from emit()
-                    size = 0
-    yield from emit()
+            for part in slices(t.as_buffer().to_pybytes()) if t.is_valid else ():
+                held.setdefault(own, []).append(part)
+                sizes[own] = sizes.get(own, 0) + len(part) + 1
+                total += len(part) + 1
+                if sizes[own] >= SLICE:
+                    total -= sizes[own]
+                    yield from emit([own])
+                elif total >= HELD:
+                    total = 0
+                    yield from emit(list(held))
+    yield from emit(list(held))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -179,13 +215,10 @@ def _local(docs: DataFrame, k: int, held) -> DataFrame:
         sets = held.value if held is not None else []
         for lang, shard, chunk in _chunks(batches, True):
             *_, (_, at) = chunk.levels(sets)
-            if k == 1:              # words by number, and how many there are in all
-                c = np.bincount(chunk.ids, minlength=len(chunk.words))[1:]
-                h = pa.array(_mixed(chunk.codes[1:] * _ODD ^ chunk.seed).view(np.int64))
-                h, c = pa.concat_arrays([h, pa.nulls(1, pa.int64())]), np.append(c, c.sum())
-            else:
-                h, c = np.unique(chunk.hashes(k, at), return_counts=True)
-                h = pa.array(h.view(np.int64))
+            h, c = np.unique(chunk.hashes(k, at), return_counts=True)
+            h = pa.array(h.view(np.int64))
+            if k == 1:              # and how many words there are in all
+                h, c = pa.concat_arrays([h, pa.nulls(1, pa.int64())]), np.append(c, len(at))
             if len(c):
                 yield pa.RecordBatch.from_arrays(
                     [pa.repeat(lang, len(c)), pa.repeat(pa.scalar(shard, pa.int32()), len(c)), h,
@@ -247,10 +280,16 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
     def run(batches):
         sets = held.value
         for lang, _, chunk in _chunks(batches, False):
+            known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
             for k, at in chunk.levels(sets[:LONGEST - 1]):
-                at, c = chunk.counted(k, at[has(sets[k - 1], chunk.hashes(k, at))])
-                phrases = [b" ".join([chunk.words[i] for i in row]) for row in
-                           chunk.ids[at[:, None] + np.arange(k)].tolist()]
+                at = at[has(sets[k - 1], chunk.hashes(k, at))]
+                if k == 1:          # phrases of more words are made of these
+                    words = map(chunk.word, at.tolist())
+                    ids[at] = np.fromiter(map(known.__getitem__, words), np.int64, len(at))
+                    words = list(known)
+                at, c = counted(ids, k, at)
+                phrases = [b" ".join([words[i] for i in row]) for row in
+                           ids[at[:, None] + np.arange(k)].tolist()]
                 if phrases:
                     yield pa.RecordBatch.from_arrays(
                         [pa.repeat(lang, len(c)), pa.array(phrases, pa.binary()).cast(pa.string()),

@@ -31,10 +31,14 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import ascii_lower, table
 
-#: Letters, digits and everything beyond ASCII make up words.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters, digits and everything beyond ASCII make up words. Spark matches the
+#: class as it is listed here three times faster than its complement.
+WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: A word with the separators after it, or those before the first word.
-UNITS = r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+UNITS = f"^{GAPS}+|{WORDS}{GAPS}*"
+#: Words by which the windows of a place are tried first.
+LEAD = 2
 #: Bits of the set of hashes, at least and at most, and bits for each window.
 LEAST_BITS, MOST_BITS, BITS = 1 << 12, 1 << 20, 64
 #: Bytes of the windows' table that is broadcast, at most.
@@ -42,13 +46,20 @@ MOST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))),
-                                F.lit(WORDS), F.lit(0))
+    """Lower-cased words of a text."""
+    found = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORDS), F.lit(0))
+    return F.transform(found, lambda w: ascii_lower(w))
+
+
+def _code(codes: str, start: Column, width: int) -> Column:
+    """Hash of ``width`` word hashes of the array column ``codes``."""
+    return F.xxhash64(*[F.get(F.col(codes), start + j) for j in range(width)])
 
 
 def windows(items: DataFrame, n: int = 10) -> DataFrame:
-    """Distinct windows of all items: h (hash), width, gram (words joined by
-    spaces), items (sorted distinct ids as strings)."""
+    """Distinct windows of all items: h (hash), lead (hash of the first ``LEAD``
+    words), width, gram (words joined by spaces), items (sorted distinct ids as
+    strings)."""
     cut = items.select(F.col("item_id").cast("string").alias("item_id"),
                        words(F.col("text")).alias("words")).where(F.size("words") > 0)
     width = F.least(F.size("words"), F.lit(n))
@@ -56,20 +67,25 @@ def windows(items: DataFrame, n: int = 10) -> DataFrame:
         F.sequence(F.lit(1), F.size("words") - width + 1)).alias("at"))
     part = F.slice("words", F.col("at"), F.col("width"))
     grams = rolled.select("item_id", "width", F.array_join(part, " ").alias("gram"),
-                          F.xxhash64(F.transform(part, lambda w: F.xxhash64(w))).alias("h"))
-    return grams.groupBy("h", "width", "gram").agg(
+                          F.transform(part, lambda w: F.xxhash64(w)).alias("codes"))
+    # the hash of an array's elements is that of as many columns
+    return grams.groupBy(
+        F.xxhash64("codes").alias("h"),
+        F.xxhash64(F.slice("codes", 1, LEAD)).alias("lead"), "width", "gram").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def _bits(grams: DataFrame, count: int) -> tuple[Column, int]:
-    """A bounded bit set of the hashes as a constant array of longs, and its
-    number of bits."""
+    """A bounded bit set of the hashes of windows and of their leads, as a
+    constant array of longs, and its number of bits."""
     size = LEAST_BITS
     while size < min(MOST_BITS, BITS * count):
         size *= 2
-    slot = F.pmod(F.col("h"), F.lit(size))
-    held = {r["w"]: r["b"] for r in grams.select(
-        F.floor(slot / 64).cast("int").alias("w"), F.pmod(slot, F.lit(64)).cast("int").alias("i"))
+    slots = grams.select(F.explode(F.array("h", "lead")).alias("x")).select(
+        F.pmod("x", F.lit(size)).alias("slot"))
+    held = {r["w"]: r["b"] for r in slots.select(
+        F.shiftright("slot", 6).cast("int").alias("w"),
+        F.pmod("slot", F.lit(64)).cast("int").alias("i"))
         .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("b")).collect()}
     longs = ",".join(str(held.get(w, 0)) for w in range(size // 64))
     return F.split(F.lit(longs), ",").cast("array<bigint>"), size
@@ -77,20 +93,22 @@ def _bits(grams: DataFrame, count: int) -> tuple[Column, int]:
 
 def _passed(width: int, bits: Column, size: int) -> Column:
     """The windows of ``width`` words whose hash is in the bit set, of a row
-    with ``words`` and ``codes`` (the words' hashes): at, width, h, gram."""
-    def code(i):
-        return F.xxhash64(F.slice("codes", i, F.lit(width)))
-
-    def seen(i):
-        slot = F.pmod(code(i), F.lit(size))
+    with ``words`` and ``codes`` (the words' hashes): at, width, h, gram. Most
+    places fail by their first words already."""
+    def held(code):
+        slot = F.pmod(code, F.lit(size))
         return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")),
                         F.pmod(slot, F.lit(64)).cast("int")) == 1
 
+    def seen(i):
+        return held(_code("codes", i, min(width, LEAD))) & held(_code("codes", i, width))
+
     def window(i):
-        return F.struct(i.alias("at"), F.lit(width).alias("width"), code(i).alias("h"),
-                        F.array_join(F.slice("words", i, F.lit(width)), " ").alias("gram"))
+        return F.struct(i.alias("at"), F.lit(width).alias("width"),
+                        _code("codes", i, width).alias("h"), F.array_join(
+                            F.slice("words", i + 1, F.lit(width)), " ").alias("gram"))
 
-    starts = F.sequence(F.lit(1), F.size("words") - width + 1)
+    starts = F.sequence(F.lit(0), F.size("words") - width)
     return F.when(F.size("words") >= width, F.transform(F.filter(starts, seen), window))\
         .otherwise(F.array())
 
@@ -118,7 +136,7 @@ def hits(docs: DataFrame, grams: DataFrame, key: list[Column]) -> DataFrame:
         known = F.broadcast(known)
     met = tried.join(known, (F.col("h") == F.col("g_h")) & (F.col("gram") == F.col("g_gram")),
                      "left")
-    span = F.struct((F.col("at") - 1).alias("first"), (F.col("at") - 1 + F.col("width")).alias("end"))
+    span = F.struct(F.col("at").alias("first"), (F.col("at") + F.col("width")).alias("end"))
     return met.groupBy(*names, "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("g_h").isNotNull(), span))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
@@ -183,8 +201,7 @@ def clean(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "spans",
         return keyed.join(found, on, "left_anti").drop(own)
     units = F.regexp_extract_all(F.col("text").cast("string"), F.lit(UNITS), F.lit(0))
     # separators before the first word are a unit of their own
-    before = F.when(F.col("text").cast("string").rlike(
-        r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]"), 1).otherwise(0)
+    before = F.when(F.col("text").cast("string").rlike(f"^{GAPS}"), 1).otherwise(0)
     kept = F.filter(units, lambda u, i: ~F.exists(
         F.col(cut), lambda s: (i - F.col(lead) >= s["first"]) & (i - F.col(lead) < s["end"])))
     joined = keyed.join(found, on, "left").withColumn(cut, merged(F.col(spans))).withColumn(
@@ -203,11 +220,12 @@ def _free(name: str, taken: set[str]) -> str:
 
 def sql(lowered: str, n: int = 10) -> str:
     """The scan as DuckDB SQL; ``lowered`` is the text, A-Z lower-cased."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row,
-  regexp_extract_all({lowered}, '{WORDS}') AS words FROM documents),
+  regexp_extract_all({lowered}, '{words}') AS words FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id,
-  regexp_extract_all({lowered}, '{WORDS}') AS words FROM benchmark),
+  regexp_extract_all({lowered}, '{words}') AS words FROM benchmark),
 s AS (SELECT item_id, words, least(len(words), {n}) AS width FROM i WHERE len(words) > 0),
 g AS (SELECT DISTINCT item_id, width, array_to_string(words[j:j + width - 1], ' ') AS gram
   FROM (SELECT *, unnest(range(1, len(words) - width + 2)) AS j FROM s)),
