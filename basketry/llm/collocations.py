@@ -87,11 +87,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def slices(text: bytes):
-    """A text in parts of ``SLICE`` bytes or more, cut after a piece."""
+def slices(text: bytes, size: int = SLICE):
+    """A text in parts of ``size`` bytes or more, cut after a piece."""
     lo, n = 0, len(text)
-    while n - lo > SLICE:
-        at = _END.search(text, lo + SLICE)
+    while n - lo > size:
+        at = _END.search(text, lo + size)
         if at is None:
             break
         yield text[lo:at.end()]
@@ -162,7 +162,8 @@ def counted(ids: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(BITS - 1)
+    """Whether the bit of each hash is set; ``bits`` has a power of two of them."""
+    slot = h & np.uint64(8 * len(bits) - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(
         np.uint8)) & 1 > 0
 
@@ -171,8 +172,9 @@ def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def _chunks(batches, sharded: bool):
-    """(lang, shard, Chunk) over Arrow batches of (text, lang, shard)."""
+def _chunks(batches, sharded: bool, size: int):
+    """(lang, shard, Chunk) over Arrow batches of (text, lang, shard), of about
+    ``size`` bytes each unless there are many languages."""
     held: dict[tuple, list[bytes]] = {}
     sizes: dict[tuple, int] = {}
     total = 0
@@ -186,11 +188,11 @@ def _chunks(batches, sharded: bool):
         langs, shards = b.column(1).to_pylist(), b.column(2).to_pylist()
         for i, t in enumerate(b.column(0)):
             own = (langs[i], shards[i] if sharded else 0)
-            for part in slices(t.as_buffer().to_pybytes()) if t.is_valid else ():
+            for part in slices(t.as_buffer().to_pybytes(), size) if t.is_valid else ():
                 held.setdefault(own, []).append(part)
                 sizes[own] = sizes.get(own, 0) + len(part) + 1
                 total += len(part) + 1
-                if sizes[own] >= SLICE:
+                if sizes[own] >= size:
                     total -= sizes[own]
                     yield from emit([own])
                 elif total >= HELD:
@@ -213,7 +215,7 @@ def _local(docs: DataFrame, k: int, held) -> DataFrame:
 
     def run(batches):
         sets = held.value if held is not None else []
-        for lang, shard, chunk in _chunks(batches, True):
+        for lang, shard, chunk in _chunks(batches, True, SLICE):
             *_, (_, at) = chunk.levels(sets)
             h, c = np.unique(chunk.hashes(k, at), return_counts=True)
             h = pa.array(h.view(np.int64))
@@ -279,7 +281,7 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
 
     def run(batches):
         sets = held.value
-        for lang, _, chunk in _chunks(batches, False):
+        for lang, _, chunk in _chunks(batches, False, SLICE):
             known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
             for k, at in chunk.levels(sets[:LONGEST - 1]):
                 at = at[has(sets[k - 1], chunk.hashes(k, at))]
