@@ -4,12 +4,14 @@ Texts are lower-cased (A-Z), cut into pieces at sentence marks and line ends,
 and pieces into words. Everything is counted by language. A phrase (1 to
 ``LONGEST`` words within a piece) with support ``f`` of ``least`` or more in a
 language must reach, in one of the ``SHARDS`` shards at least, ``least`` times
-that shard's share of the language's words. So:
+that shard's share of the language. So:
 
 1. Every shard (documents by a hash of their text) is mined completely at its
    lowered support, level by level: a phrase is counted only when both its
-   parts of one word less were locally frequent. Mining counts 64-bit hashes;
-   two phrases that share one only add a candidate.
+   parts of one word less were locally frequent. A shard's size is its bytes of
+   the language; whatever the sizes, a phrase below its share in every shard is
+   below ``least`` in all. Mining counts 64-bit hashes; two phrases that share
+   one only add a candidate.
 2. The union of the locally frequent phrases of a level is a bit set of
    ``BITS`` bits over their hashes, a fixed size, which is broadcast. A full
    set lets more candidates pass and changes no result.
@@ -17,10 +19,9 @@ that shard's share of the language's words. So:
    ``least`` go. Every count that a score needs is among them, since a part of
    a phrase is at least as frequent as the phrase.
 
-Counting is combined in each task (about ``SLICE`` bytes of text of a language
-and shard at a time) and again before the shuffle, so a word or phrase that
-holds a third of all places is one row per slice. A piece is held whole, a text
-is not.
+Counting is combined in each task (``GATHERED`` places at a time) and again
+before the shuffle, so a word or phrase that holds a third of all places is a
+few rows per task. A piece is held whole, a text is not.
 
 Scores use integers only (decimals where a product may pass 64 bits).
 
@@ -48,14 +49,16 @@ from basketry.llm.common import map_arrow, ship, table
 ENDS, SPACES = b".,;:!?\n\v\f\r", b" \t"
 #: Words of a phrase, at most.
 LONGEST = 4
-#: Parts of the corpus that are mined on their own.
-SHARDS = 4
+#: Parts of the corpus that are mined on their own (256 at most), and groups of
+#: languages that share a lowered support, the least of theirs.
+SHARDS, GROUPS = 4, 4096
 #: Bits of the set of candidates of a level.
 BITS = 1 << 27
 #: Slots of the bit set that one group packs.
 BLOCK = 1 << 19
-#: Bytes of text that a task counts together, and that it holds, about.
-SLICE, HELD = 4 << 20, 32 << 20
+#: Bytes of text that a task hashes together, and that it holds, and hashes that
+#: it counts together, about.
+SLICE, HELD, GATHERED = 1 << 20, 16 << 20, 4 << 20
 #: Groups into which a language's phrases are dealt before the last ranking.
 SALTS = 256
 
@@ -111,7 +114,7 @@ class Chunk:
             gap | (buf == 32), prepend=True, append=True)).reshape(-1, 2).T
         self.piece = np.cumsum(gap, dtype=np.int32)[self.starts]
         # a word's hash is a difference of prefix sums of bytes times powers, moved to power 0
-        up, down = _powers(1 << max(SLICE.bit_length(), len(buf).bit_length()))
+        up, down = _powers(1 << max((2 * SLICE).bit_length() - 1, len(buf).bit_length()))
         sums = np.zeros(len(buf) + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum((buf + np.uint64(1)) * up[:len(buf)], out=sums[1:])
@@ -172,8 +175,8 @@ def _seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def _chunks(batches, sharded: bool, size: int):
-    """(lang, shard, Chunk) over Arrow batches of (text, lang, shard), of about
+def _chunks(batches, size: int):
+    """(lang, part, Chunk) over Arrow batches of (text, lang, part), of about
     ``size`` bytes each unless there are many languages."""
     held: dict[tuple, list[bytes]] = {}
     sizes: dict[tuple, int] = {}
@@ -185,13 +188,13 @@ def _chunks(batches, sharded: bool, size: int):
             sizes.pop(own)
 
     for b in batches:
-        langs, shards = b.column(1).to_pylist(), b.column(2).to_pylist()
+        langs, parts = b.column(1).to_pylist(), b.column(2).to_pylist()
         for i, t in enumerate(b.column(0)):
-            own = (langs[i], shards[i] if sharded else 0)
-            for part in slices(t.as_buffer().to_pybytes(), size) if t.is_valid else ():
-                held.setdefault(own, []).append(part)
-                sizes[own] = sizes.get(own, 0) + len(part) + 1
-                total += len(part) + 1
+            own = (langs[i], parts[i])
+            for piece in slices(t.as_buffer().to_pybytes(), size) if t.is_valid else ():
+                held.setdefault(own, []).append(piece)
+                sizes[own] = sizes.get(own, 0) + len(piece) + 1
+                total += len(piece) + 1
                 if sizes[own] >= size:
                     total -= sizes[own]
                     yield from emit([own])
@@ -202,32 +205,63 @@ def _chunks(batches, sharded: bool, size: int):
 
 
 def _source(docs: DataFrame) -> DataFrame:
+    """text, lang, shard, and part: the shard of the language's group."""
     text = F.col("text").cast("string")
-    return docs.select(text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-                       .alias("lang"),
-                       F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int").alias("shard"))
+    shard = F.pmod(F.xxhash64(text), F.lit(SHARDS)).cast("int")
+    named = docs.select(text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+                        .alias("lang"), shard.alias("shard"))
+    group = F.pmod(F.xxhash64("lang"), F.lit(GROUPS)).cast("int")
+    return named.withColumn("part", group * SHARDS + F.col("shard"))
 
 
 # ---------------------------------------------------------------- shards
+def lowered_support(docs: DataFrame, least: int) -> np.ndarray:
+    """By part, ``least`` times the part's share of its language's bytes,
+    rounded up; of several languages in a group, the least."""
+    sizes = table(_source(docs).groupBy("lang", "part").agg(
+        F.sum(F.octet_length("text").cast("bigint")).alias("own")), "phrase-parts")
+    total = sizes.groupBy("lang").agg(F.sum("own").alias("n"))
+    wide = "cast({} as decimal(20,0))".format
+    need = F.expr(f"cast(({wide(least)} * {wide('own')} + n - 1) div {wide('n')} as bigint)")
+    out = np.full(GROUPS * SHARDS, least, np.int64)
+    for r in sizes.join(total.where("n > 0"), "lang").groupBy("part").agg(
+            F.min(F.greatest(need, F.lit(1))).alias("need")).collect():     # one row a part
+        out[r["part"]] = min(least, r["need"])
+    return out
+
+
 def _local(docs: DataFrame, k: int, held) -> DataFrame:
-    """(lang, shard, h, c): counts of the ``k``-word phrases of each shard by
-    hash; for k = 1 also the words of each language and shard, h null."""
+    """(h,): hashes of the ``k``-word phrases that are frequent in a shard, their
+    highest byte changed by the shard. ``held``: (lowered support, bit sets)."""
 
     def run(batches):
-        sets = held.value if held is not None else []
-        for lang, shard, chunk in _chunks(batches, True, SLICE):
-            *_, (_, at) = chunk.levels(sets)
-            h, c = np.unique(chunk.hashes(k, at), return_counts=True)
-            h = pa.array(h.view(np.int64))
-            if k == 1:              # and how many words there are in all
-                h, c = pa.concat_arrays([h, pa.nulls(1, pa.int64())]), np.append(c, len(at))
-            if len(c):
+        need, sets = held.value
+        gathered: dict[int, list[np.ndarray]] = {}
+        total = 0
+
+        def emit():
+            while gathered:
+                part, hashes = gathered.popitem()
+                h, c = np.unique(np.concatenate(hashes), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(c)), pa.repeat(pa.scalar(shard, pa.int32()), len(c)), h,
-                     pa.array(c, pa.int64())], ["lang", "shard", "h", "c"])
+                    [pa.array((h ^ np.uint64((part % SHARDS) << 56)).view(np.int64)),
+                     pa.array(c, pa.int64()), pa.repeat(pa.scalar(need[part], pa.int64()), len(c))],
+                    ["h", "c", "need"])
 
-    rows = map_arrow(_source(docs), run, "lang string, shard int, h bigint, c bigint")
-    return rows.groupBy("lang", "shard", "h").agg(F.sum("c").alias("c"))
+        for lang, part, chunk in _chunks(batches, SLICE):
+            *_, (_, at) = chunk.levels(sets)
+            if len(at):
+                gathered.setdefault(part, []).append(chunk.hashes(k, at))
+                total += len(at)
+            if total >= GATHERED:
+                yield from emit()
+                total = 0
+        yield from emit()
+
+    rows = map_arrow(_source(docs).select("text", "lang", "part"), run,
+                     "h bigint, c bigint, need bigint")
+    return rows.groupBy("h").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where(
+        "c >= need").select("h")
 
 
 def _bit_set(hashes: DataFrame) -> np.ndarray:
@@ -250,39 +284,38 @@ def _bit_set(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def mine(docs: DataFrame, least: int = 30) -> tuple[list[np.ndarray], DataFrame]:
+def mine(docs: DataFrame, least: int = 30) -> list[np.ndarray]:
     """The bit sets of the phrases that are frequent in a shard, by number of
-    words, and (lang, n), the words of each language."""
+    words."""
     sc = docs.sparkSession.sparkContext
-    words = table(_local(docs, 1, None), "phrase-words")
-    parts = table(words.where("h is null").select("lang", "shard", F.col("c").alias("n")),
-                  "phrase-parts")
-    totals = table(parts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    # least * (share of the shard), rounded up
-    wide = "cast({} as decimal(20,0))".format
-    need = table(parts.withColumnRenamed("n", "own").join(totals, "lang").select(
-        "lang", "shard", F.expr(f"({wide(least)} * {wide('own')} + n - 1) div {wide('n')}")
-        .alias("need")), "phrase-need")
+    need = lowered_support(docs, least)
     sets: list[np.ndarray] = []
     for k in range(1, LONGEST + 1):
-        held = sc.broadcast(sets) if k > 1 else None
-        found = words.where("h is not null") if k == 1 else _local(docs, k, held)
-        frequent = found.join(need, ["lang", "shard"]).where("c >= need").select("h")
-        sets.append(_bit_set(frequent))
-        if held is not None:
-            held.destroy()
-    return sets, totals
+        held = sc.broadcast((need, sets))
+        sets.append(_bit_set(_local(docs, k, held)))
+        held.destroy()
+    return sets
 
 
 # ---------------------------------------------------------------- global counts
 def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame:
-    """(lang, phrase, words, f): exact counts of all candidates with f >= least."""
+    """(lang, phrase, words, f): exact counts of all candidates with f >= least,
+    and with words 0 the number of all words of each language."""
     held = docs.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches):
         sets = held.value
-        for lang, _, chunk in _chunks(batches, False, SLICE):
+
+        def batch(lang, phrases, k, c):
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(lang, len(c)), pa.array(phrases, pa.binary()).cast(pa.string()),
+                 pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c, pa.int64())],
+                ["lang", "phrase", "words", "c"])
+
+        for lang, _, chunk in _chunks(batches, SLICE):
             known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
+            if len(ids):
+                yield batch(lang, [b""], 0, [len(ids)])
             for k, at in chunk.levels(sets[:LONGEST - 1]):
                 at = at[has(sets[k - 1], chunk.hashes(k, at))]
                 if k == 1:          # phrases of more words are made of these
@@ -290,24 +323,23 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
                     ids[at] = np.fromiter(map(known.__getitem__, words), np.int64, len(at))
                     words = list(known)
                 at, c = counted(ids, k, at)
-                phrases = [b" ".join([words[i] for i in row]) for row in
-                           ids[at[:, None] + np.arange(k)].tolist()]
-                if phrases:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(lang, len(c)), pa.array(phrases, pa.binary()).cast(pa.string()),
-                         pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c, pa.int64())],
-                        ["lang", "phrase", "words", "c"])
-
-    rows = map_arrow(_source(docs), run, "lang string, phrase string, words int, c bigint")
+                if len(at):
+                    phrases = [b" ".join([words[i] for i in row]) for row in
+                               ids[at[:, None] + np.arange(k)].tolist()]
+                    yield batch(lang, phrases, k, c)
+
+    source = _source(docs).select("text", "lang", F.lit(0).alias("part"))
+    rows = map_arrow(source, run, "lang string, phrase string, words int, c bigint")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f")).where(
-        F.col("f") >= least)
+        (F.col("f") >= least) | (F.col("words") == 0))
 
 
 def frequent(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Written tables: every phrase with its count (lang, phrase, words, f),
-    and (lang, n)."""
-    sets, totals = mine(docs, least)
-    return table(count(docs, sets, least), "phrases"), totals
+    """Every phrase with its count (lang, phrase, words, f), and (lang, n), the
+    words of each language."""
+    counts = table(count(docs, mine(docs, least), least), "phrases")
+    return counts.where("words > 0"), counts.where("words = 0").select(
+        "lang", F.col("f").alias("n"))
 
 
 # ---------------------------------------------------------------- scores

@@ -1,17 +1,17 @@
 """Benchmark decontamination by a broadcast set of test n-grams.
 
 Items and documents are lower-cased (A-Z) and cut into words. The windows of an
-item are its runs of ``n`` words; an item of fewer words is one window. Windows
-are compared by a 64-bit hash of their word hashes, then by their words.
+item are its runs of ``n`` words; an item of fewer words is one window.
 
 The distinct windows of all items are written, and go to every executor in two
-forms: a bit set of their hashes, of at most ``MOST_BITS`` bits, that is part
-of the scan's expression, and a hash table for the join that verifies the
-words. A document's windows are tested against the bit set inside its row;
-only those that pass become rows, so a clean text is one row of the join.
-The table is broadcast up to ``MOST_BYTES``; a larger benchmark is joined by
-shuffles of the windows that passed, with the same result. A full bit set lets
-more windows pass and changes no result.
+forms: a bit set of the hashes of their first ``LEAD`` words, of at most
+``MOST_BITS`` bits, that is part of the scan's expression, and a hash table for
+the join, by a 64-bit hash of the window and then by its words. A document's
+places are tried against the bit set inside its row; only the windows of those
+that pass become rows, so a clean text is about one row of the join. The table
+is broadcast up to ``MOST_BYTES``; a larger benchmark is joined by shuffles of
+the windows that passed, with the same result. A full bit set lets more windows
+pass and changes no result.
 
 All rows of a document leave one task, so the grouping that follows is combined
 there, and a passage that a third of all documents share is no hot key. Only
@@ -37,8 +37,8 @@ WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: A word with the separators after it, or those before the first word.
 UNITS = f"^{GAPS}+|{WORDS}{GAPS}*"
-#: Words by which the windows of a place are tried first.
-LEAD = 2
+#: First words of a window by which a place is tried.
+LEAD = 4
 #: Bits of the set of hashes, at least and at most, and bits for each window.
 LEAST_BITS, MOST_BITS, BITS = 1 << 12, 1 << 20, 64
 #: Bytes of the windows' table that is broadcast, at most.
@@ -51,38 +51,36 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: ascii_lower(w))
 
 
-def _code(codes: str, start: Column, width: int) -> Column:
-    """Hash of ``width`` word hashes of the array column ``codes``."""
-    return F.xxhash64(*[F.get(F.col(codes), start + j) for j in range(width)])
+def _lead(start: Column, width: int) -> Column:
+    """Hash of the first words of a window, from the array ``codes``."""
+    return F.xxhash64(*[F.get(F.col("codes"), start + j) for j in range(min(width, LEAD))])
 
 
 def windows(items: DataFrame, n: int = 10) -> DataFrame:
-    """Distinct windows of all items: h (hash), lead (hash of the first ``LEAD``
-    words), width, gram (words joined by spaces), items (sorted distinct ids as
-    strings)."""
+    """Distinct windows of all items: lead (hash of the first ``LEAD`` words),
+    width, gram (words joined by spaces), items (sorted distinct ids as strings),
+    h (hash of the gram)."""
     cut = items.select(F.col("item_id").cast("string").alias("item_id"),
                        words(F.col("text")).alias("words")).where(F.size("words") > 0)
     width = F.least(F.size("words"), F.lit(n))
     rolled = cut.select("item_id", width.alias("width"), "words", F.explode(
         F.sequence(F.lit(1), F.size("words") - width + 1)).alias("at"))
     part = F.slice("words", F.col("at"), F.col("width"))
-    grams = rolled.select("item_id", "width", F.array_join(part, " ").alias("gram"),
-                          F.transform(part, lambda w: F.xxhash64(w)).alias("codes"))
     # the hash of an array's elements is that of as many columns
-    return grams.groupBy(
-        F.xxhash64("codes").alias("h"),
-        F.xxhash64(F.slice("codes", 1, LEAD)).alias("lead"), "width", "gram").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"))
+    lead = F.xxhash64(F.transform(F.slice(part, 1, LEAD), lambda w: F.xxhash64(w)))
+    grams = rolled.select("item_id", "width", F.array_join(part, " ").alias("gram"),
+                          lead.alias("lead"))
+    return grams.groupBy("lead", "width", "gram").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("h", F.xxhash64("gram"))
 
 
 def _bits(grams: DataFrame, count: int) -> tuple[Column, int]:
-    """A bounded bit set of the hashes of windows and of their leads, as a
-    constant array of longs, and its number of bits."""
+    """A bounded bit set of the leads of windows, as a constant array of longs,
+    and its number of bits."""
     size = LEAST_BITS
     while size < min(MOST_BITS, BITS * count):
         size *= 2
-    slots = grams.select(F.explode(F.array("h", "lead")).alias("x")).select(
-        F.pmod("x", F.lit(size)).alias("slot"))
+    slots = grams.select(F.pmod("lead", F.lit(size)).alias("slot"))
     held = {r["w"]: r["b"] for r in slots.select(
         F.shiftright("slot", 6).cast("int").alias("w"),
         F.pmod("slot", F.lit(64)).cast("int").alias("i"))
@@ -92,21 +90,16 @@ def _bits(grams: DataFrame, count: int) -> tuple[Column, int]:
 
 
 def _passed(width: int, bits: Column, size: int) -> Column:
-    """The windows of ``width`` words whose hash is in the bit set, of a row
-    with ``words`` and ``codes`` (the words' hashes): at, width, h, gram. Most
-    places fail by their first words already."""
-    def held(code):
-        slot = F.pmod(code, F.lit(size))
+    """The windows of ``width`` words whose first words are in the bit set, of a
+    row with ``words`` and ``codes`` (the words' hashes): at, width, gram."""
+    def seen(i):
+        slot = F.pmod(_lead(i, width), F.lit(size))
         return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")),
                         F.pmod(slot, F.lit(64)).cast("int")) == 1
 
-    def seen(i):
-        return held(_code("codes", i, min(width, LEAD))) & held(_code("codes", i, width))
-
     def window(i):
-        return F.struct(i.alias("at"), F.lit(width).alias("width"),
-                        _code("codes", i, width).alias("h"), F.array_join(
-                            F.slice("words", i + 1, F.lit(width)), " ").alias("gram"))
+        return F.struct(i.alias("at"), F.lit(width).alias("width"), F.array_join(
+            F.slice("words", i + 1, F.lit(width)), " ").alias("gram"))
 
     starts = F.sequence(F.lit(0), F.size("words") - width)
     return F.when(F.size("words") >= width, F.transform(F.filter(starts, seen), window))\
@@ -126,11 +119,11 @@ def hits(docs: DataFrame, grams: DataFrame, key: list[Column]) -> DataFrame:
                        words(F.col("text")).alias("words"))
     rows = rows.withColumn("codes", F.transform("words", lambda w: F.xxhash64(w)))
     passed = [_passed(width, bits, size) for width in sorted(found["widths"])]
-    none = F.array().cast("array<struct<at:int,width:int,h:bigint,gram:string>>")
+    none = F.array().cast("array<struct<at:int,width:int,gram:string>>")
     names = [c for c in rows.columns if c not in ("words", "codes")]
     tried = rows.select(*names, F.size("words").cast("bigint").alias("n_words"),
                         F.explode_outer(F.concat(none, *passed)).alias("w")).select(
-        *names, "n_words", "w.*")
+        *names, "n_words", "w.*").withColumn("h", F.xxhash64("gram"))
     known = grams.select(F.col("h").alias("g_h"), F.col("gram").alias("g_gram"), "items")
     if (found["bytes"] or 0) <= MOST_BYTES:
         known = F.broadcast(known)
