@@ -49,9 +49,12 @@ from basketry.llm.common import map_arrow, ship, table
 ENDS, SPACES = b".,;:!?\n\v\f\r", b" \t"
 #: Words of a phrase, at most.
 LONGEST = 4
-#: Parts of the corpus that are mined on their own (256 at most), and groups of
-#: languages that share a lowered support, the least of theirs.
-SHARDS, GROUPS = 4, 4096
+#: Parts of the corpus that are mined on their own; each is mined by many tasks,
+#: and more parts would lower the support, an absolute number, to nothing. Groups
+#: of languages that share a lowered support, the least of theirs.
+SHARDS, GROUPS = 2, 4096
+#: Bits of a hash that are shuffled; the shard goes above them.
+HASH = 48
 #: Bits of the set of candidates of a level.
 BITS = 1 << 27
 #: Slots of the bit set that one group packs.
@@ -231,8 +234,8 @@ def lowered_support(docs: DataFrame, least: int) -> np.ndarray:
 
 
 def _local(docs: DataFrame, k: int, held) -> DataFrame:
-    """(h,): hashes of the ``k``-word phrases that are frequent in a shard, their
-    highest byte changed by the shard. ``held``: (lowered support, bit sets)."""
+    """(h,): hashes of the ``k``-word phrases that are frequent in a shard, below
+    the shard's number. ``held``: (lowered support, bit sets)."""
 
     def run(batches):
         need, sets = held.value
@@ -242,9 +245,10 @@ def _local(docs: DataFrame, k: int, held) -> DataFrame:
         def emit():
             while gathered:
                 part, hashes = gathered.popitem()
-                h, c = np.unique(np.concatenate(hashes), return_counts=True)
+                h, c = np.unique(np.concatenate(hashes) & np.uint64((1 << HASH) - 1),
+                                 return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((h ^ np.uint64((part % SHARDS) << 56)).view(np.int64)),
+                    [pa.array(h.view(np.int64) + (part % SHARDS << HASH)),
                      pa.array(c, pa.int64()), pa.repeat(pa.scalar(need[part], pa.int64()), len(c))],
                     ["h", "c", "need"])
 
@@ -312,7 +316,7 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
                  pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c, pa.int64())],
                 ["lang", "phrase", "words", "c"])
 
-        for lang, _, chunk in _chunks(batches, SLICE):
+        for lang, _, chunk in _chunks(batches, 2 * SLICE):
             known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
             if len(ids):
                 yield batch(lang, [b""], 0, [len(ids)])
