@@ -7,6 +7,7 @@ import io
 import os
 import uuid
 import zipfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,28 @@ def ship(spark: SparkSession) -> None:
     sc._basketry_shipped = True
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keep this worker's matrix products to one thread: an executor runs a task
+    on each of its cores, and more threads only wait for each other."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:                             # another system
+        return
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads",
+                     "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def _then_trim(run):
-    """``run``, and after its last batch the task's freed memory goes back to
-    the system: Python workers are used again and would keep it."""
+    """``run`` on one thread, and after its last batch the task's freed memory
+    goes back to the system: Python workers are used again and would keep it."""
     def task(batches):
+        one_thread()
         yield from run(batches)
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

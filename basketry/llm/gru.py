@@ -67,17 +67,21 @@ class Model:
         """(states after each input, last state, what the backward pass needs
         if ``keep``), steps x lanes. ``fresh`` marks inputs that begin a document."""
         p, size = self.p, self.p["rec"].shape[0]
-        table = p["embed"] @ p["inp"] + p["bias"]
-        rec = p["rec"]
+        # sigmoid(a) = (tanh(a / 2) + 1) / 2: the halves go into the weights
+        half = np.ones(3 * size, p["rec"].dtype)
+        half[:2 * size] = 0.5
+        given = ((p["embed"] @ p["inp"] + p["bias"]) * half)[ids]
+        rec = p["rec"] * half
         out = np.empty((*ids.shape, size), rec.dtype)
         held = [np.empty((*ids.shape, n * size), rec.dtype) for n in (1, 2, 1, 1)] if keep else None
-        any_fresh = fresh.any(axis=1)
+        any_fresh = fresh.any(axis=1).tolist()
+        h = np.array(h, rec.dtype)
         for t in range(len(ids)):
             if any_fresh[t]:
-                h = np.where(fresh[t][:, None], rec.dtype.type(0), h)
-            x, u = table[ids[t]], h @ rec
-            g = x[:, :2 * size] + u[:, :2 * size]
-            g *= 0.5
+                h = h.copy()
+                h[fresh[t]] = 0
+            x, u = given[t], h @ rec
+            g = u[:, :2 * size] + x[:, :2 * size]
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
@@ -88,11 +92,10 @@ class Model:
             if keep:
                 for into, value in zip(held, (h, g, un, n)):
                     into[t] = value
-            new = h - n
-            new *= g[:, size:]
-            new += n
-            h = out[t] = new
-        return out, h, held
+            h = np.subtract(h, n, out=out[t])
+            h *= g[:, size:]
+            h += n
+        return out, h.copy(), held
 
     # ------------------------------------------------------------ output
     def token_logs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
@@ -204,6 +207,15 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
 
+    def state(self) -> np.ndarray:
+        """Parameters and both moments, three rows."""
+        return np.stack([Model(x).flat() for x in (self.model.p, self.m, self.v)])
+
+    def resume(self, state: np.ndarray, n: int) -> None:
+        """Go on from a ``state`` after ``n`` steps."""
+        self.n = n
+        self.model.p, self.m, self.v = (self.model.like(x).p for x in state)
+
     def step(self, grads: dict) -> None:
         self.n += 1
         a, b = 1 - 0.9 ** self.n, 1 - 0.99 ** self.n
@@ -216,9 +228,9 @@ class Adam:
 
 def fit(model: Model, optimiser: Adam, docs: list[np.ndarray], lanes: int = LANES,
         window: int = WINDOW) -> int:
-    """Train on every token of ``docs`` (ids, each ending with END); returns
-    how many. The documents follow each other in equal lanes; a document that
-    a lane's end cuts goes on in the next lane with a state of zero."""
+    """Train on every token of ``docs`` (ids); returns how many. The documents
+    follow each other in equal lanes; each starts from a state of zero, and one
+    that a lane's end cuts goes on in the next lane with a state of zero."""
     line = np.concatenate(docs)
     n = len(line)
     lanes = max(1, min(lanes, n // window))
@@ -226,7 +238,9 @@ def fit(model: Model, optimiser: Adam, docs: list[np.ndarray], lanes: int = LANE
     target = np.zeros(lanes * steps, np.int16)
     target[:n] = line
     live = (np.arange(lanes * steps) < n).reshape(lanes, steps).T
-    before = np.concatenate(([END], target[:-1])).reshape(lanes, steps).T
+    before = np.concatenate(([END], target[:-1]))
+    before[np.cumsum([0] + [len(d) for d in docs[:-1]])] = END
+    before = before.reshape(lanes, steps).T
     target = target.reshape(lanes, steps).T
     h = np.zeros((lanes, model.p["rec"].shape[0]), np.float32)
     for lo in range(0, steps, window):

@@ -7,16 +7,20 @@ vocabulary; inside a bucket a word has its smoothed share of the bucket, and
 one share is left for words never seen, so probabilities of texts add up to
 one. See ``gru`` for the network.
 
-Training passes over every token of every training text once, data-parallel:
-in a first round the texts of one hash slice in ``WARM``, in a second all
-others. In each round every task trains from the same parameters on its own
-texts, and Spark averages the tasks' parameters, weighted by tokens; only the
-averaged parameters (a fixed number) come to the driver. Sums are of
-fixed-point numbers, so their order does not matter.
+The words of every text are looked up once and written as network ids of two
+bytes. Training passes over every token of every training text once, data
+parallel: ids are dealt by a hash to trainers, whose number follows the number
+of training tokens and not the files, and to ``ROUNDS`` rounds. In each round
+every trainer goes on from the same parameters and optimiser state with its
+slice of the round; then both are averaged, weighted by tokens, along a
+reduction tree, and only the average (a fixed number of bytes) comes to the
+driver. A trainer's slice is put in the order of its hashes, so the result does
+not depend on how the rows are laid out.
 
 Scoring broadcasts the network and the ``HEAD`` most frequent words with
 their counts. The counts of a text's other words come from a join on the
-word; words above the head are rare, so no key of that join is hot.
+word, one row for each different word of a text; words above the head are
+rare, so no key of that join is hot.
 
 Defined results: a null text is empty and has one token, its end; rows are
 scored apart, so repeats and null ids are kept (a null id counts as held
@@ -31,7 +35,9 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +51,17 @@ HEAD = 1 << 17
 HELD = 1 << 18
 #: Bytes of a word that is broadcast or remembered, at most.
 LONGEST = 256
-#: Tokens that a task trains or scores together, unless one text has more.
-CHUNK = 2_000_000
-#: One slice in so many is the first round of training.
-WARM = 16
-#: Fraction bits of a parameter while the tasks' parameters are added up.
-FIXED = 24
+#: Tokens that a task scores together, unless one text has more.
+CHUNK = 4_000_000
+#: Training tokens of a trainer, at least, unless there are fewer in all.
+TRAINER = 4_000_000
+#: Slices of the training tokens, each followed by an average; steps that a slice
+#: should give, and the lanes that a step needs even so.
+ROUNDS, STEPS, FEWEST = 8, 16, 64
+#: Tokens of a text that are dealt together, at most.
+PIECE = 1 << 16
+#: Trainers' states that are added up together, at most.
+FAN = 32
 SMOOTH = 0.1
 #: Tail buckets: 3 endings, ASCII or not, 4 lengths.
 TAIL = 24
@@ -181,72 +192,18 @@ def _bucket(word: Column) -> Column:
     return 1 + (ending * 2 + wide) * 4 + length
 
 
-# ---------------------------------------------------------------- training
-def _train_round(docs: DataFrame, model: gru.Model, ids, rate: float) -> gru.Model:
-    """One round: every task trains on its own texts, the average comes back."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((model.flat(), ids.value))
-
-    def run(batches):
-        flat, known = held.value
-        own = model.like(flat)
-        optimiser, seen, docs_, size = gru.Adam(own, rate), 0, [], 0
-        number = Memo(known).__getitem__
-        for b in batches:
-            for t in b.column(0):
-                words = words_of(t)
-                line = np.abs(np.fromiter(map(number, words), np.int16, len(words)))
-                line = np.append(line, np.int16(gru.END))
-                docs_.append(line)
-                size += len(line)
-                if size >= CHUNK:
-                    seen += gru.fit(own, optimiser, docs_)
-                    docs_, size = [], 0
-        if docs_:
-            seen += gru.fit(own, optimiser, docs_)
-        if seen:
-            fixed = np.rint(own.flat() * (1 << FIXED)).astype(np.int64)
-            weight = -(-seen // 1024)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(fixed) + 1)),
-                 pa.array(np.concatenate((fixed * weight, [weight])))], ["at", "v"])
-
-    start = model.like(model.flat())
-    model = start
-    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run,
-                     "at bigint, v bigint")
-    total = rows.groupBy("at").agg(F.sum("v").alias("v")).toPandas()   # one row a parameter
-    held.destroy()
-    if not len(total):
-        return model
-    v = np.zeros(len(total))
-    v[total["at"].to_numpy()] = total["v"].to_numpy()
-    return model.like(v[:-1] / v[-1] / (1 << FIXED))
-
-
-def train(docs: DataFrame, lex: Lexicon, rate: float = 0.01) -> gru.Model:
-    """The network after one pass over all texts of ``docs``."""
-    ids = docs.sparkSession.sparkContext.broadcast(lex.ids())
-    model = gru.Model.start(lex.counts())
-    first = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(WARM)) == 0
-    for rows in (docs.where(first), docs.where(~first)):
-        model = _train_round(rows, model, ids, rate)
-        rate /= 2
-    ids.destroy()
-    return model
-
-
-# ---------------------------------------------------------------- scoring
-def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
-    """doc_id, row, n_tokens, n_known, base_score, score from the network and
-    the head words, and ``rare``: the other words and their buckets."""
+# ---------------------------------------------------------------- ids
+def code(docs: DataFrame, learn: Column, lex: Lexicon) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row (a number), learns, line (network
+    ids, two bytes each, the end included), n_known, base_score and score as far
+    as the head words go (the score without the network's part), and ``rare``,
+    the other words with their bucket and number of places."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(
-        (lex.ids(), dict(lex.head), lex.tail_log, lex.base_log, lex.ends, model.flat()))
+        (lex.ids(), dict(lex.head), lex.tail_log, lex.base_log, lex.ends))
 
     def run(batches):
-        ids, head, tail_log, base_log, ends, flat = held.value
-        net = model.like(flat)
+        ids, head, tail_log, base_log, ends = held.value
         number = Memo({w: i for i, w in enumerate(head)}).__getitem__
         counts = np.array(list(head.values()), np.float64)
         net_id = np.array(list(ids.values()), np.int16)
@@ -255,60 +212,172 @@ def _score_rows(docs: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
         share_of = np.zeros(len(counts))
         share_of[WORDS:] = np.log10(counts[WORDS:] + SMOOTH) - tail_log[net_id[WORDS:]]
         end_term = log10(ends + SMOOTH) - base_log
-
-        def emit(rows):
-            ids_, numbers, lines, known, base, share, rare, buckets = zip(*rows)
-            ends_ = np.cumsum([0] + [len(r) for r in rare]).astype(np.int32)
-            other = pa.StructArray.from_arrays(
-                [pa.array([w for r in rare for w in r], pa.binary()),
-                 pa.array(np.concatenate(buckets).astype(np.int32))], ["word", "bucket"])
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids_), pa.array(numbers, pa.int64()),
-                 pa.array([len(x) for x in lines], pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(gru.score(net, lines) + np.array(share)),
-                 pa.ListArray.from_arrays(pa.array(ends_), other)],
-                ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-        rows, size = [], 0
         for b in batches:
-            numbers = b.column(1).to_pylist()
-            for i, t in enumerate(b.column(2)):
+            lines, known, base, share, ends_, rare, where, times = [], [], [], [], [0], [], [], []
+            for t in b.column(3):
                 words = words_of(t)
                 at = np.fromiter(map(number, words), np.int32, len(words))
-                known = at >= 0
-                own, other = at[known], -at[~known]
+                seen = at >= 0
+                own = at[seen]
                 line = np.full(len(words) + 1, gru.END, np.int16)
-                line[:-1][known] = net_id[own]
-                line[:-1][~known] = other
-                rows.append((b.column(0).slice(i, 1), numbers[i], line, len(own) + (ends > 0),
-                             float(base_of[own].sum()) + end_term, float(share_of[own].sum()),
-                             [words[j] for j in np.flatnonzero(~known).tolist()], other))
-                size += len(line)
-                if size >= CHUNK:
-                    yield emit(rows)
-                    rows, size = [], 0
-        if rows:
-            yield emit(rows)
+                line[:-1][seen] = net_id[own]
+                line[:-1][~seen] = -at[~seen]
+                lines.append(line.tobytes())
+                known.append(len(own) + (ends > 0))
+                base.append(float(base_of[own].sum()) + end_term)
+                share.append(float(share_of[own].sum()))
+                other = Counter([words[j] for j in np.flatnonzero(~seen).tolist()])
+                rare += other
+                times += other.values()
+                where += [-number(w) for w in other]
+                ends_.append(len(rare))
+            other = pa.StructArray.from_arrays(
+                [pa.array(rare, pa.binary()), pa.array(where, pa.int32()),
+                 pa.array(times, pa.int64())], ["word", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2), pa.array(lines, pa.binary()),
+                 pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(share, pa.float64()),
+                 pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), other)],
+                ["doc_id", "row", "learns", "line", "n_known", "base_score", "score", "rare"])
 
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
+                           F.coalesce(learn, F.lit(False)).alias("learns"),
                            F.col("text").cast("string").alias("text"))
-    return map_arrow(numbered, run, f"doc_id {kind}, row bigint, n_tokens bigint, "
+    return map_arrow(numbered, run, f"doc_id {kind}, row bigint, learns boolean, line binary, "
                      "n_known bigint, base_score double, score double, "
-                     "rare array<struct<word:binary,bucket:int>>")
+                     "rare array<struct<word:binary,bucket:int,n:bigint>>")
+
+
+# ---------------------------------------------------------------- training
+def pieces(coded: DataFrame) -> DataFrame:
+    """(key, line): the ids of the texts to learn from, in pieces of ``PIECE``
+    tokens at most, with a hash of the document, its ids and the piece's number."""
+    cut = coded.where("learns").select("doc_id", "line", F.explode(F.expr(
+        f"sequence(0, cast((octet_length(line) - 1) div {2 * PIECE} as int))")).alias("p"))
+    return cut.select(F.xxhash64("doc_id", "line", "p").alias("key"), F.expr(
+        f"substring(line, p * {2 * PIECE} + 1, {2 * PIECE})").alias("line"))
+
+
+def _add(states: list[tuple]) -> tuple[int, int, int, np.ndarray]:
+    """Sum of (trainer, weight, steps, weighted state), in the trainers' order."""
+    states = sorted(states, key=lambda s: s[0])
+    total = np.zeros_like(states[0][3])
+    for s in states:
+        total += s[3]
+    return (states[0][0], sum(s[1] for s in states), max(s[2] for s in states), total)
+
+
+def _train_round(slice_: DataFrame, state: np.ndarray, steps: int, rate: float, trainers: int):
+    """(state, steps) after one round: every trainer goes on from ``state`` with
+    its part of ``slice_`` (key, line), and their states are averaged."""
+    sc = slice_.sparkSession.sparkContext
+    held = sc.broadcast((state, steps, rate))
+    schema = "trainer bigint, weight bigint, steps bigint, state binary"
+
+    def run(batches):
+        state, steps, rate = held.value
+        rows = [(k, v) for b in batches
+                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        if not rows:
+            return
+        lines = [np.frombuffer(v, np.int16) for _, v in sorted(rows)]
+        n = sum(map(len, lines))
+        own = gru.Model.start(np.ones(gru.CLASSES * gru.MEMBERS))
+        optimiser = gru.Adam(own, rate)
+        optimiser.resume(state, steps)
+        lanes = min(gru.LANES, max(FEWEST, n // (gru.WINDOW * STEPS)))
+        gru.fit(own, optimiser, lines, lanes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([optimiser.n]),
+             pa.array([(n * optimiser.state()).tobytes()], pa.binary())],
+            ["trainer", "weight", "steps", "state"])
+
+    def rows_of(pdf):
+        return [(int(t), int(w), int(s), np.frombuffer(x).reshape(3, -1)) for t, w, s, x in zip(
+            pdf["trainer"], pdf["weight"], pdf["steps"], pdf["state"])]
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, w, s, x = _add(rows_of(pdf))
+        return pd.DataFrame({"trainer": [t], "weight": [w], "steps": [s], "state": [x.tobytes()]})
+
+    # one partition is one trainer
+    found = map_arrow(slice_.repartition(trainers, "key"), run, schema)
+    n = trainers
+    while n > FAN:
+        n = -(-n // FAN)
+        found = found.groupBy(F.pmod("trainer", F.lit(n))).applyInPandas(add, schema)
+    found = rows_of(found.toPandas())                # FAN states of a fixed size, at most
+    held.destroy()
+    if not found:
+        return state, steps
+    _, weight, steps, total = _add(found)
+    return total / weight, steps
+
+
+def train(coded: DataFrame, lex: Lexicon, rate: float = 0.02, rounds: int = ROUNDS,
+          least: int = TRAINER) -> gru.Model:
+    """The network after one pass over the texts of ``coded`` that are learned
+    from; the rate falls from round to round."""
+    trainers = max(1, lex.total // least)
+    own = pieces(coded)
+    model = gru.Model.start(lex.counts())
+    state, steps = gru.Adam(model).state(), 0
+    for r in range(rounds):
+        part = own.where(F.pmod(F.shiftright("key", 32), F.lit(rounds)) == r)
+        state, steps = _train_round(part, state, steps, rate * (1 - 0.9 * r / rounds), trainers)
+    return model.like(state[0])
+
+
+# ---------------------------------------------------------------- scoring
+def _network(coded: DataFrame, model: gru.Model) -> DataFrame:
+    """``coded`` with n_tokens in place of line, and the network's part added to
+    the score."""
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    held = coded.sparkSession.sparkContext.broadcast(model.flat())
+    names = ["doc_id", "row", "n_known", "base_score", "score"]
+
+    def run(batches):
+        net = model.like(held.value)
+        rows, lines, size = [], [], 0
+
+        def emit():
+            keep = pa.Table.from_batches(rows).combine_chunks()
+            own = keep.column("score").to_numpy() + gru.score(net, lines)
+            cols = [keep.column(n).combine_chunks() for n in names[:-1]]
+            return pa.RecordBatch.from_arrays(
+                [*cols, pa.array(own), pa.array([len(x) for x in lines], pa.int64())],
+                [*names, "n_tokens"])
+
+        for b in batches:
+            rows.append(b.select(names))
+            lines += [np.frombuffer(x.as_buffer(), np.int16) for x in b.column("line")]
+            size += sum(map(len, lines[-b.num_rows:])) if b.num_rows else 0
+            if size >= CHUNK:
+                yield emit()
+                rows, lines, size = [], [], 0
+        if lines:
+            yield emit()
+
+    return map_arrow(coded.select(*names, "line"), run,
+                     f"doc_id {kind}, row bigint, n_known bigint, base_score double, "
+                     "score double, n_tokens bigint")
 
 
-def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
+def score(coded: DataFrame, counts: DataFrame, lex: Lexicon, model: gru.Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10)
-    for every row of ``docs``; ``counts``: the written table (word, c)."""
-    rows = table(_score_rows(docs, lex, model), "lm-rows")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    for every row of the written table ``coded``; ``counts``: the written table
+    (word, c)."""
+    rows = _network(coded, model)
+    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     met = rare.join(counts, "word", "left")
     own = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
     tail = F.element_at(F.array(*[F.lit(float(x)) for x in lex.tail_log]), F.col("bucket") + 1)
-    sums = met.groupBy("row").agg(F.count("c").alias("k"),
-                                  F.sum(own - F.lit(lex.base_log)).alias("b"),
-                                  F.sum(own - tail).alias("s"))
-    out = rows.drop("rare").join(sums, "row", "left")
+    sums = met.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k"),
+        F.sum(F.col("n") * (own - F.lit(lex.base_log))).alias("b"),
+        F.sum(F.col("n") * (own - tail)).alias("s"))
+    out = rows.join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "n_tokens", add("n_known", "k").alias("n_known"),
                       F.lit(lex.total).cast("bigint").alias("train_tokens"),
@@ -320,5 +389,5 @@ def learn_and_score(docs: DataFrame, learn: Column) -> DataFrame:
     training = docs.where(learn)
     counts = table(count_words(training), "lm-counts")
     lex = lexicon(counts, training.count())
-    model = train(training, lex)
-    return score(docs, counts, lex, model)
+    coded = table(code(docs, learn, lex), "lm-ids")
+    return score(coded, counts, lex, train(coded, lex))
