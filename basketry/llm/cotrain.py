@@ -3,22 +3,25 @@
 The text view sees what is written (hashed words and punctuation runs), the
 page view sees the metadata and layout of the document (source, language,
 length, lines, shares of capitals, digits, symbols and space). Each view has
-a logistic classifier. In every round each labels the pool of unlabelled
-documents, and those it is surest of, in the proportion of the classes, join
-the other view's training set. Both are then calibrated on labelled rows that
-no fit has seen, and the calibrated log odds are combined, by a last logistic
-fit on those rows, into one score for every document.
-
-The fit uses a bounded, hash-chosen sample: at most ``LABELLED`` labelled rows
-and a pool of at most ``POOL`` unlabelled ones (the bounds are parameters).
-Scoring covers every whole text, in one pass without a shuffle.
+a logistic classifier. In every round each view scores all unlabelled
+documents; those it is surest of, in the proportion of the classes, are a
+``GIVEN`` share found by a histogram of all scores, and a fresh draw from them
+joins the other view's training set. Both views are then calibrated on labelled
+rows that no fit has seen, and the calibrated log odds are combined, by a last
+logistic fit on those rows, into one score for every document.
+
+Both views of every whole text are written once (bucket numbers and counts);
+rounds and scoring read that table. A fit runs in one task on a bounded set: at
+most ``LABELLED`` labelled rows, chosen by hash, and ``DRAWN`` pseudo-labelled
+ones a view and round (the bounds are parameters). Nothing but weights,
+thresholds and histograms of a fixed size comes to the driver.
 
 Defined results: a null text counts as empty; null metadata is a value of its
 own; labels with a null id or quality are not used, and where a doc_id has
 several labels their majority counts (a tie is 0); a doc_id that repeats in
-the documents gives each of its rows that label; without labels of both
-classes every document scores 0.5 and is kept; an empty table gives an empty
-result. Only the named columns are read.
+the documents has that label in each of its rows, and one of them is fitted;
+without labels of both classes every document scores 0.5 and is kept; an empty
+table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -32,13 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_arrow
+from basketry.llm.common import map_arrow, table
 
 LABELLED = 6000
-POOL = 6000
+#: Pseudo-labelled rows that a view gets in one round, at most.
+DRAWN = 3000
 ROUNDS = 3
-#: Share of the pool that a view hands to the other in one round.
+#: Share of the unlabelled documents that a view is surest of.
 GIVEN = 0.1
+#: Log odds that a sure document has at least, and what a pseudo-label counts.
+SURE, PSEUDO = 1.0, 0.3
+#: Histogram of log odds: their largest size and the steps in one unit.
+TOP, STEPS = 20, 50
 TEXT_DIM = 1 << 13
 PAGE_DIM = 1 << 9
 #: Labelled rows, of a hundred, kept for calibration.
@@ -48,13 +56,10 @@ _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 
 # ---------------------------------------------------------------- views
 def text_view(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values) of the content: hashed tokens, damped, unit length."""
+    """(buckets, counts) of the content's hashed tokens."""
     counts = Counter(_TOKENS.findall(text.lower()))
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at = np.fromiter((zlib.crc32(t) % TEXT_DIM for t in counts), np.int64, len(counts))
-    v = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
-    return at, v / np.sqrt((v * v).sum())
+    at = np.fromiter((zlib.crc32(t) % TEXT_DIM for t in counts), np.uint16, len(counts))
+    return at, np.fromiter(counts.values(), np.uint32, len(counts))
 
 
 def page_view(text: bytes, source, lang, n_chars) -> np.ndarray:
@@ -73,19 +78,22 @@ def page_view(text: bytes, source, lang, n_chars) -> np.ndarray:
              ("digits", share(digits)), ("space", share(space)),
              ("symbols", share(n - letters - digits - space)),
              ("beyond", share(codes[128:].sum())))
-    return np.array([zlib.crc32(f"{k}={v}".encode()) % PAGE_DIM for k, v in found], np.int64)
+    return np.array([zlib.crc32(f"{k}={v}".encode()) % PAGE_DIM for k, v in found], np.uint16)
 
 
 # ---------------------------------------------------------------- logistic fits
 class Sparse:
-    """Rows of (buckets, values)."""
+    """Rows of (buckets, values), one after another."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.n = len(rows)
-        sizes = [len(a) for a, _ in rows]
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.n = len(sizes)
         self.row = np.repeat(np.arange(self.n), sizes)
-        self.at = np.concatenate([a for a, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
+        self.at, self.value = at.astype(np.int64), value
+
+    @classmethod
+    def dense(cls, rows: np.ndarray) -> Sparse:
+        n, width = rows.shape
+        return cls(np.full(n, width), np.tile(np.arange(width), n), rows.ravel())
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.at], minlength=self.n)
@@ -112,140 +120,234 @@ def logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, dim: int,
     return w
 
 
-def co_train(views: list[Sparse], dims: list[int], y: np.ndarray, rounds: int = ROUNDS,
-             given: float = GIVEN, calibrate: np.ndarray | None = None):
-    """(weights of both views, weights of the combination). ``y``: 1, 0, or
-    -1 for the pool; ``calibrate`` marks labelled rows that no view fits."""
-    calibrate = np.zeros(len(y), bool) if calibrate is None else calibrate
-    label = [np.where(calibrate, -1, y).astype(float) for _ in views]
-    prior = float((y == 1).sum() / max(1, (y >= 0).sum()))
-    fits: list[np.ndarray | None] = [None, None]
-    for turn in range(rounds + 1):
-        for k, (x, dim) in enumerate(zip(views, dims)):
-            known = (label[k] >= 0).astype(float)
-            # a pseudo-label counts for less than a label
-            weight = known * np.where(y >= 0, 1.0, 0.3)
-            fits[k] = logistic(x, np.maximum(label[k], 0), weight, dim, fits[k])
-        if turn == rounds:
-            break
-        for k, (x, w) in enumerate(zip(views, fits)):
-            odds = x.times(w[:-1]) + w[-1]
-            free = np.flatnonzero((y < 0) & (label[1 - k] < 0))
-            order = free[np.argsort(odds[free], kind="stable")]
-            n = int(given * (y < 0).sum())
-            low, high = int(n * (1 - prior)), int(n * prior)
-            sure = order[:low][odds[order[:low]] < -1]
-            label[1 - k][sure] = 0
-            sure = order[len(order) - high:] if high else order[:0]
-            label[1 - k][sure[odds[sure] > 1]] = 1
-    held = np.flatnonzero(calibrate & (y >= 0))
-    if len(held) < 50 or len(set(y[held].tolist())) < 2:
-        held = np.flatnonzero(y >= 0)
-    both = np.stack([x.times(w[:-1]) + w[-1] for x, w in zip(views, fits)], 1)[held]
-    rows = [(np.array([0, 1]), np.clip(r, -20, 20)) for r in both]
-    # each view's own calibration, then their combination, on the same rows
-    ones = np.ones(len(held))
-    platt = [logistic(Sparse([(np.array([0]), r[1][k:k + 1]) for r in rows]), y[held].astype(float),
-                      ones, 1, np.array([1.0, 0.0]), 200) for k in (0, 1)]
-    calibrated = [(r[0], np.array([platt[k][0] * r[1][k] + platt[k][1] for k in (0, 1)]))
-                  for r in rows]
-    join = logistic(Sparse(calibrated), y[held].astype(float), ones, 2,
-                    np.array([0.5, 0.5, 0.0]), 200)
-    return fits, platt, join
-
-
-# ---------------------------------------------------------------- on Spark
-def _views(docs: DataFrame, extra: list[str]) -> DataFrame:
-    kept = ["text", "source", "lang", "n_chars"]
-    return docs.select(*extra, F.col("text").cast("string").alias("text"),
-                       F.col("source").cast("string").alias("source"),
-                       F.col("lang").cast("string").alias("lang"),
-                       F.col("n_chars").cast("bigint").alias("n_chars")).select(*extra, *kept)
-
-
-def _rows(b: pa.RecordBatch, first: int):
-    """(text bytes, source, lang, n_chars) of each row."""
-    meta = [b.column(first + i).to_pylist() for i in (1, 2, 3)]
-    for t, s, g, n in zip(b.column(first), *meta):
-        yield t.as_buffer().to_pybytes() if t.is_valid else b"", s, g, n
-
-
-def sample(docs: DataFrame, labels: DataFrame, target: str, labelled: int = LABELLED,
-           pool: int = POOL):
-    """(views, y, calibrate) of the bounded sample."""
+def logit(x: Sparse, w: np.ndarray) -> np.ndarray:
+    return x.times(w[:-1]) + w[-1]
+
+
+def combine(odds: np.ndarray, y: np.ndarray):
+    """(weights of each view's own calibration, of their combination) from the
+    log odds of both views, rows x 2, and the labels."""
+    odds, ones = np.clip(odds, -TOP, TOP), np.ones(len(y))
+    platt = [logistic(Sparse.dense(odds[:, k:k + 1]), y, ones, 1, np.array([1.0, 0.0]), 200)
+             for k in (0, 1)]
+    both = np.stack([platt[k][0] * odds[:, k] + platt[k][1] for k in (0, 1)], 1)
+    return platt, logistic(Sparse.dense(both), y, ones, 2, np.array([0.5, 0.5, 0.0]), 200)
+
+
+# ---------------------------------------------------------------- views on Spark
+def views(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a number), mark (a hash of the id and both views), at and c
+    (text view: buckets and counts), page (page view): packed numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            texts, pages = [], []
+            for t, s, g, n in zip(b.column(2), *(b.column(i).to_pylist() for i in (3, 4, 5))):
+                text = t.as_buffer().to_pybytes() if t.is_valid else b""
+                texts.append(text_view(text))
+                pages.append(page_view(text, s, g, n).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in texts], pa.binary()),
+                 pa.array([c.tobytes() for _, c in texts], pa.binary()),
+                 pa.array(pages, pa.binary())], ["doc_id", "row", "at", "c", "page"])
+
+    own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), *[
+        F.col(c).cast(t).alias(c) for c, t in (("text", "string"), ("source", "string"),
+                                               ("lang", "string"), ("n_chars", "bigint"))])
+    return map_arrow(own, run, f"doc_id {kind}, row bigint, at binary, c binary, page binary"
+                     ).withColumn("mark", F.xxhash64("doc_id", "at", "c", "page"))
+
+
+def _packed(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in each row, all numbers) of a column of packed numbers."""
+    rows = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    return (np.array([len(r) // width for r in rows], np.int64),
+            np.frombuffer(b"".join(rows), kind))
+
+
+def sparse_views(b) -> list[Sparse]:
+    """Both views of a batch or table with at, c and page: damped counts of
+    length 1, and ones."""
+    sizes, at = _packed(b.column("at"), np.uint16)
+    v = np.log1p(_packed(b.column("c"), np.uint32)[1])
+    text = Sparse(sizes, at, v)
+    length = np.sqrt(np.bincount(text.row, weights=v * v, minlength=text.n))
+    text.value = v / length[text.row]
+    sizes, at = _packed(b.column("page"), np.uint16)
+    return [text, Sparse(sizes, at, np.ones(len(at)))]
+
+
+# ---------------------------------------------------------------- fits on Spark
+def labelled_rows(seen: DataFrame, labels: DataFrame, target: str, most: int):
+    """The written tables (row, y) of all labelled rows of ``seen`` and of the
+    bounded sample that is fitted, with views and ``calibrate``."""
     label = (labels.where(f"doc_id is not null and `{target}` is not null")
              .groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) > 0.5)
                                     .cast("int").alias("y")))
-    chance = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col("doc_id")), F.lit(1 << 30))
-
-    def few(df: DataFrame, most: int, k: int) -> DataFrame:
-        # the hash bound leaves about twice as many as asked, then the smallest stay
-        bound = min(1 << 30, int((1 << 30) * 2 * most / max(1, df.count())) + 1)
-        return df.where(chance(k) < bound).orderBy(chance(k), "doc_id").limit(most)
+    known = table(seen.select("doc_id", "row", "mark").join(label, "doc_id"), "cotrain-known")
+    chance = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 30))
+    # one row of a document; the hash bound leaves about twice as many as asked
+    one = known.groupBy("doc_id", "y").agg(F.min(F.struct("mark", "row")).alias("x"))
+    bound = min(1 << 30, int((1 << 30) * 2 * most / max(1, one.count())) + 1)
+    few = one.where(chance < bound).orderBy(chance, "doc_id").limit(most)
+    fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")),
+                  F.lit(100))
+    few = few.select(F.col("x.row").alias("row"), "y", (fold < CALIBRATE).alias("calibrate"))
+    sample = seen.select("row", "mark", "at", "c", "page").join(F.broadcast(few), "row")
+    return known.select("row"), table(sample, "cotrain-sample")
+
+
+def _fit(rows: DataFrame, start: list | None, last: bool):
+    """Weights of both views after one round's fit, with ``last`` also those of
+    calibration and combination. ``rows``: a bounded set with views, mark, y (a
+    label or null), y_text and y_page (a label or pseudo-label or null),
+    calibrate; one task."""
+    schema = "name string, w array<double>"
 
-    own = few(label, labelled, 3)
-    rest = few(docs.select("doc_id").where("doc_id is not null").distinct()
-               .join(label, "doc_id", "left_anti"), pool, 5).withColumn("y", F.lit(-1))
-    picked = F.broadcast(own.unionByName(rest))      # at most labelled + pool rows
-    rows = (_views(docs, ["doc_id"]).join(picked, "doc_id")
-            .select("doc_id", "y", "text", "source", "lang", "n_chars").dropDuplicates(["doc_id"]))
+    def run(batches):
+        found = list(batches)
+        if not found:
+            return
+        t = pa.Table.from_batches(found).sort_by("mark").combine_chunks()
+        number = lambda n: t.column(n).to_numpy()
+        y, calibrate = np.nan_to_num(number("y"), nan=-1), number("calibrate").astype(bool)
+        fits = []
+        both = sparse_views(t)
+        for k, (x, dim, name) in enumerate(zip(both, (TEXT_DIM, PAGE_DIM), ("y_text", "y_page"))):
+            own = np.nan_to_num(number(name), nan=-1)
+            weight = ((own >= 0) & ~calibrate) * np.where(y >= 0, 1.0, PSEUDO)
+            fits.append(logistic(x, np.maximum(own, 0), weight, dim, start and start[k]))
+        out = {"text": fits[0], "page": fits[1]}
+        if last:
+            held = np.flatnonzero(calibrate & (y >= 0))
+            if len(held) < 50 or len(set(y[held].tolist())) < 2:
+                held = np.flatnonzero(y >= 0)
+            odds = np.stack([logit(x, w) for x, w in zip(both, fits)], 1)[held]
+            platt, out["join"] = combine(odds, y[held])
+            out |= {"platt0": platt[0], "platt1": platt[1]}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(out)), pa.array([w.tolist() for w in out.values()],
+                                           pa.list_(pa.float64()))], ["name", "w"])
+
+    own = rows.select("mark", "at", "c", "page", "calibrate", *[
+        F.col(c).cast("double").alias(c) for c in ("y", "y_text", "y_page")])
+    return {r["name"]: np.array(r["w"]) for r in map_arrow(
+        own.repartition(1), run, schema).collect()}
+
+
+def log_odds(seen: DataFrame, fits: list[np.ndarray]) -> DataFrame:
+    """row, mark, o_text, o_page: the log odds of both views for every row."""
+    held = seen.sparkSession.sparkContext.broadcast(fits)
 
     def run(batches):
+        fits = held.value
         for b in batches:
-            text, page = [], []
-            for t, *meta in _rows(b, 2):
-                text.append(text_view(t))
-                page.append(page_view(t, *meta))
+            odds = [np.clip(logit(x, w), -TOP, TOP) for x, w in zip(sparse_views(b), fits)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in text], pa.list_(pa.int64())),
-                 pa.array([v for _, v in text], pa.list_(pa.float64())),
-                 pa.array(page, pa.list_(pa.int64())), b.column(1), b.column(0).cast(pa.string())],
-                ["at", "v", "page", "y", "doc_id"])
-
-    got = map_arrow(rows, run, "at array<bigint>, v array<double>, page array<bigint>, y int, "
-                    "doc_id string").toPandas().sort_values("doc_id")
-    texts = Sparse([(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(got["at"], got["v"])])
-    pages = Sparse([(np.asarray(a, np.int64), np.ones(len(a))) for a in got["page"]])
-    y = got["y"].to_numpy(np.int64)
-    turn = np.array([zlib.crc32(b"fold" + d.encode()) % 100 for d in got["doc_id"]], np.int64)
-    return [texts, pages], y, (y >= 0) & (turn < CALIBRATE)
-
-
-def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id, p_text, p_page (calibrated views), score, kept for every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)
+                [b.column("row"), b.column("mark"), *map(pa.array, odds)],
+                ["row", "mark", "o_text", "o_page"])
+
+    return map_arrow(seen.select("row", "mark", "at", "c", "page"), run,
+                     "row bigint, mark bigint, o_text double, o_page double")
+
+
+def _step(view: str):
+    return F.floor((F.col(view) + TOP) * STEPS).cast("int")
+
+
+def thresholds(odds: DataFrame, view: str, prior: float, given: float):
+    """((step, rows) of the surest negatives, of the surest positives): below and
+    from which step of the log odds the surest ``given`` share of all rows lies,
+    in the proportion of the classes."""
+    counts = np.zeros(2 * TOP * STEPS + 1, np.int64)
+    for r in odds.groupBy(_step(view).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["s"]] = r["n"]
+    total = counts.sum()
+    low = int(np.searchsorted(np.cumsum(counts), total * given * (1 - prior))) + 1
+    high = int(np.flatnonzero(np.cumsum(counts[::-1])[::-1] >= total * given * prior)[-1])
+    low, high = min(low, int((TOP - SURE) * STEPS)), max(high, int((TOP + SURE) * STEPS))
+    return (low, int(counts[:low].sum())), (high, int(counts[high:].sum()))
+
+
+def draw(odds: DataFrame, view: str, prior: float, given: float, most: int, turn: int) -> DataFrame:
+    """(row, y): pseudo-labels by ``view``, at most ``most``, drawn by hash from
+    all rows that it is surest of."""
+    (low, n_low), (high, n_high) = thresholds(odds, view, prior, given)
+    chance = F.pmod(F.xxhash64(F.lit(turn), F.lit(view), F.col("mark")), F.lit(1 << 30))
+    out = None
+    for y, sure, n, room in ((0, _step(view) < low, n_low, int(most * (1 - prior))),
+                             (1, _step(view) >= high, n_high, int(most * prior))):
+        bound = min(1 << 30, int((1 << 30) * 2 * room / max(1, n)) + 1)
+        part = odds.where(sure & (chance < bound)).orderBy(chance, "mark", "row").limit(room)
+        part = part.select("row", F.lit(y).alias("y"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def co_train(seen: DataFrame, known: DataFrame, sample: DataFrame, prior: float,
+             rounds: int = ROUNDS, given: float = GIVEN, drawn: int = DRAWN,
+             after_round=None):
+    """The model: weights of both views, of their calibrations and of the
+    combination. ``seen``: the written views; ``known``: rows with a label;
+    ``sample``: the labelled rows that are fitted; ``after_round`` is called
+    with (round, weights of both views)."""
+    none = F.lit(None).cast("int")
+    rows = sample.withColumns({"y_text": F.col("y"), "y_page": F.col("y")})
+    fits = None
+    for turn in range(rounds + 1):
+        w = _fit(rows, fits, turn == rounds)
+        fits = [w["text"], w["page"]]
+        if after_round:
+            after_round(turn, fits)
+        if turn == rounds:
+            return fits, [w["platt0"], w["platt1"]], w["join"]
+        odds = log_odds(seen, fits).join(known, "row", "left_anti")
+        odds = table(odds, "cotrain-odds")
+        for view, to, other in (("o_text", "y_page", "y_text"), ("o_page", "y_text", "y_page")):
+            taken = rows.where(F.col("y").isNull() & F.col(to).isNotNull()).select("row")
+            free = odds.join(F.broadcast(taken), "row", "left_anti") if turn else odds
+            picked = draw(free, view, prior, given, drawn, turn).withColumnRenamed("y", to)
+            fresh = (seen.select("row", "mark", "at", "c", "page").join(F.broadcast(picked), "row")
+                     .withColumns({"y": none, other: none, "calibrate": F.lit(False)}))
+            rows = rows.unionByName(table(fresh, "cotrain-drawn"))
+
+
+def score(seen: DataFrame, model) -> DataFrame:
+    """doc_id, p_text, p_page (calibrated views), score, kept for every row of
+    the written views."""
+    kind = seen.schema["doc_id"].dataType.simpleString()
+    held = seen.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = held.value
         for b in batches:
-            odds = np.zeros((b.num_rows, 2))
+            odds, total = np.zeros((b.num_rows, 2)), np.zeros(b.num_rows)
             if model is not None:
-                (text_w, page_w), platt, join = model
-                for i, (t, *meta) in enumerate(_rows(b, 1)):
-                    at, v = text_view(t)
-                    odds[i] = ((v * text_w[at]).sum() + text_w[-1],
-                               page_w[page_view(t, *meta)].sum() + page_w[-1])
-                odds = np.clip(odds, -20, 20)
-                odds = np.stack([platt[k][0] * odds[:, k] + platt[k][1] for k in (0, 1)], 1)
+                fits, platt, join = model
+                for k, (x, w) in enumerate(zip(sparse_views(b), fits)):
+                    odds[:, k] = platt[k][0] * np.clip(logit(x, w), -TOP, TOP) + platt[k][1]
                 total = odds @ join[:2] + join[2]
-            else:
-                total = odds[:, 0]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(sigmoid(x)) for x in (odds[:, 0], odds[:, 1], total)]],
+                [b.column("doc_id"), *[pa.array(sigmoid(x)) for x in (*odds.T, total)]],
                 ["doc_id", "p_text", "p_page", "score"])
 
-    out = map_arrow(_views(docs, ["doc_id"]), run,
+    out = map_arrow(seen.select("doc_id", "at", "c", "page"), run,
                     f"doc_id {kind}, p_text double, p_page double, score double")
     return out.withColumn("kept", F.col("score") >= 0.5)
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality",
-             rounds: int = ROUNDS, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """Fit on the bounded sample, score every row of ``docs``."""
-    views, y, calibrate = sample(docs, labels, target, labelled, pool)
-    known = set(y[(y >= 0) & ~calibrate].tolist())
-    model = None
-    if known == {0, 1}:
-        model = co_train(views, [TEXT_DIM, PAGE_DIM], y, rounds, calibrate=calibrate)
-    return score(docs, model)
+             rounds: int = ROUNDS, labelled: int = LABELLED, drawn: int = DRAWN) -> DataFrame:
+    """Fit on the bounded sample of labels and what the views label for each
+    other, score every row of ``docs``."""
+    seen = table(views(docs), "cotrain-views")
+    known, sample = labelled_rows(seen, labels, target, labelled)
+    n = {(r["y"], r["calibrate"]): r["count"]
+         for r in sample.groupBy("y", "calibrate").count().collect()}
+    if not (n.get((0, False)) and n.get((1, False))):
+        return score(seen, None)
+    positive = n.get((1, False), 0) + n.get((1, True), 0)
+    return score(seen, co_train(seen, known, sample, positive / sum(n.values()), rounds,
+                                drawn=drawn))
