@@ -76,6 +76,9 @@ def template_rows(phrases=PHRASES, notices=NOTICES, k: int = K) -> list[tuple]:
     for number, (label, text) in enumerate([*phrases, *notices]):
         words = text.split()
         grams = [" ".join(words[i:i + k]) for i in range(len(words) - k + 1)]
+        if not 0 < len(grams) <= MOST_GRAMS:
+            raise ValueError(f"a template has 1 to {MOST_GRAMS} grams of {k} words, "
+                             f"not {len(grams)}: {text!r}")
         rows += [(number, label, number < len(phrases), len(grams), t, g)
                  for t, g in enumerate(grams)]
     return rows
@@ -184,22 +187,44 @@ def sql(lowered: str) -> str:
     values = ",\n  ".join("({}, '{}', {}, {}, {}, '{}')".format(*r) for r in template_rows())
     gram = " || ' ' || ".join(f"words[i + {j}]" for j in range(1, K + 1))
     return f"""
-WITH grams(template, label, base, grams, t, gram) AS (VALUES
+WITH RECURSIVE grams(template, label, base, grams, t, gram) AS (VALUES
   {values}),
 rows AS (SELECT doc_id, row_number() OVER () AS row,
   regexp_extract_all({lowered}, '{WORDS}') AS words FROM documents),
 rolled AS (SELECT doc_id, row, i AS d, {gram} AS gram
   FROM (SELECT doc_id, row, words, unnest(range(len(words) - {K - 1})) AS i FROM rows)),
-votes AS (SELECT row, template, label, base, grams, d - t AS diagonal, count(*) AS hits
-  FROM rolled JOIN grams USING (gram) GROUP BY ALL),
+hits AS (SELECT row, template, label, base, grams, d - t AS diagonal, d, t,
+    CASE WHEN base THEN 1.0 ELSE {COVER} END AS need FROM rolled JOIN grams USING (gram)),
+votes AS (SELECT DISTINCT row, template, base, diagonal FROM hits),
 marked AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER w > {GAP}, true)
   THEN 1 ELSE 0 END AS apart FROM votes WINDOW w AS (PARTITION BY row, template ORDER BY diagonal)),
-merged AS (SELECT *, sum(apart) OVER (PARTITION BY row, template ORDER BY diagonal) AS span
-  FROM marked),
-found AS (SELECT row, template, label, base, greatest(min(diagonal), 0) AS first,
-  least(sum(hits) / any_value(grams)::DOUBLE, 1.0) AS covered
-  FROM merged GROUP BY row, template, label, base, span),
-kept AS (SELECT * FROM found WHERE covered >= CASE WHEN base THEN 1.0 ELSE {COVER} END)
+merged AS (SELECT row, template, diagonal, sum(apart) OVER (
+  PARTITION BY row, template ORDER BY diagonal) AS span FROM marked),
+-- what a span that starts at a diagonal reaches over the template's words
+reach AS (SELECT s.row, s.template, s.span, s.diagonal AS start, h.label, h.base, h.grams, h.need,
+    h.d, h.t
+  FROM merged s JOIN merged m ON m.row = s.row AND m.template = s.template AND m.span = s.span
+    AND m.diagonal >= s.diagonal
+  JOIN hits h ON h.row = m.row AND h.template = m.template AND h.diagonal = m.diagonal
+  WHERE h.diagonal - s.diagonal < h.grams + {K - 1}),
+enough AS (SELECT row, template, span, start FROM reach GROUP BY row, template, span, start
+  HAVING count(DISTINCT t) >= any_value(need) * any_value(grams)),
+tried AS (SELECT r.* FROM reach r JOIN enough e ON r.row = e.row AND r.template = e.template
+  AND r.span = e.span AND r.start = e.start),
+-- runs of hits in which the place in the text and in the template both grow
+run AS (SELECT row, template, span, start, d, t, 1 AS n FROM tried
+  UNION SELECT c.row, c.template, c.span, c.start, h.d, h.t, c.n + 1
+  FROM run c JOIN tried h ON h.row = c.row AND h.template = c.template AND h.span = c.span
+    AND h.start = c.start AND h.d > c.d AND h.t > c.t),
+longest AS (SELECT row, template, span, start, max(n) AS n FROM run
+  GROUP BY row, template, span, start),
+covered AS (SELECT l.*, g.label, g.base, l.n / g.grams::DOUBLE AS covered,
+    CASE WHEN g.base THEN 1.0 ELSE {COVER} END AS need
+  FROM longest l JOIN (SELECT DISTINCT template, label, base, grams FROM grams) g
+    ON g.template = l.template),
+kept AS (SELECT row, template, label, base, max(covered) AS covered,
+    greatest(min(start) FILTER (WHERE covered >= need), 0) AS first
+  FROM covered GROUP BY row, template, label, base, span HAVING max(covered) >= any_value(need))
 SELECT any_value(r.doc_id) AS doc_id, any_value(len(r.words)) AS n_words,
   count(*) FILTER (WHERE k.base) AS n_base, min(k.first) FILTER (WHERE k.base) AS first_word,
   max(k.first) FILTER (WHERE k.base) AS last_word,
