@@ -9,9 +9,9 @@ shouting, tables of separators), leaves them.
 
 The bands of characters per token and of byte fallback follow the documents
 themselves: quantiles over all documents of the script, with a margin, inside
-fixed limits that some text of the script can pass (``LIMITS``). A script with
-fewer than ``ENOUGH`` documents gets the wide end of the limits. A language of
-under ``LOW`` of a script's documents that both vocabularies know much worse
+fixed limits that some text of the script can pass (``LIMITS``). With n
+documents of a script a bound lies n / (n + ``HALF``) of the way from the
+wide end of the limits to there, whatever n is. A language of under ``LOW`` of a script's documents that both vocabularies know much worse
 than the rest of the script can leave the bands.
 
 The entropy of a short text is bounded by its length, so its lower bound is a
@@ -21,13 +21,16 @@ repeated 8-word windows) are measured in the same pass.
 Texts are measured once, and nothing but the histogram of the measures is
 shuffled. Defined results: a null text counts as empty; a text with fewer than ``min_words`` words fails
 the base rule; null or repeated ids are kept as they are; an empty table
-gives an empty result. Texts of any length are measured whole, in pieces of
-``PIECE`` characters so that the tokenisers' memory stays bounded.
+gives an empty result. Texts of any length are measured whole; a long one goes
+to the tokenisers in pieces of ``PIECE`` characters or more, cut before a space
+between two words, where no token can cross. Only a run of white space of
+``RUN`` characters, which the tokenisers cannot take, is cut inside.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from functools import lru_cache
 
@@ -41,15 +44,14 @@ from pyspark.sql import types as T
 from basketry.llm.common import ship, table
 from basketry.llm.pretokens import PATTERN
 
-PIECE = 50_000
+PIECE, RUN = 50_000, 500_000
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
 #: Fixed values by script. ``per_token``: characters per token under each
 #: vocabulary; ``fallback``: largest share of partial characters; each as
-#: (where the bound stays without enough documents, as far as the documents may
-#: tighten it). Both ends lie where some text can be: a character is at most 4
+#: (where the bound is without documents, as far as documents may tighten it). Both ends lie where some text can be: a character is at most 4
 #: byte tokens. ``entropy``: least bits at a number of tokens (straight lines
 #: between, in the logarithm of the number).
 LIMITS = {
@@ -63,10 +65,10 @@ LIMITS = {
     "other": {"least": (0.35, 0.6), "most": (8.0, 5.0), "fallback": (0.999, 0.995),
               "entropy": ((8, 1.0), (64, 2.0), (512, 3.0))},
 }
-#: Bands of a script with fewer than ``ENOUGH`` documents.
+#: Bands of a script without documents, and how many go half of the way.
 BANDS = {name: {"per_token": (x["least"][0], x["most"][0]), "fallback": x["fallback"][0],
                 "entropy": x["entropy"]} for name, x in LIMITS.items()}
-ENOUGH = 100
+HALF = 100
 #: Quantiles that the bands start from, and the margins: a factor on the least
 #: and on the largest characters per token, a part of the share that is left.
 LOW, HIGH = 0.05, 0.99
@@ -157,6 +159,26 @@ def script_of(text: str) -> str:
     return "other" if rest > most else best
 
 
+_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+_RUN = re.compile(r"\s{%d}" % RUN)
+
+
+def pieces(text: str):
+    """The text in pieces of ``PIECE`` characters or more that its tokens do not
+    cross, shorter only inside very long white space."""
+    lo = 0
+    while lo < len(text):
+        cut = _CUT.search(text, lo + PIECE) if len(text) - lo > PIECE else None
+        hi = cut.start() if cut else len(text)
+        if hi - lo > RUN:
+            for run in _RUN.finditer(text, lo, hi):
+                yield text[lo:run.end()]
+                lo = run.end()
+        if hi > lo:
+            yield text[lo:hi]
+        lo = hi
+
+
 def fertility(text: str, paths: tuple[str, str]) -> tuple[int, float, float, float, float]:
     """(tokens, characters per token under both vocabularies, byte-fallback
     share, entropy in bits); the last two under the first vocabulary."""
@@ -165,8 +187,7 @@ def fertility(text: str, paths: tuple[str, str]) -> tuple[int, float, float, flo
     (one, partial), (two, _) = map(vocabulary, paths)
     counts = np.zeros(len(partial), np.int64) if len(text) > PIECE else None
     n = n2 = 0
-    for lo in range(0, len(text), PIECE):
-        piece = text[lo:lo + PIECE]
+    for piece in pieces(text):
         ids = np.array(one.encode_ordinary(piece), np.int64)
         n2 += len(two.encode_ordinary(piece))
         n += len(ids)
@@ -259,11 +280,14 @@ def bands_of(measured: DataFrame, limits: dict = LIMITS) -> dict:
     out = {}
     for name, x in limits.items():
         least, most, share = (x[k][0] for k in ("least", "most", "fallback"))
-        if sum(n for _, n in seen.get((name, "least"), [])) >= ENOUGH:
-            least = np.clip(LEAST_MARGIN * quantile(name, "least", LOW), *x["least"])
-            most = np.clip(MOST_MARGIN * quantile(name, "most", HIGH), *x["most"][::-1])
-            share = quantile(name, "fallback", HIGH)
-            share = np.clip(share + SHARE_MARGIN * (1 - share), *x["fallback"][::-1])
+        n = sum(n for _, n in seen.get((name, "least"), []))
+        if n:
+            part = quantile(name, "fallback", HIGH)
+            own = (np.clip(LEAST_MARGIN * quantile(name, "least", LOW), *x["least"]),
+                   np.clip(MOST_MARGIN * quantile(name, "most", HIGH), *x["most"][::-1]),
+                   np.clip(part + SHARE_MARGIN * (1 - part), *x["fallback"][::-1]))
+            least, most, share = (w + (o - w) * n / (n + HALF)
+                                  for w, o in zip((least, most, share), own))
         out[name] = {"per_token": (float(least), float(most)), "fallback": float(share),
                      "entropy": x["entropy"]}
     return out
