@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from basketry.llm import (bpe, cotrain, exact_dedup, gru, langid, licenses, lm, mixing, pretokens,
                           quality, simhash, token_counts)
 from basketry.llm.common import ascii_lower, table
-from basketry.llm.queries import BYTE_BPE, RANKS
+from basketry.llm.queries import BYTE_BPE, LOWERED, RANKS
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, "
           "h string, row string, copies string, fp string, words string, n bigint, y string")
@@ -375,6 +376,53 @@ def test_language_model(docs, rows):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+needs_tables = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+
+
+@needs_tables
+def test_language_model_does_not_depend_on_the_files(spark):
+    """The same rows in 1, 8 and 32 files give the same model, which beats the
+    words' own frequencies on texts it has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    gains = []
+    for files in (1, 8, 32):
+        own = table(docs.repartition(files, F.hash("text")), "files")
+        got = lm.learn_and_score(own, ~held).where(held).agg(
+            *map(F.sum, ("score", "base_score", "n_tokens"))).first()
+        gains.append((got[0] - got[1]) / got[2])
+    assert gains[0] > 0.2
+    assert gains[1:] == pytest.approx([gains[0]] * 2, rel=0.01)
+
+
+def test_trainers_are_averaged(spark, monkeypatch):
+    """Many trainers, averaged along a tree of small fan, learn as well as one."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["a b c d", "e f g", "d c b a"]) for _ in range(20))
+             for _ in range(600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = table(lm.count_words(frame), "c")
+    lex = lm.lexicon(counts, 600)
+    coded = table(lm.code(frame, F.lit(True), lex), "coded")
+    lines = [np.frombuffer(r["line"], np.int16) for r in coded.select("line").collect()]
+    start = gru.score(gru.Model.start(lex.counts()), lines).sum()
+    monkeypatch.setattr(lm, "FAN", 2)
+    for least in (10 ** 9, lex.total // 5):
+        learned = gru.score(lm.train(coded, lex, rounds=3, least=least), lines).sum()
+        assert learned > 0.9 * start
+    assert coded.where("octet_length(line) = 2 * 0").count() == 0
+
+
+def test_pieces_hold_every_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 7)
+    lines = [np.arange(n, dtype=np.int16) for n in (1, 6, 7, 8, 30)]
+    frame = spark.createDataFrame([(i, True, x.tobytes()) for i, x in enumerate(lines)]
+                                  + [(9, False, b"ab")], "doc_id bigint, learns boolean, line binary")
+    got = [np.frombuffer(r["line"], np.int16) for r in lm.pieces(frame).collect()]
+    assert all(0 < len(x) <= 7 for x in got)
+    assert sorted(np.concatenate(got).tolist()) == sorted(np.concatenate(lines).tolist())
+
+
 def test_word_buckets_agree(spark):
     words = [w.encode() for w in ("a", "the,", "straße", "größe.", "x" * 9, "###", "é!", "longerword?")]
     frame = spark.createDataFrame([(w,) for w in words], "word binary")
@@ -512,6 +560,12 @@ def test_license_spans_need_different_grams_in_order(spark):
     assert got[0][1] == got[5][1] == 1
     n = len(isc) - 2
     assert got[6][1] == pytest.approx((n - 2) / n) and got[7][1] == pytest.approx((n - 4) / n)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = licenses.scan(frame).columns
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({licenses.sql(LOWERED)})").fetchall()
+    assert sorted(map(tuple, licenses.scan(frame).collect()), key=str) == sorted(want, key=str)
     # every gram once, but on diagonals further apart than the template is long
     far = spark.createDataFrame(
         [(1, 0, 99, 7, "x", False, 8, 5 * i, 1 << i) for i in range(8)],
@@ -520,6 +574,18 @@ def test_license_spans_need_different_grams_in_order(spark):
     assert [r["label"] for r in licenses.spans(far).collect()] == [None]
 
 
+def test_license_templates_have_a_bit_for_each_gram(spark):
+    frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(70)))],
+                                  "doc_id bigint, text string")
+    for n, label in ((licenses.MOST_GRAMS, "long"), (licenses.MOST_GRAMS + 1, None)):
+        notice = (("long", " ".join(f"w{i}" for i in range(n + licenses.K - 1))),)
+        if label:
+            assert licenses.scan(frame, (), notice).first()["labels"] == label
+        else:
+            with pytest.raises(ValueError):
+                licenses.scan(frame, (), notice)
+
+
 # ---------------------------------------------------------------- quality rules
 def test_quality_base(spark, rows):
     shout = " ".join(["LOOK!! HERE!! NOW!!"] * 30)
@@ -585,9 +651,10 @@ SCRIPT_TEXTS = {
 }
 
 
-@pytest.mark.parametrize("enough", [100, 10 ** 9])
-def test_each_band_of_each_script_fires(spark, monkeypatch, enough):
-    monkeypatch.setattr(quality, "ENOUGH", enough)
+@pytest.mark.parametrize("half", [1, 10 ** 9])
+def test_each_band_of_each_script_fires(spark, monkeypatch, half):
+    """With bounds that follow the documents and with the wide ones."""
+    monkeypatch.setattr(quality, "HALF", half)
     rng = random.Random(5)
     texts, names = [], []
     for script, (prose, low, part) in SCRIPT_TEXTS.items():
@@ -596,7 +663,7 @@ def test_each_band_of_each_script_fires(spark, monkeypatch, enough):
             texts.append(" ".join(rng.choices(words, k=40)))
             names.append((script, "prose"))
         # with the wide limits only letters that no vocabulary knows are too short for Latin
-        low = low if enough == 100 else part if script == "latin" else low
+        low = low if half == 1 else part if script == "latin" else low
         for kind, t in (("least", _noise(rng, low)), ("fallback", _noise(rng, part)),
                         ("most", " ".join(w + " " + "-" * 200 for w in words * 3))):
             assert quality.script_of(t) == script
@@ -620,8 +687,9 @@ def test_each_band_of_each_script_fires(spark, monkeypatch, enough):
                     "fallback": g["fallback_share"] > bands[script]["fallback"]}[kind]
 
 
-def test_bands_follow_the_documents(spark):
-    """Quantiles are those of a plain sort, to a step of the histogram."""
+def test_bands_follow_the_documents(spark, monkeypatch):
+    """Quantiles are those of a plain sort, to a step of the histogram; the bounds
+    go n / (n + HALF) of the way to them, with no jump at any number of documents."""
     rng = random.Random(2)
     rows = [(("latin", 9, 2 + rng.random(), 2 + rng.random(), rng.random() / 5),) for _ in range(400)]
     frame = spark.createDataFrame(rows, "m struct<script:string,n_tokens:bigint,"
@@ -629,12 +697,47 @@ def test_bands_follow_the_documents(spark):
                                   "fallback_share:double>")
     limits = {"latin": dict(quality.LIMITS["latin"], least=(0.0, 9.0), most=(9.0, 0.0),
                             fallback=(1.0, 0.0))}
+    shrunk = quality.bands_of(frame, limits)["latin"]
+    monkeypatch.setattr(quality, "HALF", 0)
     got = quality.bands_of(frame, limits)["latin"]
     best = sorted(max(m[2:4]) for m, in rows)
     worst = sorted(min(m[2:4]) for m, in rows)
     share = sorted(m[4] for m, in rows)[395]
     assert got["per_token"] == pytest.approx((0.9 * best[19], 2 * worst[395]), abs=0.01)
     assert got["fallback"] == pytest.approx(share + 0.1 * (1 - share), abs=0.01)
+    wide = [x[0] for x in (limits["latin"][k] for k in ("least", "most", "fallback"))]
+    for a, b, w in zip((*shrunk["per_token"], shrunk["fallback"]),
+                       (*got["per_token"], got["fallback"]), wide):
+        assert a == pytest.approx(w + (b - w) * 400 / 500)
+    monkeypatch.undo()
+    before = None
+    for n in (0, 1, 98, 99, 100, 101, 102):
+        bands = quality.bands_of(frame.limit(400).orderBy("m").limit(n), limits)["latin"]
+        if n > 98:          # one document more changes little, on either side of 100
+            assert bands["per_token"][0] == pytest.approx(before["per_token"][0], abs=0.05)
+            assert bands["fallback"] == pytest.approx(before["fallback"], abs=0.01)
+        before = bands
+
+
+def test_long_texts_are_measured_as_one():
+    """Cut before a space between words, no token is broken: the measures are
+    those of one encoding, on both sides of the length of a piece."""
+    rng = random.Random(4)
+    words = "river stone don't 12,345 größe «evening» light, x7 日本語 -- naïve".split()
+    for n in (2_000, 9_000, 30_000):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", ". "])
+                       for _ in range(n))
+        (one, partial), (two, _) = map(quality.vocabulary, RANKS)
+        ids, other = one.encode_ordinary(text), two.encode_ordinary(text)
+        c = np.array(list(collections.Counter(ids).values())) / len(ids)
+        assert quality.fertility(text, RANKS) == pytest.approx(
+            (len(ids), len(text) / len(ids), len(text) / len(other), partial[ids].mean(),
+             -(c * np.log2(c)).sum()))
+        cut = list(quality.pieces(text))
+        assert "".join(cut) == text and len(cut) >= len(text) // 60_000
+    for run in ("y" * 200_000, " " * 1_200_000, "a" * 10 + "\n" * 700_000 + "b c"):
+        assert "".join(quality.pieces(run)) == run
+        assert quality.fertility(run, RANKS)[0] > 0
 
 
 def test_fertility_of_very_long_runs():
@@ -666,6 +769,73 @@ def test_co_training(spark, docs, rows):
     assert len(none) == len(rows) and all(r["score"] == 0.5 and r["kept"] for r in none)
 
 
+def test_co_training_labels_and_draws(spark):
+    """Majority labels, ties, repeated ids; thresholds and draws against a plain
+    sort over all rows, not a pool."""
+    frame = spark.createDataFrame(
+        [(i, f"text {i}", None, None, None) for i in [*range(40), 7, 7]] + [
+            (None, "none", None, None, None)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 1), (2, 0), (7, 1), (None, 1),
+                                    (8, None), (99, 1)], "doc_id bigint, quality int")
+    seen = table(cotrain.views(frame), "seen")
+    known, sample = cotrain.labelled_rows(seen, labels, "quality", 100)
+    assert sorted((r["y"], bytes(r["at"])) for r in sample.collect()) == sorted(
+        (y, cotrain.text_view(f"text {i}".encode())[0].tobytes())
+        for i, y in ((1, 1), (2, 0), (7, 1)))
+    assert known.count() == 5                       # each row of document 7
+    rng = np.random.default_rng(0)
+    n = 3000
+    values = rng.normal(0, 3, n)
+    odds = spark.createDataFrame([(i, i * 7919 % 104729, float(v)) for i, v in enumerate(values)],
+                                 "row bigint, mark bigint, o_text double")
+    (low, n_low), (high, n_high) = cotrain.thresholds(odds, "o_text", 0.75, 0.1)
+    ordered = np.sort(values)
+    step = lambda v: np.floor((v + cotrain.TOP) * cotrain.STEPS)
+    assert step(ordered[74]) == low - 1 and step(ordered[-225]) == high
+    assert n_low == (step(values) < low).sum() and n_high == (step(values) >= high).sum()
+    got = cotrain.draw(odds, "o_text", 0.75, 0.1, 40, 1).collect()
+    assert len(got) == 40 and sum(r["y"] for r in got) == 30
+    assert all(step(values[r["row"]]) >= high if r["y"] else step(values[r["row"]]) < low
+               for r in got)
+    again = {r["row"] for r in cotrain.draw(odds, "o_text", 0.75, 0.1, 40, 2).collect()}
+    assert again != {r["row"] for r in got}         # a fresh draw in every round
+
+
+def test_co_training_fit_is_a_plain_logistic_fit(spark):
+    """Weights of one fit, calibration and combination against direct ones, and
+    scores from them by hand."""
+    rng = random.Random(6)
+    data = [(i, " ".join(rng.choice(["good", "fine"] if i % 2 else ["bad", "poor", "!!"])
+                         for _ in range(9)), "en", "s" if i % 4 else "t", i) for i in range(80)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, "
+                                        "n_chars bigint").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    seen = table(cotrain.views(frame), "seen")
+    known, sample = cotrain.labelled_rows(seen, labels, "quality", 60)
+    fits, platt, join = cotrain.co_train(seen, known, sample, 0.5, rounds=0)
+    rows = sorted(sample.collect(), key=lambda r: r["mark"])
+    y = np.array([r["y"] for r in rows], float)
+    free = ~np.array([r["calibrate"] for r in rows])
+    odds = []
+    for k, dim in enumerate((cotrain.TEXT_DIM, cotrain.PAGE_DIM)):
+        x = np.zeros((len(rows), dim))
+        for i, r in enumerate(rows):
+            at = np.frombuffer(r["page" if k else "at"], np.uint16)
+            v = np.ones(len(at)) if k else np.log1p(np.frombuffer(r["c"], np.uint32))
+            np.add.at(x[i], at, v if k else v / np.sqrt((v * v).sum()))
+        full = cotrain.Sparse.dense(x)
+        w = cotrain.logistic(full, y, free.astype(float), dim)
+        assert np.allclose(w, fits[k], atol=1e-6)
+        odds.append(x @ w[:-1] + w[-1])
+    got = {r["doc_id"]: r for r in cotrain.score(seen, (fits, platt, join)).collect()}
+    ids = {r["row"]: r["doc_id"] for r in seen.collect()}
+    for i, r in enumerate(rows):
+        p = [platt[k][0] * odds[k][i] + platt[k][1] for k in (0, 1)]
+        total = 1 / (1 + np.exp(-(p[0] * join[0] + p[1] * join[1] + join[2])))
+        assert got[ids[r["row"]]]["score"] == pytest.approx(total, abs=1e-6)
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark, empty):
     sized = table(mixing.sizes(empty), "e")
