@@ -56,12 +56,12 @@ SHARDS, GROUPS = 2, 4096
 #: Bits of a hash that are shuffled; the shard goes above them.
 HASH = 48
 #: Bits of the set of candidates of a level.
-BITS = 1 << 27
+BITS = 1 << 26
 #: Slots of the bit set that one group packs.
 BLOCK = 1 << 19
 #: Bytes of text that a task hashes together, and that it holds, and hashes that
 #: it counts together, about.
-SLICE, HELD, GATHERED = 1 << 20, 16 << 20, 4 << 20
+SLICE, HELD, GATHERED = 1 << 20, 8 << 20, 2 << 20
 #: Groups into which a language's phrases are dealt before the last ranking.
 SALTS = 256
 
@@ -245,8 +245,12 @@ def _local(docs: DataFrame, k: int, held) -> DataFrame:
         def emit():
             while gathered:
                 part, hashes = gathered.popitem()
-                h, c = np.unique(np.concatenate(hashes) & np.uint64((1 << HASH) - 1),
-                                 return_counts=True)
+                h = np.concatenate(hashes)
+                hashes.clear()
+                h &= np.uint64((1 << HASH) - 1)
+                h.sort()
+                first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+                h, c = h[first], np.diff(first, append=len(h))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64) + (part % SHARDS << HASH)),
                      pa.array(c, pa.int64()), pa.repeat(pa.scalar(need[part], pa.int64()), len(c))],
@@ -316,7 +320,7 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
                  pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c, pa.int64())],
                 ["lang", "phrase", "words", "c"])
 
-        for lang, _, chunk in _chunks(batches, 2 * SLICE):
+        for lang, _, chunk in _chunks(batches, SLICE):
             known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
             if len(ids):
                 yield batch(lang, [b""], 0, [len(ids)])
