@@ -60,8 +60,9 @@ TRAINER = 4_000_000
 ROUNDS, STEPS, FEWEST = 8, 16, 64
 #: Tokens of a text that are dealt together, at most.
 PIECE = 1 << 16
-#: Trainers' states that are added up together, at most.
-FAN = 32
+#: Trainers' states that are added up together, and that come to the driver, at
+#: most; a state is under a megabyte.
+FAN = 4
 SMOOTH = 0.1
 #: Tail buckets: 3 endings, ASCII or not, 4 lengths.
 TAIL = 24
@@ -304,10 +305,12 @@ def _train_round(slice_: DataFrame, state: np.ndarray, steps: int, rate: float,
     # one partition is one trainer
     found = map_arrow(slice_.repartition(trainers, "key"), run, schema)
     n = trainers
-    while n > FAN:
+    while True:
         n = -(-n // FAN)
         found = found.groupBy(F.pmod("trainer", F.lit(n))).applyInPandas(add, schema)
-    found = rows_of(found.toPandas())                # FAN states of a fixed size, at most
+        if n <= FAN:
+            break
+    found = rows_of(found.toPandas())
     held.destroy()
     if not found:
         return state, steps
