@@ -13,7 +13,7 @@ logistic fit on those rows, into one score for every document.
 Both views of every whole text are written once (bucket numbers and counts);
 rounds and scoring read that table. A fit runs in one task on a bounded set: at
 most ``LABELLED`` labelled rows, chosen by hash, and ``DRAWN`` pseudo-labelled
-ones a view and round (the bounds are parameters). Nothing but weights,
+ones a view and round, both also bounded in numbers (the bounds are parameters). Nothing but weights,
 thresholds and histograms of a fixed size comes to the driver.
 
 Defined results: a null text counts as empty; null metadata is a value of its
@@ -32,7 +32,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import map_arrow, table
@@ -40,6 +40,9 @@ from basketry.llm.common import map_arrow, table
 LABELLED = 6000
 #: Pseudo-labelled rows that a view gets in one round, at most.
 DRAWN = 3000
+#: Numbers of the text view of all labelled rows of a fit, and of the rows that a
+#: view gets in one round for one class, at most; long texts make for fewer rows.
+LABELLED_SIZE, DRAWN_SIZE = 2_000_000, 300_000
 ROUNDS = 3
 #: Share of the unlabelled documents that a view is surest of.
 GIVEN = 0.1
@@ -56,10 +59,12 @@ _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 
 # ---------------------------------------------------------------- views
 def text_view(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of the content's hashed tokens."""
+    """(buckets, counts) of the content's hashed tokens; ``TEXT_DIM`` at most."""
     counts = Counter(_TOKENS.findall(text.lower()))
-    at = np.fromiter((zlib.crc32(t) % TEXT_DIM for t in counts), np.uint16, len(counts))
-    return at, np.fromiter(counts.values(), np.uint32, len(counts))
+    at = np.fromiter((zlib.crc32(t) % TEXT_DIM for t in counts), np.int64, len(counts))
+    c = np.bincount(at, np.fromiter(counts.values(), np.float64, len(counts))) if counts else at
+    at = np.flatnonzero(c)
+    return at.astype(np.uint16), c[at].astype(np.uint32)
 
 
 def page_view(text: bytes, source, lang, n_chars) -> np.ndarray:
@@ -186,12 +191,14 @@ def labelled_rows(seen: DataFrame, labels: DataFrame, target: str, most: int):
     label = (labels.where(f"doc_id is not null and `{target}` is not null")
              .groupBy("doc_id").agg((F.avg(F.col(target).cast("double")) > 0.5)
                                     .cast("int").alias("y")))
-    known = table(seen.select("doc_id", "row", "mark").join(label, "doc_id"), "cotrain-known")
+    known = table(seen.select("doc_id", "row", "mark", _size()).join(label, "doc_id"),
+                  "cotrain-known")
     chance = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 30))
     # one row of a document; the hash bound leaves about twice as many as asked
-    one = known.groupBy("doc_id", "y").agg(F.min(F.struct("mark", "row")).alias("x"))
+    one = known.groupBy("doc_id", "y").agg(F.min(F.struct("mark", "row", "n")).alias("x"))
     bound = min(1 << 30, int((1 << 30) * 2 * most / max(1, one.count())) + 1)
-    few = one.where(chance < bound).orderBy(chance, "doc_id").limit(most)
+    few = _within(one.where(chance < bound).select("*", "x.n", chance.alias("chance")),
+                  ["chance", "doc_id"], most, LABELLED_SIZE)
     fold = F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")),
                   F.lit(100))
     few = few.select(F.col("x.row").alias("row"), "y", (fold < CALIBRATE).alias("calibrate"))
@@ -199,6 +206,19 @@ def labelled_rows(seen: DataFrame, labels: DataFrame, target: str, most: int):
     return known.select("row"), table(sample, "cotrain-sample")
 
 
+def _size():
+    return F.expr("octet_length(at) div 2").alias("n")
+
+
+def _within(rows: DataFrame, order: list[str], most: int, size: int) -> DataFrame:
+    """The first ``most`` rows, as far as their ``n`` add up to ``size`` (one row
+    even so)."""
+    first = rows.orderBy(*order).limit(most)
+    upto = F.sum("n").over(Window.orderBy(*order))      # of ``most`` rows
+    return first.withColumn("upto", upto).where((F.col("upto") <= size)
+                                                | (F.col("upto") == F.col("n")))
+
+
 def _fit(rows: DataFrame, start: list | None, last: bool):
     """Weights of both views after one round's fit, with ``last`` also those of
     calibration and combination. ``rows``: a bounded set with views, mark, y (a
@@ -238,7 +258,8 @@ def _fit(rows: DataFrame, start: list | None, last: bool):
 
 
 def log_odds(seen: DataFrame, fits: list[np.ndarray]) -> DataFrame:
-    """row, mark, o_text, o_page: the log odds of both views for every row."""
+    """row, mark, n (size of the text view), o_text, o_page: the log odds of both
+    views for every row."""
     held = seen.sparkSession.sparkContext.broadcast(fits)
 
     def run(batches):
@@ -246,11 +267,11 @@ def log_odds(seen: DataFrame, fits: list[np.ndarray]) -> DataFrame:
         for b in batches:
             odds = [np.clip(logit(x, w), -TOP, TOP) for x, w in zip(sparse_views(b), fits)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("mark"), *map(pa.array, odds)],
-                ["row", "mark", "o_text", "o_page"])
+                [b.column("row"), b.column("mark"), b.column("n"), *map(pa.array, odds)],
+                ["row", "mark", "n", "o_text", "o_page"])
 
-    return map_arrow(seen.select("row", "mark", "at", "c", "page"), run,
-                     "row bigint, mark bigint, o_text double, o_page double")
+    return map_arrow(seen.select("row", "mark", _size(), "at", "c", "page"), run,
+                     "row bigint, mark bigint, n bigint, o_text double, o_page double")
 
 
 def _step(view: str):
@@ -280,7 +301,8 @@ def draw(odds: DataFrame, view: str, prior: float, given: float, most: int, turn
     for y, sure, n, room in ((0, _step(view) < low, n_low, int(most * (1 - prior))),
                              (1, _step(view) >= high, n_high, int(most * prior))):
         bound = min(1 << 30, int((1 << 30) * 2 * room / max(1, n)) + 1)
-        part = odds.where(sure & (chance < bound)).orderBy(chance, "mark", "row").limit(room)
+        part = _within(odds.where(sure & (chance < bound)).withColumn("chance", chance),
+                       ["chance", "mark", "row"], room, DRAWN_SIZE)
         part = part.select("row", F.lit(y).alias("y"))
         out = part if out is None else out.unionByName(part)
     return out
