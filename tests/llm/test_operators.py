@@ -787,8 +787,9 @@ def test_co_training_labels_and_draws(spark):
     rng = np.random.default_rng(0)
     n = 3000
     values = rng.normal(0, 3, n)
-    odds = spark.createDataFrame([(i, i * 7919 % 104729, float(v)) for i, v in enumerate(values)],
-                                 "row bigint, mark bigint, o_text double")
+    odds = spark.createDataFrame(
+        [(i, i * 7919 % 104729, 5, float(v)) for i, v in enumerate(values)],
+        "row bigint, mark bigint, n bigint, o_text double")
     (low, n_low), (high, n_high) = cotrain.thresholds(odds, "o_text", 0.75, 0.1)
     ordered = np.sort(values)
     step = lambda v: np.floor((v + cotrain.TOP) * cotrain.STEPS)
@@ -800,6 +801,11 @@ def test_co_training_labels_and_draws(spark):
                for r in got)
     again = {r["row"] for r in cotrain.draw(odds, "o_text", 0.75, 0.1, 40, 2).collect()}
     assert again != {r["row"] for r in got}         # a fresh draw in every round
+    # rows in their order, as far as their sizes add up; the first even if it is too long
+    sized = spark.createDataFrame([(i, n) for i, n in enumerate([4, 3, 9, 1])], "row int, n bigint")
+    assert [r["row"] for r in cotrain._within(sized, ["row"], 9, 16).collect()] == [0, 1, 2]
+    assert [r["row"] for r in cotrain._within(sized, ["row"], 2, 16).collect()] == [0, 1]
+    assert [r["row"] for r in cotrain._within(sized, ["row"], 9, 2).collect()] == [0]
 
 
 def test_co_training_fit_is_a_plain_logistic_fit(spark):
