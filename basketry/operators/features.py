@@ -12,8 +12,8 @@ Scale notes
   by date the gaps sum to (last - first), so the mean is
   ``datediff(max, min) / (n - 1)``. No per-customer sort is needed; the
   windowed form (``daily_gaps``) is kept for per-day output.
-* Streaks run a window over DISTINCT (customer, day) pairs, whose number per
-  customer is bounded by the calendar, not by the number of purchases.
+* Streaks come from the days as 64-bit words; a customer has one word for 64
+  days of the calendar, whatever the number of purchases.
 * Global fills (max gap) and standardisation statistics are one small
   aggregate job each whose few numbers enter the plan as literals: no
   single-partition window and no cross join.
@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions import bits as B
 from basketry.functions import columns as C
 from basketry.functions import dates as D
 
@@ -111,17 +112,21 @@ def longest_streaks(purchases: DataFrame, epoch: str = "2023-01-01",
                     date_col: str = "purchase_date") -> DataFrame:
     """A20 + W2 + X3: longest run of consecutive purchase days per customer.
 
-    Gaps and islands: over the distinct days of a customer, ``day - row_number``
-    is constant within a run of consecutive days. ``purchases`` may also be
-    the (customer, day) table.
+    The days of a customer are a set of 64-bit words (``functions.bits``), made
+    by ``bit_or`` with map-side combining; runs are found inside the words and
+    joined across them. No window and no sort of the rows. ``purchases`` may
+    also be the (customer, day) table.
     """
-    days = (purchases.where(F.col("customer_id").isNotNull() & F.col(date_col).isNotNull())
-            .select("customer_id", D.day_index(date_col, epoch).alias("day")).distinct())
-    w = Window.partitionBy("customer_id").orderBy("day")
-    islands = days.select("customer_id", (F.col("day") - F.row_number().over(w)).alias("island"))
-    runs = islands.groupBy("customer_id", "island").agg(F.count(F.lit(1)).alias("run"))
-    return runs.groupBy("customer_id").agg(
-        F.max("run").cast("bigint").alias("longest_purchase_streak"))
+    return B.longest_runs(day_words(purchases, epoch, date_col), ["customer_id"],
+                          "longest_purchase_streak")
+
+
+def day_words(purchases: DataFrame, epoch: str = "2023-01-01",
+              date_col: str = "purchase_date") -> DataFrame:
+    """(customer_id, word, bits): each customer's purchase days since ``epoch``
+    (``bits.merge`` adds later days)."""
+    return B.words(purchases.where(F.col("customer_id").isNotNull()), ["customer_id"],
+                   D.day_index(date_col, epoch))
 
 
 def demographics(customers: DataFrame, genders: Sequence[str] = ("F", "M")) -> DataFrame:
