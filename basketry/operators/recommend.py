@@ -4,9 +4,10 @@ Two scorers share the masking, ranking and evaluation logic:
 
 * popularity (deterministic, the cold-start fallback): score = total quantity
   of the item over active users;
-* latent: a rank-r factorisation of the scaled user-item matrix (MLlib ALS
-  with implicit preferences, width = embedding_dim); a requested user's vector
-  is multiplied with the item factors, one block of items at a time.
+* latent: vectors of width embedding_dim from the scaled user-item matrix, by
+  linear reconstruction (``reconstruct``) or MLlib ALS with implicit
+  preferences; a requested user's vector is multiplied with the items' vectors,
+  blocks of items by falling norm, as far as the norms leave a chance.
 
 Top-k of unseen items by rank gaps
 ----------------------------------
@@ -138,8 +139,9 @@ def summarize(per_customer: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- latent model
 #: Ratings that one block of the fit holds, about.
 BLOCK_RATINGS = 2_000_000
-#: Items that are scored together: one block is broadcast at a time.
-BLOCK_ITEMS = 65_536
+#: Items of a block, users of a tile (about), parts in which a block is dealt
+#: to its tiles, and bounds of blocks that go into a plan, at most.
+BLOCK_ITEMS, TILE_USERS, PARTS, BOUNDS = 8192, 4096, 32, 4096
 #: Rows of a user's history that are folded in together, about.
 FOLD_ROWS = 4096
 CHUNK_BYTES = 64 * 1024 * 1024
@@ -221,39 +223,106 @@ def fold_in(cells: DataFrame, item_factors: DataFrame, rank: int, reg: float = 0
         solve, "user_idx bigint, features array<float>")
 
 
-def _score_block(block, offset: int, k: int):
-    """mapInPandas body: score users against the items of one block, leave out
-    the block's items they bought (``seen``, at most the block), keep the best
-    k by score, ties by item. Users go in chunks, so that a score matrix never
+def _score_tile(k: int):
+    """cogroup body: the users of a tile (with the words of the block's items
+    they bought) against the items of its block; the best k of each user by
+    score, ties by item. Users go in chunks, so that a score matrix never
     exceeds ``CHUNK_BYTES``."""
-    def fn(batches):
-        factors, present = block.value
-        width = len(factors)
-        chunk = max(1, CHUNK_BYTES // (8 * max(1, width)))
-        for pdf in batches:
-            for lo in range(0, len(pdf), chunk):
-                part = pdf.iloc[lo:lo + chunk]
-                s = np.stack(part["features"].to_numpy()).astype(np.float64) @ factors.T
-                s[:, ~present] = -np.inf
-                for row, seen in enumerate(part["seen"]):
-                    if seen is not None and len(seen):
-                        s[row, np.asarray(seen, np.int64) - offset] = -np.inf
-                n = min(k, width)
-                # every item that ties with the k-th best stays in the choice
-                floor = np.partition(s, width - n, axis=1)[:, width - n]
-                out_u, out_i, out_s = [], [], []
-                for row, user in enumerate(part["user_idx"].to_numpy()):
-                    at = np.flatnonzero((s[row] >= floor[row]) & np.isfinite(s[row]))
-                    at = at[np.lexsort((at, -s[row, at]))][:n]
-                    out_u.append(np.full(len(at), user))
-                    out_i.append(at + offset)
-                    out_s.append(s[row, at])
-                yield pd.DataFrame({"user_idx": np.concatenate(out_u).astype(np.int64),
-                                    "item_idx": np.concatenate(out_i).astype(np.int64),
-                                    "score": np.concatenate(out_s)})
+    def fn(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"user_idx": np.zeros(0, np.int64), "item_idx": np.zeros(0, np.int64),
+                             "score": np.zeros(0)})
+        if not len(users) or not len(items):
+            return none
+        items = items.sort_values("place")
+        ids = items["item_idx"].to_numpy()
+        factors = np.stack(items["features"].to_numpy()).astype(np.float64)
+        width = len(ids)
+        n = min(k, width)
+        chunk = max(1, CHUNK_BYTES // (8 * width))
+        out = [none]
+        for lo in range(0, len(users), chunk):
+            part = users.iloc[lo:lo + chunk]
+            s = np.stack(part["features"].to_numpy()).astype(np.float64) @ factors.T
+            for row, seen in enumerate(part["seen"]):
+                if seen is not None and len(seen):
+                    words = np.array([w["word"] for w in seen], np.int64)
+                    bits = np.array([w["bits"] for w in seen], np.int64)
+                    held, at = np.nonzero(np.unpackbits(
+                        bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1,
+                        bitorder="little"))
+                    s[row, words[held] * 64 + at] = -np.inf
+            # every item that ties with the k-th best stays in the choice
+            floor = np.partition(s, width - n, axis=1)[:, width - n]
+            for row, user in enumerate(part["user_idx"].to_numpy()):
+                at = np.flatnonzero((s[row] >= floor[row]) & np.isfinite(s[row]))
+                at = at[np.lexsort((ids[at], -s[row, at]))][:n]
+                out.append(pd.DataFrame({"user_idx": np.full(len(at), user, np.int64),
+                                         "item_idx": ids[at], "score": s[row, at]}))
+        return pd.concat(out, ignore_index=True)
     return fn
 
 
+def place_items(item_factors: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(item_idx, features, block, place): items by falling norm of their
+    vector, dealt into blocks of ``block_items``; a written table."""
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    items = item_factors.select(F.col("id").cast("bigint").alias("item_idx"), "features",
+                                norm.alias("norm"))
+    placed = ranking.positions(items, [F.col("norm").desc(), F.col("item_idx")], "at")
+    return materialize(placed.select(
+        "item_idx", "features", "norm", F.expr(f"at div {block_items}").alias("block"),
+        F.pmod("at", F.lit(block_items)).cast("int").alias("place")), "placed-items")
+
+
+def block_bounds(placed: DataFrame, most: int = BOUNDS) -> tuple[list[float], int, int]:
+    """Largest norms of stretches of blocks (at most ``most`` numbers, falling),
+    the blocks of a stretch and the number of blocks."""
+    blocks = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    stretch = -(-blocks // most)
+    rows = placed.groupBy(F.expr(f"block div {stretch}").alias("s")).agg(
+        F.max("norm").alias("norm")).orderBy("s").collect()
+    return [r["norm"] for r in rows], stretch, blocks
+
+
+def needed_blocks(users: DataFrame, best: DataFrame, bounds: list[float], stretch: int,
+                  blocks: int, k: int) -> DataFrame:
+    """(user_idx, features, block): the blocks after the first whose items could
+    still enter a user's list. ``best``: (user_idx, item_idx, score) of the
+    first block. No item of a block scores more than the user's norm times the
+    block's largest norm, and the bounds fall from block to block."""
+    kth = best.groupBy("user_idx").agg(
+        F.min("score").alias("_kth"), F.count(F.lit(1)).alias("_n"))
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    held = users.join(kth, "user_idx", "left").withColumn("_norm", norm)
+    # a little more than the product, for rounding; equal scores are looked at
+    may = F.filter(F.array(*[F.lit(float(b)) for b in bounds]),
+                   lambda b: F.col("_norm") * b * (1 + 1e-9) + 1e-12 >= F.col("_kth"))
+    last = F.when(F.coalesce(F.col("_n"), F.lit(0)) < k, F.lit(blocks - 1)).otherwise(
+        F.least(F.size(may) * F.lit(stretch), F.lit(blocks)) - 1)
+    return held.withColumn("_last", last).where("_last >= 1").select(
+        "user_idx", "features", F.explode(F.expr("sequence(1L, cast(_last as bigint))"))
+        .alias("block"))
+
+
+def _scored_tiles(rows: DataFrame, placed: DataFrame, seen: DataFrame | None, groups: int,
+                  k: int) -> DataFrame:
+    """The best k of every (user, block) of ``rows`` (user_idx, features, block).
+    A tile is a block and one of ``groups`` groups of users."""
+    if seen is not None:
+        rows = rows.join(seen, ["user_idx", "block"], "left")
+    else:
+        rows = rows.withColumn("seen", F.lit(None).cast("array<struct<word:bigint,bits:bigint>>"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("user_idx"), F.lit(groups)))
+    # a block goes to the tiles that want it, in parts, as the first ones are wanted by all
+    wanted = rows.select((F.col("block") + 0).alias("block"), (F.col("tile") + 0).alias("tile")) \
+        .distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    items = (placed.withColumn("part", F.pmod("place", F.lit(PARTS)))
+             .join(wanted, ["block", "part"])
+             .select("block", "tile", "item_idx", "features", "place"))
+    return rows.groupBy("block", "tile").cogroup(items.groupBy("block", "tile")).applyInPandas(
+        _score_tile(k), "user_idx bigint, item_idx bigint, score double")
+
+
 def score_topk(users: DataFrame, item_factors: DataFrame, history: DataFrame | None,
                k: int = 5, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """R12 + W3/W4: the top-k items of every row of ``users`` (user_idx,
@@ -261,44 +330,36 @@ def score_topk(users: DataFrame, item_factors: DataFrame, history: DataFrame | N
     cells of ``history`` (user_idx, item_idx). Output: user_idx, item_idx,
     score, rank.
 
-    Only the given users are scored. The items are taken in blocks of
-    ``block_items`` ids, one job each: the block is broadcast (at most
-    ``block_items`` vectors), its best k are merged with the best k so far,
-    written, and the block is released. A user's history travels as the part
-    that lies in the block, so it is never longer than the block.
+    Only the given users are scored. The items lie in blocks by falling norm.
+    All users meet the first block; its k-th best score tells each user which
+    of the other blocks can still hold a better item, and those are scored in
+    a second step. Items and users meet in tiles of a block and about
+    ``TILE_USERS`` users, so a task holds two bounded sets whatever the numbers;
+    no vector passes the driver, only the largest norms (at most ``BOUNDS``).
+    A user's history travels as 64-bit words, at most ``block_items`` / 64 for
+    a block.
     """
-    spark = users.sparkSession
-    users = materialize(users.select(F.col("user_idx").cast("bigint"), "features"))
+    users = materialize(users.select(F.col("user_idx").cast("bigint").alias("user_idx"),
+                                     "features"), "users")
+    placed = place_items(item_factors, block_items)
+    bounds, stretch, blocks = block_bounds(placed)
+    groups = max(1, -(-users.count() // TILE_USERS))
     seen = None
     if history is not None:
-        seen = materialize(history.select(F.col("user_idx").cast("bigint"),
-                                          F.col("item_idx").cast("bigint")).distinct()
-                           .join(users.select("user_idx"), "user_idx", "left_semi"))
-    best = spark.createDataFrame([], "user_idx bigint, item_idx bigint, score double")
-    items = item_factors.select(F.col("id").cast("bigint").alias("item_idx"), "features")
-    lo, hi = items.agg(F.min("item_idx"), F.max("item_idx")).first()
+        words = (history.select(F.col("user_idx").cast("bigint").alias("user_idx"),
+                                F.col("item_idx").cast("bigint").alias("item_idx"))
+                 .join(users.select("user_idx"), "user_idx", "left_semi")
+                 .join(placed.select("item_idx", "block", "place"), "item_idx")
+                 .groupBy("user_idx", "block", F.expr("cast(place div 64 as bigint)").alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("bits")))
+        seen = materialize(words.groupBy("user_idx", "block").agg(
+            F.collect_list(F.struct("word", "bits")).alias("seen")), "seen-words")
+    first = materialize(_scored_tiles(users.withColumn("block", F.lit(0).cast("bigint")),
+                                      placed, seen, groups, k), "first-block")
+    found = first
+    if blocks > 1:
+        rest = materialize(needed_blocks(users, first, bounds, stretch, blocks, k), "needed-blocks")
+        found = first.unionByName(_scored_tiles(rest, placed, seen, groups, k))
     order = Window.partitionBy("user_idx").orderBy(F.col("score").desc(), F.col("item_idx"))
-    for start in range(lo or 0, (hi if hi is not None else -1) + 1, block_items):
-        here = F.col("item_idx").between(start, start + block_items - 1)
-        own = items.where(here).toPandas()                  # at most block_items rows
-        width = min(block_items, hi - start + 1)
-        rank = len(own["features"].iloc[0]) if len(own) else 1
-        factors, present = np.zeros((width, rank)), np.zeros(width, bool)
-        if not len(own):
-            continue
-        at = own["item_idx"].to_numpy() - start
-        factors[at] = np.stack(own["features"].to_numpy())
-        present[at] = True
-        block = spark.sparkContext.broadcast((factors, present))
-        if seen is not None:
-            mine = (seen.where(here).groupBy("user_idx")
-                    .agg(F.collect_list("item_idx").alias("seen")))
-            rows = users.join(mine, "user_idx", "left")
-        else:
-            rows = users.withColumn("seen", F.lit(None).cast("array<bigint>"))
-        scored = rows.mapInPandas(_score_block(block, start, k),
-                                  "user_idx bigint, item_idx bigint, score double")
-        best = materialize(best.unionByName(scored).withColumn("rank", F.row_number().over(order))
-                           .where(F.col("rank") <= k).drop("rank"))
-        block.destroy()
-    return best.withColumn("rank", F.row_number().over(order).cast("int"))
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(
+        F.col("rank") <= k)

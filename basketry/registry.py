@@ -665,9 +665,10 @@ def user_item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT customer_id, CAST(count(CASE WHEN quantity > 0 THEN 1 END) AS BIGINT) AS n_items
 FROM matrix GROUP BY customer_id""")
 def items_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A26."""
+    """A26, from sets of item words."""
+    from basketry.operators import itemsets
     p, _, _ = tables(spark, sf_dir)
-    return inter.items_per_user(inter.user_item_matrix(p))
+    return itemsets.items_per_user(inter.user_item_matrix(p))
 
 
 @register("active_users", with_(_MATRIX_SQL) + "\nSELECT customer_id FROM active")
@@ -819,20 +820,21 @@ def recommend_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.batch_strings(c.select("customer_id"), am, rec.with_names(recs, i), i)
 
 
-# Returned line items as the purchases: many customers then have few or no
-# items, and suppliers' keys make up requests of unknown customers.
-_RETURNED = BASE.replace("ON l.l_orderkey = o.o_orderkey)",
-                         "ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R')")
+# Customers with fewer items than this count as inactive here, so that lists for
+# inactive customers are among the answers; suppliers' keys make up requests of
+# unknown customers.
+_BUSY = 30
+_BUSY_SQL = _MATRIX_SQL.replace(f">= {MIN_ITEMS})", f">= {_BUSY})")
 _REQUESTS_SQL = """
 requests AS (SELECT customer_id FROM customers
              UNION SELECT s_suppkey + 100000000 FROM supplier)"""
 
 
-def _returned(spark: SparkSession, sf_dir: str):
-    """Matrix and active matrix of returned items, and the requests."""
+def _busy(spark: SparkSession, sf_dir: str):
+    """Matrix, its part of customers with many items, and the requests."""
     from basketry.session import materialize
-    m = materialize(inter.user_item_matrix(wh.purchases(spark, sf_dir, "R")))
-    am = materialize(m.join(inter.active_users(m, MIN_ITEMS), "customer_id", "left_semi"))
+    m = materialize(inter.user_item_matrix(wh.purchases(spark, sf_dir)))
+    am = materialize(m.join(inter.active_users(m, _BUSY), "customer_id", "left_semi"))
     unknown = wh.table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") + 100000000).alias("customer_id"))
     requests = wh.customers(spark, sf_dir).select("customer_id").union(unknown).distinct()
@@ -840,11 +842,11 @@ def _returned(spark: SparkSession, sf_dir: str):
 
 
 @register("recommend_requests", "WITH " + ",".join((
-    _RETURNED, _MATRIX_SQL, _REQUESTS_SQL, _RECS_SQL.replace("FROM customers c", "FROM requests c"))) + """
+    BASE, _BUSY_SQL, _REQUESTS_SQL, _RECS_SQL.replace("FROM customers c", "FROM requests c"))) + """
 SELECT customer_id, rank, item_id FROM recs""")
 def recommend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R13/R14 + J8: popularity for active, inactive and unknown customers."""
-    m, am, requests = _returned(spark, sf_dir)
+    m, am, requests = _busy(spark, sf_dir)
     return rec.recommend_unseen_by_rank(requests, m, rec.ranked_popularity(am, m), K)
 
 
@@ -905,12 +907,12 @@ def _given_lists(spark: SparkSession, m: DataFrame, am: DataFrame, requests: Dat
 
 
 @register("recommend_given_factors", "WITH " + ",".join((
-    _RETURNED, _MATRIX_SQL, _REQUESTS_SQL, _given_sql("requests", True))) + """
+    BASE, _BUSY_SQL, _REQUESTS_SQL, _given_sql("requests", True))) + """
 SELECT customer_id, rank, item_id, score FROM given""")
 def recommend_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12-R14 + W3: lists by given vectors, history masked, popularity for
     requesters without a vector and for short lists."""
-    m, am, requests = _returned(spark, sf_dir)
+    m, am, requests = _busy(spark, sf_dir)
     return _given_lists(spark, m, am, requests, True)
 
 
@@ -922,18 +924,20 @@ actual AS (
 
 
 @register("evaluation_given_factors", "WITH " + ",".join((
-    _RETURNED, _MATRIX_SQL, _GIVEN_EVAL, _given_sql("actual", False))) + f"""
+    BASE, _BUSY_SQL, _GIVEN_EVAL, _given_sql("actual", False))) + f"""
 SELECT a.customer_id, round(CAST(count(g.item_id) AS DOUBLE) / {float(K)}, 6) AS precision,
        round(CAST(count(g.item_id) AS DOUBLE) / count(*), 6) AS recall
 FROM actual a LEFT JOIN given g ON a.customer_id = g.customer_id AND a.item_id = g.item_id
 GROUP BY a.customer_id""")
 def evaluation_given_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R16 + X1 + W4: precision and recall of every test customer's own list."""
-    m, am, _ = _returned(spark, sf_dir)
-    p = wh.purchases(spark, sf_dir, "R")
+    """R16 + X1 + W4: precision and recall of every test customer's own list, by
+    the overlap of item sets."""
+    from basketry.operators import itemsets
+    m, am, _ = _busy(spark, sf_dir)
+    p = wh.purchases(spark, sf_dir)
     actual = rec.actual_after(p, _cut(p))
     lists = _given_lists(spark, m, am, actual.select("customer_id"), False)
-    return rounded(rec.precision_recall(lists, actual, K))
+    return rounded(itemsets.precision_recall(lists, actual, K))
 
 
 def _cut(p: DataFrame):
@@ -1025,6 +1029,151 @@ def evaluation_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rec.summarize(training.evaluate(t, p, K)))
 
 
+# ---------------------------------------------------------------- linear reconstruction
+from basketry.operators import reconstruct as recon  # noqa: E402
+
+# Directions given by the item keys, in whole numbers.
+_DIRECTIONS = ("{0} % 5 - 2", "{0} % 7 - 3", "{0} % 3 - 1", "{0} % 11 - 5")
+_WIDTH = len(_DIRECTIONS)
+_GIVEN_V_SQL = "\n" + f"""
+scaled AS (
+  SELECT a.customer_id, a.item_id, r.data_min, (r.data_max - r.data_min)
+         + CASE WHEN r.data_max = r.data_min THEN 1 ELSE 0 END AS scale, a.quantity
+  FROM amatrix a JOIN ranges r ON a.item_id = r.item_id),
+x AS (SELECT customer_id, item_id, (quantity - data_min) / scale AS value, scale, data_min
+      FROM scaled),
+emb AS (
+  SELECT customer_id, {", ".join(f"sum(value * ({d.format('item_id')})) AS e{j}"
+                                 for j, d in enumerate(_DIRECTIONS))}
+  FROM x GROUP BY customer_id)"""
+
+
+def _given_directions(spark: SparkSession, sf_dir: str):
+    """Scaled cells keyed by the ids themselves, the given item vectors, the
+    item ranges and the matrices."""
+    from basketry.session import materialize
+    p, i, c, m, am = _matrix(spark, sf_dir)
+    am = materialize(am)
+    ranges = materialize(inter.item_ranges(am, i))
+    cells = inter.minmax_scale(am, ranges).select(
+        F.col("customer_id").alias("user_idx"), F.col("item_id").alias("item_idx"), "value")
+    vectors = i.select(F.col("item_id").alias("item_idx"), F.array(*[
+        F.expr(d.format("item_id")).cast("double") for d in _DIRECTIONS]).alias("features"))
+    return cells, vectors, ranges, am, m, i, c
+
+
+@register("user_embeddings", with_(_MATRIX_SQL, _GIVEN_V_SQL) + "\nSELECT customer_id, " + ", ".join(
+    f"round(e{j}, 6) AS e{j}" for j in range(_WIDTH)) + " FROM emb")
+def user_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X V of every active customer's scaled vector, V given by the keys."""
+    cells, vectors, *_ = _given_directions(spark, sf_dir)
+    e = recon.encode(cells, vectors, _WIDTH)
+    return rounded(e.select(F.col("user_idx").alias("customer_id"), *[
+        F.get("features", F.lit(j)).alias(f"e{j}") for j in range(_WIDTH)]))
+
+
+_FITTED_SQL = " + ".join(f"e.e{j} * ({d.format('x.item_id')})" for j, d in enumerate(_DIRECTIONS))
+
+
+@register("reconstructed_cells", with_(_MATRIX_SQL, _GIVEN_V_SQL) + f"""
+SELECT x.customer_id, x.item_id, round({_FITTED_SQL}, 6) AS fitted,
+       round(({_FITTED_SQL}) * x.scale + x.data_min, 6) AS quantity
+FROM x JOIN emb e ON x.customer_id = e.customer_id""")
+def reconstructed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 + R6: x V V^T at the matrix' own cells, scaled and in quantities."""
+    cells, vectors, ranges, *_ = _given_directions(spark, sf_dir)
+    fitted = recon.reconstruct(cells, recon.encode(cells, vectors, _WIDTH), vectors).select(
+        F.col("user_idx").alias("customer_id"), F.col("item_idx").alias("item_id"), "fitted",
+        F.col("fitted").alias("quantity"))
+    return rounded(inter.inverse_scale(fitted, ranges, "quantity").select(
+        "customer_id", "item_id", "fitted", "quantity"))
+
+
+# Embeddings in whole 1024ths, so that scores are whole numbers on both sides.
+_WHOLE = "CAST(floor({0} * 1024 + 0.3141) AS BIGINT)"
+
+
+@register("recommend_reconstructed_given", with_(_MATRIX_SQL, _GIVEN_V_SQL) + f""",
+u AS (SELECT customer_id, {", ".join(_WHOLE.format(f"e{j}") + f" AS e{j}" for j in range(_WIDTH))}
+      FROM emb),
+v AS (SELECT DISTINCT item_id, scale, data_min FROM x),
+scored AS (
+  SELECT e.customer_id, x.item_id, ({_FITTED_SQL}) * x.scale + x.data_min AS score,
+         CAST(row_number() OVER (PARTITION BY e.customer_id ORDER BY
+              ({_FITTED_SQL}) * x.scale + x.data_min DESC, x.item_id) AS INTEGER) AS rank
+  FROM u e CROSS JOIN v x
+  WHERE NOT EXISTS (SELECT 1 FROM matrix m WHERE m.customer_id = e.customer_id
+                    AND m.item_id = x.item_id AND m.quantity > 0)
+  QUALIFY rank <= {K})
+SELECT customer_id, item_id, rank, CAST(score AS DOUBLE) AS score FROM scored""")
+def recommend_reconstructed_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11 + R12 + R6 + W3: embeddings times item vectors, scaled back to
+    quantities, history masked, the best K; V given by the keys."""
+    cells, vectors, ranges, am, m, i, c = _given_directions(spark, sf_dir)
+    e = recon.encode(cells, vectors, _WIDTH).select("user_idx", F.transform(
+        "features", lambda x: F.floor(x * 1024 + 0.3141).cast("double")).alias("features"))
+    columns = am.select("item_id", F.col("item_id").alias("item_idx")).distinct()
+    users, items = recon.score_vectors(e, vectors, ranges, columns)
+    seen = inter.positive(m).select(F.col("customer_id").alias("user_idx"),
+                                    F.col("item_id").alias("item_idx"))
+    return rec.score_topk(users, items, seen, K).select(
+        F.col("user_idx").alias("customer_id"), F.col("item_idx").alias("item_id"), "rank", "score")
+
+
+_STEPS = 3
+
+
+def _power_sql() -> str:
+    """The leading direction after ``_STEPS`` products, each made of length 1."""
+    out = """
+q0 AS (SELECT item_id, value / sqrt(sum(value * value) OVER ()) AS value FROM (
+  SELECT DISTINCT item_id, CAST(1 + item_id % 7 AS DOUBLE) AS value FROM x))"""
+    for s in range(1, _STEPS + 1):
+        out += f""",
+y{s} AS (SELECT x.customer_id, sum(x.value * q.value) AS value
+  FROM x JOIN q{s - 1} q ON x.item_id = q.item_id GROUP BY x.customer_id),
+z{s} AS (SELECT x.item_id, sum(x.value * y.value) AS value
+  FROM x JOIN y{s} y ON x.customer_id = y.customer_id GROUP BY x.item_id),
+q{s} AS (SELECT item_id, value / sqrt(sum(value * value) OVER ()) AS value FROM z{s})"""
+    return out + f""",
+last AS (SELECT x.customer_id, sum(x.value * q.value) AS value
+  FROM x JOIN q{_STEPS} q ON x.item_id = q.item_id GROUP BY x.customer_id)
+SELECT q.item_id, round(q.value, 6) AS direction,
+       round((SELECT sqrt(sum(value * value)) FROM last), 6) AS singular FROM q{_STEPS} q"""
+
+
+@register("leading_direction", with_(_MATRIX_SQL, _GIVEN_V_SQL) + "," + _power_sql())
+def leading_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit for one direction, a set number of products from a given
+    start; its singular value is the length of X V."""
+    cells, *_ = _given_directions(spark, sf_dir)
+    start = cells.select("item_idx").distinct().select("item_idx", F.array(
+        (F.lit(1) + F.col("item_idx") % 7).cast("double")).alias("features"))
+    model = recon.fit(cells, rank=1, extra=0, iterations=_STEPS, tolerance=0.0, start=start)
+    return rounded(model.vectors.select(
+        F.col("item_idx").alias("item_id"), F.get("features", F.lit(0)).alias("direction"),
+        F.lit(model.singular[0]).alias("singular")))
+
+
+@register("recommend_reconstructed")
+def recommend_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear reconstruction fitted on the training customers, scores in
+    quantities, history masked; popularity fallback."""
+    from basketry.plans import training
+    p, i, c = tables(spark, sf_dir)
+    t = training.train(p, i, c, backend="linear")
+    return rounded(training.recommend(t, c.select("customer_id"), i, K))
+
+
+@register("evaluation_reconstructed")
+def evaluation_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R17 with linear reconstruction."""
+    from basketry.plans import training
+    p, i, c = tables(spark, sf_dir)
+    t = training.train(p, i, c, backend="linear")
+    return rounded(rec.summarize(training.evaluate(t, p, K)))
+
+
 # ---------------------------------------------------------------- cleaning / enrichment
 from basketry.functions import catalog  # noqa: E402
 
@@ -1134,3 +1283,54 @@ GROUP BY 1, 2""")
 def event_item_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A25 over the second purchase source (purchase events, item key from props)."""
     return inter.user_item_matrix(wh.event_purchases(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- laid-out and growing tables
+@register("purchases_with_segments", with_() + """
+SELECT p.customer_id, p.item_id, p.purchase_date, CAST(p.total_price AS DOUBLE) AS total_price,
+       c.segment
+FROM purchases p LEFT JOIN customers c ON p.customer_id = c.customer_id""")
+def purchases_with_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + J2: the join by customer between tables in the same buckets."""
+    from basketry.sources import layout
+    p, _, c = tables(spark, sf_dir)
+    joined = layout.join_customers(layout.bucket_purchases(p), layout.bucket_customers(
+        c.select("customer_id", "segment")))
+    return joined.select("customer_id", "item_id", "purchase_date",
+                         F.col("total_price").cast("double").alias("total_price"), "segment")
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> str:
+    """A state folder that the purchases went into in batches by year, one of
+    them twice, with a compaction in between."""
+    import uuid
+
+    from basketry.session import checkpoint_dir
+    from basketry.streaming import state
+    base = f"{checkpoint_dir(spark).rstrip('/')}/basketry-state-{uuid.uuid4().hex}"
+    p, _, _ = tables(spark, sf_dir)
+    year = F.pmod(F.year("purchase_date"), F.lit(3))
+    batches = [p.where(year == 0), p.where(year == 1),
+               p.where((year == 2) | F.col("purchase_date").isNull())]
+    state.fold(batches[0], base, 0)
+    state.fold(batches[1], base, 1)
+    state.compact(spark, base)
+    state.fold(batches[2], base, 2)
+    state.fold(batches[1], base, 1)                 # replayed after the compaction
+    state.fold(batches[2], base, 2)                 # replayed
+    return base
+
+
+@register("folded_matrix", with_(_MATRIX_SQL) + "\nSELECT * FROM matrix")
+def folded_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25 from a state that grew by batches."""
+    from basketry.streaming import state
+    return state.read(spark, _folded(spark, sf_dir))
+
+
+@register("folded_streaks", with_(_STREAK_SQL) + """
+SELECT customer_id, longest_purchase_streak FROM streak""")
+def folded_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20 from the purchase days of a state that grew by batches."""
+    from basketry.streaming import state
+    return state.streaks(spark, _folded(spark, sf_dir))

@@ -83,3 +83,58 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     if fmt == "json":
         return spark.read.json(path)
     return spark.read.parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none when it does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none when it does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole or not at all. Its name is claimed first, by a
+    hidden empty file that only one writer can create; the text is written under
+    another hidden name and put in place by one rename. False when the name is
+    taken, also by a writer that did not get to its end; nothing is changed then."""
+    import uuid
+    fs, p = _fs(spark, path)
+    hidden = lambda kind: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        p.getParent(), f".{p.getName()}-{kind}")
+    if not fs.createNewFile(hidden("claim")):
+        return False
+    draft = hidden(uuid.uuid4().hex)
+    out = fs.create(draft)
+    out.write(text.encode())
+    out.close()
+    return fs.rename(draft, p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(
+            stream)).decode()
+    finally:
+        stream.close()

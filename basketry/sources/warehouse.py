@@ -76,11 +76,9 @@ def purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").cast("decimal(18,2)").alias("total_price"))
 
 
-def purchases(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
-    """All line items as purchases, or those with one return flag."""
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as purchases."""
     li = table(spark, sf_dir, "lineitem")
-    if flag is not None:
-        li = li.where(F.col("l_returnflag") == flag)
     o = table(spark, sf_dir, "orders")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
         F.col("o_custkey").alias("customer_id"),
