@@ -1063,21 +1063,21 @@ def _given_directions(spark: SparkSession, sf_dir: str):
 
 
 @register("user_embeddings", with_(_MATRIX_SQL, _GIVEN_V_SQL) + "\nSELECT customer_id, " + ", ".join(
-    f"round(e{j}, 6) AS e{j}" for j in range(_WIDTH)) + " FROM emb")
+    f"round(e{j}, 6) + 0.0 AS e{j}" for j in range(_WIDTH)) + " FROM emb")
 def user_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X V of every active customer's scaled vector, V given by the keys."""
     cells, vectors, *_ = _given_directions(spark, sf_dir)
     e = recon.encode(cells, vectors, _WIDTH)
-    return rounded(e.select(F.col("user_idx").alias("customer_id"), *[
-        F.get("features", F.lit(j)).alias(f"e{j}") for j in range(_WIDTH)]))
+    return e.select(F.col("user_idx").alias("customer_id"), *[
+        (F.round(F.get("features", F.lit(j)), 6) + 0.0).alias(f"e{j}") for j in range(_WIDTH)])
 
 
 _FITTED_SQL = " + ".join(f"e.e{j} * ({d.format('x.item_id')})" for j, d in enumerate(_DIRECTIONS))
 
 
 @register("reconstructed_cells", with_(_MATRIX_SQL, _GIVEN_V_SQL) + f"""
-SELECT x.customer_id, x.item_id, round({_FITTED_SQL}, 6) AS fitted,
-       round(({_FITTED_SQL}) * x.scale + x.data_min, 6) AS quantity
+SELECT x.customer_id, x.item_id, round({_FITTED_SQL}, 6) + 0.0 AS fitted,
+       round(({_FITTED_SQL}) * x.scale + x.data_min, 6) + 0.0 AS quantity
 FROM x JOIN emb e ON x.customer_id = e.customer_id""")
 def reconstructed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + R6: x V V^T at the matrix' own cells, scaled and in quantities."""
@@ -1085,8 +1085,10 @@ def reconstructed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = recon.reconstruct(cells, recon.encode(cells, vectors, _WIDTH), vectors).select(
         F.col("user_idx").alias("customer_id"), F.col("item_idx").alias("item_id"), "fitted",
         F.col("fitted").alias("quantity"))
-    return rounded(inter.inverse_scale(fitted, ranges, "quantity").select(
-        "customer_id", "item_id", "fitted", "quantity"))
+    out = rounded(inter.inverse_scale(fitted, ranges, "quantity"))
+    # zero has one sign
+    return out.select("customer_id", "item_id", *[(F.col(c) + 0.0).alias(c)
+                                                  for c in ("fitted", "quantity")])
 
 
 # Embeddings in whole 1024ths, so that scores are whole numbers on both sides.
