@@ -39,6 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,8 +60,8 @@ HASH = 48
 BITS = 1 << 26
 #: Slots of the bit set that one group packs.
 BLOCK = 1 << 19
-#: Bytes of text that a task hashes together, and that it holds, and hashes that
-#: it counts together, about.
+#: Bytes of text that a task counts together (a quarter of it while it mines), that
+#: it holds, and hashes that it counts together, about.
 SLICE, HELD, GATHERED = 1 << 20, 8 << 20, 2 << 20
 #: Groups into which a language's phrases are dealt before the last ranking.
 SALTS = 256
@@ -117,7 +118,7 @@ class Chunk:
             gap | (buf == 32), prepend=True, append=True)).reshape(-1, 2).T
         self.piece = np.cumsum(gap, dtype=np.int32)[self.starts]
         # a word's hash is a difference of prefix sums of bytes times powers, moved to power 0
-        up, down = _powers(1 << max((2 * SLICE).bit_length() - 1, len(buf).bit_length()))
+        up, down = _powers(1 << max(SLICE.bit_length(), len(buf).bit_length()))
         sums = np.zeros(len(buf) + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum((buf + np.uint64(1)) * up[:len(buf)], out=sums[1:])
@@ -256,7 +257,7 @@ def _local(docs: DataFrame, k: int, held) -> DataFrame:
                      pa.array(c, pa.int64()), pa.repeat(pa.scalar(need[part], pa.int64()), len(c))],
                     ["h", "c", "need"])
 
-        for lang, part, chunk in _chunks(batches, SLICE):
+        for lang, part, chunk in _chunks(batches, SLICE // 4):
             *_, (_, at) = chunk.levels(sets)
             if len(at):
                 gathered.setdefault(part, []).append(chunk.hashes(k, at))
@@ -316,25 +317,24 @@ def count(docs: DataFrame, sets: list[np.ndarray], least: int = 30) -> DataFrame
 
         def batch(lang, phrases, k, c):
             return pa.RecordBatch.from_arrays(
-                [pa.repeat(lang, len(c)), pa.array(phrases, pa.binary()).cast(pa.string()),
+                [pa.repeat(lang, len(c)), phrases.cast(pa.string()),
                  pa.repeat(pa.scalar(k, pa.int32()), len(c)), pa.array(c, pa.int64())],
                 ["lang", "phrase", "words", "c"])
 
         for lang, _, chunk in _chunks(batches, SLICE):
             known, ids = Numbers(), np.zeros(len(chunk.codes), np.int64)
             if len(ids):
-                yield batch(lang, [b""], 0, [len(ids)])
+                yield batch(lang, pa.array([b""]), 0, [len(ids)])
             for k, at in chunk.levels(sets[:LONGEST - 1]):
                 at = at[has(sets[k - 1], chunk.hashes(k, at))]
                 if k == 1:          # phrases of more words are made of these
                     words = map(chunk.word, at.tolist())
                     ids[at] = np.fromiter(map(known.__getitem__, words), np.int64, len(at))
-                    words = list(known)
+                    words = pa.array(list(known), pa.binary())
                 at, c = counted(ids, k, at)
                 if len(at):
-                    phrases = [b" ".join([words[i] for i in row]) for row in
-                               ids[at[:, None] + np.arange(k)].tolist()]
-                    yield batch(lang, phrases, k, c)
+                    parts = [words.take(pa.array(ids[at + j])) for j in range(k)]
+                    yield batch(lang, pc.binary_join_element_wise(*parts, b" "), k, c)
 
     source = _source(docs).select("text", "lang", F.lit(0).alias("part"))
     rows = map_arrow(source, run, "lang string, phrase string, words int, c bigint")
