@@ -37,7 +37,6 @@ from math import log10
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,32 +277,37 @@ def _train_round(slice_: DataFrame, state: np.ndarray, steps: int, rate: float,
 
     def run(batches):
         state, steps, rate = held.value
-        rows = [(k, v) for b in batches
-                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        if not rows:
-            return
-        lines = [np.frombuffer(v, np.int16) for _, v in sorted(rows)]
-        n = sum(map(len, lines))
-        own = gru.Model.start(np.ones(gru.CLASSES * gru.MEMBERS))
-        optimiser = gru.Adam(own, rate)
-        optimiser.resume(state, steps)
-        lanes = min(gru.LANES, max(FEWEST, n // (gru.WINDOW * STEPS)))
-        gru.fit(own, optimiser, lines, lanes)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([optimiser.n]),
-             pa.array([(n * optimiser.state()).tobytes()], pa.binary())],
-            ["trainer", "weight", "steps", "state"])
+        own: dict[int, list] = {}
+        for b in batches:
+            for t, k, v in zip(*(c.to_pylist() for c in b.columns)):
+                own.setdefault(t, []).append((k, v))
+        for trainer, rows in own.items():
+            lines = [np.frombuffer(v, np.int16) for _, v in sorted(rows)]
+            n = sum(map(len, lines))
+            model = gru.Model.start(np.ones(gru.CLASSES * gru.MEMBERS))
+            optimiser = gru.Adam(model, rate)
+            optimiser.resume(state, steps)
+            gru.fit(model, optimiser, lines,
+                    min(gru.LANES, max(FEWEST, n // (gru.WINDOW * STEPS))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([trainer]), pa.array([n]), pa.array([optimiser.n]),
+                 pa.array([packed(n * optimiser.state())], pa.binary())],
+                ["trainer", "weight", "steps", "state"])
+
+    def packed(x):
+        return x.astype(np.float32).tobytes()
 
     def rows_of(pdf):
-        return [(int(t), int(w), int(s), np.frombuffer(x).reshape(3, -1)) for t, w, s, x in zip(
-            pdf["trainer"], pdf["weight"], pdf["steps"], pdf["state"])]
+        return [(int(t), int(w), int(s), np.frombuffer(x, np.float32).reshape(3, -1).astype(float))
+                for t, w, s, x in zip(pdf["trainer"], pdf["weight"], pdf["steps"], pdf["state"])]
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         t, w, s, x = _add(rows_of(pdf))
-        return pd.DataFrame({"trainer": [t], "weight": [w], "steps": [s], "state": [x.tobytes()]})
+        return pd.DataFrame({"trainer": [t], "weight": [w], "steps": [s], "state": [packed(x)]})
 
-    # one partition is one trainer
-    found = map_arrow(slice_.repartition(trainers, "key"), run, schema)
+    # more partitions than trainers, so that few share one
+    dealt = slice_.select(F.pmod("key", F.lit(trainers)).alias("trainer"), "key", "line")
+    found = map_arrow(dealt.repartition(4 * trainers, "trainer"), run, schema)
     n = trainers
     while True:
         n = -(-n // FAN)
