@@ -60,8 +60,8 @@ ROUNDS, STEPS, FEWEST = 8, 16, 64
 #: Tokens of a text that are dealt together, at most.
 PIECE = 1 << 16
 #: Trainers' states that are added up together, and that come to the driver, at
-#: most; a state is under a megabyte.
-FAN = 4
+#: most; a state is under half a megabyte.
+FAN = 32
 SMOOTH = 0.1
 #: Tail buckets: 3 endings, ASCII or not, 4 lengths.
 TAIL = 24
@@ -307,7 +307,7 @@ def _train_round(slice_: DataFrame, state: np.ndarray, steps: int, rate: float,
 
     # more partitions than trainers, so that few share one
     dealt = slice_.select(F.pmod("key", F.lit(trainers)).alias("trainer"), "key", "line")
-    found = map_arrow(dealt.repartition(4 * trainers, "trainer"), run, schema)
+    found = map_arrow(dealt.repartition(2 * trainers, "trainer"), run, schema)
     n = trainers
     while True:
         n = -(-n // FAN)
