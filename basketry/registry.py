@@ -878,8 +878,8 @@ have AS (SELECT a.customer_id, CAST(count(s.item_id) AS INTEGER) AS n FROM asked
          LEFT JOIN scored s ON a.customer_id = s.customer_id GROUP BY a.customer_id),
 filled AS (
   SELECT a.customer_id, b.item_id, CAST(NULL AS DOUBLE) AS score, a.n
-         + CAST(row_number() OVER (PARTITION BY a.customer_id ORDER BY b.rank) AS INTEGER) AS rank
-  FROM have a CROSS JOIN ranked b
+         + CAST(row_number() OVER (PARTITION BY a.customer_id ORDER BY b.pos) AS INTEGER) AS rank
+  FROM have a CROSS JOIN (SELECT item_id, rank AS pos FROM ranked) b
   WHERE a.n < {K} AND NOT (EXISTS (SELECT 1 FROM scored s WHERE s.customer_id = a.customer_id
                                    AND s.item_id = b.item_id){also})
   QUALIFY rank <= {K}),
