@@ -36,6 +36,8 @@ from basketry.session import materialize
 
 #: Ranks that one group of a user's history covers, at most.
 SPAN = 4096
+#: First ranks that are broadcast with their items.
+HEAD = 1 << 16
 
 
 # ---------------------------------------------------------------- ranking
@@ -87,8 +89,15 @@ def recommend_unseen_by_rank(requests: DataFrame, history: DataFrame, ranked: Da
     wanted = req.join(counts, "customer_id", "left").select(
         "customer_id", *[(F.lit(t) + F.coalesce(f"_c{t}", F.lit(0))).cast("bigint").alias(str(t))
                          for t in range(1, k + 1)])
-    rows = wanted.unpivot(["customer_id"], [str(t) for t in range(1, k + 1)], "_t", "_rank")
-    return rows.join(ranked.select(F.col("rank").alias("_rank"), "item_id"), "_rank").select(
+    rows = materialize(wanted, "wanted-ranks").unpivot(
+        ["customer_id"], [str(t) for t in range(1, k + 1)], "_t", "_rank")
+    places = ranked.select(F.col("rank").alias("_rank"), "item_id")
+    # nearly all requesters want the same few first ranks, which would be one key
+    # of a join each; only who bought HEAD - k items wants a rank after the head
+    head = rows.where(F.col("_rank") <= HEAD).join(
+        F.broadcast(places.where(F.col("_rank") <= HEAD)), "_rank")
+    tail = rows.where(F.col("_rank") > HEAD).join(places.where(F.col("_rank") > HEAD), "_rank")
+    return head.unionByName(tail).select(
         "customer_id", F.col("_t").cast("int").alias("rank"), "item_id")
 
 

@@ -121,3 +121,42 @@ def test_fold_in_solves_the_least_squares_of_the_fit(spark, monkeypatch):
                     b += (1 + 2.0 * x) * V[i]
                     n += 1
             assert np.allclose(got[u], np.linalg.solve(a + 0.1 * n * np.eye(4), b), atol=1e-4)
+
+
+def test_ranks_after_the_head_are_found(spark, monkeypatch):
+    """The first ranks come by broadcast, later ones by a join."""
+    monkeypatch.setattr(R, "HEAD", 3)
+    hist = [(1, i) for i in range(8)] + [(2, 1)]
+    h = spark.createDataFrame([(u, i, 1) for u, i in hist], "customer_id int, item_id int, quantity int")
+    ranked = [(i + 1, i) for i in range(12)]
+    req = spark.createDataFrame([(1,), (2,), (3,)], "customer_id int")
+    out = R.recommend_unseen_by_rank(
+        req, h, spark.createDataFrame(ranked, "rank bigint, item_id int"), 3)
+    got = {}
+    for r in out.orderBy("customer_id", "rank").collect():
+        got.setdefault(r.customer_id, []).append(r.item_id)
+    assert got == _brute([1, 2, 3], hist, ranked, 3)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_chosen_by_direction(spark, monkeypatch):
+    """Vectors of one length: their norms exclude no block, their boxes do."""
+    asked, plain = [], R.materialize
+
+    def kept(df, name="table"):
+        out = plain(df, name)
+        if name == "next-blocks":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialize", kept)
+    t = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    V = np.column_stack([np.cos(t), np.sin(t)])[np.random.default_rng(4).permutation(300)]
+    U = np.random.default_rng(5).normal(size=(30, 2))
+    out = R.score_topk(_factors(spark, U, "user_idx"), _factors(spark, V), None, 3, 15)
+    got = {}
+    for r in out.orderBy("user_idx", "rank").collect():
+        got.setdefault(r.user_idx, []).append(r.item_idx)
+    S = U.astype(np.float32).astype(float) @ V.astype(np.float32).astype(float).T
+    assert got == {u: list(np.argsort(-S[u], kind="stable")[:3]) for u in range(30)}
+    assert sum(asked) < 30 * 20 / 3
