@@ -1307,10 +1307,12 @@ def _folded(spark: SparkSession, sf_dir: str) -> str:
     them twice, with a compaction in between."""
     import uuid
 
-    from basketry.session import checkpoint_dir
+    from basketry.session import checkpoint_dir, materialize
     from basketry.streaming import state
     base = f"{checkpoint_dir(spark).rstrip('/')}/basketry-state-{uuid.uuid4().hex}"
     p, _, _ = tables(spark, sf_dir)
+    # four folds of two parts each read the purchases: lines meet their orders once
+    p = materialize(p.select("customer_id", "item_id", "quantity", "purchase_date"))
     year = F.pmod(F.year("purchase_date"), F.lit(3))
     batches = [p.where(year == 0), p.where(year == 1),
                p.where((year == 2) | F.col("purchase_date").isNull())]

@@ -177,3 +177,21 @@ def test_published_versions(spark, tmp_dir):
     # parts that no manifest names are not there for a reader
     os.makedirs(os.path.join(base, ".parts-dead", "model"))
     assert training.load_latest(spark, base).version == "20250101_000000"
+
+
+def test_folds_do_not_join_the_purchases_again(spark, monkeypatch):
+    import datetime as dt
+
+    from basketry import registry
+    lines = spark.createDataFrame([(1, 10, 2), (2, 11, 1), (3, 10, 1)],
+                                  "o bigint, item_id bigint, quantity int")
+    orders = spark.createDataFrame(
+        [(1, 7, dt.date(2001, 1, 1)), (2, 7, dt.date(2000, 1, 1)), (3, 8, None)],
+        "o bigint, customer_id bigint, purchase_date date")
+    monkeypatch.setattr(registry, "tables", lambda *a: (lines.join(orders, "o"), None, None))
+    plans, fold = [], state.fold
+    monkeypatch.setattr(state, "fold", lambda p, *a: plans.append(
+        p._jdf.queryExecution().analyzed().toString()) or fold(p, *a))
+    got = registry.folded_matrix(spark, "")
+    assert sorted(map(tuple, got.collect())) == [(7, 10, 2), (7, 11, 1), (8, 10, 1)]
+    assert len(plans) == 5 and not any("Join" in p for p in plans)
