@@ -24,8 +24,13 @@ from basketry.session import materialize
 
 
 def merged(purchases: DataFrame, items: DataFrame, customers: DataFrame) -> DataFrame:
-    """J1 + J2: purchases enriched with item and customer attributes (left joins)."""
-    return purchases.join(items, "item_id", "left").join(customers, "customer_id", "left")
+    """J1 + J2: purchases enriched with item and customer attributes (left joins).
+    The items' names, the widest columns, come last, so no shuffle carries them
+    beside a purchase."""
+    rest = [c for f in (purchases, items, customers) for c in f.columns
+            if c not in ("item_id", "customer_id")]
+    return (purchases.join(customers, "customer_id", "left").join(items, "item_id", "left")
+            .select("customer_id", "item_id", *rest))
 
 
 def fill_employee(purchases: DataFrame, value: str = "Unknown") -> DataFrame:

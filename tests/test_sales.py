@@ -138,3 +138,10 @@ def test_report_without_customer_ids(spark):
         rep = sales_report.sales_report(p, fx.items(spark), fx.customers(spark)).collect()
         assert sorted(r.section for r in rep if r.message) == [
             "customer_spending", "customer_spending_by_segment"]
+
+
+def test_merged_joins_the_wide_items_last(spark):
+    p, i, c = fx.purchases(spark), fx.items(spark), fx.customers(spark)
+    plan = sales.merged(p, i, c)._jdf.queryExecution().analyzed().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "item_id" in joins[0] and "customer_id" in joins[1]      # the outer one first
