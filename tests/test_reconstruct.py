@@ -91,6 +91,33 @@ def test_encoder_takes_any_scaled_vector(spark, matrix):
         assert r["fitted"] == pytest.approx(want[r["user_idx"], r["item_idx"]], abs=1e-9)
 
 
+@pytest.mark.parametrize("cells, numbers, stripe", [(1 << 22, 1 << 23, 16), (40, 64, 3), (20, 90, 16)])
+def test_grid_sends_vectors_by_tile_and_leaves_no_tables(spark, matrix, monkeypatch, cells, numbers,
+                                                         stripe):
+    """Products in tiles, in stripes of columns, packed in several rows; what a fit wrote on its way
+    is removed."""
+    from basketry import session
+    for name, value in (("TILE_CELLS", cells), ("TILE_NUMBERS", numbers), ("STRIPE", stripe)):
+        monkeypatch.setattr(L, name, value)
+    before = len(session._written.get(spark.sparkContext.applicationId, []))
+    grid = L.layout(_cells(spark, matrix), 7)
+    q = np.random.default_rng(0).normal(size=(30, 7))
+    some = np.arange(30) != 11                           # an item without a vector
+    given = spark.createDataFrame([(i, [float(v) for v in q[i]]) for i in range(30) if some[i]],
+                                  "item_idx bigint, features array<double>")
+    y = L.grid_product(grid, given, "user_idx", "item_idx", 7)
+    assert np.allclose(_dense(y, "user_idx", 50, 7), matrix[:, some] @ q[some], atol=1e-12)
+    z = L.grid_product(grid, y, "item_idx", "user_idx", 7)
+    assert np.allclose(_dense(z, "item_idx", 30, 7), matrix.T @ matrix[:, some] @ q[some], atol=1e-9)
+    session.discard(y, z)
+    grid.discard()
+    m = L.fit(_cells(spark, matrix), 3, iterations=2, extra=4)
+    e = L.encode(_cells(spark, matrix), m.vectors, 3)
+    assert e.count() == (np.abs(matrix).sum(1) > 0).sum()
+    left = session._written[spark.sparkContext.applicationId]
+    assert len(left) == before + 1 and "directions" in left[-1]
+
+
 @needs_data
 def test_scores_agree_with_svd_on_the_tables(spark):
     p, i, c = wh.purchases(spark, SF), wh.items(spark, SF), wh.customers(spark, SF)
