@@ -70,30 +70,35 @@ class Model:
         # sigmoid(a) = (tanh(a / 2) + 1) / 2: the halves go into the weights
         half = np.ones(3 * size, p["rec"].dtype)
         half[:2 * size] = 0.5
-        given = ((p["embed"] @ p["inp"] + p["bias"]) * half)[ids]
+        given = (p["embed"] @ p["inp"] + p["bias"]) * half
+        # by gate: numpy is slow on slices of a few columns
+        of_gates = np.ascontiguousarray(given[:, :2 * size].reshape(-1, 2, size).swapaxes(0, 1))
+        of_n = np.ascontiguousarray(given[:, 2 * size:])
         rec = p["rec"] * half
-        out = np.empty((*ids.shape, size), rec.dtype)
-        held = [np.empty((*ids.shape, n * size), rec.dtype) for n in (1, 2, 1, 1)] if keep else None
+        steps, lanes = ids.shape
+        out = np.empty((steps, lanes, size), rec.dtype)
+        held = np.empty((5, steps if keep else 1, lanes, size), rec.dtype)
         any_fresh = fresh.any(axis=1).tolist()
         h = np.array(h, rec.dtype)
-        for t in range(len(ids)):
+        for t in range(steps):
             if any_fresh[t]:
                 h = h.copy()
                 h[fresh[t]] = 0
-            x, u = given[t], h @ rec
-            g = u[:, :2 * size] + x[:, :2 * size]
+            prev, r, z, un, n = own = held[:, t if keep else 0]
+            if keep:
+                prev[:] = h
+            u, g = h @ rec, own[1:3]
+            np.add(u[:, :2 * size].reshape(lanes, 2, size).swapaxes(0, 1),
+                   of_gates.take(ids[t], axis=1), out=g)
             np.tanh(g, out=g)
             g += 1
             g *= 0.5
-            un = u[:, 2 * size:]
-            n = g[:, :size] * un
-            n += x[:, 2 * size:]
+            un[:] = u[:, 2 * size:]
+            np.multiply(r, un, out=n)
+            n += of_n.take(ids[t], axis=0)
             np.tanh(n, out=n)
-            if keep:
-                for into, value in zip(held, (h, g, un, n)):
-                    into[t] = value
             h = np.subtract(h, n, out=out[t])
-            h *= g[:, size:]
+            h *= z
             h += n
         return out, h.copy(), held
 
@@ -104,7 +109,7 @@ class Model:
         are put in the order of their class, so that a class is one slice."""
         p = self.p
         order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
-        h, target = h[order], target[order]
+        h, target = h.take(order, axis=0), target.take(order)
         c, w = np.divmod(target, MEMBERS)
         rows = np.arange(len(target))
 
@@ -142,7 +147,7 @@ class Model:
             lo = hi
         back = np.empty_like(order)
         back[order] = rows
-        return logs[back], None if dh is None else dh[back]
+        return logs.take(back), None if dh is None else dh.take(back, axis=0)
 
     # ------------------------------------------------------------ training
     def gradient(self, ids, fresh, target, live, h):
@@ -150,19 +155,20 @@ class Model:
         sum of logs, and the states that the next window starts from."""
         p, size = self.p, self.p["rec"].shape[0]
         grads = {n: np.zeros_like(v) for n, v in p.items()}
-        out, last, (prev, gates, un, n) = self.states(ids, fresh, h, True)
-        where = np.flatnonzero(live.ravel())
-        logs, dflat = self.token_logs(out.reshape(-1, size)[where], target.ravel()[where], grads)
-        if len(where) == ids.size:
-            dout = dflat.reshape(out.shape)
+        out, last, (prev, r, z, un, n) = self.states(ids, fresh, h, True)
+        flat_out, flat_target = out.reshape(-1, size), target.ravel()
+        if live.all():
+            logs, dout = self.token_logs(flat_out, flat_target, grads)
         else:
+            where = np.flatnonzero(live.ravel())
+            logs, dflat = self.token_logs(flat_out[where], flat_target[where], grads)
             dout = np.zeros((ids.size, size), out.dtype)
             dout[where] = dflat
-            dout = dout.reshape(out.shape)
-        r, z = gates[..., :size], gates[..., size:]
+        dout = dout.reshape(out.shape)
         # slopes of the whole window; the steps backward only multiply
-        slope_n = (1 - z) * (1 - n * n)
-        slope_z = (prev - n) * z * (1 - z)
+        rest = 1 - z
+        slope_n = rest * (1 - n * n)
+        slope_z = (prev - n) * z * rest
         slope_r = un * r * (1 - r)
         du = np.empty((*ids.shape, 3 * size), out.dtype)
         dn = np.empty_like(out)
@@ -172,11 +178,8 @@ class Model:
         for t in range(len(ids) - 1, -1, -1):
             d = dout[t]
             d += carry
-            dt, ut = dn[t], du[t]
-            np.multiply(d, slope_n[t], out=dt)
-            np.multiply(dt, slope_r[t], out=ut[:, :size])
-            np.multiply(d, slope_z[t], out=ut[:, size:2 * size])
-            np.multiply(dt, r[t], out=ut[:, 2 * size:])
+            dt = np.multiply(d, slope_n[t], out=dn[t])
+            ut = np.concatenate((dt * slope_r[t], d * slope_z[t], dt * r[t]), axis=1, out=du[t])
             carry = ut @ rec_t
             carry += d * z[t]
             if any_fresh[t]:
@@ -189,11 +192,11 @@ class Model:
         flat = ids.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        by_id[flat[order[first]]] = np.add.reduceat(flat_u[order], first, axis=0)
+        by_id[flat[order[first]]] = np.add.reduceat(flat_u.take(order, axis=0), first, axis=0)
         grads["inp"] = p["embed"].T @ by_id
         grads["bias"] = by_id.sum(0)
         grads["embed"] = by_id @ p["inp"].T
-        scale = out.dtype.type(1 / max(1, len(where)))
+        scale = out.dtype.type(1 / max(1, len(logs)))
         for g in grads.values():
             g *= scale
         return grads, float(logs.sum()), last
@@ -280,9 +283,10 @@ def score(model: Model, docs: list[np.ndarray], lanes: int = LANES,
     for lo in range(0, steps, window):
         s = slice(lo, lo + window)
         out, h, _ = model.states(before[s], before[s] == END, h)
-        of = owner[s].ravel()
-        where = np.flatnonzero(of >= 0)
-        logs, _ = model.token_logs(out.reshape(-1, size)[where],
-                                   target[s].ravel()[where])
-        total += np.bincount(of[where], weights=logs, minlength=len(docs))
+        of, flat, own = owner[s].ravel(), out.reshape(-1, size), target[s].ravel()
+        if of.min() < 0:
+            where = np.flatnonzero(of >= 0)
+            of, flat, own = of[where], flat.take(where, axis=0), own[where]
+        logs, _ = model.token_logs(flat, own)
+        total += np.bincount(of, weights=logs, minlength=len(docs))
     return total / np.log(10)

@@ -7,8 +7,9 @@ vocabulary; inside a bucket a word has its smoothed share of the bucket, and
 one share is left for words never seen, so probabilities of texts add up to
 one. See ``gru`` for the network.
 
-The words of every text are looked up once and written as network ids of two
-bytes. Training passes over every token of every training text once, data
+Words are split, counted and looked up with Arrow's functions, a batch of texts
+at a time. Those of every text are looked up once and written as network ids of
+two bytes. Training passes over every token of every training text once, data
 parallel: ids are dealt by a hash to trainers, whose number follows the number
 of training tokens and not the files, and to ``ROUNDS`` rounds. In each round
 every trainer goes on from the same parameters and optimiser state with its
@@ -31,12 +32,12 @@ read.
 
 from __future__ import annotations
 
-from collections import Counter
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,10 @@ from basketry.llm.common import map_arrow, table
 
 #: Most frequent words that are broadcast with their counts, at most.
 HEAD = 1 << 17
-#: Distinct words that a counting task holds before it emits them, and other
-#: words whose bucket a worker remembers.
-HELD = 1 << 18
-#: Bytes of a word that is broadcast or remembered, at most.
+#: Counts of words that a task holds, and their bytes, before it adds them up and
+#: emits them.
+HELD, HELD_BYTES = 1 << 20, 1 << 26
+#: Bytes of a word that is broadcast, at most.
 LONGEST = 256
 #: Tokens that a task scores together, unless one text has more.
 CHUNK = 4_000_000
@@ -68,9 +69,16 @@ TAIL = 24
 WORDS = gru.CLASSES * gru.MEMBERS - 1 - TAIL
 
 
-def words_of(text) -> list[bytes]:
-    """Words of an Arrow string scalar; lower-cases A-Z, splits at ASCII space."""
-    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of an Arrow string array, one text after the other, and where each text's
+    words begin and the last's end; lower-cases A-Z, splits at ASCII space."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = found.values.cast(pa.binary()), found.offsets.to_numpy().astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)       # space at a text's ends leaves empty ones
+    if full.true_count < len(words):
+        before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+        words, ends = words.filter(full), before[ends]
+    return words, ends
 
 
 def bucket(word: bytes) -> int:
@@ -82,23 +90,19 @@ def bucket(word: bytes) -> int:
     return 1 + (ending * 2 + (not word.isascii())) * 4 + length
 
 
-class Memo(dict):
-    """Head word -> number; of any other word minus its bucket, remembered."""
-
-    def __init__(self, head):
-        super().__init__(head)
-        self.head, self.room = head, HELD
-
-    def __missing__(self, word: bytes) -> int:
-        if len(word) > LONGEST:
-            return -bucket(word)
-        if not self.room:
-            self.clear()
-            self.update(self.head)
-            self.room = HELD
-        self.room -= 1
-        found = self[word] = -bucket(word)
-        return found
+def buckets(words: pa.Array) -> np.ndarray:
+    """``bucket`` of each of an Arrow array of words."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset:words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[:ends[-1]]
+    last, n = data[ends[1:] - 1], np.diff(ends)
+    ending = np.where((last >= 97) & (last <= 122) | (last >= 128), 0,
+                      np.where(np.isin(last, list(b".!?")), 1, 2))
+    wide = np.maximum.reduceat(data, ends[:-1]) >= 128
+    length = np.searchsorted([4, 7, 10], n)
+    return (1 + (ending * 2 + wide) * 4 + length).astype(np.int32)
 
 
 # ---------------------------------------------------------------- counts
@@ -106,20 +110,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts of ``docs``."""
 
     def run(batches):
-        held: Counter = Counter()
+        held = []
 
         def emit():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
-                ["word", "c"])
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate(
+                [("c", "sum")]).rename_columns(["word", "c"])
             held.clear()
+            return found.to_batches(max_chunksize=1 << 16)
 
         for b in batches:
-            for t in b.column(0):
-                held.update(words_of(t))
-                if len(held) >= HELD:
-                    yield from emit()
-        yield from emit()
+            word, c = words_of(b.column(0))[0].value_counts().flatten()
+            held.append(pa.table({"word": word, "c": c}))
+            if (sum(t.num_rows for t in held) >= HELD
+                    or sum(t.nbytes for t in held) >= HELD_BYTES):
+                yield from emit()
+        if held:
+            yield from emit()
 
     found = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run,
                       "word binary, c bigint")
@@ -204,7 +210,7 @@ def code(docs: DataFrame, learn: Column, lex: Lexicon) -> DataFrame:
 
     def run(batches):
         ids, head, tail_log, base_log, ends = held.value
-        number = Memo({w: i for i, w in enumerate(head)}).__getitem__
+        known_words = pa.array(list(head), pa.binary())
         counts = np.array(list(head.values()), np.float64)
         net_id = np.array(list(ids.values()), np.int16)
         # by head word: base term, and the word's share of its tail bucket
@@ -212,35 +218,40 @@ def code(docs: DataFrame, learn: Column, lex: Lexicon) -> DataFrame:
         share_of = np.zeros(len(counts))
         share_of[WORDS:] = np.log10(counts[WORDS:] + SMOOTH) - tail_log[net_id[WORDS:]]
         end_term = log10(ends + SMOOTH) - base_log
-        for b in batches:
-            lines, known, base, share, ends_, rare, where, times = [], [], [], [], [0], [], [], []
-            for t in b.column(3):
-                words = words_of(t)
-                at = np.fromiter(map(number, words), np.int32, len(words))
-                seen = at >= 0
-                own = at[seen]
-                line = np.full(len(words) + 1, gru.END, np.int16)
-                line[:-1][seen] = net_id[own]
-                line[:-1][~seen] = -at[~seen]
-                lines.append(line.tobytes())
-                known.append(len(own) + (ends > 0))
-                base.append(float(base_of[own].sum()) + end_term)
-                share.append(float(share_of[own].sum()))
-                other = Counter([words[j] for j in np.flatnonzero(~seen).tolist()])
-                rare += other
-                times += other.values()
-                where += [-number(w) for w in other]
-                ends_.append(len(rare))
-            other = pa.StructArray.from_arrays(
-                [pa.array(rare, pa.binary()), pa.array(where, pa.int32()),
+
+        def coded(b):
+            words, at = words_of(b.column(3))
+            n = b.num_rows
+            of = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+            found = pc.index_in(words, value_set=known_words)
+            seen = found.is_valid().to_numpy(zero_copy_only=False)
+            own, own_of = found.drop_null().to_numpy(), of[seen]
+            # the other words, each once for a text
+            other = words.filter(pc.is_null(found)).dictionary_encode()
+            kind_of, kinds = buckets(other.dictionary), max(1, len(other.dictionary))
+            number = other.indices.to_numpy()
+            pairs, times = np.unique(of[~seen] * np.int64(kinds) + number,
+                                     return_counts=True)
+            net = np.empty(len(words), np.int16)
+            net[seen], net[~seen] = net_id[own], kind_of[number]
+            line = np.insert(net, at[1:], gru.END)
+            sums = lambda values: np.bincount(own_of, values, n)
+            rare = pa.StructArray.from_arrays(
+                [other.dictionary.take(pa.array(pairs % kinds)), pa.array(kind_of[pairs % kinds]),
                  pa.array(times, pa.int64())], ["word", "bucket", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(lines, pa.binary()),
-                 pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(share, pa.float64()),
-                 pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), other)],
+            return pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(2),
+                 pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(
+                     (2 * (at + np.arange(n + 1))).astype(np.int32)), pa.py_buffer(line)]),
+                 pa.array(np.bincount(own_of, minlength=n) + (ends > 0), pa.int64()),
+                 pa.array(sums(base_of[own]) + end_term, pa.float64()),
+                 pa.array(sums(share_of[own]), pa.float64()),
+                 pa.ListArray.from_arrays(np.searchsorted(
+                     pairs // kinds, np.arange(n + 1)).astype(np.int32), rare)],
                 ["doc_id", "row", "learns", "line", "n_known", "base_score", "score", "rare"])
 
+        yield from map(coded, batches)
+
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
                            F.coalesce(learn, F.lit(False)).alias("learns"),
                            F.col("text").cast("string").alias("text"))

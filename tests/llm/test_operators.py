@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,6 +424,53 @@ def test_pieces_hold_every_token(spark, monkeypatch):
     assert sorted(np.concatenate(got).tolist()) == sorted(np.concatenate(lines).tolist())
 
 
+def test_words_and_buckets_of_a_batch():
+    """All of a batch's words at once, as the plain definition cuts each text."""
+    texts = ["Ab c", None, "", "  x\ty\x0bz\x0c\r\n ", "\x1cA\x1f\x85\u2003É Größe.", "   ",
+             "a" * 300 + " é! ###\x00 the, longerword?", "\x20".join(map(chr, range(1, 200)))]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    words, at = lm.words_of(column)
+    got = [words[i:j].to_pylist() for i, j in zip(at, at[1:])]
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert got == want == [[w.encode() for w in _words(_lower(t or ""))] for t in texts]
+    assert lm.buckets(words).tolist() == [lm.bucket(w) for t in want for w in t]
+    assert lm.buckets(words[3:5]).tolist() == [lm.bucket(w) for w in words[3:5].to_pylist()]
+    words, at = lm.words_of(pa.array([None, " ", ""], pa.string()))
+    assert len(words) == 0 and at.tolist() == [0] * 4 and not len(lm.buckets(words))
+
+
+def test_coded_texts_by_hand(spark, monkeypatch):
+    """Ids, known words and the other words of every text, with a head of three."""
+    monkeypatch.setattr(lm, "WORDS", 2)
+    texts = ["b a zz. zz. c", None, " zz. ", "a A a c", "", "é 12345678901 é"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    tail_c, tail_v = np.full(lm.TAIL + 1, 50.), np.full(lm.TAIL + 1, 5.)
+    lex = lm.Lexicon([(b"a", 9), (b"b", 7), (b"c", 4)], 6, 100, 20, tail_c, tail_v)
+    ids, known = lex.ids(), {b"a": 9, b"b": 7, b"c": 4}
+    for r in lm.code(frame, F.lit(True), lex).collect():
+        own = (texts[r["doc_id"]] or "").encode().lower().split()
+        assert np.frombuffer(r["line"], np.int16).tolist() == [
+            *(ids.get(w, lm.bucket(w)) for w in own), gru.END]
+        assert r["n_known"] == sum(w in known for w in own) + 1
+        assert {(bytes(x["word"]), x["bucket"], x["n"]) for x in r["rare"]} == {
+            (w, lm.bucket(w), n) for w, n in collections.Counter(own).items() if w not in known}
+        assert len(r["rare"]) == len({bytes(x["word"]) for x in r["rare"]})
+        assert r["base_score"] == pytest.approx(sum(
+            math.log10((c + .1) / (100 + .1 * 21))
+            for c in [6, *(known[w] for w in own if w in known)]))
+        assert r["score"] == pytest.approx(sum(
+            math.log10((4 + .1) / (50 + .1 * 6)) for w in own if w == b"c"))
+
+
+def test_counts_are_added_up_in_parts(spark, docs, rows, monkeypatch):
+    want = collections.Counter(w for r in rows for w in _words(_lower(r[1])))
+    for held, size in ((1, 1 << 26), (1 << 20, 1), (1 << 20, 1 << 26)):
+        monkeypatch.setattr(lm, "HELD", held)
+        monkeypatch.setattr(lm, "HELD_BYTES", size)
+        got = {bytes(r["word"]).decode(): r["c"] for r in lm.count_words(docs).collect()}
+        assert got == want
+
+
 def test_word_buckets_agree(spark):
     words = [w.encode() for w in ("a", "the,", "straße", "größe.", "x" * 9, "###", "é!", "longerword?")]
     frame = spark.createDataFrame([(w,) for w in words], "word binary")
