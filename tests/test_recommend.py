@@ -160,3 +160,41 @@ def test_blocks_are_chosen_by_direction(spark, monkeypatch):
     S = U.astype(np.float32).astype(float) @ V.astype(np.float32).astype(float).T
     assert got == {u: list(np.argsort(-S[u], kind="stable")[:3]) for u in range(30)}
     assert sum(asked) < 30 * 20 / 3
+
+
+def test_nothing_travels_by_block_where_bounds_exclude_nothing(spark, monkeypatch):
+    """Vectors of all directions: every user wants every block. The pairs that are sent by block
+    are one a user; lists are right with groups of few users and words, heavy histories, users
+    without history, and ties, which go to the lower item."""
+    from basketry import session
+    asked = []
+
+    def kept(df, name="table", *a):
+        out = session.materialize(df, name, *a)
+        if name == "next-blocks":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "materialize", kept)
+    rng = np.random.default_rng(6)
+    U, V = rng.integers(-3, 4, size=(90, 12)), rng.integers(-3, 4, size=(400, 12))
+    V[200:240] = V[:40]
+    hist = [(u, i) for u in range(0, 90, 2) for i in rng.choice(400, 30, replace=False)]
+    hist += [(7, i) for i in range(400) if i % 100] + [(9, i) for i in range(400)]
+    h = spark.createDataFrame([(int(u), int(i)) for u, i in hist], "user_idx bigint, item_idx bigint")
+    S = (U @ V.T).astype(float)
+    for u, i in hist:
+        S[u, i] = -np.inf
+    want = {u: [i for i in np.argsort(-S[u], kind="stable")[:5] if np.isfinite(S[u, i])]
+            for u in range(90)}
+    for users, words in ((4096, 1 << 20), (7, 12)):
+        monkeypatch.setattr(R, "GROUP_USERS", users)
+        monkeypatch.setattr(R, "GROUP_WORDS", words)
+        asked.clear()
+        got, score = {}, {}
+        for r in R.score_topk(_factors(spark, U, "user_idx"), _factors(spark, V), h, 5,
+                              20).orderBy("user_idx", "rank").collect():
+            got.setdefault(r.user_idx, []).append(r.item_idx)
+            assert r.score == S[r.user_idx, r.item_idx] and r["rank"] == len(got[r.user_idx])
+        assert got == {u: x for u, x in want.items() if x}
+        assert asked == [90]

@@ -62,3 +62,29 @@ def test_materialized_tables_can_be_removed(spark):
     df = session.materialize(spark.range(5))
     assert df.count() == 5 and session.clear_materialized(spark) == 1
     session._written[spark.sparkContext.applicationId] = before
+
+
+def test_shuffles_that_nothing_needs_go_while_a_fit_runs(spark):
+    import gc
+    import os
+    import time
+
+    from basketry.session import collecting
+
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager() \
+            .diskBlockManager().localDirsString()
+        return {os.path.join(d, f) for top in dirs for d, _, names in os.walk(top) for f in names
+                if f.startswith("shuffle_")}
+
+    before = files()
+    spark.range(2000).repartition(3).groupBy("id").count().collect()
+    made = files() - before
+    assert made
+    with collecting(spark, 0.3):
+        for _ in range(100):
+            gc.collect()
+            if not made & files():
+                break
+            time.sleep(0.3)
+    assert not made & files()
