@@ -246,3 +246,23 @@ def test_scorer_keeps_vectors_on_spark(spark, monkeypatch):
     out = R.score_topk(_factors(spark, rng.normal(size=(9, 2)), "user_idx"),
                        _factors(spark, rng.normal(size=(50, 2))), None, 3, 8)
     assert out.count() == 27 and not taken
+
+
+def test_fit_writes_two_tables_an_iteration_and_joins_stripes(spark, matrix, monkeypatch):
+    """Packed matrices in several parts, stripes in jobs of their own; the directions are those
+    of one part and one job, and orthonormal columns are not written."""
+    from basketry import session
+    plain, written = L.materialize, []
+    monkeypatch.setattr(L, "materialize",
+                        lambda df, name="table", *a: written.append(name) or plain(df, name, *a))
+    want = L.fit(_cells(spark, matrix), 3, iterations=2, tolerance=0.0, extra=4)
+    assert written.count("product") == 5 and len(written) == 10
+    before = len(session._written[spark.sparkContext.applicationId])
+    for name, value in (("PART_NUMBERS", 40), ("JOB_BYTES", 3000), ("STRIPE", 2), ("TILE_CELLS", 200)):
+        monkeypatch.setattr(L, name, value)
+    got = L.fit(_cells(spark, matrix), 3, iterations=2, tolerance=0.0, extra=4)
+    assert "stripes" in written
+    assert np.allclose(got.singular, want.singular, rtol=1e-12)
+    assert np.allclose(_dense(got.vectors, "item_idx", 30, 3), _dense(want.vectors, "item_idx", 30, 3),
+                       atol=1e-9)
+    assert len(session._written[spark.sparkContext.applicationId]) == before + 1
